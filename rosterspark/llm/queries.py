@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterspark.llm import chat_format
+from rosterspark.llm import chat_format, line_dedup
 from rosterspark.llm.common import table
 
 
@@ -29,9 +29,29 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.remove_spread_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+s AS (SELECT trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 12),
+k AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(s.line) AS n_cut,
+    coalesce(string_agg(l.line, chr(10) ORDER BY k) FILTER (s.line IS NULL), '') AS rest
+  FROM l LEFT JOIN s ON trim(l.line, ' ') = s.line GROUP BY 1)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines,
+  CASE WHEN n_cut > 0 AND length(rest) >= 0.5 * length(d.text) THEN n_cut ELSE 0 END AS n_removed,
+  CASE WHEN n_cut > 0 AND length(rest) >= 0.5 * length(d.text) THEN rest ELSE d.text END AS text
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op9_chat_format": op9_chat_format}
+    return {"op7_line_dedup": op7_line_dedup, "op9_chat_format": op9_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": OP9_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op9_chat_format": OP9_SQL}
