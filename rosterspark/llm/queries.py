@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterspark.llm import chat_format, line_dedup
+from rosterspark.llm import chat_format, decontaminate, line_dedup
 from rosterspark.llm.common import table
 
 
@@ -29,6 +29,10 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 """
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.remove_spread_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -50,7 +54,7 @@ FROM documents d LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_line_dedup, "op9_chat_format": op9_chat_format}
+    return {"op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op9_chat_format": op9_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
