@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterspark.llm import chat_format, decontaminate, line_dedup
+from rosterspark.llm import chat_format, decontaminate, line_dedup, syncmers
 from rosterspark.llm.common import table
 
 
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_probe(chat_format.canonical_turns(table(spark, sf_dir, "conversations")))
     return chat_format.digests(chat_format.format_turns(turns))
@@ -54,7 +58,7 @@ FROM documents d LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op9_chat_format": op9_chat_format}
+    return {"op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
