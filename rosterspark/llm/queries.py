@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rosterspark.llm import chat_format, decontaminate, line_dedup, syncmers
-from rosterspark.llm.common import table
+from rosterspark.llm import chat_format, decontaminate, line_dedup, quality, syncmers
+from rosterspark.llm.common import held_out, table
 
 
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,14 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 """
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model)
+    kept = (F.col("quality_score") >= quality.CUT).cast("int")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), kept.alias("predicted"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +67,7 @@ FROM documents d LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format}
+    return {"op1_quality": op1_quality, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
