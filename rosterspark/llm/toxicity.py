@@ -33,10 +33,10 @@ from rosterspark.llm.common import held_out
 SAMPLE, SEED = 4000, 11
 #: The score from which on a document counts as toxic.
 CUT = 0.3
-#: Marks: candidates that may be brought to the driver, least documents a mark must
-#: add, how many times likelier it must be in toxic documents, from which ratio on
+#: Marks: candidates that may be brought to the driver, least documents (and of
+#: toxic ones a hundredth) that a mark must add, how many times likelier it must be in toxic documents, from which ratio on
 #: a single hit is strong evidence, and how many marks explain a document.
-CANDIDATES, LEAST, TIMES, STRONG, DEMAND = 2000, 4, 4, 15, 3
+CANDIDATES, LEAST, TIMES, STRONG, DEMAND = 2000, 4, 4, 15, 2
 PREFIXES = (4, 5, 6, 7)
 
 # What a sign or digit may stand for.
@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     marks: dict[str, bool] = {}
     while True:  # greedy cover: a document that DEMAND chosen marks explain teaches no further mark
         tally = Counter(m for s, _ in left for m in s)
-        best = max(((n - 3 * candidates[m][1] * toxic, n, len(m), m) for m, n in tally.items() if n >= LEAST), default=(0, 0, 0, ""))
+        best = max(((n - 3 * candidates[m][1] * toxic, n, len(m), m) for m, n in tally.items() if n >= max(LEAST, toxic / 100)), default=(0, 0, 0, ""))
         if best[0] <= 0:
             break
         t, c = candidates[best[3]]
