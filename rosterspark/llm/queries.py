@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import chat_format, decontaminate, line_dedup, quality, syncmers, toxicity
+from rosterspark.llm import chat_format, decontaminate, line_dedup, quality, syncmers, token_store, toxicity
 from rosterspark.llm.common import held_out, table
 
 
@@ -18,6 +19,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(turns))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -75,7 +80,7 @@ FROM documents d LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format}
+    return {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format, "op10_token_store": op10_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
