@@ -11,19 +11,23 @@ from such sketches. Everything is a DataFrame expression.
 
 Cases: a null text counts as empty; no units give the empty fingerprint; fewer
 than ``K`` units are one k-mer; equal fingerprints, empty ones too, are alike 1;
-rows with equal ids follow each other by a hash of their texts, and exact repeats
-are one document; a lone document follows itself; an empty table gives an empty
+rows with equal ids follow each other by a hash of their texts, repeats too; a
+lone document follows itself; an empty table gives an empty
 table; other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterspark.llm.common import let, materialise, shuffle_partitions
+from rosterspark.llm.common import let, shuffle_partitions
 
 K, S, SKETCH, SHORT = 5, 2, 64, 200
+#: Ranges of ids for each shuffle partition, so that they even out.
+RANGES, CHUNK = 4, 64
 UNSPACED = r"[぀-ヿ㐀-鿿가-힯]"
 
 
@@ -47,8 +51,8 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             return F.least(F.get(m, i), F.get(m, i + (k - s))) <= F.least(*[F.get(m, i + j) for j in range(1, k - s)])
 
         closed = let(inner, lambda m: F.filter(starts, lambda i: at_edge(m, i)))
-        full = F.transform(closed, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *[F.get(h, i + j) for j in range(k)]).alias("hash")))
-        whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash")))
+        full = F.transform(closed, lambda i: F.struct(i.alias("pos"), F.hash(F.lit(k), *[F.get(h, i + j) for j in range(k)]).alias("hash")))
+        whole = F.array(F.struct(F.lit(0).alias("pos"), F.hash(h).alias("hash")))
         return F.when(n >= k, full).when(n > 0, whole).otherwise(F.slice(whole, 1, 0))
 
     return let(units(text), choose)
@@ -60,8 +64,8 @@ def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
 
 
 def fingerprint(sketched: Column) -> Column:
-    """A sketch as a string, 16 hexadecimal digits an anchor."""
-    return F.array_join(F.transform(sketched, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """A sketch as a string, 8 hexadecimal digits an anchor."""
+    return F.array_join(F.transform(sketched, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
@@ -78,45 +82,49 @@ def matching_positions(a: Column, b: Column) -> Column:
     return F.filter(first, lambda x: x["b"].isNotNull())
 
 
-def followers(keys: DataFrame) -> DataFrame:
-    """``keys`` (doc_id, row, ...) with next_id and next_row, in ascending order of
-    doc_id; the first follows the last. Ranges are dealt out, sorted apart and
-    joined at their ends; only the first key of each range meets the others'."""
-    n = shuffle_partitions(keys.sparkSession)
-    dealt = materialise(keys.repartitionByRange(n, "doc_id", "row").withColumn("part", F.spark_partition_id()), "key-ranges")
-    ends = dealt.groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    over = Window.orderBy("part")
-    heads = ends.select("part", F.lead("first").over(over).alias("after"), F.first("first").over(over).alias("head"))
-    within = Window.partitionBy("part").orderBy("doc_id", "row")
-    led = dealt.withColumn("then", F.lead(F.struct("doc_id", "row")).over(within)).join(F.broadcast(heads), "part")
-    then = F.coalesce("then", "after", "head")
-    return led.select(*keys.columns, then["doc_id"].alias("next_id"), then["row"].alias("next_row"))
+def _bounds(docs: DataFrame, parts: int) -> list[int]:
+    """Ids that part the documents into at most ``parts`` ranges of like size."""
+    at = [i / parts for i in range(1, parts)]
+    found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(10 * parts)).alias("p")).collect()[0]["p"] if at else []
+    return sorted(set(found or []))
+
+
+def with_next(docs: DataFrame, derived: dict[str, Column], columns: list[str]) -> DataFrame:
+    """``docs`` (doc_id, row, ...), ``derived`` and next_<column> of the document that
+    follows in ascending order of doc_id; the first follows the last.
+
+    Ranges of ids are sorted apart. The first document of each range is also sent to
+    the range before it, so that each row finds its follower within its range; the
+    texts are dealt out once.
+    """
+    spark = docs.sparkSession
+    bounds = _bounds(docs, RANGES * shuffle_partitions(spark))
+    steps = [F.array(*[F.lit(b) for b in bounds[i : i + CHUNK]]) for i in range(0, len(bounds), CHUNK)]
+    below = [F.size(F.filter(x, lambda b: b < F.col("doc_id"))) for x in steps]
+    part = F.coalesce(reduce(lambda a, b: a + b, below), F.lit(0)) if below else F.lit(0)
+    docs = docs.withColumn("part", part.cast("int"))
+    # One row for each range, of which there are at most len(bounds) + 1.
+    heads = [(r["part"], *r["head"]) for r in docs.groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("head")).orderBy("part").collect()]
+    before = [(heads[i - 1][0], heads[i][1], heads[i][2]) for i in range(len(heads))]
+    sent = F.broadcast(spark.createDataFrame(before, "to int, h_id long, h_row long"))
+    first = docs.join(sent, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row"))).withColumn("part", F.col("to")).drop("to", "h_id", "h_row")
+    # Columns are derived here, once a row, and not below the join with the heads.
+    both = docs.withColumn("guest", F.lit(0)).unionByName(first.withColumn("guest", F.lit(1))).withColumns(derived)
+    order = Window.partitionBy("part").orderBy("guest", "doc_id", "row")
+    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("guest = 0").drop("part", "guest")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of the text whose last half gives way to the
     beginning of the next document, and how alike they and the next one's are."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    known = base.select("doc_id", "row", F.char_length("text").alias("n_chars"), sketch(F.col("text")).alias("own"))
-    known = materialise(known, "sketches")
-    chain = followers(known.select("doc_id", "row", "n_chars").distinct())
-
-    def same(a_id: str, a_row: str, b_id: str, b_row: str) -> Column:
-        return F.col(a_id).eqNullSafe(F.col(b_id)) & F.col(a_row).eqNullSafe(F.col(b_row))
-
-    other = base.select(F.col("doc_id").alias("o_id"), F.col("row").alias("o_row"), "text").dropDuplicates(["o_id", "o_row"])
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    given = chain.join(other, same("next_id", "next_row", "o_id", "o_row")).select("doc_id", "row", "n_chars", "next_id", "next_row", F.left("text", half).alias("piece"))
-    given = given.withColumnsRenamed({"doc_id": "g_id", "row": "g_row"})
-    full = base.join(given, same("doc_id", "row", "g_id", "g_row"))
-    edited = F.concat(F.left("text", F.col("n_chars") - half), F.col("piece"))
-    full = full.select("doc_id", "row", "n_chars", "next_id", "next_row", edited.alias("edited"))
-    full = full.select("doc_id", "row", "n_chars", "next_id", "next_row", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"))
-    own = known.select(F.col("doc_id").alias("o_id"), F.col("row").alias("o_row"), "own").dropDuplicates(["o_id", "o_row"])
-    full = full.join(own, same("doc_id", "row", "o_id", "o_row")).drop("o_id", "o_row")
-    after = own.withColumnRenamed("own", "then")
-    full = full.join(after, same("next_id", "next_row", "o_id", "o_row")).drop("o_id", "o_row")
-    return full.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("then")).alias("near_next"),
+    led = with_next(base, {"own": sketch(F.col("text"))}, ["text", "own"])
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.left("text", n - half), F.left("next_text", half))
+    led = led.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", edited.alias("edited"))
+    led = led.select("doc_id", "n_chars", "own", "next_own", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"))
+    return led.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
