@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import chat_format, decontaminate, line_dedup, quality, syncmers, token_store, toxicity
+from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, quality, syncmers, token_store, toxicity
 from rosterspark.llm.common import held_out, table
 
 
@@ -55,6 +55,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), toxic.alias("predicted"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,7 +84,7 @@ FROM documents d LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format, "op10_token_store": op10_token_store}
+    return {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format, "op10_token_store": op10_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
