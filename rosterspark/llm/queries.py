@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, quality, syncmers, token_store, toxicity
+from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, quality, syncmers, token_store, toxicity
 from rosterspark.llm.common import held_out, table
 
 
@@ -47,6 +47,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), kept.alias("predicted"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -84,7 +89,7 @@ FROM documents d LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format, "op10_token_store": op10_token_store}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format, "op10_token_store": op10_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
