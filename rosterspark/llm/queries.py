@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, quality, syncmers, token_store, toxicity
+from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, page_template, quality, syncmers, token_store, toxicity
 from rosterspark.llm.common import held_out, table
 
 
@@ -64,6 +64,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_page_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,7 +93,7 @@ FROM documents d LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format, "op10_token_store": op10_token_store}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op5_page_template": op5_page_template, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format, "op10_token_store": op10_token_store}
 
 
 def oracle_sql() -> dict[str, str]:
