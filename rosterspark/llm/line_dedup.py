@@ -64,3 +64,11 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share:
     removed = F.when(F.col(f"{key}_minor"), F.col("n_lines") - F.size(f"{key}_kept")).otherwise(0).cast("long")
     joined = joined.withColumn("n_removed", removed).withColumn("text", F.when(F.col(f"{key}_minor"), rest).otherwise(F.col("text")))
     return joined.drop(key, f"{key}_kept", f"{key}_minor")
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars``, where it has such a column, as long as the text is now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
