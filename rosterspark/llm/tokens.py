@@ -50,36 +50,42 @@ class WordEncoder:
     the words within them are, so that the library encodes each word once.
     """
 
-    KEPT = 400_000
-    #: The split of the word vocabulary's pre-tokenizer, over printable Latin-1 in lower case.
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+    PIECES, KEPT = 700_000, 300_000
+    #: The split of the word vocabulary's pre-tokenizer, over printable Latin-1 in lower
+    #: case, and newlines, which part the pieces here.
+    WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+    #: Stands between pieces; no id has this upper byte.
+    MARK = b"\xff\xff"
 
     def __init__(self, path: str):
         self.library = _library(path)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"\n": self.MARK}
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Encodes words together; a token's place says whose it is."""
+        """Encodes words together; each ends with a token that ends words."""
         if not words:
             return {}
-        found = self.library.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(found.ids, np.uint16)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        cuts = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids)), ends[:-1]) * 2
-        raw, at = ids.tobytes(), [0, *cuts.tolist(), 2 * len(ids)]
-        return {w: raw[i:j] for w, i, j in zip(words, at, at[1:])}
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, np.uint16)
+        at = [0, *(2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        if len(at) != len(words) + 1:
+            return {w: np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint16).tobytes() for w in words}
+        raw = ids.tobytes()
+        return {w: raw[i:j] for w, i, j in zip(words, at[:-1], at[1:], strict=True)}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        split = [self.WORDS.findall(p.lower()) for p in pieces]
+        flat = self.WORDS.findall("\n".join(pieces).lower())
         known = self.words
-        new = self._encode_words([*dict.fromkeys(w for words in split for w in words if w not in known)])
+        new = self._encode_words([w for w in dict.fromkeys(flat) if w not in known])
         if len(known) + len(new) <= self.KEPT:
             known.update(new)
             get = known.__getitem__
         else:
             get = lambda w: known.get(w) or new[w]
-        return {p: b"".join(map(get, words)) for p, words in zip(pieces, split)}
+        return dict(zip(pieces, b"".join(map(get, flat)).split(self.MARK), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         # Millions of short lists are made here and none in a cycle.
@@ -104,12 +110,13 @@ class WordEncoder:
             parts[i] = own = list(map(look, pieces))
             if None in own:
                 gaps[i] = [(k, p) for k, (p, ids) in enumerate(zip(pieces, own)) if ids is None]
-        new = self._learn([*dict.fromkeys(p for gap in gaps.values() for _, p in gap)])
+        missing = [*dict.fromkeys(p for gap in gaps.values() for _, p in gap)]
+        new = self._learn(missing) if missing else {}
         for i, gap in gaps.items():
             own = parts[i]
             for k, p in gap:
                 own[k] = new[p]
-        if len(self.pieces) + len(new) <= self.KEPT:
+        if len(self.pieces) + len(new) <= self.PIECES:
             self.pieces.update(new)
         for i, own in parts.items():
             out[i] = np.frombuffer(b"".join(own), np.uint16)
