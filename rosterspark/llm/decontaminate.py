@@ -85,7 +85,7 @@ def item_fingerprints(items: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, and hits (first, length, item_id), one for
+    """Per row of ``docs``: doc_id, row (a hash of the text), n_words, and hits (first, length, item_id), one for
     each occurrence of a window; null without any."""
     index = materialise(item_fingerprints(items, window, gram), "benchmark-fingerprints")
     by_len = {r["len"]: r["n"] for r in index.groupBy("len").agg(F.count("*").alias("n")).collect()}  # a row for each of at most WINDOW lengths
@@ -135,7 +135,7 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int
     hits = F.concat(hits_for(gram, window), *[hits_for(k, k) for k in short])
     found = texts.select("id", "r", F.array_distinct(hits).alias("hits")).where(F.size("hits") > 0).dropDuplicates(["id", "r"])
     own = own.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("row").eqNullSafe(F.col("r")), "left")
-    own = own.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "hits", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    own = own.select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), "hits", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return own.drop("copy")
 
 
@@ -150,5 +150,6 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int =
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` without the documents in which a window of an item occurs."""
-    bad = find_hits(docs, items, window, gram).where(F.size("hits") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = find_hits(docs, items, window, gram).where(F.size("hits") > 0)
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_row"]), "left_anti")
