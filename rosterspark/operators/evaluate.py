@@ -42,11 +42,20 @@ def arm_score(y: Column, fitted: Column) -> list[Column]:
 def calibration(df: DataFrame, fitted: str, y: str, w: str, order: list[str], bins: int = 10) -> DataFrame:
     """Weighted means of prediction and outcome in bins of like size, the larger first.
 
-    Bins come from ranks, which need one global order; they are counted by ranges of
-    the prediction, so no task holds more than a range.
+    A row's rank is the number of rows in lower ranges plus its rank in its own, so
+    that no task sorts more than a range of the predictions.
     """
-    ranked = df.withColumn("bin", F.ntile(bins).over(Window.orderBy(fitted, *order)))
-    return ranked.groupBy("bin").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col(w) * F.col(fitted)), F.sum(w)).alias("mean_fitted"), F.try_divide(F.sum(F.col(w) * F.col(y)), F.sum(w)).alias("mean_y"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartitionByRange(parts, fitted, *order).withColumn("_part", F.spark_partition_id())
+    counts = df.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(fitted, *order)) - 1
+    df = df.withColumn("_rank", rank).join(F.broadcast(counts), "_part").withColumn("_rank", F.col("_rank") + F.col("_before"))
+    size, larger = F.floor(F.col("_all") / bins), F.col("_all") % bins
+    wide = larger * (size + 1)
+    slot = F.when(F.col("_rank") < wide, F.floor(F.col("_rank") / (size + 1))).otherwise(larger + F.floor(F.try_divide(F.col("_rank") - wide, size)))
+    return df.groupBy((slot + 1).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col(w) * F.col(fitted)), F.sum(w)).alias("mean_fitted"), F.try_divide(F.sum(F.col(w) * F.col(y)), F.sum(w)).alias("mean_y"))
 
 
 def threshold_search(df: DataFrame, value: str, is_a: Column, low: float, high: float, steps: int) -> DataFrame:
