@@ -40,6 +40,8 @@ PERCENT = 80
 #: five standard errors of 125 coordinates.
 MARGIN = 0.17
 CHUNK = 64
+#: Bits of the filter that spares texts without a partner: a fixed size for any input.
+BITS = 1 << 24
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(0, 1 << 64, size=(64, 256), dtype=np.uint64)
@@ -160,13 +162,15 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
 def _verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked."""
     agreeing = F.pandas_udf(_agreeing, "double")
-    pairs = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    sig_a = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")).hint("merge")
+    sig_b = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")).hint("merge")
+    pairs = pairs.join(sig_a, "a").join(sig_b, "b")
     pairs = materialise(pairs.where(agreeing("sig_a", "sig_b") >= percent / 100 - MARGIN).select("a", "b"), "pairs")
     # Each chunk holds a leader and at most about CHUNK members.
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
     dealt = pairs.join(size, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("n")).alias("chunk"))
     rows = dealt.select("b", "chunk", F.col("a").alias("id")).unionByName(dealt.select("b", "chunk", F.col("b").alias("id")).distinct())
-    rows = rows.join(sets, F.col("id") == F.col("doc_id")).select("b", "chunk", "id", "hashes")
+    rows = rows.join(sets.hint("merge"), F.col("id") == F.col("doc_id")).select("b", "chunk", "id", "hashes")
 
     def confirm(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         own = {i: np.frombuffer(h, np.uint64) for i, h in zip(group["id"], group["hashes"], strict=True)}
@@ -198,29 +202,52 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("id", F.col("next").alias("component"))
 
 
+def _bit():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+
+
+def _bitmap(ids: DataFrame) -> bytes:
+    """``BITS`` bits, of which those of the hashes of ``ids`` are set."""
+    place = _bit()
+    parts = ids.groupBy(F.bitmap_bucket_number(place + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+    out = bytearray(BITS // 8)
+    for r in parts.collect():  # BITS / 32768 rows at most
+        at = (r["k"] - 1) * 4096
+        out[at : at + 4096] = r["bits"]
+    return bytes(out)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
     signed = materialise(docs.select("doc_id", "text").mapInPandas(_sign, SIGNED), "signatures")
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     # Equal sets are one class with one representative.
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # Joins of tables that grow with the input are merges at every size.
+    classes = classes.hint("merge")
     reps = known.join(classes, (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
     spread = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(spread.join(shared, "band"), "buckets")
+    members = materialise(spread.join(shared.hint("merge"), "band"), "buckets")
     weight = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    members = materialise(members.join(weight, "doc_id").select("band", "doc_id", "weight"), "members")
+    members = materialise(members.join(weight.hint("merge"), "doc_id").select("band", "doc_id", "weight"), "members")
     needed = members.select("doc_id").distinct()
-    sigs = materialise(reps.select("doc_id", "sig").join(needed, "doc_id", "left_semi"), "shared-signatures")
+    sigs = materialise(reps.select("doc_id", "sig").join(needed.hint("merge"), "doc_id", "left_semi"), "shared-signatures")
+
+    bits = _bitmap(needed)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)  # BITS / 8 bytes
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").view(bool)
         for b in batches:
+            b = b[mine[b["bit"].to_numpy()]]
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo : lo + 500]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "hashes": [shingle_set(t).tobytes() for t in part["text"]]})
 
-    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi")
-    sets = materialise(sets.mapInPandas(hashes, "doc_id long, hashes binary"), "sets")
+    # The bitmap lets each needed document pass, and few others, before texts are hashed again.
+    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", _bit().alias("bit"))
+    sets = materialise(some.mapInPandas(hashes, "doc_id long, hashes binary"), "sets")
     links, labels, tried = None, None, None
     left = members
     for _ in range(rounds):
@@ -244,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
         left = left.join(at, F.col("doc_id") == F.col("i"), "left").select("band", "doc_id", "weight", F.coalesce("c", "doc_id").alias("own"))
         left = materialise(left.join(heads, "band").where(F.col("own") != F.col("led")).select("band", "doc_id", "weight"), "left")
     final = classes.join(labels, F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"))
-    out = signed.join(final, F.col("digest") == F.col("d"), "left")
+    out = signed.join(final.hint("merge"), F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
