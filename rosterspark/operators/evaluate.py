@@ -43,10 +43,17 @@ def calibration(df: DataFrame, fitted: str, y: str, w: str, order: list[str], bi
     """Weighted means of prediction and outcome in bins of like size, the larger first.
 
     A row's rank is the number of rows in lower ranges plus its rank in its own, so
-    that no task sorts more than a range of the predictions.
+    that no task sorts more than a range of the predictions; a prediction that many
+    rows share is parted by ranges of ``order[0]``, a number.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.repartitionByRange(parts, fitted, *order).withColumn("_part", F.spark_partition_id())
+    at = F.array(*[F.lit(i / parts) for i in range(1, max(parts, 2))])
+    cuts = df.agg(*[F.percentile_approx(F.col(c).cast("double"), at).alias(c) for c in (fitted, order[0])]).collect()[0]  # one row of at most ``parts`` numbers each
+    first, second = (F.array(*[F.lit(float(x)) for x in sorted(set(cuts[c] or []))]).cast("array<double>") for c in (fitted, order[0]))
+    below = F.size(F.filter(first, lambda b: b < F.col(fitted)))
+    inside = F.when(F.array_contains(first, F.col(fitted).cast("double")), F.size(F.filter(second, lambda b: b < F.col(order[0]))) + 1).otherwise(0)
+    # Rows below a cut come after those of the cut before it.
+    df = df.withColumn("_part", F.struct((2 * below + (inside > 0).cast("int")).alias("a"), inside.alias("b")))
     counts = df.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("_before", before).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
