@@ -6,14 +6,20 @@ a second one, shifted circularly by k, gives the k-th of ``COORDINATES`` minima,
 so two permutations serve all of them. ``ROWS`` minima make a band. Equal sets
 collapse first; the others that share a band are compared with leading members of
 their buckets, not with each other: the leader of a bucket is the member whose
-buckets are largest, a typical one, and in each further round the leading member
-of what is not yet connected. Signatures rule out pairs far from the threshold;
-every link is confirmed on the full sets. Links become components by spreading
-the smallest id.
-
-A bucket of m members makes at most m pairs a round, and texts, sets and pairs
-are dealt out by document or by bounded chunk, so that no group of copies meets in
-one task.
+buckets are largest, a typical one, its head, and in each further round the leading
+member of what is not yet connected with the head. After ``ROUNDS`` rounds whatever
+is still apart from the head leads: of two members of different components one is
+apart, so every pair is compared or connected already. As a bucket may hold many
+documents that share a passage and little else, these leaders meet those members
+with whom they share one of ``KEYS`` finer keys, each of ``KEY_ROWS`` coordinates; of
+a key with more than ``CHUNK`` members, chunk by chunk within a task, where links
+alone come out. Signatures and sizes rule out pairs far from the threshold; every
+link is confirmed on the full sets. Links become components by spreading the
+smallest id.
+
+A bucket of m members makes at most m pairs a round, a finer key at most ``CHUNK``
+pairs a member, and texts, sets and pairs are dealt out by document or by bounded
+chunk, so that no group of copies meets in one task.
 
 Cases: a null text, or one without words, has the empty set and is linked with
 nothing; repeated rows of an id are one document; rows with a null id are linked
@@ -33,7 +39,11 @@ from pyspark.sql import functions as F
 
 from rosterspark.llm.common import materialise
 
-SHINGLE, COORDINATES, ROWS, ROUNDS = 5, 125, 5, 3
+#: ROUNDS: with one leader a bucket; in a last one all that is not connected leads.
+SHINGLE, COORDINATES, ROWS, ROUNDS = 5, 125, 5, 2
+#: Keys of the last round, and the coordinates in each. Of pairs at 0.85 that share
+#: a bucket, a ten-thousandth share none of these.
+KEYS, KEY_ROWS = 64, 10
 #: Similarity in hundredths from which on documents are linked.
 PERCENT = 80
 #: Pairs whose signatures agree less than this far below the threshold are dropped:
@@ -50,6 +60,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+_CHOSEN = np.array([_rng.choice(COORDINATES, KEY_ROWS, replace=False) for _ in range(KEYS)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -159,6 +170,15 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(((x == y).mean(1) - 1 / 256) * 256 / 255)
 
 
+def _finer(sig: pd.Series) -> pd.Series:
+    """The finer keys of signatures."""
+    x = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
+    key = np.broadcast_to(np.arange(KEYS, dtype=np.uint64), (len(x), KEYS))
+    for r in range(KEY_ROWS):
+        key = _mix(key * np.uint64(0x100000001B3) + x[:, _CHOSEN[:, r]])
+    return pd.Series(list(key.view(np.int64)))
+
+
 def _verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked."""
     agreeing = F.pandas_udf(_agreeing, "double")
@@ -185,6 +205,62 @@ def _verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
     return rows.groupBy("b", "chunk").applyInPandas(confirm, "a long, b long")
 
 
+def _signed_blocks(band: int, block: tuple[int, int], group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between two chunks of a finer key, or within one; each pair is looked at
+    under the first key that it shares."""
+    sigs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
+    ids, own, apart, part, n = (group[c].to_numpy() for c in ("doc_id", "own", "apart", "part", "n_shingles"))
+    sets = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
+    keys = np.array(_finer(group["sig"]).tolist())
+    least = percent / 100 - MARGIN
+    found = []
+    for x in np.flatnonzero(part == block[0]):
+        other = (own != own[x]) & (apart | apart[x]) & (part == block[1]) & (percent * np.maximum(n, n[x]) <= 100 * np.minimum(n, n[x]))
+        if block[0] == block[1]:
+            other &= ids > ids[x]
+        at = np.flatnonzero(other)
+        at = at[((sigs[at] == sigs[x]).mean(1) - 1 / 256) * 256 / 255 >= least]
+        shared = keys[at] == keys[x]
+        for y in at[keys[x][shared.argmax(1)] == band] if len(at) else ():
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= percent * (n[x] + n[y] - both):
+                found.append((ids[x], ids[y]))
+    return found
+
+
+def _close(members: DataFrame, left: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """The links of what is apart from its heads with members of other components."""
+    apart = left.select("doc_id").distinct().withColumn("apart", F.lit(True))
+    near = members.join(left.select("band").distinct(), "band", "left_semi").select("doc_id", "n_shingles").distinct()
+    near = near.join(apart, "doc_id", "left").join(labels, F.col("doc_id") == F.col("id"), "left").join(sigs.hint("merge"), "doc_id")
+    keys = F.explode(F.pandas_udf(_finer, "array<long>")("sig"))
+    near = near.select("doc_id", "n_shingles", F.coalesce("apart", F.lit(False)).alias("apart"), F.coalesce("component", "doc_id").alias("own"), keys.alias("band"))
+    near = materialise(near, "finer")
+    size = near.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    # A band can need comparing only if it holds one that is apart and two components.
+    mixed = near.groupBy("band").agg(F.bool_or("apart").alias("any"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("any AND lo <> hi").select("band")
+    near = materialise(near.join(size.join(mixed, "band"), "band"), "finer-shared")
+    few = near.where(F.col("size") <= CHUNK)
+    a = few.select("band", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("own").alias("own_a"), F.col("apart").alias("apart_a"))
+    b = few.where("apart").select(F.col("band").alias("band_b"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("own").alias("own_b"))
+    like = percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
+    pairs = a.join(b, (F.col("band") == F.col("band_b")) & (F.col("own_a") != F.col("own_b")) & (~F.col("apart_a") | (F.col("a") < F.col("b"))) & like)
+    pairs = pairs.select("a", "b").distinct()
+    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    found = _verify(materialise(pairs, "round"), sigs, sets, percent)
+
+    parts = F.ceil(F.col("size") / CHUNK).cast("int")
+    many = near.where(F.col("size") > CHUNK).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).select("band", "i", "j", "doc_id", "n_shingles", "own", "apart", "part")
+    many = many.join(sigs.hint("merge"), "doc_id").join(sets.hint("merge"), "doc_id")
+
+    def links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_signed_blocks(int(key[0]), (int(key[1]), int(key[2])), group, percent), columns=["a", "b"]).astype("int64")
+
+    return found.unionByName(many.groupBy("band", "i", "j").applyInPandas(links, "a long, b long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over ``edges`` (a, b)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -218,7 +294,7 @@ def _bitmap(ids: DataFrame) -> bytes:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id and kept; ``rounds`` is 1 or more."""
     signed = materialise(docs.select("doc_id", "text").mapInPandas(_sign, SIGNED), "signatures")
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     # Equal sets are one class with one representative.
@@ -226,11 +302,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     # Joins of tables that grow with the input are merges at every size.
     classes = classes.hint("merge")
     reps = known.join(classes, (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id"])
-    spread = reps.select("doc_id", F.explode("bands").alias("band"))
+    spread = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = materialise(spread.join(shared.hint("merge"), "band"), "buckets")
     weight = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    members = materialise(members.join(weight.hint("merge"), "doc_id").select("band", "doc_id", "weight"), "members")
+    members = materialise(members.join(weight.hint("merge"), "doc_id").select("band", "doc_id", "n_shingles", "weight"), "members")
     needed = members.select("doc_id").distinct()
     sigs = materialise(reps.select("doc_id", "sig").join(needed.hint("merge"), "doc_id", "left_semi"), "shared-signatures")
 
@@ -248,28 +324,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
     # The bitmap lets each needed document pass, and few others, before texts are hashed again.
     some = docs.where("doc_id IS NOT NULL").select("doc_id", "text", _bit().alias("bit"))
     sets = materialise(some.mapInPandas(hashes, "doc_id long, hashes binary"), "sets")
-    links, labels, tried = None, None, None
-    left = members
-    for _ in range(rounds):
-        leaders = left.groupBy("band").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("b"))
-        pairs = members if labels is None else members.join(labels.withColumnsRenamed({"id": "i", "component": "own"}), F.col("doc_id") == F.col("i"), "left").withColumn("own", F.coalesce("own", "doc_id"))
-        pairs = pairs.join(leaders, "band").where(F.col("doc_id") != F.col("b"))
+    leader = F.max_by(F.struct("doc_id", "n_shingles"), F.struct("weight", -F.col("doc_id")))
+    heads = materialise(members.groupBy("band").agg(leader.alias("l")).select("band", F.col("l.doc_id").alias("b"), F.col("l.n_shingles").alias("n_b")), "heads")
+    links, labels, tried, left, leaders = None, None, None, members, heads
+    for k in range(rounds):
+        if k:
+            leaders = left.groupBy("band").agg(leader.alias("l")).select("band", F.col("l.doc_id").alias("b"), F.col("l.n_shingles").alias("n_b"))
+        like = percent * F.greatest("n_shingles", "n_b") <= 100 * F.least("n_shingles", "n_b")
+        pairs = members.join(leaders, "band").where((F.col("doc_id") != F.col("b")) & like).select(F.col("doc_id").alias("a"), "b").distinct()
         if labels is not None:
-            heads = labels.select(F.col("id").alias("h"), F.col("component").alias("theirs"))
-            pairs = pairs.join(heads, F.col("b") == F.col("h"), "left").where(F.col("own") != F.coalesce("theirs", "b"))
-        pairs = pairs.select(F.col("doc_id").alias("a"), "b").distinct()
-        if tried is not None:
+            own, theirs = (labels.select(F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("i", "own"), ("j", "theirs")))
+            pairs = pairs.join(own, F.col("a") == F.col("i"), "left").join(theirs, F.col("b") == F.col("j"), "left")
+            pairs = pairs.where(F.coalesce("own", "a") != F.coalesce("theirs", "b")).select("a", "b")
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "round")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialise(_verify(pairs, sigs, sets, percent), "found")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        # What neither leads nor is connected with its leaders leads the next round.
+        # What is not connected with its bucket's head, and has not led, is left.
         at = labels.select(F.col("id").alias("i"), F.col("component").alias("c"))
-        heads = leaders.join(at, F.col("b") == F.col("i"), "left").select("band", F.coalesce("c", "b").alias("led"))
-        left = left.join(at, F.col("doc_id") == F.col("i"), "left").select("band", "doc_id", "weight", F.coalesce("c", "doc_id").alias("own"))
-        left = materialise(left.join(heads, "band").where(F.col("own") != F.col("led")).select("band", "doc_id", "weight"), "left")
+        main = heads.join(at, F.col("b") == F.col("i"), "left").select("band", F.coalesce("c", "b").alias("main"))
+        left = left.join(leaders.select("band", F.col("b").alias("doc_id")), ["band", "doc_id"], "left_anti")
+        left = left.join(at, F.col("doc_id") == F.col("i"), "left").select("band", "doc_id", "n_shingles", "weight", F.coalesce("c", "doc_id").alias("own"))
+        left = materialise(left.join(main, "band").where(F.col("own") != F.col("main")).select("band", "doc_id", "n_shingles", "weight"), "left")
+    closing = materialise(_close(members, left, labels, sigs, sets, tried, percent), "found")
+    labels = components(links.unionByName(closing))
     final = classes.join(labels, F.col("rep") == F.col("id"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"))
     out = signed.join(final.hint("merge"), F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
