@@ -1,0 +1,244 @@
+"""The ten operators on odd inputs: nulls, empty and long texts, ties, repeats, empty
+tables, clashing column names; and against brute force, round trips and held-out labels."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from conftest import DATA, assert_same
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, page_template, quality, queries, syncmers, token_store, toxicity
+from rosterspark.llm.common import table
+
+BYTE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+WORD = public_tokenizers.path("word_bpe_49k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, band long, hash string, part int"
+
+
+def rows(*texts):
+    return [(i if i else None, t, None, f"s{i}", len(t or ""), i, "x", 1) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve"
+    texts = ["of no id", None, "", " \n\t ", base, base, base + " thirteen", "word", "né ß 漢字 👍 <|im_end|>", "long " * 30_000 + base]
+    return spark.createDataFrame([*rows(*texts), rows(*texts)[4]], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(4, 1, 0), (5, 0, 1), (None, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def runs(spark, docs, labels):
+    """Each operator's result for (name, docs)."""
+    items = spark.createDataFrame([(1, "three four five six seven eight nine ten eleven twelve"), (2, None), (3, "")], "item_id long, text string")
+    yield "quality", quality.score_documents(docs, quality.train(docs, labels))
+    yield "toxicity", toxicity.score_documents(docs, toxicity.train(docs, labels))
+    yield "near", near_dedup.near_duplicates(docs)
+    yield "decontaminate", decontaminate.report(docs, items)
+    yield "lines", line_dedup.remove_spread_lines(docs)
+    yield "syncmers", syncmers.edited_fingerprints(docs)
+    yield "tokens", token_store.store_and_read(docs, WORD)
+
+
+def test_odd_rows(spark, odd, labels):
+    n = odd.count()
+    for name, out in runs(spark, odd, labels):
+        assert out.count() == n, name
+    pieces = packing.pack(odd, *BYTE).collect()
+    assert sum(r["length"] for r in pieces) == sum(r["doc_tokens"] for r in pieces if r["start"] == 0)
+
+
+def test_empty_tables(spark, odd, labels):
+    for name, out in runs(spark, odd.limit(0), labels.limit(0)):
+        assert out.count() == 0, name
+    assert packing.pack(odd.limit(0), *BYTE).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert page_template.extract(pages).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_format.digests(chat_format.format_turns(turns)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_agrees_with_sql(spark, duck, name):
+    assert_same(queries.queries()[name](spark, DATA), duck, queries.oracle_sql()[name])
+
+
+def held_out_rows(spark, df, label):
+    known = df.join(table(spark, DATA.replace("0.001", "0.1"), "labels"), "doc_id").where(F.col(label).isNotNull() & F.col("held_out"))
+    return [(r["predicted"], r[label]) for r in known.select("predicted", label).collect()]
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op1_quality", "quality", 0.98), ("op3_toxicity", "toxic", 0.96)])
+def test_held_out_accuracy(spark, name, label, least):
+    found = held_out_rows(spark, queries.queries()[name](spark, DATA.replace("0.001", "0.1")), label)
+    assert sum(p == y for p, y in found) / len(found) >= least
+
+
+def words(text):
+    return re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(3)
+    texts = {}
+    for family in range(6):
+        base = [rng.choice("abcdefghijklmnop") + str(rng.randrange(500)) for _ in range(150)]
+        for k in range(25):
+            own = list(base)
+            for _ in range(rng.randrange(5)):
+                own[rng.randrange(150)] = "edit" + str(rng.randrange(1000))
+            texts[family * 100 + k] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if root[a] < root[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    root[b] = root[a]
+                    changed = True
+    for rounds in (1, 2):
+        out = near_dedup.near_duplicates(docs, percent=85, rounds=rounds).collect()
+        assert {r["doc_id"]: r["component_id"] for r in out} == root
+    assert near_dedup.keep_one(docs, 85).count() == len(set(root.values()))
+
+
+def test_blocks_find_every_link():
+    import pandas as pd
+
+    texts = [" ".join(f"w{j if j != 7 * i else 900 + i}" for j in range(200)) for i in range(12)]
+    sets = [near_dedup.shingle_set(t) for t in texts]
+    sigs = [x.astype(np.uint8).tobytes() for x in near_dedup.signatures(sets)]
+    group = pd.DataFrame({"doc_id": range(12), "own": range(12), "apart": True, "part": [i % 2 for i in range(12)], "n_shingles": [len(s) for s in sets], "sig": sigs, "hashes": [s.tobytes() for s in sets]})
+    keys = np.array(near_dedup._finer(group["sig"]).tolist())
+    found = {tuple(sorted(map(int, p))) for k in np.unique(keys) for block in ((0, 0), (0, 1), (1, 1)) for p in near_dedup._signed_blocks(int(k), block, group, 85)}
+    wanted = {(a, b) for a in range(12) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert found == {tuple(sorted(p)) for p in wanted} and len(found) == 66
+
+
+def test_decontamination_against_brute_force(spark):
+    split = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    norm = lambda t: split.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = [(r["item_id"], r["text"]) for r in table(spark, DATA, "benchmark").collect()] + [(900, "Short item"), (901, "ß"), (902, "a a a a a a a a a a a")]
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, DATA, "documents").collect()] + [(10_000, "a " * 40 + "the SHORT item"), (10_001, items[0][1]), (10_002, None)]
+    found = {}
+    for i, text in docs:
+        w, hit, met = norm(text), set(), set()
+        for k, item in items:
+            own = norm(item)
+            n = min(10, len(own))
+            runs_of = {tuple(own[j : j + n]) for j in range(len(own) - n + 1)} if n else ()
+            for j in range(len(w) - n + 1) if n else ():
+                if tuple(w[j : j + n]) in runs_of:
+                    hit.update(range(j, j + n))
+                    met.add(k)
+        found[i] = (len(w), len(hit), len(met), hashlib.sha256(",".join(sorted(map(str, met))).encode()).hexdigest(), bool(hit))
+    out = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out.collect()} == found
+
+
+def library_ids(path, texts, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return [[*e.ids, end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_token_store_round_trip(spark, odd):
+    docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
+    at, wanted = 0, []
+    for (i, _), ids in zip(texts, library_ids(WORD, [t for _, t in texts], 2), strict=True):
+        wanted.append((i, at, len(ids), crc(ids)))
+        at += len(ids)
+    assert sorted(tuple(r) for r in token_store.store_and_read(docs, WORD).collect()) == wanted
+    ids = np.random.default_rng(0).integers(0, 50, 20_000)
+    rules, symbols = token_store.build_grammar(ids)
+    assert len(rules) and len(symbols) < len(ids) and (token_store.expand(symbols, rules) == ids).all()
+    block = token_store._block(0, 0, [1], [ids.astype(np.uint16)])
+    assert (token_store.decode_range(block, 777, 1234) == ids[777:1234]).all()
+
+
+def test_packing_round_trip(spark):
+    docs = table(spark, DATA, "documents").select("doc_id", "text")
+    texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    ids = dict(zip([i for i, _ in texts], library_ids(BYTE[0], [t for _, t in texts], 1), strict=True))
+    pieces = packing.pack(docs, *BYTE).collect()
+    covered, filled = {}, {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        own = ids[p["doc_id"]]
+        assert p["ids_crc32"] == crc(own[p["start"] : p["start"] + p["length"]]) and p["doc_tokens"] == len(own)
+        assert p["offset"] == filled.get(p["sequence_id"], 0)
+        filled[p["sequence_id"]] = p["offset"] + p["length"]
+        covered.setdefault(p["doc_id"], []).append((p["start"], p["length"]))
+    assert max(filled.values()) <= 2048
+    for i, own in ids.items():
+        at = 0
+        for start, length in sorted(covered[i]):
+            assert start == at
+            at += length
+        assert at == len(own)
+
+
+def test_pages(spark):
+    page = "<html><head><title>t</title></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>x  y<br>z<p>{}</article><div id=comments>c</div><footer>f</footer></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(f"own {i}")) for i in range(6)] + [(9, None, None)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in page_template.extract(pages).collect()}
+    assert found[9] == "" and all(found[i].endswith(f"own {i}") for i in range(6))
+    assert page_template.main_text(page.format("own")) == "A & B\nx y z\nown"
+
+
+def test_syncmers(spark):
+    text = F.lit(" ".join(f"w{i}" for i in range(300)))
+    a, b = syncmers.anchors(text), syncmers.anchors(F.concat(F.lit("new words first "), text))
+    found = spark.range(1).select(F.size(a).alias("n"), syncmers.matching_positions(a, b).alias("m")).collect()[0]
+    assert found["n"] and len(found["m"]) == found["n"] and all(x["b"] == x["a"] + 3 for x in found["m"])
+
+
+def test_chat_layouts_and_escapes(spark):
+    texts = ["<|im_end|>", "<\\|", "a<\\\\|b\n", "", "\\n"]
+    turns = spark.createDataFrame([(1, i, "assistant\n<|x|>" if i else "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = chat_format.format_turns(turns).select(chat_format.read_formatted(F.col("formatted")).alias("r")).collect()[0]["r"]
+    assert [x["text"] for x in got] == texts and got[1]["role"] == "assistant\n<|x|>"
+    records = ['{"prompt": "p", "response": "r"}', '{"messages": [{"role": "human", "content": "q"}, {"role": "gpt", "content": "a"}]}', '{"other": 1}', "broken", None]
+    df = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    out = {r["conv_id"]: r for r in chat_format.turns_from_json(df).collect()}
+    assert [x["text"] for x in out[0]["turns"]] == ["p", "r"] and [x["role"] for x in out[1]["turns"]] == ["user", "assistant"]
+    assert all(out[i]["layout"] is None for i in (2, 3, 4))
+
+
+def test_restoring_disguised_words(spark):
+    docs = spark.createDataFrame([("you are an idiot and a stupid idiot " * 50,)], "text string")
+    r = toxicity.Restorer(toxicity.character_model(docs))
+    assert r.decode("1d10t") == "idiot" and r.decode("stuuuupid") == "stupid" and "idiot" in r.restore("i d i o t")
+
+
+def test_pipeline(spark):
+    docs = table(spark, DATA, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+        docs = out
+    packed = corpus_pipeline.run(spark, DATA)
+    assert packed.select("doc_id").distinct().count() == docs.count()
