@@ -87,7 +87,7 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     if layout.name == "rows":
         return df.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     if layout.items:
-        turns = F.transform(F.col(layout.items), lambda x, i: _turn(i, x[layout.role], x[layout.text]))
+        turns = _listed(F.col(layout.items), layout)
     else:
         turns = F.array(*[_turn(F.lit(i), F.lit(r), F.col(f)) for i, (r, f) in enumerate(layout.fields)])
         turns = F.filter(turns, lambda t: t["text"].isNotNull() & ((t["text"] != "") | (t["role"] != "user")))
@@ -100,6 +100,11 @@ def _turn(i: Column, role: Column, text: Column) -> Column:
     return F.struct(i.cast("long").alias("turn"), name.alias("role"), text.cast("string").alias("text"))
 
 
+def _listed(items: Column, layout: Layout) -> Column:
+    """The turns of a list of messages."""
+    return F.transform(items, lambda m, i: _turn(i, m[layout.role], m[layout.text]))
+
+
 def _shape(paths: tuple[str, ...]) -> str:
     """How the schema of a JSON value with these paths prints, without its types."""
     top: dict[str, list[str]] = {}
@@ -120,7 +125,7 @@ def turns_from_json(df: DataFrame, record: str = "record", conv_id: str = "conv_
         is_it = F.col("fp") == hashlib.sha256(_shape(x.paths).encode()).hexdigest()
         if x.items:
             items = F.variant_get("v", f"$.{x.items}", f"array<struct<`{x.role}`:string,`{x.text}`:string>>")
-            got = F.transform(items, lambda m, i, x=x: _turn(i, m[x.role], m[x.text]))
+            got = _listed(items, x)
         else:
             got = F.array(*[_turn(F.lit(i), F.lit(r), F.variant_get("v", f"$.{f}", "string")) for i, (r, f) in enumerate(x.fields)])
             got = F.filter(got, lambda t: t["text"].isNotNull() & ((t["text"] != "") | (t["role"] != "user")))
