@@ -12,12 +12,12 @@ is still apart from the head leads: of two members of different components one i
 apart, so every pair is compared or connected already. As a bucket may hold many
 documents that share a passage and little else, these leaders meet those members
 with whom they share one of ``KEYS`` finer keys, each of ``KEY_ROWS`` coordinates; of
-a key with more than ``CHUNK`` members, chunk by chunk within a task, where links
+a key with more than ``FEW`` members, block by block within a task, where links
 alone come out. Signatures and sizes rule out pairs far from the threshold; every
 link is confirmed on the full sets. Links become components by spreading the
 smallest id.
 
-A bucket of m members makes at most m pairs a round, a finer key at most ``CHUNK``
+A bucket of m members makes at most m pairs a round, a finer key at most ``FEW``
 pairs a member, and texts, sets and pairs are dealt out by document or by bounded
 chunk, so that no group of copies meets in one task.
 
@@ -50,6 +50,9 @@ PERCENT = 80
 #: five standard errors of 125 coordinates.
 MARGIN = 0.17
 CHUNK = 64
+#: Members up to which a finer key makes pairs; with more, members of it that a task
+#: compares with as many others at once.
+FEW, BLOCK = 8, 256
 #: Bits of the filter that spares texts without a partner: a fixed size for any input.
 BITS = 1 << 24
 
@@ -228,6 +231,12 @@ def _signed_blocks(band: int, block: tuple[int, int], group: pd.DataFrame, perce
     return found
 
 
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs that were compared in neither order."""
+    both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti")
+
+
 def _close(members: DataFrame, left: DataFrame, labels: DataFrame, sigs: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """The links of what is apart from its heads with members of other components."""
     apart = left.select("doc_id").distinct().withColumn("apart", F.lit(True))
@@ -240,20 +249,21 @@ def _close(members: DataFrame, left: DataFrame, labels: DataFrame, sigs: DataFra
     # A band can need comparing only if it holds one that is apart and two components.
     mixed = near.groupBy("band").agg(F.bool_or("apart").alias("any"), F.min("own").alias("lo"), F.max("own").alias("hi")).where("any AND lo <> hi").select("band")
     near = materialise(near.join(size.join(mixed, "band"), "band"), "finer-shared")
-    few = near.where(F.col("size") <= CHUNK)
+    few = near.where(F.col("size") <= FEW)
     a = few.select("band", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("own").alias("own_a"), F.col("apart").alias("apart_a"))
     b = few.where("apart").select(F.col("band").alias("band_b"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("own").alias("own_b"))
     like = percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")
     pairs = a.join(b, (F.col("band") == F.col("band_b")) & (F.col("own_a") != F.col("own_b")) & (~F.col("apart_a") | (F.col("a") < F.col("b"))) & like)
     pairs = pairs.select("a", "b").distinct()
-    pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    pairs = _untried(pairs, tried)
     found = _verify(materialise(pairs, "round"), sigs, sets, percent)
 
-    parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    many = near.where(F.col("size") > CHUNK).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    # Signatures and sets are met once a row, before rows are repeated for their blocks.
+    many = near.where(F.col("size") > FEW).join(sigs.hint("merge"), "doc_id").join(sets.hint("merge"), "doc_id")
+    many = many.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+    many = many.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).select("band", "i", "j", "doc_id", "n_shingles", "own", "apart", "part")
-    many = many.join(sigs.hint("merge"), "doc_id").join(sets.hint("merge"), "doc_id")
+    many = many.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).select("band", "i", "j", "doc_id", "n_shingles", "own", "apart", "part", "sig", "hashes")
 
     def links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_signed_blocks(int(key[0]), (int(key[1]), int(key[2])), group, percent), columns=["a", "b"]).astype("int64")
@@ -336,7 +346,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = ROUND
             own, theirs = (labels.select(F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("i", "own"), ("j", "theirs")))
             pairs = pairs.join(own, F.col("a") == F.col("i"), "left").join(theirs, F.col("b") == F.col("j"), "left")
             pairs = pairs.where(F.coalesce("own", "a") != F.coalesce("theirs", "b")).select("a", "b")
-            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+            pairs = _untried(pairs, tried)
         pairs = materialise(pairs, "round")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = materialise(_verify(pairs, sigs, sets, percent), "found")
