@@ -11,7 +11,8 @@ member of what is not yet connected with the head. After ``ROUNDS`` rounds whate
 is still apart from the head leads: of two members of different components one is
 apart, so every pair is compared or connected already. As a bucket may hold many
 documents that share a passage and little else, these leaders meet those members
-with whom they share one of ``KEYS`` finer keys, each of ``KEY_ROWS`` coordinates; of
+with whom they share one of ``KEYS`` finer keys, each of as many coordinates as the
+threshold allows (``key_rows``); of
 a key with more than ``FEW`` members, block by block within a task, where links
 alone come out. Signatures and sizes rule out pairs far from the threshold; every
 link is confirmed on the full sets. Links become components by spreading the
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -41,9 +43,8 @@ from rosterspark.llm.common import materialise
 
 #: ROUNDS: with one leader a bucket; in a last one all that is not connected leads.
 SHINGLE, COORDINATES, ROWS, ROUNDS = 5, 125, 5, 2
-#: Keys of the last round, and the coordinates in each. Of pairs at 0.85 that share
-#: a bucket, a ten-thousandth share none of these.
-KEYS, KEY_ROWS = 64, 10
+#: Keys of the last round, and the share of pairs at the threshold that may share none.
+KEYS, MISS = 64, 1e-4
 #: Similarity in hundredths from which on documents are linked.
 PERCENT = 80
 #: Pairs whose signatures agree less than this far below the threshold are dropped:
@@ -63,7 +64,22 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
-_CHOSEN = np.array([_rng.choice(COORDINATES, KEY_ROWS, replace=False) for _ in range(KEYS)])
+_ORDERED = np.array([_rng.permutation(COORDINATES) for _ in range(KEYS)])
+
+
+def missed(percent: int, rows: int) -> float:
+    """The share of pairs at ``percent`` that share none of ``KEYS`` keys of ``rows`` coordinates,
+    over how many coordinates of their signatures agree."""
+    p, n = percent / 100, COORDINATES
+    return sum(comb(n, a) * p**a * (1 - p) ** (n - a) * (1 - comb(a, rows) / comb(n, rows)) ** KEYS for a in range(n + 1))
+
+
+def key_rows(percent: int) -> int:
+    """The most coordinates in a finer key with which at most ``MISS`` of the pairs at ``percent`` are missed."""
+    return max((r for r in range(1, 17) if missed(percent, r) <= MISS), default=1)
+
+
+KEY_ROWS = key_rows(PERCENT)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -173,12 +189,12 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(((x == y).mean(1) - 1 / 256) * 256 / 255)
 
 
-def _finer(sig: pd.Series) -> pd.Series:
+def _finer(sig: pd.Series, rows: int = KEY_ROWS) -> pd.Series:
     """The finer keys of signatures."""
     x = np.frombuffer(b"".join(sig), np.uint8).reshape(len(sig), -1)
     key = np.broadcast_to(np.arange(KEYS, dtype=np.uint64), (len(x), KEYS))
-    for r in range(KEY_ROWS):
-        key = _mix(key * np.uint64(0x100000001B3) + x[:, _CHOSEN[:, r]])
+    for r in range(rows):
+        key = _mix(key * np.uint64(0x100000001B3) + x[:, _ORDERED[:, r]])
     return pd.Series(list(key.view(np.int64)))
 
 
@@ -208,13 +224,13 @@ def _verify(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) ->
     return rows.groupBy("b", "chunk").applyInPandas(confirm, "a long, b long")
 
 
-def _signed_blocks(band: int, block: tuple[int, int], group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+def _signed_blocks(band: int, block: tuple[int, int], group: pd.DataFrame, percent: int, rows: int = KEY_ROWS) -> list[tuple[int, int]]:
     """Links between two chunks of a finer key, or within one; each pair is looked at
     under the first key that it shares."""
     sigs = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
     ids, own, apart, part, n = (group[c].to_numpy() for c in ("doc_id", "own", "apart", "part", "n_shingles"))
     sets = [np.frombuffer(h, np.uint64) for h in group["hashes"]]
-    keys = np.array(_finer(group["sig"]).tolist())
+    keys = np.array(_finer(group["sig"], rows).tolist())
     least = percent / 100 - MARGIN
     found = []
     for x in np.flatnonzero(part == block[0]):
@@ -242,7 +258,13 @@ def _close(members: DataFrame, left: DataFrame, labels: DataFrame, sigs: DataFra
     apart = left.select("doc_id").distinct().withColumn("apart", F.lit(True))
     near = members.join(left.select("band").distinct(), "band", "left_semi").select("doc_id", "n_shingles").distinct()
     near = near.join(apart, "doc_id", "left").join(labels, F.col("doc_id") == F.col("id"), "left").join(sigs.hint("merge"), "doc_id")
-    keys = F.explode(F.pandas_udf(_finer, "array<long>")("sig"))
+    rows = key_rows(percent)
+
+    @F.pandas_udf("array<long>")
+    def finer(sig: pd.Series) -> pd.Series:
+        return _finer(sig, rows)
+
+    keys = F.explode(finer("sig"))
     near = near.select("doc_id", "n_shingles", F.coalesce("apart", F.lit(False)).alias("apart"), F.coalesce("component", "doc_id").alias("own"), keys.alias("band"))
     near = materialise(near, "finer")
     size = near.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
@@ -266,7 +288,7 @@ def _close(members: DataFrame, left: DataFrame, labels: DataFrame, sigs: DataFra
     many = many.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).select("band", "i", "j", "doc_id", "n_shingles", "own", "apart", "part", "sig", "hashes")
 
     def links(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_signed_blocks(int(key[0]), (int(key[1]), int(key[2])), group, percent), columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(_signed_blocks(int(key[0]), (int(key[1]), int(key[2])), group, percent, rows), columns=["a", "b"]).astype("int64")
 
     return found.unionByName(many.groupBy("band", "i", "j").applyInPandas(links, "a long, b long"))
 

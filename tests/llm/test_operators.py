@@ -132,6 +132,43 @@ def test_blocks_find_every_link():
     assert found == {tuple(sorted(p)) for p in wanted} and len(found) == 66
 
 
+def test_finer_keys_hold_at_the_threshold():
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 256, (20_000, near_dedup.COORDINATES), dtype=np.uint8)
+    b = np.where(rng.random(a.shape) < near_dedup.PERCENT / 100, a, a + np.uint8(1))
+    x, y = (np.array(near_dedup._finer(pd.Series([r.tobytes() for r in s])).tolist()) for s in (a, b))
+    # Two in 20,000 are a ten-thousandth; keys of ten coordinates miss about 230.
+    assert (~(x == y).any(1)).sum() <= 4
+
+
+def test_near_duplicates_at_80_with_a_hot_passage(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghijklmnop") + str(rng.randrange(5000))
+    hot = [word() for _ in range(80)]
+    texts = {}
+    for family in range(20):
+        base = hot + [word() for _ in range(60)]
+        for k in range(4):
+            own = list(base)
+            for _ in range(k):
+                own[80 + rng.randrange(60)] = word()
+            texts[family * 10 + k] = " ".join(own)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if root[a] < root[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[b] = root[a]
+                    changed = True
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == root and len(set(root.values())) >= 20
+
+
 def test_decontamination_against_brute_force(spark):
     split = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     norm = lambda t: split.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
