@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers.
 
-A text is a sequence of words; of characters, where it has under ``SHORT`` of them
-or holds Han, Kana or Hangul letters, which no spaces part. Of every ``K`` consecutive units the ``S``-unit
+A text is a sequence of words, of whatever length; each Han, Kana or Hangul letter,
+which no spaces part, is a unit of its own. Of every ``K`` consecutive units the ``S``-unit
 runs inside are hashed; the k-mer is chosen if its smallest inner run stands at
 either edge. The choice depends on the k-mer alone, so an edit moves no anchor
 beyond its reach. ``anchors`` gives the chosen k-mers with their positions for
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rosterspark.llm.common import let, shuffle_partitions
 
-K, S, SKETCH, SHORT = 5, 2, 64, 200
+K, S, SKETCH = 5, 2, 64
 #: Ranges of ids for each shuffle partition, so that they even out.
 RANGES, CHUNK = 4, 64
 UNSPACED = r"[぀-ヿ㐀-鿿가-힯]"
@@ -33,9 +33,9 @@ UNSPACED = r"[぀-ヿ㐀-鿿가-힯]"
 
 def units(text: Column) -> Column:
     """A hash of each unit of a text."""
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    parts = F.when((F.char_length(text) < SHORT) | text.rlike(UNSPACED), F.array_remove(F.split(text, ""), " ")).otherwise(words)
-    return F.transform(parts, lambda w: F.xxhash64(w))
+    parted = F.regexp_replace(text, UNSPACED, " $0 ")
+    words = F.array_remove(F.split(parted, r"[\x20\x09-\x0D]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:

@@ -253,6 +253,17 @@ def test_syncmers(spark):
     assert found["n"] and len(found["m"]) == found["n"] and all(x["b"] == x["a"] + 3 for x in found["m"])
 
 
+def test_syncmers_of_likely_texts_of_any_kind(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    short = " ".join(f"word{i:03}" for i in range(26))  # 207 characters
+    pairs = [(long, long + " \u6f22"), (short, short[:-16]), (long, "\u6f22\u5b57 " + long)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    found = df.select(syncmers.likeness(syncmers.sketch(F.col("a")), syncmers.sketch(F.col("b"))).alias("x")).collect()
+    assert all(r["x"] > 0.5 for r in found)
+    units = df.select(F.size(syncmers.units(F.lit("ab \u6f22\u5b57cd \ud55c"))).alias("n")).collect()[0]["n"]
+    assert units == 5
+
+
 def test_chat_layouts_and_escapes(spark):
     texts = ["<|im_end|>", "<\\|", "a<\\\\|b\n", "", "\\n"]
     turns = spark.createDataFrame([(1, i, "assistant\n<|x|>" if i else "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
