@@ -1,202 +1,327 @@
 """Main text of web pages by equivalence classes of tokens.
 
-A page is a stream of tokens: its tags, each with the path of elements above it,
-and its texts. Tokens of one host that occur equally often on each of its pages
-share an occurrence vector and form an equivalence class. Vectors are compared by
-a sum of hashes of (page, count), which partial aggregation adds up, so a host may
-hold any number of pages. A class is valid if it is large enough, occurs on enough
-of the host's pages, and its tokens come in one order; valid classes nest by the
-spans of their tokens, and together they are the host's template. The slots are
-what remains between template tokens: of these, the texts whose elements, or the
-template elements about them, say that they are menus, notices or the like are
-left out, as are texts that are template tokens themselves; the rest is the page's
-main text, block by block.
+A page is a stream of tokens: its tags, each with the elements above it and its
+own class and id, and its texts. Tokens of one host that occur equally often on
+each of its pages share an occurrence vector and form an equivalence class.
+Vectors are compared by sums of hashes of (page, count), which add up in any
+order, so a host may hold any number of pages. Classes of ``MIN_CLASS`` tokens or
+more that occur on at least ``SUPPORT`` of the pages are the host's candidates.
+
+On each page a class is valid if its tokens come in one order, over and over, and
+if it nests: a class that begins inside another ends before that one goes on; of
+two that cross, the larger stays. Valid classes nested in each other are the
+template, and what stands between two neighbouring tokens of a class is a slot,
+named by the class and the place within it. Texts in slots are what the template
+leaves over; texts that are themselves tokens of a class are fixed.
+
+Which slots are the article is decided for the host as a whole, from all pages:
+the slot with most characters that are neither links nor fixed is; so is any other
+whose characters are not mostly links or fixed and whose texts vary as much from
+page to page. Names of elements speak where they are clear (a form, a comment
+list), and those that may also stand in an article (``WEAK``) only over a whole
+slot. Kept texts follow each other block by block.
 
 Cases: null or empty html gives an empty text; a page without a host, or of a
-host with fewer than ``MIN_PAGES`` pages, has no template and is read by its
-elements alone; tags that are never closed end with what holds them; repeated rows
-count as pages of their own; an empty table gives an empty table; other columns
-are not read.
+host with fewer than ``MIN_PAGES`` pages, has no template and is read by names
+alone; tags that are never closed end with what holds them; repeated rows each
+give a row, and their texts are counted once for how much a slot varies; of equal
+slots the one with the smallest id is the main one; an empty table gives an empty
+table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterspark.llm.common import materialise
 
 #: Pages from which on a host has a template, the share of them a token must occur
-#: on, and tokens from which on a class is valid.
-MIN_PAGES, SUPPORT, MIN_CLASS = 4, 0.5, 3
+#: on, and tokens from which on a class is one.
+MIN_PAGES, SUPPORT, MIN_CLASS = 4, 0.3, 3
+#: Share of a slot's characters from which on links, fixed texts or names decide, and
+#: how much less than the main slot's texts those of another slot may vary.
+MOSTLY, VARIES = 0.5, 0.5
+#: Parts that a host's rows are dealt to where they meet its other rows.
+SALTS = 16
 
 # Elements by how their texts are used.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-SKIPPED = ("nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "menu", "dialog", "head", "figcaption", "object", "canvas", "audio", "video")
-BLOCKS = ("address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul")
+RAW = frozenset(("script", "style", "noscript", "template", "iframe", "svg", "textarea", "title"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+SKIPPED = frozenset(("nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "audio", "video"))
+BLOCKS = frozenset(("address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr", "html", "legend", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
 CLOSED_BY_NEXT = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|consent|cookies?|copyright|disqus|footer|gdpr|header|login|masthead|menu|meta|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|recommend\w*|related|repl(?:y|ies)|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|tags?|teaser|toc|toolbar|tracking|widget)(?:$|[\s_-])",
+WHOLE = frozenset(("html", "body", "main", "article"))
+STRONG = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|breadcrumbs?|comments?|consent|cookies?|copyright|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|pager|pagination|popup|promo|recommend(?:ed|ations)|related|repl(?:y|ies)|respond|sidebar|signup|sponsor(?:ed|s)?|subscribe|widget)(?:$|[\s_-])",
     re.I,
 )
-ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu")
+WEAK = re.compile(r"(?:^|[\s_-])(?:banner|byline|header|meta|notice|share|sharing|social|tags?|teaser|toc|toolbar|tracking)(?:$|[\s_-])", re.I)
+ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _BLANKS = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
+LINK, OUT, DOUBTED, ARTICLE = 1, 2, 4, 8
+MASK = (1 << 64) - 1
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _left_out(tag: str, attributes: str) -> bool:
-    if tag in SKIPPED:
-        return True
-    if not attributes:
-        return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), entities.unescape(a or b or c)
-        if (name in ("class", "id") and BOILERPLATE.search(value)) or (name == "role" and value.lower() in ROLES):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-    return False
+_TAGS: dict[tuple[str, str], tuple[int, int]] = {}
 
 
-def tokens_of(html: str | None) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(kind, key, text, left out, begins or ends a block) of each token of a page;
-    ``key`` is the tag with its path, or the text with blanks folded."""
+def _tag(tag: str, attributes: str) -> tuple[int, int]:
+    """The hash of a tag with its class and id, without digits, and its flags."""
+    if (known := _TAGS.get((tag, attributes))) is not None:
+        return known
+    name, flags = tag, OUT if tag in SKIPPED else LINK if tag == "a" else ARTICLE if tag in ("article", "main") else 0
+    for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
+        key, value = key.lower(), entities.unescape(a or b or c)
+        if key in ("class", "id"):
+            name += f" {key}={_DIGITS.sub('', value)}"
+            if tag not in WHOLE:
+                flags |= OUT if STRONG.search(value) else DOUBTED if WEAK.search(value) else 0
+        elif key == "role" and value.lower() in ROLES and tag not in WHOLE:
+            flags |= OUT
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+            flags |= OUT
+    if len(_TAGS) > 50_000:
+        _TAGS.clear()
+    found = _TAGS[tag, attributes] = _hash(name), flags
+    return found
+
+
+def tokens_of(html: str | None) -> Iterator[tuple[int, str | None, int, bool]]:
+    """(token, text, flags, begins or ends a block) of each token of a page; token is 0
+    for blanks, text is None for tags that say nothing. Linear in the length of the page."""
     source = html or ""
-    stack: list[tuple[str, bool]] = []
+    # Open elements: tag, hash of the path, flags, and where the paragraph that a block would end is open.
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, -1)]
+    open_tags: defaultdict[str, int] = defaultdict(int)
+
+    def close_to(depth: int) -> None:
+        while len(stack) > depth:
+            open_tags[stack.pop()[0]] -= 1
+
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.match(source, at)
         at = m.end()
-        piece = m[0]
-        tag = (m[2] or "").lower()
+        piece, tag = m[0], m[2]
         if not tag:
             if piece[0] != "<" or piece == "<":
-                yield "text", f"text {' '.join(piece.split())}", piece, bool(stack) and stack[-1][1], False
+                said = " ".join(piece.split())
+                yield (_hash(f"text {said}") if said else 0), piece, stack[-1][2], False
             continue
+        tag = tag.lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
-                inside = stack[-1][1]
-                while stack.pop()[0] != tag:
-                    pass
-                yield "end", f"</{tag}> {'/'.join(t for t, _ in stack)}", "", inside, tag in BLOCKS or tag in SKIPPED
+            if open_tags[tag]:
+                flags = stack[-1][2]
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                own = stack[depth][1]
+                close_to(depth)
+                yield own ^ 0x5555555555555555, None, flags, tag in BLOCKS or tag in SKIPPED
             elif tag in BLOCKS:
-                yield "end", f"</{tag}> ?", "", bool(stack) and stack[-1][1], True
+                yield 0, None, stack[-1][2], True
             continue
+        name, flags = _tag(tag, m[3])
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>?", re.I).search(source, at)
             at = close.end() if close else n
-            yield "raw", f"<{tag}> {'/'.join(t for t, _ in stack)}", "", True, tag != "svg"
+            yield (stack[-1][1] * 31 + name) & MASK, None, OUT, tag != "svg"
             continue
-        if tag in BLOCKS:
-            while stack and stack[-1][0] == "p":
-                stack.pop()
+        if tag in BLOCKS and stack[-1][3] >= 0:
+            close_to(stack[-1][3])
         for closes in CLOSED_BY_NEXT.get(tag, ()):
-            if stack and stack[-1][0] == closes:
-                stack.pop()
-        out = _left_out(tag, m[3])
-        yield "start", f"<{tag}> {'/'.join(t for t, _ in stack)}", " " if tag == "br" else "", out or (bool(stack) and stack[-1][1]), tag in BLOCKS or tag in SKIPPED
+            if stack[-1][0] == closes:
+                close_to(len(stack) - 1)
+        above = stack[-1]
+        if tag == "header" and above[2] & ARTICLE:
+            flags &= ~OUT  # an article's own head
+        path = (above[1] * 0x9E3779B97F4A7C15 + name) & MASK
+        flags |= above[2]
+        yield path, " " if tag == "br" else None, flags, tag in BLOCKS or tag in SKIPPED
         if tag not in VOID and not piece.endswith("/>"):
-            stack.append((tag, out or (bool(stack) and stack[-1][1])))
+            paragraph = len(stack) if tag == "p" else -1 if tag in BLOCKS or tag in SKIPPED else above[3]
+            stack.append((tag, path, flags, paragraph))
+            open_tags[tag] += 1
 
 
-def _hash(text: str) -> int:
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
-    return h - (1 << 64) if h >> 63 else h
+def nested(tokens: list[int], classes: list[list[int]]) -> list[int]:
+    """The slot after each token of a page: 0 outside every class, else a hash of the
+    innermost class that is open and of how many of its tokens have come."""
+    place = {t: (c, j) for c, own in enumerate(classes) for j, t in enumerate(own)}
+    met = [(i, *place[t]) for i, t in enumerate(tokens) if t in place]
+    dropped: set[int] = set()
+    expected: defaultdict[int, int] = defaultdict(int)
+    for _, c, j in met:  # in one order, over and over
+        if expected[c] != j:
+            dropped.add(c)
+        expected[c] = (j + 1) % len(classes[c])
+    dropped |= {c for c, j in expected.items() if j}
+    while True:
+        stack: list[tuple[int, int]] = []
+        slots, done, crossed = [0] * len(tokens), 0, None
+        at = 0
+        for i, c, j in met:
+            if c in dropped:
+                continue
+            if j == 0:
+                after = [*stack, (c, 0)]
+            elif stack[-1][0] == c:
+                after = [*stack[:-1], (c, j)]
+            else:
+                crossed = min((len(classes[x]), -x) for x in (c, stack[-1][0]))
+                break
+            slots[done:i] = [at] * (i - done)
+            done, stack = i, after
+            if j == len(classes[c]) - 1:
+                stack = stack[:-1]
+            at = _hash(f"{classes[stack[-1][0]][0]} {stack[-1][1]}") if stack else 0
+        if crossed is None:
+            slots[done:] = [at] * (len(tokens) - done)
+            return slots
+        dropped.add(-crossed[1])
 
 
-def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The slots of a page in page order, a line for each block."""
-    blocks: list[str] = []
-    held: list[str] = []
+def pieces_of(html: str | None, classes: list[list[int]]) -> list[list[tuple[int, str, int, bool]]]:
+    """The blocks of a page, each a list of (slot, text, flags, fixed) with blanks folded."""
+    page = list(tokens_of(html))
+    slots = nested([t for t, *_ in page], classes) if classes else [0] * len(page)
+    fixed = {t for own in classes for t in own}
+    blocks: list[list[tuple[int, str, int, bool]]] = [[]]
+    for (token, text, flags, edge), slot in zip(page, slots, strict=True):
+        if edge and blocks[-1]:
+            blocks.append([])
+        if text is not None:
+            own = (_signed(slot), flags & (LINK | OUT | DOUBTED), token in fixed and token != 0)
+            last = blocks[-1][-1] if blocks[-1] else None
+            if last and (last[0], last[2], last[3]) == own:
+                blocks[-1][-1] = (own[0], last[1] + text, *own[1:])
+            else:
+                blocks[-1].append((own[0], text, *own[1:]))
+    folded = [[(s, _BLANKS.sub(" ", entities.unescape(x)), f, k) for s, x, f, k in b] for b in blocks]
+    return [b for b in folded if any(x.strip() for _, x, _, _ in b)]
 
-    def flush() -> None:
-        block = _BLANKS.sub(" ", entities.unescape("".join(held))).strip()
-        held.clear()
-        if block:
-            blocks.append(block)
 
-    for kind, key, text, out, edge in tokens_of(html):
-        if edge:
-            flush()
-        if kind == "text":
-            if not out and not (template and _hash(key) in template):
-                held.append(text)
-        elif text and not out:
-            held.append(text)
-    flush()
-    return "\n".join(blocks)
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def host_of(url):
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+def meet(rows: DataFrame, hosts: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row of their host in ``hosts``; a host's rows are
+    dealt to ``SALTS`` parts by ``spread``, so that a large host is no single task."""
+    salted = hosts.withColumnRenamed("host", "_host").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return rows.join(salted, (F.col("host") == F.col("_host")) & (F.col("_part") == F.col("_salt")), how).drop("_host", "_salt", "_part")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT, min_class: int = MIN_CLASS) -> DataFrame:
-    """(host, token, class_id, first, span): the tokens of each host's valid classes, and
-    where a class begins and how far it reaches, as mean places on a page."""
+def host_classes(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT, min_class: int = MIN_CLASS) -> DataFrame:
+    """(host, classes): of each host the token lists of its equivalence classes, each in
+    the order of their mean places, which is their order wherever they have one."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hosts, tokens, marks, places, texts = [], [], [], [], []
+            # Of each host and token: sums of both halves of the marks, pages and first places.
+            held: dict[tuple[str, int], list[int]] = {}
             for host, html in zip(b["host"], b["html"], strict=True):
-                seen: Counter = Counter()
-                first: dict[str, int] = {}
-                for place, (kind, key, *_rest) in enumerate(tokens_of(html)):
-                    if kind != "text" or len(key) > 6:
-                        seen[key] += 1
-                        first.setdefault(key, place)
+                seen: dict[int, list[int]] = {}
+                for place, (token, *_) in enumerate(tokens_of(html)):
+                    if token:
+                        if (own := seen.get(token)) is None:
+                            seen[token] = [1, place]
+                        else:
+                            own[0] += 1
                 page = _hash(html or "")
-                for key, n in seen.items():
-                    hosts.append(host)
-                    tokens.append(_hash(key))
-                    marks.append((page * 0x9E3779B97F4A7C15 + n * 0xC2B2AE3D27D4EB4F) >> 7 & ((1 << 40) - 1))
-                    places.append(first[key])
-                    texts.append(key.startswith("text "))
-            yield pd.DataFrame({"host": hosts, "token": tokens, "mark": marks, "place": places, "is_text": texts})
-
-    met = pages.where("host <> ''").select("host", "html").mapInPandas(count, "host string, token long, mark long, place long, is_text boolean")
-    # A page's copies say nothing new: rows of equal pages are equal.
-    met = met.distinct()
-    # Occurrence vectors, as sums of 40-bit hashes: equal vectors have equal sums.
-    vectors = met.groupBy("host", "token").agg(F.sum("mark").alias("vector"), F.count("*").alias("pages"), F.avg("place").alias("place"), F.max("is_text").alias("is_text"))
-    # The page's root is on each of them.
-    hosts = vectors.groupBy(F.col("host").alias("h")).agg(F.max("pages").alias("all_pages")).where(F.col("all_pages") >= min_pages)
-    vectors = vectors.join(hosts, F.col("host") == F.col("h")).where(F.col("pages") >= support * F.col("all_pages"))
-    vectors = materialise(vectors.select("host", "token", "vector", "place", "is_text"), "vectors")
-    classes = vectors.groupBy("host", "vector").agg(F.count("*").alias("size"), F.countDistinct("place").alias("places"), F.min("place").alias("first"), F.max("place").alias("last"))
-    # A class is ordered if its tokens stand at places of their own.
-    classes = classes.where((F.col("size") >= min_class) & (F.col("places") == F.col("size")))
-    # Classes nest: one that overlaps a larger class without lying inside it is no part of
-    # the template. A host has few classes, however many pages.
-    other = classes.select(F.col("host").alias("o_host"), F.col("size").alias("o_size"), F.col("first").alias("o_first"), F.col("last").alias("o_last"))
-    crosses = ((F.col("first") < F.col("o_first")) & (F.col("o_first") < F.col("last")) & (F.col("last") < F.col("o_last"))) | ((F.col("o_first") < F.col("first")) & (F.col("first") < F.col("o_last")) & (F.col("o_last") < F.col("last")))
-    classes = classes.join(other, (F.col("host") == F.col("o_host")) & (F.col("o_size") > F.col("size")) & crosses, "left_anti")
-    classes = classes.select(F.col("host").alias("c_host"), F.col("vector").alias("c_vector"), "first", (F.col("last") - F.col("first")).alias("span"))
-    found = vectors.join(classes, (F.col("host") == F.col("c_host")) & (F.col("vector") == F.col("c_vector")))
-    return found.select("host", "token", "is_text", F.xxhash64("host", "vector").alias("class_id"), "first", "span")
-
-
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+                for token, (n, place) in seen.items():
+                    mark = (page ^ n * 0xC2B2AE3D27D4EB4F) * 0x9E3779B97F4A7C15 & MASK
+                    own = held.setdefault((host, token), [0, 0, 0, 0])
+                    own[0] += mark >> 33
+                    own[1] += mark & 0x7FFFFFFF
+                    own[2] += 1
+                    own[3] += place
+            rows = [(h, _signed(t), *own) for (h, t), own in held.items()]
+            yield pd.DataFrame(rows, columns=["host", "token", "high", "low", "pages", "place"])
+
+    met = pages.where("host <> ''").select("host", "html").mapInPandas(count, "host string, token long, high long, low long, pages long, place long")
+    # 31 bits a page: the sums of two thousand million pages fit.
+    vectors = met.groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("high", "low", "pages", "place")]).where(F.col("pages") >= min_pages)
+    sizes = pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    vectors = meet(vectors, sizes, F.col("token")).where(F.col("pages") >= support * F.col("n"))
+    # A host has at most 1 / support times as many such tokens as a page of its has on average.
+    classes = vectors.groupBy("host", "high", "low").agg(F.array_sort(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token"))).alias("own"))
+    classes = classes.where(F.size("own") >= min_class).select("host", F.transform("own", lambda x: x["token"]).alias("tokens"))
+    return classes.groupBy("host").agg(F.array_sort(F.collect_list("tokens")).alias("classes"))
+
+
+PIECES = "page_id long, url string, host string, templated boolean, blocks array<array<struct<slot:bigint,text:string,flags:int,fixed:boolean>>>"
+
+
+def page_pieces(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each page's blocks, with the slots that its host's template puts their texts in."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known = [[[int(t) & MASK for t in own] for own in c] if c is not None else [] for c in b["classes"]]
+            blocks = [[[{"slot": s, "text": x, "flags": f, "fixed": k} for s, x, f, k in block] for block in pieces_of(h, c)] for h, c in zip(b["html"], known, strict=True)]
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "templated": b["classes"].notna(), "blocks": blocks})
+
+    kind = PIECES.replace("page_id long", f"page_id {pages.schema['page_id'].dataType.simpleString()}")
+    joined = meet(pages, classes, F.struct("page_id", F.xxhash64("html")), "left")
+    return materialise(joined.mapInPandas(read, kind), "pieces")
+
+
+def article_slots(pieces: DataFrame, names: bool = True) -> DataFrame:
+    """(host, slots, fixed_too): of each host with a template the slots that are its
+    articles', and whether the main one consists of fixed texts, as with copies."""
+    flat = pieces.where("templated").select("host", F.explode(F.flatten("blocks")).alias("p")).select("host", "p.*")
+    n, flags = F.char_length("text"), F.col("flags")
+    named = flags.bitwiseAND(F.lit(OUT | DOUBTED)) != 0
+    of = {"link": flags.bitwiseAND(F.lit(LINK)) != 0, "named": named if names else F.lit(False), "fixed": F.col("fixed")}
+    mine = ~of["link"] & ~of["named"]
+    stats = flat.groupBy("host", "slot").agg(
+        F.sum(n).alias("chars"), *[F.sum(F.when(is_it, n).otherwise(0)).alias(k) for k, is_it in of.items()], F.sum(F.when(mine, n).otherwise(0)).alias("own"),
+        F.sum(F.when(mine & ~of["fixed"], n).otherwise(0)).alias("free"), (F.approx_count_distinct("text", 0.02) / F.count("*")).alias("varies"),
+    )
+    # A host has as many slots as its template has gaps.
+    per = stats.groupBy("host").agg(F.max_by("varies", F.struct("free", "own", -F.col("slot"))).alias("usual"), F.max_by(F.struct("slot", "free", "own"), F.struct("free", "own", -F.col("slot"))).alias("main"), F.collect_list(F.struct("slot", "chars", "link", "named", "fixed", "varies")).alias("slots"))
+
+    def is_article(x: Column) -> Column:
+        rather = (x["link"] <= MOSTLY * x["chars"]) & (x["named"] <= MOSTLY * x["chars"]) & (x["fixed"] <= MOSTLY * x["chars"])
+        return (x["slot"] == F.col("main.slot")) | (rather & (x["varies"] >= VARIES * F.col("usual")))
+
+    return per.select("host", F.transform(F.filter("slots", is_article), lambda x: x["slot"]).alias("slots"), (F.col("main.free") < (1 - MOSTLY) * F.col("main.own")).alias("fixed_too"))
+
+
+def extract(pages: DataFrame, names: bool = True, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; without ``names`` a host's template alone decides."""
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    found = materialise(templates(pages), "templates")
-    # Only a template's texts change what a page says; hosts have few of them.
-    fixed = found.where("is_text").groupBy(F.col("host").alias("h")).agg(F.collect_set("token").alias("fixed"))
-    joined = pages.join(fixed, F.col("host") == F.col("h"), "left").drop("h")
+    pieces = page_pieces(pages, materialise(host_classes(pages, min_pages), "classes"))
+    joined = meet(pieces, article_slots(pieces, names), F.struct("page_id"), "left")
 
-    @F.pandas_udf("string")
-    def read(html: pd.Series, fixed: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, frozenset() if f is None else set(f)) for h, f in zip(html, fixed, strict=True)])
+    def says(p: Column) -> Column:
+        clear = p["flags"].bitwiseAND(F.lit(OUT)) == 0 if names else F.lit(True)
+        alone = p["flags"].bitwiseAND(F.lit(OUT | DOUBTED)) == 0 if names else F.lit(True)
+        chosen = F.array_contains("slots", p["slot"]) & (F.col("fixed_too") | ~p["fixed"]) & clear
+        return F.when(F.col("templated"), F.coalesce(chosen, F.lit(False))).otherwise(alone)
 
-    out = joined.select("page_id", "url", read("html", "fixed").alias("text"))
+    lines = F.transform("blocks", lambda b: F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(b, says), lambda p: p["text"]), ""), " +", " ")))
+    out = joined.select("page_id", "url", F.array_join(F.filter(lines, lambda x: x != ""), "\n").alias("text"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
