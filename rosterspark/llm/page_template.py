@@ -314,7 +314,8 @@ def extract(pages: DataFrame, names: bool = True, min_pages: int = MIN_PAGES) ->
     """(page_id, url, text, n_chars) of every page; without ``names`` a host's template alone decides."""
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     pieces = page_pieces(pages, materialise(host_classes(pages, min_pages), "classes"))
-    joined = meet(pieces, article_slots(pieces, names), F.struct("page_id"), "left")
+    # Written first, so that Spark knows its size and sends it to all tasks only where it is small.
+    joined = meet(pieces, materialise(article_slots(pieces, names), "article-slots"), F.struct("page_id"), "left")
 
     def says(p: Column) -> Column:
         clear = p["flags"].bitwiseAND(F.lit(OUT)) == 0 if names else F.lit(True)
