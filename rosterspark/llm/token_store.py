@@ -2,9 +2,10 @@
 
 Documents are dealt out by ranges of ``doc_id`` and encoded in that order. Each
 run of about ``BLOCK_TOKENS`` ids is a block with a grammar of its own: again and
-again the most frequent pairs of neighbouring symbols give way to nonterminals,
-``PER_ROUND`` pairs a round (the textbook form replaces one at a time), until no
-pair is frequent or ids of 16 bits run out. A block's row holds its rules as pairs
+again all pairs of neighbouring symbols are counted and those that occur ``LEAST``
+times or more give way to nonterminals, in one round (the textbook form replaces
+one pair at a time), until no pair is that frequent or symbols of 16 bits run out,
+of which the most frequent pairs have the first choice. A block's row holds its rules as pairs
 of symbols, the length each nonterminal expands to, the remaining sequence, and
 the ids and ends of its documents. The lengths give the place of any token, so
 ``decode_range`` expands only what it is asked for. Blocks are rows of Parquet
@@ -32,52 +33,63 @@ from rosterspark.llm.tokens import word_encoder
 
 END_ID, VOCABULARY = 2, 49_408
 BLOCK_TOKENS = 1 << 19
-#: Pairs that become rules in one round, rounds, and the least count of such a pair.
-PER_ROUND, ROUNDS, LEAST = 3000, 4, 16
-BUCKETS = 1 << 18
+#: The least count of a pair that becomes a rule: a rule is stored in four symbols' room.
+LEAST = 16
+#: Bits of the table that finds a round's pairs; of pairs with one place in it the most
+#: frequent goes first, the others in a later round.
+BITS = 18
 BLOCK = "part int, seq long, n_tokens long, n_docs long, doc_ids binary, null_ids binary, ends binary, rules binary, lengths binary, symbols binary"
 
 
-def build_grammar(ids: np.ndarray, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def _place(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
+
+
+def _frequent(pairs: np.ndarray, least: int, room: int) -> np.ndarray:
+    """The pairs that occur ``least`` times or more, the most frequent first, of different places."""
+    ordered = np.sort(pairs)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    count = np.diff(np.append(first, len(ordered)))
+    top = np.flatnonzero(count >= least)
+    chosen = ordered[first[top[np.lexsort((top, -count[top]))]]]
+    return chosen[np.sort(np.unique(_place(chosen), return_index=True)[1])][:room]
+
+
+def build_grammar(ids: np.ndarray, vocabulary: int = VOCABULARY, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence): rule r stands for symbol vocabulary + r and is two symbols."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        room = min(per_round, (1 << 16) - vocabulary - made)
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1 and (room := (1 << 16) - vocabulary - made) > 0:
         pairs = (seq[:-1] << np.uint32(16)) | seq[1:]
-        bucket = (pairs * np.uint32(0x9E3779B1)) >> np.uint32(14)  # 18 bits
-        # One pair speaks for each bucket, as often as not its most frequent.
-        spoken = np.zeros(BUCKETS, np.uint32)
-        spoken[bucket] = pairs
-        same = np.flatnonzero(spoken[bucket] == pairs)
-        count = np.bincount(bucket[same], minlength=BUCKETS)
-        top = np.flatnonzero(count >= least)
-        if not len(top):
+        chosen = _frequent(pairs, least, room)
+        if not len(chosen):
             break
-        top = np.sort(top[np.lexsort((top, -count[top]))[:room]])
-        chosen = spoken[top].astype(np.int64)
-        rule = np.full(BUCKETS, -1, np.int32)
-        rule[top] = np.arange(len(top), dtype=np.int32)
-        hit = same[rule[bucket[same]] >= 0]
+        wanted, rule = np.zeros(1 << BITS, np.uint32), np.full(1 << BITS, -1, np.int32)
+        wanted[_place(chosen)], rule[_place(chosen)] = chosen, np.arange(len(chosen))
+        at = _place(pairs)
+        hit = np.flatnonzero((wanted[at] == pairs) & (rule[at] >= 0))
         # Of occurrences that overlap, every other one from the left.
         first = np.ones(len(hit), bool)
         first[1:] = hit[1:] - hit[:-1] > 1
         if not first.all():
             start = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
             hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
-        symbol = rule[bucket[hit]]
-        seq[hit] = vocabulary + made + symbol
+        own = rule[at[hit]]
+        # A pair whose occurrences all fell to its neighbours is counted again.
+        useful = np.bincount(own, minlength=len(chosen)) > 1
+        if not useful.any():
+            break
+        number, kept = np.cumsum(useful) - 1, useful[own]
+        hit, own = hit[kept], own[kept]
+        seq[hit] = vocabulary + made + number[own]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq = seq[keep]
+        chosen = chosen[useful].astype(np.int64)
         rules.append(np.stack([chosen >> 16, chosen & 0xFFFF], 1))
         made += len(chosen)
-        if len(hit) < len(seq) // 100:
-            break
-    return (np.concatenate(rules).astype(np.int64) if rules else np.zeros((0, 2), np.int64)), seq
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), seq
 
 
 def expansion_lengths(rules: np.ndarray, vocabulary: int = VOCABULARY) -> np.ndarray:

@@ -2,11 +2,12 @@
 
 The paths of the vocabulary files are parameters; nothing is trained or copied.
 Both encoders give the ids that the ``tokenizers`` library gives for the whole
-text. It splits texts at blanks (the word vocabulary) or by a fixed pattern (the
-byte vocabulary), so ``WordEncoder`` has it encode each blank-separated piece once
-and remembers the ids, and ``ByteEncoder`` reads the same vocabulary as ranks.
-Both need libraries to agree on what is a blank or a letter: texts that are not
-printable Latin-1 and newlines go to the ``tokenizers`` library whole.
+text with ``add_special_tokens=False``. It splits texts by fixed patterns and
+joins what it may by the vocabulary's merges; both encoders split alike and read
+the merges as ranks. This needs libraries to agree on what is a blank or a letter:
+texts that are not printable Latin-1 and newlines, and those that hold a special
+token's string, go to the ``tokenizers`` library whole. Nothing is kept from text
+to text, so that memory and time a text do not depend on how many came before.
 """
 
 from __future__ import annotations
@@ -38,90 +39,59 @@ def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+def _specials(library) -> tuple[str, ...]:
+    return tuple(t.content for t in library.get_added_tokens_decoder().values())
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabularies write bytes: printable Latin-1
+    stands for itself, the other bytes in order for what follows U+00FF."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class WordEncoder:
     """Ids of a vocabulary that drops blanks and ends words.
 
-    Pieces between blanks are remembered, up to a bound; for those not seen yet,
-    the words within them are, so that the library encodes each word once.
+    As ranks, a word is its bytes and ``END``, which stands for the vocabulary's word end.
     """
 
-    PIECES, KEPT = 700_000, 300_000
-    #: The split of the word vocabulary's pre-tokenizer, over printable Latin-1 in lower
-    #: case, and newlines, which part the pieces here.
-    WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
-    #: Stands between pieces; no id has this upper byte.
-    MARK = b"\xff\xff"
+    #: The split of the word vocabulary's pre-tokenizer, over printable Latin-1 in lower case.
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+    #: No plain text holds this character.
+    END = "\x01"
 
     def __init__(self, path: str):
+        import tiktoken
+
         self.library = _library(path)
-        vocabulary = self.library.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"\n": self.MARK}
-
-    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Encodes words together; each ends with a token that ends words."""
-        if not words:
-            return {}
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, np.uint16)
-        at = [0, *(2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-        if len(at) != len(words) + 1:
-            return {w: np.array(self.library.encode(w, add_special_tokens=False).ids, np.uint16).tobytes() for w in words}
-        raw = ids.tobytes()
-        return {w: raw[i:j] for w, i, j in zip(words, at[:-1], at[1:], strict=True)}
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        flat = self.WORDS.findall("\n".join(pieces).lower())
-        known = self.words
-        new = self._encode_words([w for w in dict.fromkeys(flat) if w not in known])
-        if len(known) + len(new) <= self.KEPT:
-            known.update(new)
-            get = known.__getitem__
-        else:
-            get = lambda w: known.get(w) or new[w]
-        return dict(zip(pieces, b"".join(map(get, flat)).split(self.MARK), strict=True))
+        self.specials = _specials(self.library)
+        letters, ranks = _byte_letters(), {}
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            stem = token.removesuffix("</w>")
+            ranks[bytes(map(letters.__getitem__, stem)) + (self.END.encode() if stem != token else b"")] = i
+        self.quick = tiktoken.Encoding("words", pat_str=f"[^{self.END}]+{self.END}", mergeable_ranks=ranks, special_tokens={})
+
+    def _encode(self, text: str) -> list[int]:
+        if not is_plain(text) or any(x in text for x in self.specials):
+            return self.library.encode(text, add_special_tokens=False).ids
+        words = self.WORDS.findall(text.lower())
+        return self.quick.encode_ordinary(self.END.join(words) + self.END) if words else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # Millions of short lists are made here and none in a cycle.
+        # Millions of short strings are made here and none in a cycle.
         was_on = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            return [np.array(self._encode(t), np.uint16) for t in texts]
         finally:
             if was_on:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        parts: dict[int, list] = {}
-        gaps: dict[int, list] = {}
-        look = self.pieces.get
-        for i, text in enumerate(texts):
-            if not is_plain(text):
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
-                continue
-            pieces = text.split()
-            parts[i] = own = list(map(look, pieces))
-            if None in own:
-                gaps[i] = [(k, p) for k, (p, ids) in enumerate(zip(pieces, own)) if ids is None]
-        missing = [*dict.fromkeys(p for gap in gaps.values() for _, p in gap)]
-        new = self._learn(missing) if missing else {}
-        for i, gap in gaps.items():
-            own = parts[i]
-            for k, p in gap:
-                own[k] = new[p]
-        if len(self.pieces) + len(new) <= self.PIECES:
-            self.pieces.update(new)
-        for i, own in parts.items():
-            out[i] = np.frombuffer(b"".join(own), np.uint16)
-        return out
-
 
 class ByteEncoder:
     """Ids of a byte-level vocabulary; ``ranks`` is the file of the same vocabulary as ranks."""
@@ -131,10 +101,16 @@ class ByteEncoder:
 
         self.library = _library(path)
         pairs = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(ranks, "rb"))}
+        self.specials = _specials(self.library)
         self.quick = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=pairs, special_tokens={})
 
+    def _encode(self, text: str) -> list[int]:
+        if not is_plain(text) or any(x in text for x in self.specials):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.quick.encode_ordinary(text)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.quick.encode_to_numpy(t, disallowed_special=()).astype(np.uint16) if is_plain(t) else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint16) for t in texts]
+        return [np.array(self._encode(t), np.uint16) for t in texts]
 
 
 @lru_cache(maxsize=2)

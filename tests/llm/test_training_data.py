@@ -13,7 +13,7 @@ from conftest import DATA, assert_same
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, page_template, quality, queries, syncmers, token_store, toxicity
+from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, page_template, quality, queries, syncmers, token_store, tokens, toxicity
 from rosterspark.llm.common import table
 
 BYTE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -194,7 +194,6 @@ def library_ids(path, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -202,6 +201,30 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_ids_are_the_librarys():
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCD  \n.,;'\"!?-0189\u00e9\u00df\u00b5\u00bd\u00d8" + "\u6f22\u00a0\U0001f44d"
+    texts = ["".join(rng.choice(letters[: -3 if i % 4 else None]) for _ in range(rng.randrange(200))) for i in range(3000)]
+    texts += ["x <|endoftext|> y", "<|startoftext|>It's", "a\x01b\x01", "", " \n ", "don'ts 'SAVE"] + [r"\u0130I\u017f"]
+    for path, encoder in ((WORD, tokens.WordEncoder(WORD)), (BYTE[0], tokens.ByteEncoder(*BYTE))):
+        assert [x.tolist() for x in encoder.encode(texts)] == [x[:-1] for x in library_ids(path, texts, 0)]
+
+
+def test_grammar_leaves_no_frequent_pair():
+    words = np.random.default_rng(2).zipf(1.3, 60_000) % 400
+    rules, symbols = token_store.build_grammar(words)
+    assert (token_store.expand(symbols, rules) == words).all()
+    _, count = np.unique(symbols[:-1].astype(np.int64) << 16 | symbols[1:], return_counts=True)
+    assert count.max() < token_store.LEAST and 2 * len(rules) + len(symbols) < 0.7 * len(words)
+    same = np.full(1000, 7)
+    rules, symbols = token_store.build_grammar(same)
+    assert (token_store.expand(symbols, rules) == same).all() and len(symbols) < 100
+    # Exact counts: the first rules are the most frequent pairs.
+    pairs, count = np.unique(words[:-1] << 16 | words[1:], return_counts=True)
+    first = token_store._frequent((words[:-1] << 16 | words[1:]).astype(np.uint32), 16, 10)
+    assert count[np.searchsorted(pairs, first[0])] == count.max()
+
+
 def test_token_store_round_trip(spark, odd):
     docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     texts = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
