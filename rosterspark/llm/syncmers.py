@@ -1,19 +1,24 @@
 """Document fingerprints from closed syncmers.
 
 A text is a sequence of words, of whatever length; each Han, Kana or Hangul letter,
-which no spaces part, is a unit of its own. Of every ``K`` consecutive units the ``S``-unit
-runs inside are hashed; the k-mer is chosen if its smallest inner run stands at
-either edge. The choice depends on the k-mer alone, so an edit moves no anchor
-beyond its reach. ``anchors`` gives the chosen k-mers with their positions for
-positional matching, ``fingerprint`` the ``SKETCH`` smallest distinct of their
-hashes, and ``likeness`` estimates the Jaccard coefficient of two sets of anchors
-from such sketches. Everything is a DataFrame expression.
+which no spaces part, is a unit of its own. Of every ``K`` consecutive units the
+``S``-unit runs inside are hashed; the k-mer is chosen if its smallest inner run
+stands at either edge. The choice depends on the k-mer alone, so an edit moves no
+anchor beyond its reach.
+
+A fingerprint is all anchors of a text in order, each as the step from the one
+before and its hash. Two fingerprints are compared by position: anchors with one
+hash that occur once in each text are matched, and a match counts if it continues
+the match before it, that is if its place in the other text is further on. The
+likeness is the share of both texts' anchors that counted matches make up; anchors
+that a text repeats speak by whether the other text holds them. Everything is a
+DataFrame expression, linear in the anchors but for sorting.
 
 Cases: a null text counts as empty; no units give the empty fingerprint; fewer
 than ``K`` units are one k-mer; equal fingerprints, empty ones too, are alike 1;
 rows with equal ids follow each other by a hash of their texts, repeats too; a
-lone document follows itself; an empty table gives an empty
-table; other columns are not read.
+lone document follows itself; an empty table gives an empty table; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from rosterspark.llm.common import let, shuffle_partitions
 
-K, S, SKETCH = 5, 2, 64
+K, S = 5, 2
 #: Ranges of ids for each shuffle partition, so that they even out.
 RANGES, CHUNK = 4, 64
 UNSPACED = r"[぀-ヿ㐀-鿿가-힯]"
@@ -58,21 +63,57 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return let(units(text), choose)
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
-    """The ``size`` smallest distinct anchors, in order."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors(text, k, s), lambda a: a["hash"]))), 1, size)
+HASH = 0xFFFFFFFF
 
 
-def fingerprint(sketched: Column) -> Column:
-    """A sketch as a string, 8 hexadecimal digits an anchor."""
-    return F.array_join(F.transform(sketched, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+def packed(text: Column, k: int = K, s: int = S) -> Column:
+    """All anchors of a text in order, each as one number: its position and its hash."""
+    return F.transform(anchors(text, k, s), lambda a: F.shiftleft(a["pos"].cast("long"), 32).bitwiseOR(a["hash"].cast("long").bitwiseAND(F.lit(HASH))))
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Estimated Jaccard coefficient of the anchors behind two sketches."""
-    first = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    both = F.size(F.array_intersect(F.array_intersect(first, a), b))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.try_divide(both, F.size(first)))
+def fingerprint(own: Column) -> Column:
+    """Packed anchors as a string: of each the step from the one before, a digit (closed
+    syncmers are at most K - S apart), and 8 hexadecimal digits of hash."""
+
+    def step(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.shiftright(F.get(own, i - 1), 32)).otherwise(F.lit(-1))
+        return F.hex(F.shiftleft(F.shiftright(x, 32) - before, 32).bitwiseOR(x.bitwiseAND(F.lit(HASH))))
+
+    return F.array_join(F.transform(own, step), "")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Of the hashes in either of two packed fingerprints the share that is in both and in place.
+
+    A hash that occurs once in each is in place if its position in ``b`` lies behind
+    that of the hash before it in ``a`` that does so too.
+    """
+
+    def side(own: Column, k: int) -> Column:  # hash, side and position, from the upper bit
+        return F.transform(own, lambda x: F.shiftleft(x, 32).bitwiseOR(F.lit(k << 31)).bitwiseOR(F.shiftright(x, 32)))
+
+    def of(s: Column, i: Column) -> Column:  # hash and side
+        return F.shiftright(F.get(s, i), 31)
+
+    def compare(s: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(s) - 1)
+        both = F.filter(at, lambda i: (F.get(s, i).bitwiseAND(F.lit(1 << 31)) == 0) & F.coalesce(of(s, i + 1) == of(s, i) + 1, F.lit(False)))
+        every = F.size(F.array_distinct(F.transform(s, lambda x: F.shiftright(x, 32))))
+
+        def once(i: Column) -> Column:
+            return F.coalesce(of(s, F.greatest(i - 1, F.lit(0))) != of(s, i), F.lit(True)) | (i == 0)
+
+        def share(c: Column) -> Column:
+            single = F.filter(c, lambda i: once(i) & F.coalesce(of(s, i + 2) != of(s, i) + 1, F.lit(True)))
+            low = F.lit((1 << 31) - 1)
+            places = F.sort_array(F.transform(single, lambda i: F.shiftleft(F.get(s, i).bitwiseAND(low), 32).bitwiseOR(F.get(s, i + 1).bitwiseAND(low))))
+            back = let(places, lambda p: F.size(F.filter(F.transform(p, lambda x, i: (i > 0) & (x.bitwiseAND(low) < F.get(p, F.greatest(i - 1, F.lit(0))).bitwiseAND(low))), lambda x: x)))
+            return F.try_divide(F.size(c) - back, every)
+
+        return let(both, share)
+
+    alike = let(F.sort_array(F.concat(side(a, 0), side(b, 1))), compare)
+    return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(alike)
 
 
 def matching_positions(a: Column, b: Column) -> Column:
@@ -108,8 +149,8 @@ def with_next(docs: DataFrame, derived: dict[str, Column], columns: list[str]) -
     before = [(heads[i - 1][0], heads[i][1], heads[i][2]) for i in range(len(heads))]
     sent = F.broadcast(spark.createDataFrame(before, "to int, h_id long, h_row long"))
     first = docs.join(sent, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("row") == F.col("h_row"))).withColumn("part", F.col("to")).drop("to", "h_id", "h_row")
-    # Columns are derived here, once a row, and not below the join with the heads.
-    both = docs.withColumn("guest", F.lit(0)).unionByName(first.withColumn("guest", F.lit(1))).withColumns(derived)
+    # Columns are derived here, once a row: they do not travel.
+    both = docs.withColumn("guest", F.lit(0)).unionByName(first.withColumn("guest", F.lit(1))).repartition("part").withColumns(derived)
     order = Window.partitionBy("part").orderBy("guest", "doc_id", "row")
     return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("guest = 0").drop("part", "guest")
 
@@ -118,12 +159,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of the text whose last half gives way to the
     beginning of the next document, and how alike they and the next one's are."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    led = with_next(base, {"own": sketch(F.col("text"))}, ["text", "own"])
+    led = with_next(base, {"own": packed(F.col("text"))}, ["text", "own"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
     led = led.select("doc_id", n.cast("long").alias("n_chars"), "own", "next_own", edited.alias("edited"))
-    led = led.select("doc_id", "n_chars", "own", "next_own", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("changed"))
+    led = led.select("doc_id", "n_chars", "own", "next_own", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), packed(F.col("edited")).alias("changed"))
     return led.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),

@@ -281,12 +281,64 @@ def test_syncmers_of_likely_texts_of_any_kind(spark):
     short = " ".join(f"word{i:03}" for i in range(26))  # 207 characters
     pairs = [(long, long + " \u6f22"), (short, short[:-16]), (long, "\u6f22\u5b57 " + long)]
     df = spark.createDataFrame(pairs, "a string, b string")
-    found = df.select(syncmers.likeness(syncmers.sketch(F.col("a")), syncmers.sketch(F.col("b"))).alias("x")).collect()
+    found = df.select(syncmers.likeness(syncmers.packed(F.col("a")), syncmers.packed(F.col("b"))).alias("x")).collect()
     assert all(r["x"] > 0.5 for r in found)
     units = df.select(F.size(syncmers.units(F.lit("ab \u6f22\u5b57cd \ud55c"))).alias("n")).collect()[0]["n"]
     assert units == 5
 
 
+def anchors_by_hand(hashes):
+    """(pos, run) of the closed syncmers of a list of hashes of units; runs are tuples of them."""
+    k, s = syncmers.K, syncmers.S
+    if len(hashes) < k:
+        return [(0, tuple(hashes))] if hashes else []
+    inner = [hash_of_run[tuple(hashes[i : i + s])] for i in range(len(hashes) - s + 1)]
+    return [(i, tuple(hashes[i : i + k])) for i in range(len(hashes) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
+
+
+hash_of_run: dict = {}
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(6)
+    docs = [(r["doc_id"], r["text"]) for r in table(spark, DATA, "documents").orderBy("doc_id").limit(60).collect()]
+    moved = " ".join(f"w{i}" for i in [*range(100, 200), *range(100)])
+    texts = [" ".join(f"w{i}" for i in range(200)), moved, "\u6f22\u5b57 \ud55c x " * 9, "a b c d e " * 7, "one", None, "", "two words", " ".join(str(rng.randrange(9)) for _ in range(300))]
+    texts += ["x" * 199, "word " * 39 + "abcd", "word " * 40 + "abc"]  # about 199 and 203 code points
+    docs = sorted({**dict(docs), **{10_000 + i: t for i, t in enumerate(texts)}}.items())
+    out = {r["doc_id"]: r for r in syncmers.edited_fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    edited = {}
+    for at, (i, text) in enumerate(docs):
+        text, after = text or "", docs[(at + 1) % len(docs)][1] or ""
+        half = len(text) // 2
+        edited[i] = text[: len(text) - half] + after[:half]
+        assert out[i]["n_chars"] == len(text) and out[i]["edited_sha256"] == hashlib.sha256(edited[i].encode()).hexdigest()
+    every = [t or "" for _, t in docs] + list(edited.values())
+    hashed = [r["u"] for r in spark.createDataFrame(list(enumerate(every)), "i int, t string").orderBy("i").select(syncmers.units(F.col("t")).alias("u")).collect()]
+    runs = list({tuple(u[i : i + 2]) for u in hashed for i in range(len(u) - 1)})
+    frame = spark.createDataFrame(runs, "a long, b long").select("a", "b", F.xxhash64(F.lit(2), "a", "b").alias("h"))
+    hash_of_run.update({(r["a"], r["b"]): r["h"] for r in frame.collect()})
+    own = {t: anchors_by_hand(u) for t, u in zip(every, hashed, strict=True)}
+
+    def alike(a, b):
+        a, b = own[a], own[b]
+        if a == b:
+            return 1.0
+        x, y = {}, {}
+        for anchors, into in ((a, x), (b, y)):
+            for pos, run in anchors:
+                into.setdefault(run, []).append(pos)
+        once = sorted((x[r][0], y[r][0]) for r in x.keys() & y.keys() if len(x[r]) == len(y[r]) == 1)
+        back = sum(q[1] < p[1] for p, q in zip(once, once[1:]))
+        return (len(x.keys() & y.keys()) - back) / len(x.keys() | y.keys()) if a and b else 0.0
+
+    for at, (i, text) in enumerate(docs):
+        text, after = text or "", docs[(at + 1) % len(docs)][1] or ""
+        assert len(out[i]["fingerprint"]) == 9 * len(own[text]) and len(out[i]["edited_fingerprint"]) == 9 * len(own[edited[i]])
+        assert abs(out[i]["near_edited"] - alike(text, edited[i])) < 1e-9 and abs(out[i]["near_next"] - alike(text, after)) < 1e-9
+    assert 0.9 < alike(texts[0], moved) < 1
+
+
 def test_chat_layouts_and_escapes(spark):
     texts = ["<|im_end|>", "<\\|", "a<\\\\|b\n", "", "\\n"]
     turns = spark.createDataFrame([(1, i, "assistant\n<|x|>" if i else "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
