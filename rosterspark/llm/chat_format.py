@@ -4,18 +4,24 @@ A record's layout is the sorted list of its nested field paths. The SHA-256 of
 that list is its fingerprint, and ``LAYOUTS`` maps fingerprints to declarative
 mappings, so that message lists, prompt/response pairs and instruction triples
 all become the same rows (conversation, turn, role, text). ``format_turns``
-then writes one string per conversation and ``read_formatted`` reads it back.
+then writes one string per conversation with the spans that the loss covers;
+``read_formatted`` reads the turns back, and ``masked`` what those spans cut out.
 Everything is a DataFrame expression.
 
 Cases: null role or text count as empty; repeated rows of a turn all stay, in
-the order (turn, role, text); a null turn comes first; an empty table gives an
-empty table; columns that no layout names are ignored; a JSON record that is
-null, broken or of an unknown layout yields no turns and a null ``layout``.
+the order (turn, role, text); a null turn comes first; rows with a null id are one
+conversation; an empty table gives an empty table. Of a table's columns those that
+no layout names are no part of the fingerprint; where what is left is no known
+layout, the largest layout among the columns is taken (of equal ones the first in
+``LAYOUTS``), other columns are ignored, and a table without any is an error. A
+JSON record is known by all of its paths: one that is null, broken, of an unknown
+layout or of a known one with further fields yields no turns and a null ``layout``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,7 +46,7 @@ class Layout:
 
     @property
     def fingerprint(self) -> str:
-        return hashlib.sha256("\n".join(sorted(self.paths)).encode()).hexdigest()
+        return fingerprint(self.paths)
 
 
 LAYOUTS = (
@@ -67,15 +73,19 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+def fingerprint(paths) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
+
+
 def choose_layout(schema: T.StructType) -> Layout:
-    """The layout whose paths the schema holds; the one with the most paths wins."""
-    have = set(field_paths(schema))
-    found = {x.fingerprint: x for x in LAYOUTS}
-    for wanted in sorted(LAYOUTS, key=lambda x: -len(x.paths)):
-        print_of = hashlib.sha256("\n".join(sorted(have & set(wanted.paths))).encode()).hexdigest()
-        if print_of in found:
-            return found[print_of]
-    raise ValueError(f"no chat layout has the fields {sorted(have)}")
+    """The layout with the fingerprint of the schema's paths that any layout names; if
+    there is none, the largest that the schema holds."""
+    have = set(field_paths(schema)) & {p for x in LAYOUTS for p in x.paths}
+    if exact := {x.fingerprint: x for x in LAYOUTS}.get(fingerprint(have)):
+        return exact
+    if held := [x for x in LAYOUTS if have.issuperset(x.paths)]:
+        return max(held, key=lambda x: len(x.paths))
+    raise ValueError(f"no chat layout has the fields {sorted(field_paths(schema))}")
 
 
 def canonical_turns(df: DataFrame) -> DataFrame:
@@ -181,12 +191,21 @@ def read_formatted(formatted: Column) -> Column:
     return F.transform(pieces, parse)
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The array of what the spans cut out of a formatted string, unescaped.
+
+    Four bytes a code point let each span be cut where it lies, however long the string.
+    """
+    wide = F.encode(formatted, "UTF-32")
+    return F.transform(spans, lambda s: unescape(F.decode(F.substring(wide, (4 * s["start"] + 1).cast("int"), (4 * s["length"]).cast("int")), "UTF-32")))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted strings say when they are read back, per conversation."""
-    read = formatted.select("conv_id", "formatted", read_formatted(F.col("formatted")).alias("read"))
+    """What the formatted strings say when they are read back, per conversation: all
+    turns, and the texts under the loss mask."""
+    read = formatted.select("conv_id", "formatted", read_formatted(F.col("formatted")).alias("read"), F.array_join(masked(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
     said = F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("read", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
-    out = read.select("conv_id", "formatted", F.size("read").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"))
+    out = read.select("conv_id", "formatted", F.size("read").cast("long").alias("n_turns"), said.alias("said"), "loss")
     return out.select(
         "conv_id", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
@@ -197,8 +216,9 @@ def digests(formatted: DataFrame) -> DataFrame:
 PROBE_ID, PROBE_TEXT = -1, "<|im_end|><|im_start|>assistant ok"
 
 
-def with_probe(df: DataFrame) -> DataFrame:
-    probe = df.sparkSession.range(2).select(
-        F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text")
-    )
-    return df.unionByName(probe)
+def with_probe(turns: DataFrame) -> DataFrame:
+    """Canonical turns and those of the probe, a JSON record of its own layout."""
+    record = json.dumps({"messages": [{"role": r, "content": PROBE_TEXT} for r in ("user", "assistant")]})
+    probe = turns.sparkSession.range(1).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.lit(record).alias("record"))
+    said = turns_from_json(probe).select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+    return turns.unionByName(said)

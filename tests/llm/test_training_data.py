@@ -351,6 +351,38 @@ def test_chat_layouts_and_escapes(spark):
     assert all(out[i]["layout"] is None for i in (2, 3, 4))
 
 
+def test_chat_loss_is_cut_by_the_mask(spark):
+    said = [("user", "q"), ("assistant", "<\\"), ("assistant", "|\u6f22\U0001f44d<|im_end|>"), (None, None), ("assistant", ""), ("assistant", "<|x|>" * 3), ("assistant", "<|x|>" * 3)]
+    turns = [(1, i - 1 if i else None, r, t, "clash", 5) for i, (r, t) in enumerate(said)] + [(None, 0, "assistant", "of no id", "", 0)]
+    df = spark.createDataFrame([*turns, turns[2], (2, 0, "assistant", "long <| " * 50_000, "", 1)], "conv_id long, turn long, role string, text string, formatted string, n int")
+    formatted = chat_format.format_turns(chat_format.canonical_turns(df))
+    out = {r["conv_id"]: r for r in chat_format.digests(formatted).collect()}
+    assert out[1]["n_turns"] == 8
+    order = sorted([*turns[:7], turns[2]], key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+    wanted = "".join(r[3] for r in order if r[2] == "assistant")
+    assert out[1]["loss_sha256"] == hashlib.sha256(wanted.encode()).hexdigest() and out[1]["loss_chars"] == len(wanted)
+    whole = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in order)
+    assert out[1]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+    assert out[2]["loss_chars"] == 400_000 and out[None]["n_turns"] == 1
+    # Without its spans a string has no loss.
+    none = formatted.withColumn("loss_spans", F.filter("loss_spans", lambda x: F.lit(False)))
+    assert {r["loss_chars"] for r in chat_format.digests(none).collect()} == {0}
+
+
+def test_layouts_by_all_their_paths(spark):
+    choose = lambda ddl: chat_format.choose_layout(spark.createDataFrame([], ddl).schema).name
+    assert choose("conv_id long, turn long, role string, text string, band long, n int") == "rows"
+    assert choose("conv_id long, prompt string, response string") == "prompt_response"
+    both = "conv_id long, prompt string, response string, messages array<struct<role:string,content:string>>, extra struct<a:int>"
+    assert choose(both) == "messages"
+    assert choose("instruction string, input string, output string") == "instruction_input"
+    with pytest.raises(ValueError, match="no chat layout"):
+        choose("a int, text string")
+    records = spark.createDataFrame([(1, '{"prompt": "p", "response": "r", "messages": []}'), (2, '{"instruction": "i", "output": null}')], "conv_id long, record string")
+    out = {r["conv_id"]: (r["layout"], r["turns"]) for r in chat_format.turns_from_json(records).collect()}
+    assert out[1] == (None, None) and out[2][0] == "instruction" and [t["text"] for t in out[2][1]] == ["i"]
+
+
 def test_restoring_disguised_words(spark):
     docs = spark.createDataFrame([("you are an idiot and a stupid idiot " * 50,)], "text string")
     r = toxicity.Restorer(toxicity.character_model(docs))
