@@ -3,14 +3,19 @@
 Each line's hash carries a HyperLogLog sketch of the sites it occurs on; the
 sketches merge by partial aggregation, so a line that a third of all documents
 share costs one small state per task. Lines whose estimate lies within the
-sketch's error of the threshold get an exact distinct count. Spread lines leave
-every document in which they are a minor part; a document that consists mostly
-of spread lines is itself a copy, not a page with boilerplate, and keeps them.
+sketch's error of the threshold get an exact distinct count.
+
+Copies of a whole document spread their lines over sites too, and are no pages with
+boilerplate. So sites bear witness only through documents of which spread lines are
+a minor part (``MAX_SHARE`` of the characters at most): a spread line with enough
+such sites is boilerplate and leaves every document, also those that hold little
+else; one without them stays, and near dedup deals with the copies.
 
 Cases: a null text stays null with no lines; blank lines are never boilerplate;
 a null source counts as no site; a line repeated within a document counts its
-site once and leaves at every place; an empty table gives an empty table; other
-columns pass through unchanged.
+site once and leaves at every place; rows that repeat an id and a text bear witness
+once a site; an empty table gives an empty table; columns ``n_lines`` and
+``n_removed`` of the input are replaced, other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -18,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterspark.llm.common import materialise
+
 #: Distinct sites from which on a line is boilerplate.
 MIN_SITES = 12
 #: Relative standard error of the sketches, and how many of them count as near.
 RSD, NEAR = 0.1, 5
-#: Largest share of a document's characters that may leave as boilerplate.
+#: Largest share of a document's characters in spread lines with which it is a witness.
 MAX_SHARE = 0.5
 
 
@@ -41,29 +48,45 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     sketched = lines.groupBy("line_hash").agg(F.approx_count_distinct("source", RSD).alias("sites"), F.count("source").alias("n"))
     low, high = min_sites * (1 - NEAR * RSD), min_sites * (1 + NEAR * RSD)
     wide = sketched.where((F.col("n") >= min_sites) & (F.col("sites") >= low)).select("line_hash", (F.col("sites") > high).alias("sure"))
+    # Written first, so that Spark knows the size of what many lines are to meet.
+    wide = materialise(wide, "wide-lines")
     near = lines.join(wide.where(~F.col("sure")), "line_hash", "left_semi").distinct()
     exact = near.groupBy("line_hash").agg(F.count("source").alias("sites")).where(F.col("sites") >= min_sites)
     return wide.where("sure").select("line_hash").unionByName(exact.select("line_hash"))
 
 
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & a["row"].eqNullSafe(b["row"])
+
+
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+    """(doc_id, row, hashes): of each document, by its id and a hash of its text, the
+    lines that are boilerplate."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), "source", F.char_length("text").alias("chars"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.trim("line") != "")
+    lines = lines.select("doc_id", "row", "source", "chars", "pos", F.char_length("line").alias("n"), line_key(F.col("line")).alias("line_hash"))
+    spread = materialise(spread_lines(docs, min_sites), "spread-lines")
+    places = materialise(lines.join(spread, "line_hash"), "spread-places")
+    share = places.select("doc_id", "row", "pos", "n", "chars").distinct().groupBy("doc_id", "row").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
+    witnesses = share.where(F.col("n") <= max_share * F.col("chars")).select("doc_id", "row")
+    said = places.join(witnesses, _same(places, witnesses), "left_semi").select("line_hash", "source").distinct()
+    sure = said.groupBy("line_hash").agg(F.count("source").alias("sites")).where(F.col("sites") >= min_sites).select("line_hash")
+    found = places.join(materialise(sure, "boilerplate"), "line_hash", "left_semi")
+    return found.groupBy("doc_id", "row").agg(F.collect_set("line_hash").alias("hashes"))
+
+
 def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
-    """``docs`` with its texts freed of spread lines, and n_lines, n_removed."""
-    taken = {c.lower() for c in docs.columns}
-    key = next(k for k in (f"_row{i}" for i in range(100)) if k not in taken)
-    # Documents meet their spread lines by id; repeated ids share their lines' hashes, which is harmless.
-    found = docs.select("doc_id", F.explode(lines_of(F.col("text"))).alias(key)).where(F.trim(key) != "")
-    found = found.select("doc_id", line_key(F.col(key)).alias("line_hash")).distinct()
-    found = found.join(spread_lines(docs, min_sites), "line_hash").groupBy("doc_id").agg(F.collect_set("line_hash").alias(key))
-    joined = docs.join(found.withColumnRenamed("doc_id", f"{key}_id"), docs["doc_id"].eqNullSafe(F.col(f"{key}_id")), "left").drop(f"{key}_id")
+    """``docs`` with its texts freed of boilerplate, and n_lines, n_removed."""
+    docs = docs.drop("n_lines", "n_removed")
+    free = next(k for k in (f"_b{i}_" for i in range(len(docs.columns) + 1)) if not any(c.lower().startswith(k) for c in docs.columns))
+    hashes, kept = f"{free}hashes", f"{free}kept"
+    found = boilerplate(docs, min_sites, max_share).select(F.col("doc_id").alias(f"{free}id"), F.col("row").alias(f"{free}row"), F.col("hashes").alias(hashes))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(f"{free}id")) & (F.xxhash64(docs["text"]) == F.col(f"{free}row")), "left").drop(f"{free}id", f"{free}row")
     lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(key), line_key(x)))
-    joined = joined.withColumn(f"{key}_kept", F.when(F.col(key).isNotNull(), kept))
-    rest = F.array_join(f"{key}_kept", "\n")
-    minor = F.coalesce(F.char_length(rest) >= (1 - max_share) * F.char_length("text"), F.lit(False))
-    joined = joined.withColumn(f"{key}_minor", minor).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-    removed = F.when(F.col(f"{key}_minor"), F.col("n_lines") - F.size(f"{key}_kept")).otherwise(0).cast("long")
-    joined = joined.withColumn("n_removed", removed).withColumn("text", F.when(F.col(f"{key}_minor"), rest).otherwise(F.col("text")))
-    return joined.drop(key, f"{key}_kept", f"{key}_minor")
+    rest = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(hashes), line_key(x)))
+    joined = joined.withColumn(kept, F.when(F.col(hashes).isNotNull(), rest)).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+    removed = F.when(F.col(kept).isNotNull(), F.col("n_lines") - F.size(kept)).otherwise(0).cast("long")
+    joined = joined.withColumn("n_removed", removed).withColumn("text", F.when(F.col(kept).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
+    return joined.drop(hashes, kept)
 
 
 def with_length(docs: DataFrame) -> DataFrame:
