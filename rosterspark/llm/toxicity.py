@@ -1,12 +1,14 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character trigram model counts the letters of all documents. A token that may
-be disguised (signs or digits for letters, letters drawn out, letters set apart)
-spans a lattice of what each character may stand for, and Viterbi decoding picks
-the reading with the best product of channel and language model. The restored
-text is then scored: words and word beginnings that mark labelled toxic documents
-are chosen greedily, each for documents that no earlier one explains, and a
-logistic curve over their hits gives the score.
+A character trigram model counts the letters of all documents. Spans that may be
+disguised (signs or digits for letters, letters drawn out, letters set apart, or
+all of these) are lattices of what each character may stand for: a sign for its
+letters or for nothing, a drawn-out letter for one or two, a blank between single
+characters for nothing or for the end of a word. Viterbi decoding picks the reading
+with the best product of channel and language model. The restored text is then
+scored: words and word beginnings that mark labelled toxic documents are chosen
+greedily, each for documents that no earlier one explains, and a logistic curve
+over their hits gives the score. Words cut into longer parts are not joined.
 
 Fitted on a bounded sample: of each label the ``SAMPLE`` rows with the smallest
 hashes of their ids; half of them choose the marks, the other half the curve. The
@@ -14,7 +16,8 @@ character model covers every document. Scoring reads every row and whole texts.
 
 Cases: a null or empty text has no hits; repeated rows score alike; null labels
 and labels without a document teach nothing; an empty table gives an empty table;
-without both labels every score is 0; other columns pass through unread.
+without both labels every score is 0; a column ``toxicity_score`` is replaced,
+other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -33,28 +36,34 @@ from rosterspark.llm.common import held_out
 SAMPLE, SEED = 4000, 11
 #: The score from which on a document counts as toxic.
 CUT = 0.3
-#: Marks: candidates that may be brought to the driver, least documents (and of
-#: toxic ones a hundredth) that a mark must add, how many times likelier it must be in toxic documents, from which ratio on
-#: a single hit is strong evidence, and how many marks explain a document.
-CANDIDATES, LEAST, TIMES, STRONG, DEMAND = 2000, 4, 4, 15, 2
+#: Marks: least documents (and of toxic ones a hundredth) that a mark must add, how
+#: many times likelier it must be in toxic documents, from which ratio on a single
+#: hit is strong evidence, and how many marks explain a document.
+LEAST, TIMES, STRONG, DEMAND = 4, 4, 15, 2
 PREFIXES = (4, 5, 6, 7)
 
 # What a sign or digit may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "(": "c", "*": "aeiou"}
-#: Log probabilities of the channel: a sign for its letter, a sign for nothing, a drawn-out letter.
-P_SIGN, P_DROP, P_STRETCH = -0.5, -14.0, -0.2
+#: Log probabilities of the channel: a sign for its letter, a sign for nothing, a drawn-out
+#: letter, and a word's end at one separator or at several.
+P_SIGN, P_DROP, P_STRETCH, P_END, P_WIDE_END = -0.5, -14.0, -0.2, -4.0, -0.5
+#: What may stand between letters that are set apart.
+SEPARATORS = " .-_*"
 #: Codes of the character model: 0 no letter, 1-26 a-z, 27-58 the letters from U+00E0, 63 any other letter.
 CODES = 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNED = re.compile(r"[^\s]*[0-9@$!|+€(*][^\s]*")
 _STRETCHED = re.compile(r"[^\s]*?([^\W\d_])\1\1[^\s]*")
-_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]{1,2}){3,}[^\W\d_](?!\w)")
+_ELEMENT = r"(?:[^\W\d_]|[013456789@$!|+€(])"
+_SPACED = re.compile(rf"(?<![\w@$!|+€(])(?:{_ELEMENT}[{re.escape(SEPARATORS)}]{{1,2}}){{2,}}{_ELEMENT}(?!!?[\w@$|+€(])")
 _TAIL = re.compile(r"(?:([^\w\s])\1\1+|!+|[.,;:?)\"']+)+$")
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_SIGN_BYTES = np.zeros(256, bool)
-_SIGN_BYTES[[ord(c) for c in LEET if ord(c) < 128] + [0xE2]] = True
+#: By code point: letters, and signs that may stand for one. Beyond these planes nothing is drawn out or set apart.
+_LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
+_SIGN = np.zeros(1 << 16, bool)
+_SIGN[[ord(c) for c in LEET]] = True
+_SIGN_INSIDE = _SIGN.copy()
+_SIGN_INSIDE[ord("*")] = False
 
 
 def _codes(text: str) -> np.ndarray:
@@ -128,18 +137,23 @@ class Restorer:
 
     def _decode(self, token: str) -> str:
         best = {(0, 0): (0.0, "")}  # by the last two codes: log probability, reading
+        apart = len(token) > 1 and _SPACED.fullmatch(token) is not None
         i = 0
         while i < len(token):
             ch, run = token[i], 1
             while i + run < len(token) and token[i + run] == ch:
                 run += 1
-            i += run
-            if ch in LEET:
+            if apart and ch in SEPARATORS:
+                while i + run < len(token) and token[i + run] in SEPARATORS:
+                    run += 1
+                ways = [("", 0.0), (" ", P_WIDE_END if run > 1 else P_END)]
+            elif ch in LEET:
                 ways = [(x * k, P_SIGN * run) for x in LEET[ch] for k in ((run,) if run < 3 else (1, 2))] + [("", P_DROP)]
             elif ch.isalpha():
                 ways = [(ch * run, 0.0)] if run < 3 else [(ch, P_STRETCH), (ch * 2, P_STRETCH)]
             else:
                 ways = [("", P_SIGN)]
+            i += run
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (p, said) in best.items():
                 for letters, cost in ways:
@@ -162,20 +176,26 @@ class Restorer:
         # Both readings count: a token with signs may mean just what it says.
         return f"{token} {self.decode(core)}"
 
+    def _apart(self, m: re.Match) -> str:
+        return f"{m[0]} {self.decode(m[0])} " if sum(map(str.isalpha, m[0])) > 1 else m[0]
+
     def restore(self, text: str) -> str:
-        """The lower-cased text with the readings of its disguised tokens."""
+        """The lower-cased text with the readings of its disguised spans."""
         text = text.lower()
-        b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        letter = _LETTER[b]
-        if len(b) > 6:
-            alone = letter[1:-1] & ~letter[:-2] & ~letter[2:]
-            if letter[0] or letter[-1]:
-                alone = np.concatenate([[letter[0] and not letter[1]], alone, [letter[-1] and not letter[-2]]])
-            if (alone[:-4] & alone[2:-2] & alone[4:]).any() or (len(alone) > 6 and (alone[:-6] & alone[3:-3] & alone[6:]).any()):
-                text = _SPACED.sub(lambda m: f"{m[0]} {self.decode(''.join(c for c in m[0] if c.isalpha()))}", text)
-            if (letter[2:] & (b[2:] == b[1:-1]) & (b[2:] == b[:-2])).any():
-                text = _STRETCHED.sub(lambda m: f"{m[0]} {self.decode(_TAIL.sub('', m[0]))}", text)
-        if _SIGN_BYTES[b].any():
+        c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        c = np.minimum(c, 0xFFFF)
+        letter = _LETTER[c]
+        # Cheap tests of what the patterns need, on every text alike.
+        beside = np.zeros(len(c) + 2, bool)
+        beside[1:-1] = letter | (_SIGN_INSIDE[c] & (c != ord("!")))
+        alone = np.zeros(len(c) + 8, bool)
+        alone[: len(c)] = (letter | _SIGN_INSIDE[c]) & ~beside[:-2] & ~beside[2:]
+        follows = alone[:-3] & (alone[2:-1] | alone[3:])
+        if (follows[:-3] & (follows[2:-1] | follows[3:])).any():
+            text = _SPACED.sub(self._apart, text)
+        if (letter[2:] & (c[2:] == c[1:-1]) & (c[2:] == c[:-2])).any():
+            text = _STRETCHED.sub(lambda m: f"{m[0]} {self.decode(_TAIL.sub('', m[0]))}", text)
+        if _SIGN[c].any():
             text = _SIGNED.sub(self._signed, text)
         return text
 
@@ -255,10 +275,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         yield pd.DataFrame({"mark": marks, "t": [seen[1][m] for m in marks], "c": [seen[0][m] for m in marks]}).astype({"t": "int64", "c": "int64"})
 
     counted = rows.where("fold").select("label", "text").mapInPandas(count, "mark string, t long, c long").groupBy("mark").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    telling = counted.where((F.col("t") >= LEAST) & (F.col("t") * clean > TIMES * (F.col("c") + 1) * toxic))
-    # What a mark is worth: the toxic documents it finds, less the clean ones it accuses.
-    worth = F.col("t") / toxic - 3 * F.col("c") / clean
-    telling = telling.orderBy(F.desc(worth), F.desc(F.length("mark")), "mark").limit(CANDIDATES)
+    # Marks of at least a hundredth of the toxic sample: at most a hundred times as many
+    # as one of its documents has on average.
+    telling = counted.where((F.col("t") >= max(LEAST, toxic / 100)) & (F.col("t") * clean > TIMES * (F.col("c") + 1) * toxic))
     candidates = {r["mark"]: (r["t"] / toxic, (r["c"] + 0.5) / clean) for r in telling.collect()}
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,8 +313,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return {"logp": logp, "marks": marks, "w": w}
 
 
-def score_column(docs: DataFrame, model: dict):
-    """A column function from a text to its score; other columns stay in the JVM."""
+def score_column(docs: DataFrame, model: dict, decode: bool = True):
+    """A column function from a text to its score; other columns stay in the JVM. Without
+    ``decode`` texts are scored as they stand."""
     sent = docs.sparkSession.sparkContext.broadcast(model["logp"])  # CODES**3 values
     marks, w = model["marks"], model["w"]
 
@@ -303,12 +323,12 @@ def score_column(docs: DataFrame, model: dict):
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         r = Restorer(sent.value)
         for texts in batches:
-            x = np.array([_vector(*hits_of(r.restore(t or ""), marks)) for t in texts]).reshape(-1, WIDTH)
+            x = np.array([_vector(*hits_of(r.restore(t or "") if decode else (t or "").lower(), marks)) for t in texts]).reshape(-1, WIDTH)
             yield pd.Series(np.zeros(len(x)) if w is None else 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
     return scored
 
 
-def score_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with a column ``toxicity_score`` from 0 to 1."""
-    return docs.withColumn("toxicity_score", score_column(docs, model)("text"))
+def score_documents(docs: DataFrame, model: dict, decode: bool = True) -> DataFrame:
+    """``docs`` with a column ``toxicity_score`` from 0 to 1, which replaces one of that name."""
+    return docs.withColumn("toxicity_score", score_column(docs, model, decode)("text"))

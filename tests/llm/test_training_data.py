@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, page_template, quality, queries, syncmers, token_store, tokens, toxicity
-from rosterspark.llm.common import table
+from rosterspark.llm.common import held_out, table
 
 BYTE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -400,6 +400,47 @@ def test_restoring_disguised_words(spark):
     docs = spark.createDataFrame([("you are an idiot and a stupid idiot " * 50,)], "text string")
     r = toxicity.Restorer(toxicity.character_model(docs))
     assert r.decode("1d10t") == "idiot" and r.decode("stuuuupid") == "stupid" and "idiot" in r.restore("i d i o t")
+    for text in ("1 d 1 0 t", "y o u  a r e  a n  i d i o t", "i.d.1.0.t", "so $tup1d", "suuuch an !d!ot", "i-d-i-o-t!", "s t u p 1 d"):
+        assert {"idiot", "stupid"} & set(re.findall("[a-z]+", r.restore(text))), r.restore(text)
+    for text in ("stuuupid it", "stuuupid"):  # short or long, by the same rule
+        assert "stupid" in r.restore(text).split()
+    assert r.restore("\u00e9\u00e9\u00e9 2024 100% a b") and r.restore("") == ""
+
+
+def disguised(text, rng):
+    """The text with its longer words written in signs, drawn out or set apart."""
+    signs = str.maketrans({"i": "1", "o": "0", "e": "3", "a": "@", "s": "$", "t": "7"})
+
+    def one(word):
+        kind = rng.randrange(4)
+        if kind == 0:
+            return word.translate(signs)
+        if kind == 1:
+            at = rng.randrange(1, len(word) - 1)
+            return word[:at] + word[at] * 3 + word[at:]
+        return rng.choice((" ", ".", "-")).join(word if kind == 2 else word.translate(signs))
+
+    return re.sub(r"[a-z]{4,}", lambda m: one(m[0]), text)
+
+
+def test_decoding_finds_disguised_toxic_documents(spark):
+    root = DATA.replace("0.001", "0.1")
+    docs, labels = table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "labels")
+    model = toxicity.train(docs, labels)
+    known = docs.join(labels.where("toxic IS NOT NULL"), "doc_id").where(held_out(F.col("doc_id"))).select("doc_id", "text", "toxic").collect()
+    rng = random.Random(9)
+    marks = [m.strip() for m in model["marks"] if m.isascii() and len(m.strip()) > 3]
+    only = re.compile("|".join(rf"(?<![^\W\d_]){m}[a-z]*" for m in sorted(marks)))
+    hidden = [(r["doc_id"], only.sub(lambda m: disguised(m[0], rng), (r["text"] or "").lower()), r["toxic"]) for r in known]
+    frame = spark.createDataFrame(hidden, "doc_id long, text string, toxic int")
+    found = {}
+    for decode in (True, False):
+        out = toxicity.score_documents(frame, model, decode).collect()
+        caught = [r["toxicity_score"] >= toxicity.CUT for r in out if r["toxic"] == 1]
+        wrong = [r["toxicity_score"] >= toxicity.CUT for r in out if r["toxic"] == 0]
+        found[decode] = (sum(caught) / len(caught), sum(wrong) / len(wrong))
+    print("recall, false alarms with and without decoding:", found)
+    assert found[True][0] >= 0.8 and found[True][0] >= found[False][0] + 0.3 and found[True][1] <= 0.03
 
 
 def test_pipeline(spark):
