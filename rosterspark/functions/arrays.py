@@ -16,8 +16,9 @@ def is_full_lineup(arr: Column, size: int = 5) -> Column:
 
 
 def lineup_key(arr: Column) -> Column:
-    """A lineup without its order."""
-    return F.array_join(F.array_sort(arr), "|")
+    """A lineup without its order: the sorted array itself, nulls last, so that no two
+    lineups share a key."""
+    return F.array_sort(arr)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -59,9 +59,13 @@ def pivot_counts(df: DataFrame, by: list[str], column: str, values: list[str]) -
     return df.groupBy(*by).agg(*[F.count_if(F.col(column) == v).alias(v) for v in values])
 
 
-def z_score(value: Column, by: list[str]) -> Column:
-    w = Window.partitionBy(*by)
-    return F.try_divide(value - F.avg(value).over(w), F.stddev_samp(value).over(w))
+def z_score(df: DataFrame, value: str, by: list[str], name: str = "z") -> DataFrame:
+    """``df`` with each value less its group's mean over its sample deviation. Groups are
+    summed first and their few rows meet the table, so that no group is one task."""
+    stats = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
+    stats = stats.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    joined = df.join(stats, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]))
+    return joined.withColumn(name, F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd", *[f"_by_{c}" for c in by])
 
 
 def missing_keys(expected: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,14 +77,29 @@ def splice(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+# Numeric types from narrow to wide, each holding those before it.
+WIDER = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def common_type(kinds: set[str]) -> str:
+    """The type that a column with these types takes: the widest of numbers, else string."""
+    known = kinds - {"void"}
+    if len(known) == 1:
+        return next(iter(known))
+    if known and known <= set(WIDER):
+        return "double" if known & {"float", "double"} else max(known, key=WIDER.index)
+    return "string"
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
-    """All rows; columns that a frame lacks are null, drifting types become strings."""
+    """All rows; columns that a frame lacks are null. Numbers of drifting types take the
+    widest, any other drift becomes strings."""
     kinds: dict[str, set[str]] = {}
     for f in frames:
         for name, kind in f.dtypes:
             kinds.setdefault(name, set()).add(kind)
-    drift = {n for n, k in kinds.items() if len(k - {"void"}) > 1 or k == {"void"}}
-    frames = [f.withColumns({n: F.col(n).cast("string") for n in f.columns if n in drift}) if drift & set(f.columns) else f for f in frames]
+    wanted = {n: common_type(k) for n, k in kinds.items() if len(k) > 1 or k == {"void"}}
+    frames = [f.withColumns({n: F.col(n).cast(wanted[n]) for n in f.columns if n in wanted}) if wanted.keys() & set(f.columns) else f for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

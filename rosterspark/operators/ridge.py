@@ -13,8 +13,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterspark.operators.relational import require_none
+
 #: Columns up to which the normal equations may be solved on the driver.
 MAX_COLUMNS = 8000
+# The penalties that cross-validation tries, 31.6 to 31,623 in sixteen steps of like ratio.
+ALPHAS = tuple(float(a) for a in np.logspace(1.5, 4.5, 16))
+#: Points for a hundred possessions.
+PER = 100.0
 
 
 def player_index(df: DataFrame, arrays: list[str]) -> DataFrame:
@@ -28,12 +34,30 @@ def player_index(df: DataFrame, arrays: list[str]) -> DataFrame:
     return ids.withColumn("col", (F.row_number().over(Window.orderBy("player")) - 1).cast("int"))
 
 
-def two_sided_design(df: DataFrame, index: DataFrame, key: str, offence: str, defence: str) -> DataFrame:
-    """Triplets with the attacking five in block 0 and the defending five in block 1."""
-    n = index.count()
-    sides = df.select(F.col(key).alias("row_id"), F.explode(offence).alias("player"), F.lit(0).alias("base"))
-    sides = sides.unionByName(df.select(F.col(key).alias("row_id"), F.explode(defence).alias("player"), F.lit(n).alias("base")))
-    return sides.join(F.broadcast(index), "player").select("row_id", (F.col("col") + F.col("base")).alias("col"), F.lit(1.0).alias("value"))
+def require_index(index: DataFrame, n: int) -> DataFrame:
+    """An index must hold each player once, and its columns must be 0 to ``n`` - 1."""
+    require_none(index.groupBy("player").count().where("count > 1"), "player twice in the index")
+    seen = index.agg(F.countDistinct("col").alias("d"), F.count("*").alias("n"), F.min("col").alias("lo"), F.max("col").alias("hi"))
+    require_none(seen.where(f"n <> {n} OR d <> {n} OR (n > 0 AND (lo <> 0 OR hi <> {n - 1}))"), "columns are no permutation")
+    return index
+
+
+def two_sided_rows(df: DataFrame, key: str, home: str, away: str, group: str, prefix: str = "") -> DataFrame:
+    """(row_id, side, y, w, group, offence, defence): each stint as the home team's attack
+    (side 0) and the away team's (side 1); y is points per hundred possessions, w the
+    possessions. A side without points or without possessions has no row."""
+    sides = [F.struct(F.lit(k).alias("side"), F.col(f"{s}_pts").alias("pts"), F.col(f"{s}_poss").cast("double").alias("w"), F.col(off).alias("offence"), F.col(de).alias("defence")) for k, (s, off, de) in enumerate((("home", home, away), ("away", away, home)))]
+    long = df.select(F.col(key).alias("stint"), F.col(group).alias("group"), F.explode(F.array(*sides)).alias("x")).select("stint", "group", "x.*")
+    long = long.where(F.col("pts").isNotNull() & (F.col("w") > 0))
+    return long.select(F.struct("stint", "side").alias("row_id"), "side", (PER * F.col("pts") / F.col("w")).alias("y"), "w", "group", "offence", "defence")
+
+
+def two_sided_design(rows: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """(row_id, col, value): the attacking five in the first ``n`` columns, the defending
+    five in the next; a player counts once a row and side, unknown ones not at all."""
+    sides = F.array(*[F.struct(F.lit(base).alias("base"), F.array_distinct(F.coalesce(side, F.array().cast("array<string>"))).alias("five")) for base, side in ((0, F.col("offence")), (n, F.col("defence")))])
+    long = rows.select("row_id", F.explode(sides).alias("s")).select("row_id", "s.base", F.explode("s.five").alias("player"))
+    return long.join(index, "player").select("row_id", (F.col("col") + F.col("base")).alias("col"), F.lit(1.0).alias("value"))
 
 
 def column_support(triplets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -72,23 +96,34 @@ class Equations:
         return fit / self.sw
 
 
+def products(triplets: DataFrame, rows: DataFrame, n_cols: int, fold: str | None = None) -> DataFrame:
+    """(fold, i, j, g), i <= j: the weighted products of all columns in one pass. Column
+    ``n_cols`` is the constant 1 and column ``n_cols`` + 1 is y, so that sums are products too."""
+    rows = rows.select("row_id", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"))
+    # Rows have few entries each (ten for two lineups of five), so pairs stay few.
+    cells = triplets.groupBy("row_id", "col").agg(F.sum("value").alias("value")).groupBy("row_id").agg(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), F.col("value").cast("double").alias("v"))).alias("cells"))
+    own = F.array(F.struct(F.lit(n_cols).alias("c"), F.lit(1.0).alias("v")), F.struct(F.lit(n_cols + 1).alias("c"), F.col("y").alias("v")))
+    kind = "array<struct<c:int,v:double>>"
+    x = rows.join(cells, "row_id", "left").select("fold", "w", F.array_sort(F.concat(F.coalesce(F.col("cells"), F.array()).cast(kind), own.cast(kind))).alias("x"))
+    pairs = F.flatten(F.transform("x", lambda a, k: F.transform(F.slice("x", k + 1, F.size("x")), lambda b: F.struct(a["c"].alias("i"), b["c"].alias("j"), (a["v"] * b["v"]).alias("p")))))
+    return x.select("fold", "w", F.explode(pairs).alias("e")).groupBy("fold", "e.i", "e.j").agg(F.sum(F.col("w") * F.col("e.p")).alias("g"))
+
+
 def equations(triplets: DataFrame, rows: DataFrame, n_cols: int, fold: str | None = None) -> dict[int, Equations]:
     """Normal equations of each fold; of all rows, as fold 0, without ``fold``."""
     if n_cols > MAX_COLUMNS:
         raise ValueError(f"{n_cols} columns; the driver solves up to {MAX_COLUMNS}")
-    rows = rows.select("row_id", "y", "w", (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"))
-    x = triplets.join(rows, "row_id")
-    # Rows have few entries each (ten for two lineups of five), so pairs stay few.
-    left = x.select("row_id", "fold", "w", F.col("col").alias("i"), F.col("value").alias("a"))
-    right = triplets.select("row_id", F.col("col").alias("j"), F.col("value").alias("b"))
-    gram = left.join(right, "row_id").where("i <= j").groupBy("fold", "i", "j").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("g"))
-    sides = x.groupBy("fold", "col").agg(F.sum(F.col("w") * F.col("value") * F.col("y")).alias("xy"), F.sum(F.col("w") * F.col("value")).alias("xw"))
-    totals = rows.groupBy("fold").agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y")).alias("sy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("syy"))
-    out = {r["fold"]: Equations(np.zeros((n_cols, n_cols)), np.zeros(n_cols), np.zeros(n_cols), r["sw"], r["sy"], r["syy"]) for r in totals.collect()}
-    for r in gram.toLocalIterator():  # at most n_cols squared rows a fold
-        out[r["fold"]].gram[r["i"], r["j"]] = out[r["fold"]].gram[r["j"], r["i"]] = r["g"]
-    for r in sides.collect():
-        out[r["fold"]].xy[r["col"]], out[r["fold"]].xw[r["col"]] = r["xy"], r["xw"]
+    # At most n_cols squared rows a fold, as columns.
+    sums = products(triplets, rows, n_cols, fold).toArrow()
+    f, i, j, g = (sums.column(c).to_numpy() for c in ("fold", "i", "j", "g"))
+    out = {}
+    for k in np.unique(f).tolist():
+        own = f == k
+        full = np.zeros((n_cols + 2, n_cols + 2))
+        full[i[own], j[own]] = g[own]
+        full[j[own], i[own]] = g[own]
+        n = n_cols
+        out[k] = Equations(full[:n, :n].copy(), full[:n, n + 1].copy(), full[:n, n].copy(), float(full[n, n]), float(full[n, n + 1]), float(full[n + 1, n + 1]))
     return out
 
 

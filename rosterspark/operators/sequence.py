@@ -86,11 +86,12 @@ def possession_ends(df: DataFrame, teams: tuple[Column, Column], codes: Codes, l
 
 
 def home_team(df: DataFrame, actor: str, lineup: str, log: Log = Log()) -> DataFrame:
-    """Per game, the team whose actors are most often in ``lineup``; of equals the first seen."""
-    votes = df.where(F.coalesce(F.col(log.team), F.lit("")) != "").groupBy(*log.game, log.team)
-    votes = votes.agg(F.count_if(F.array_contains(F.col(lineup), F.col(actor))).alias("votes"), F.min(log.order).alias("seen"))
-    best = votes.groupBy(*log.game).agg(F.max_by(log.team, F.struct("votes", -F.col("seen"))).alias("home_team"), F.max("votes").alias("votes"))
-    return best
+    """Per game, the team whose actors are most often in ``lineup``; of equals the one
+    that got a vote first. A game without votes has no row."""
+    named = (F.coalesce(F.col(log.team), F.lit("")) != "") & (F.coalesce(F.col(actor).cast("string"), F.lit("")) != "")
+    votes = df.where(named & F.array_contains(F.col(lineup), F.col(actor))).groupBy(*log.game, log.team)
+    votes = votes.agg(F.count("*").alias("votes"), F.min(log.order).alias("seen"))
+    return votes.groupBy(*log.game).agg(F.max_by(log.team, F.struct("votes", -F.col("seen"))).alias("home_team"), F.max("votes").alias("votes"))
 
 
 def aggregate_segments(df: DataFrame, home: Column, points: Column, is_three: Column, log: Log = Log(), segment: str = "stint_id") -> DataFrame:
