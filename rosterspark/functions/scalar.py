@@ -128,3 +128,38 @@ def win_score(c: dict[str, Column]) -> Column:
 
 def interval_text(low: Column, high: Column) -> Column:
     return F.when(low.isNotNull() & high.isNotNull(), F.format_string("[%+.2f, %+.2f]", low, high)).otherwise("")
+
+
+# Play codes by what they say of who acted.
+BENIGN_CODES = ("BP", "EP", "EG", "TOUT", "TOUT_TV", "IN", "OUT", "JB", "TPOFF", "CCH")
+PLAYER_CODES = ("2FGM", "2FGA", "3FGM", "3FGA", "FTM", "FTA", "DUNK", "LAYUPMD", "LAYUPATT", "2FGAB", "3FGAB", "AS", "O", "D", "TO", "ST", "FV", "AG", "CM", "CMU", "CMT", "RV", "OF")
+
+
+def code_class(code: Column) -> Column:
+    """Whether a play without an actor is benign, one that needs an actor, or unknown."""
+    name = strip(F.coalesce(code, F.lit("")))
+    return F.when(name.isin(*BENIGN_CODES), "benign").when(name.isin(*PLAYER_CODES), "player_action").otherwise("unclassified")
+
+
+def borderline(signal: Column, strong: float = 0.25, weak: float = 0.10, margin: float = 0.02) -> Column:
+    """Distance to the nearer threshold of ``verdict``; null where it is over ``margin``."""
+    far = F.least(F.abs(signal - strong), F.abs(signal - weak))
+    return F.when(~F.isnan(signal) & (far <= margin), far)
+
+
+def signal_of(offence: Column, defence: Column) -> Column:
+    """(signal, driver, right_sign) of two correlations: the larger size, whose it is, and
+    whether it points as a real effect would, up for offence and down for defence."""
+    o, d = F.coalesce(F.nanvl(offence, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.nanvl(defence, F.lit(0.0)), F.lit(0.0))
+    off = F.abs(o) >= F.abs(d)
+    return F.struct(F.greatest(F.abs(o), F.abs(d)).alias("signal"), F.when(off, "off").otherwise("def").alias("driver"), F.when(off, o > 0).otherwise(d < 0).alias("right_sign"))
+
+
+def contains_text(col: Column, text: str) -> Column:
+    """Whether ``text`` occurs in a value, in any case."""
+    return F.coalesce(F.contains(F.lower(col), F.lit(text.lower())), F.lit(False))
+
+
+def format_decision(ari: Column, top_jaccard: Column) -> Column:
+    """What a clustering that agrees this well between two windows may be shown as."""
+    return F.when(ari >= 0.30, "archetypes").when(top_jaccard >= 0.40, "neighbours").otherwise("cut")

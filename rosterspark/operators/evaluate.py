@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +94,29 @@ def rule_agreement(df: DataFrame, label: str, rules: dict[str, Column]) -> DataF
     long = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("hits")) for k in rules]))
     out = hits.select("n", long.alias("x")).select("x.rule", F.try_divide(F.col("x.hits"), F.col("n")).alias("agreement"))
     return out.withColumn("tied_best", F.col("agreement") == F.max("agreement").over(Window.partitionBy()))
+
+
+def corner_search(df: DataFrame, x: Column, y: Column, wanted: Column, steps: int = 60) -> tuple[float, float, float]:
+    """(x from, y up to, agreement) of the rule ``x >= a and y <= b`` that agrees best with
+    ``wanted``, over grids of ``steps`` quantiles; of equal rules the first.
+
+    Rows are counted once by the grid cells that they fall in; the rules are compared
+    on those counts, of which there are at most 2 * (steps + 1) ** 2.
+    """
+    rows = df.select(x.cast("double").alias("x"), y.cast("double").alias("y"), F.coalesce(wanted, F.lit(False)).alias("w")).where("x IS NOT NULL AND y IS NOT NULL")
+    fractions = [np.linspace(50, 99.5, steps) / 100, np.linspace(0.5, 60, steps) / 100]
+    grids = rows.agg(*[F.percentile(c, F.array(*[F.lit(float(q)) for q in f])).alias(c) for c, f in zip("xy", fractions, strict=True)]).collect()[0]
+    if grids["x"] is None:
+        return float("nan"), float("nan"), float("nan")
+    reached = F.size(F.filter(F.array(*map(F.lit, grids["x"])), lambda g: g <= F.col("x")))
+    passed = F.size(F.filter(F.array(*map(F.lit, grids["y"])), lambda g: g < F.col("y")))
+    cells = rows.groupBy(reached.alias("i"), passed.alias("j"), "w").agg(F.count("*").alias("n")).collect()
+    inside, total, right = np.zeros((2, steps + 1, steps + 1)), 0, 0
+    for r in cells:
+        inside[int(r["w"]), r["i"], r["j"]] += r["n"]
+        total, right = total + r["n"], right + (0 if r["w"] else r["n"])
+    # A row is in the rule of cell (a, b) if it reached more than a and passed at most b.
+    covered = inside[:, ::-1].cumsum(1)[:, ::-1].cumsum(2)[:, 1:, :steps]
+    agreement = (right - covered[0] + covered[1]) / total
+    a, b = np.unravel_index(int(agreement.argmax()), agreement.shape)
+    return float(grids["x"][a]), float(grids["y"][b]), float(agreement[a, b])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterspark.functions.scalar import verdict
+from rosterspark.functions.scalar import borderline, code_class, lookup, not_blank, pinned_verdict, signal_of, verdict
 from rosterspark.operators.relational import require_none
 
 
@@ -30,12 +30,82 @@ def require_priors(long: DataFrame, board: DataFrame, ident: str, tolerance: flo
     require_none(rated.where(F.abs(F.col("prior") - F.col("wanted")) > tolerance), "prior differs from the leaderboard")
 
 
-def identifiability(long: DataFrame, spread: Column, attempts: Column, signal: Column) -> DataFrame:
-    """Per bucket and end: the population deviation of deviations over the noise that
-    ``attempts`` per player leave of ``spread``, the signal, and its verdict."""
-    noise = F.try_divide(F.max(spread), F.sqrt(F.max(attempts)))
-    agg = long.groupBy("bucket", "end").agg(F.stddev_pop("deviation").alias("dev_sd"), noise.alias("noise"), F.max(signal).alias("signal"))
-    return agg.withColumn("dev_norm", F.try_divide("dev_sd", "noise")).withColumn("verdict", verdict(F.col("signal")))
+def identifiability(rows: DataFrame, long: DataFrame, corrs: DataFrame, pins: dict[str, str] | None = None) -> DataFrame:
+    """Per bucket, whether its ratings can be told from noise.
+
+    ``rows`` (bucket, y, w) is the design, ``long`` (id, bucket, deviation) the ratings,
+    ``corrs`` (bucket, corr_off, corr_def) the unshrunk fit's agreement with the overall
+    ratings. The noise is the weighted deviation of y over the root of the attempts a
+    player; pinned verdicts win.
+    """
+    mean = F.try_divide(F.sum(F.col("w") * F.col("y")), F.sum("w"))
+    spread = F.sqrt(F.greatest(F.try_divide(F.sum(F.col("w") * F.col("y") * F.col("y")), F.sum("w")) - mean * mean, F.lit(0.0)))
+    design = rows.groupBy("bucket").agg(F.sum("w").alias("attempts"), spread.alias("y_sd"))
+    dev = long.groupBy("bucket").agg(F.stddev_pop("deviation").alias("dev_sd"), F.countDistinct("id").alias("players"))
+    joined = design.join(dev, "bucket").join(corrs, "bucket", "left").withColumn("s", signal_of(F.col("corr_off"), F.col("corr_def")))
+    pin = lookup(F.col("bucket"), pins or {}, None).cast("string")
+    joined = joined.withColumn("att_per_player", F.try_divide("attempts", "players"))
+    norm = F.try_divide("dev_sd", F.try_divide("y_sd", F.sqrt("att_per_player")))
+    joined = joined.withColumn("p", pinned_verdict(verdict(F.col("s.signal")), pin))
+    return joined.select("bucket", "attempts", "att_per_player", "y_sd", "dev_sd", norm.alias("dev_norm"), "s.signal", "s.driver", "s.right_sign", borderline(F.col("s.signal")).alias("borderline"), "p.verdict", "p.drifted")
+
+
+def composite(long: DataFrame, shares: DataFrame) -> DataFrame:
+    """(id, composite): each player's ratings of all buckets by the buckets' shares of
+    attempts; a bucket without a signal counts with its prior."""
+    total = shares.agg(F.sum("w").alias("_all"))
+    weights = shares.groupBy("bucket").agg(F.sum("w").alias("_w")).crossJoin(F.broadcast(total))  # a single row
+    effect = F.when(F.col("verdict") == "NONE", F.col("prior")).otherwise(F.col("value"))
+    return long.join(weights, "bucket", "left").groupBy("id").agg(F.sum(effect * F.coalesce(F.try_divide("_w", "_all"), F.lit(0.0))).alias("composite"))
+
+
+def bucket_rows(shots: DataFrame, index: DataFrame, offence: str, defence: str, size: int = 5) -> DataFrame:
+    """(bucket, offence, defence, attempts, y): shots of each bucket by both lineups, with
+    points per hundred attempts. Lineups must have ``size`` different players whom
+    ``index`` knows; their order does not matter."""
+    sides = shots.select("shot", F.explode(F.array(F.struct(F.lit("o").alias("side"), F.col(offence).alias("five")), F.struct(F.lit("d").alias("side"), F.col(defence).alias("five")))).alias("s"))
+    named = sides.select("shot", "s.side", F.explode("s.five").alias("player")).join(index.select("player"), "player").distinct()
+    fives = named.groupBy("shot", "side").agg(F.array_sort(F.collect_set("player")).alias("five")).where(F.size("five") == size)
+    both = fives.groupBy("shot").agg(F.max(F.when(F.col("side") == "o", F.col("five"))).alias("o"), F.max(F.when(F.col("side") == "d", F.col("five"))).alias("d")).where("o IS NOT NULL AND d IS NOT NULL")
+    full = (F.size(offence) == size) & (F.size(defence) == size)
+    met = shots.where(full & F.col("bucket").isNotNull()).join(both, "shot")
+    agg = met.groupBy("bucket", F.col("o").alias("offence"), F.col("d").alias("defence")).agg(F.count("*").alias("attempts"), F.sum("points").alias("points"))
+    return agg.select("bucket", "offence", "defence", "attempts", (100.0 * F.col("points") / F.col("attempts")).alias("y"))
+
+
+def common_support(df: DataFrame, coverages: list[str], least: float = 0.85) -> DataFrame:
+    """Rows that every arm covers well enough."""
+    return df.where(F.least(*[F.coalesce(F.col(c), F.lit(0.0)) for c in coverages]) >= least) if len(coverages) > 1 else df.where(F.coalesce(F.col(coverages[0]), F.lit(0.0)) >= least)
+
+
+def require_predictor(df: DataFrame, x: str, coverage: str, least: float = 0.5) -> DataFrame:
+    """(coverage, sd) of a predictor; raises where ids do not meet: too few rows are rated,
+    or every row has one value."""
+    found = df.agg(F.avg(coverage).alias("coverage"), F.stddev_pop(x).alias("sd"))
+    require_none(found.where((F.col("coverage") < least) | (F.col("sd") == 0)), "predictor without ratings or without spread")
+    return found
+
+
+def recomputed(df: DataFrame, by: list[str], supplied: str, own: Column) -> DataFrame:
+    """Per group: rows, rows whose supplied value differs from the own one, and by how much at most."""
+    far = F.abs(F.col(supplied) - own)
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(far > 1e-9).alias("n_off"), F.max(far).alias("worst"))
+
+
+def attribution_split(df: DataFrame, by: list[str], code: Column, actor: Column, valid: Column) -> DataFrame:
+    """Of the rows flagged invalid: how many by class of code and whether an actor is named."""
+    bad = df.where(~F.coalesce(valid, F.lit(False)))
+    who = F.when(not_blank(actor), "named").otherwise("team")
+    return bad.groupBy(*by, code_class(code).alias("code_class"), who.alias("actor")).agg(F.count("*").alias("n"))
+
+
+def coordinate_integrity(df: DataFrame, by: list[str], is_three: Column, x: Column, y: Column, inside: float = 660.0, beyond: float = 675.0) -> DataFrame:
+    """Per group: rows, share without coordinates, of threes inside the arc, of twos beyond
+    it, and of either; and the farthest shot."""
+    r = F.hypot(x, y)
+    wrong = (is_three & (r < inside)) | (~is_three & (r > beyond))
+    share = lambda c: F.avg(c.cast("double"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), share(x.isNull() | y.isNull()).alias("no_coordinates"), share(F.when(is_three, r < inside)).alias("three_inside"), share(F.when(~is_three, r > beyond)).alias("two_beyond"), share(wrong).alias("wrong"), F.max(r).alias("farthest"))
 
 
 def lineup_shares(df: DataFrame, by: list[str], home: Column, away: Column, valid: Column, size: int = 5) -> DataFrame:

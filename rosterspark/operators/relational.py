@@ -153,3 +153,44 @@ def rewrite_ids(df: DataFrame, merges: DataFrame, column: str) -> DataFrame:
     """Ids that ``merges`` (from_id, to_id) names are rewritten, others pass."""
     joined = df.join(merges.select(F.col("from_id").alias("_from"), "to_id"), F.col(column) == F.col("_from"), "left")
     return joined.withColumn(column, F.coalesce("to_id", column)).drop("_from", "to_id")
+
+
+def count_distinct_tuples(*cols: str) -> Column:
+    """Distinct tuples, those with nulls among them."""
+    return F.count_distinct(F.struct(*cols))
+
+
+def row_index(df: DataFrame, order: str, name: str = "row", parts: int = 64) -> DataFrame:
+    """``df`` with rows numbered from 0 in the order of a numeric column without ties.
+
+    Ranges of ``order`` are numbered apart, behind the counts of those before, so that no
+    task holds all rows.
+    """
+    cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts))).collect()[0][0] or []
+    cuts = sorted(set(cuts))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    df = df.withColumn("_b", bucket)
+    sizes = df.groupBy("_b").agg(F.count("*").alias("n"))  # ``parts`` rows at most
+    before = sizes.select(F.col("_b").alias("_k"), F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    return df.join(F.broadcast(before), F.col("_b") == F.col("_k")).withColumn(name, F.col("_before") + within).drop("_b", "_k", "_before")
+
+
+def head_and_tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first and the last ``n`` rows, with ``end`` saying which."""
+    first = df.orderBy(*order).limit(n).withColumn("end", F.lit("head"))
+    return first.unionByName(df.orderBy(*[F.desc(c) for c in order]).limit(n).withColumn("end", F.lit("tail")))
+
+
+def shared_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    return a.select(*keys).intersect(b.select(*keys))
+
+
+def linear_quantile(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
+    """The quantile of each group, between its neighbours in proportion."""
+    return df.groupBy(*by).agg(F.percentile(value, q).alias("quantile"))
+
+
+def find_columns(df: DataFrame, hints: list[str]) -> list[str]:
+    """The columns whose names hold any of the hints, in any case."""
+    return [c for c in df.columns if any(h.lower() in c.lower() for h in hints)]

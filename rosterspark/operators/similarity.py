@@ -103,3 +103,11 @@ def top_features(values: Column, names: list[str], n: int = 2) -> Column:
     """Names of the ``n`` values that are farthest from 0."""
     named = F.transform(values, lambda v, i: F.struct((-F.abs(v)).alias("a"), i.alias("i")))
     return F.transform(F.slice(F.array_sort(named), 1, n), lambda s: F.get(F.array(*map(F.lit, names)), s["i"]))
+
+
+def distance_against(queries: DataFrame, table: DataFrame, ident: str, vector: str, prior: str) -> DataFrame:
+    """(n_pairs, corr): over the pairs of a stated query set with all other rows, how the
+    distance goes with the difference of priors; sums alone leave a task."""
+    q = queries.select(F.col(ident).alias("q"), F.col(vector).alias("qv"), F.col(prior).alias("qp"))
+    pairs = table.select(ident, vector, prior).join(F.broadcast(q), F.col("q") != F.col(ident))
+    return pairs.agg(F.count("*").alias("n_pairs"), F.corr(F.sqrt(squared_distance(F.col("qv"), F.col(vector))), F.abs(F.col("qp") - F.col(prior))).alias("corr"))

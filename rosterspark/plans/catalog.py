@@ -506,8 +506,11 @@ def kmeans(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from rosterspark.plans import ratings_catalog  # noqa: F401  adds its queries to FOUND
+
     return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: s for k, (_, s) in FOUND.items() if s}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,10 +47,31 @@ def read_drifting(spark: SparkSession, root: str, as_strings: tuple[str, ...] =
     return union_by_name(frames)
 
 
-def read_tolerant(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
-    """The named columns as strings; shards that can't be read are skipped."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).schema(schema).parquet(root)
+def read_tolerant(spark: SparkSession, root: str, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """The named columns as strings, and the shards that were left out: those without a
+    readable footer. Shards are read by their own types, so that none is lost to a schema
+    that is not its own; columns that a shard lacks are null."""
+
+    def footer(path: str) -> str | None:
+        try:
+            return spark.read.parquet(path).schema.json()
+        except (AnalysisException, SparkRuntimeException, Py4JJavaError, PySparkException):
+            return None
+
+    paths = shard_paths(spark, root)
+    with ThreadPoolExecutor(8) as pool:
+        schemas = dict(zip(paths, pool.map(footer, paths), strict=True))
+    groups: dict[str, list[str]] = {}
+    for path, schema in schemas.items():
+        if schema is not None:
+            groups.setdefault(schema, []).append(path)
+    wanted = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    out = spark.createDataFrame([], wanted)
+    for schema, own in groups.items():
+        kind = T.StructType.fromJson(json.loads(schema))
+        shards = spark.read.schema(kind).parquet(*own)
+        out = out.unionByName(shards.select(*[F.col(c).cast("string").alias(c) if c in kind.names else F.lit(None).cast("string").alias(c) for c in columns]))
+    return out, [p for p, schema in schemas.items() if schema is None]
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.operators.relational import GuardError, missing_keys
+from rosterspark.operators.relational import GuardError, missing_keys, require_none
 
 
 def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
@@ -45,3 +45,26 @@ def publish(df: DataFrame, path: str, columns: list[str], least_rows: int = 1) -
         raise GuardError(f"fewer than {least_rows} rows")
     df.write.mode("overwrite").parquet(f"{path}.parquet")
     df.select(*columns).write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A small report as JSON lines in one file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def overwrite_window(df: DataFrame, path: str, by: list[str], known: list[tuple]) -> None:
+    """Replaces all partitions of a window, so that none of a group that is no longer
+    ``known`` stays behind; rows of an unknown group are an error."""
+    allowed = df.sparkSession.createDataFrame(known, df.select(*by).schema)
+    require_none(df.select(*by).join(F.broadcast(allowed), by, "left_anti"), "group that is not known")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by).parquet(path)
+
+
+def write_design(triplets: DataFrame, rows: DataFrame, index: DataFrame, path: str) -> None:
+    """A design as three Parquet tables: what is not zero, the rows, the columns' players."""
+    for name, part in (("triplets", triplets), ("rows", rows), ("index", index)):
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_design(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("triplets", "rows", "index"))

@@ -102,3 +102,83 @@ def test_ratings(spark):
     assert sides == ["home", None, "away"]
     one = spark.createDataFrame([(1,), (1,)], "v int")
     assert ratings.same_rows(one, one.limit(1)).count() == 1 and ratings.same_rows(one, one).count() == 0
+
+
+def test_tolerant_read_keeps_every_readable_shard(spark, tmp_path):
+    root = f"file://{tmp_path}/mixed"
+    spark.createDataFrame([(1, 5)], "k long, flag int").write.parquet(f"{root}/a")
+    spark.createDataFrame([("x", "y")], "k string, flag string").write.parquet(f"{root}/b")
+    spark.createDataFrame([(2.5,)], "k double").write.parquet(f"{root}/c")
+    (tmp_path / "mixed" / "broken.parquet").write_bytes(b"no parquet")
+    rows, left_out = files.read_tolerant(spark, root, ["k", "flag"])
+    assert {tuple(r) for r in rows.collect()} == {("1", "5"), ("x", "y"), ("2.5", None)}
+    assert len(left_out) == 1 and left_out[0].endswith("broken.parquet")
+
+
+def test_types_widen(spark):
+    a, b = spark.createDataFrame([(1, 1)], "n int, s int"), spark.createDataFrame([(0.5, "x")], "n double, s string")
+    out = relational.union_by_name([a, b])
+    assert dict(out.dtypes) == {"n": "double", "s": "string"} and {tuple(r) for r in out.collect()} == {(1.0, "1"), (0.5, "x")}
+
+
+def test_home_vote_counts_votes_only(spark):
+    log = [("g", 1, "A", "x"), ("g", 2, "B", "p"), ("g", 3, "A", "p"), ("h", 1, "A", "x"), ("i", 1, "", "p"), ("i", 2, "B", "p")]
+    df = spark.createDataFrame(log, "game string, n int, team string, who string").withColumn("five", F.array(F.lit("p")))
+    assert {r["game"]: r["home_team"] for r in sequence.home_team(df, "who", "five").collect()} == {"g": "B", "i": "B"}
+
+
+def test_lineup_keys_differ(spark):
+    df = spark.createDataFrame([(["a", "b", None],), (["b", "a"],), (["a|b"],), (["a", "b"],)], "five array<string>")
+    assert df.groupBy(arrays.lineup_key(F.col("five")).alias("k")).count().count() == 3
+
+
+def test_two_sided_design_drops_and_clamps(spark):
+    stints = [(1, ["a", "a", "b"], ["c"], 3.0, 0.0, 2, 0, 7), (2, ["a"], None, None, 4.0, 5, 8, 7)]
+    df = spark.createDataFrame(stints, "s int, h array<string>, a array<string>, home_pts double, away_pts double, home_poss int, away_poss int, game int")
+    rows = ridge.two_sided_rows(df, "s", "h", "a", "game")
+    assert {(r["row_id"]["stint"], r["side"], r["y"], r["w"]) for r in rows.collect()} == {(1, 0, 150.0, 2.0), (2, 1, 50.0, 8.0)}
+    index = ridge.require_index(ridge.player_index(df, ["h", "a"]), 3)
+    cells = {(r["row_id"]["stint"], r["col"], r["value"]) for r in ridge.two_sided_design(rows, index, 3).collect()}
+    assert cells == {(1, 0, 1.0), (1, 1, 1.0), (1, 5, 1.0), (2, 3, 1.0)}
+    with pytest.raises(relational.GuardError):
+        ridge.require_index(index.withColumn("col", F.lit(1)), 3)
+
+
+def test_bootstrap_by_game_agrees_with_refits(spark):
+    rng = np.random.default_rng(3)
+    x, y, w, g = rng.integers(0, 2, (40, 4)).astype(float), rng.normal(size=40), rng.uniform(1, 3, 40), rng.integers(0, 8, 40)
+    triplets = spark.createDataFrame([(i, int(j), 1.0) for i in range(40) for j in np.flatnonzero(x[i])], "row_id int, col int, value double")
+    rows = spark.createDataFrame([(i, float(y[i]), float(w[i]), int(g[i])) for i in range(40)], "row_id int, y double, w double, game int")
+    draws = ridge.block_bootstrap(ridge.equations(triplets, rows, 4, "game"), 2.0, 5, seed=1)
+    games, again = np.unique(g), np.random.default_rng(1)
+    for b in range(5):
+        times = again.multinomial(len(games), np.full(len(games), 1 / len(games)))
+        m = w * times[np.searchsorted(games, g)]
+        xc, yc = x - m @ x / m.sum(), y - m @ y / m.sum()
+        assert np.allclose(draws[b], np.linalg.solve(xc.T @ (m[:, None] * xc) + 2 * np.eye(4), xc.T @ (m * yc)))
+
+
+def test_sinks_of_designs_and_windows(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    both = spark.createDataFrame([("rim", 1), ("mid", 2)], "bucket string, v int")
+    sinks.overwrite_window(both, path, ["bucket"], [("rim",), ("mid",)])
+    sinks.overwrite_window(both.where("bucket = 'rim'"), path, ["bucket"], [("rim",)])
+    assert [tuple(r) for r in spark.read.parquet(path).select("bucket", "v").collect()] == [("rim", 1)]
+    with pytest.raises(relational.GuardError):
+        sinks.overwrite_window(both, path, ["bucket"], [("rim",)])
+    sinks.write_design(both, both, both, f"{path}-d")
+    assert [p.count() for p in sinks.read_design(spark, f"{path}-d")] == [2, 2, 2]
+    sinks.write_report(both, f"{path}-r")
+    assert spark.read.json(f"{path}-r").count() == 2
+    assert relational.find_columns(both, ["BUCK"]) == ["bucket"]
+
+
+def test_guards_of_predictors_and_priors(spark):
+    same = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "x double, c double")
+    with pytest.raises(relational.GuardError):
+        ratings.require_predictor(same, "x", "c")
+    assert ridge.calibrate_signs(np.r_[np.arange(12.0), -np.arange(12.0)], np.arange(12.0), np.arange(12.0)) == (1, -1)
+    row = spark.range(1).select(scalar.signal_of(F.lit(float("nan")), F.lit(0.2)).alias("s"), scalar.borderline(F.lit(0.11)).alias("b")).collect()[0]
+    assert (row["s"]["signal"], row["s"]["driver"], row["s"]["right_sign"]) == (0.2, "def", False) and abs(row["b"] - 0.01) < 1e-9
+    drift = files.schema_drift(same, same.withColumn("x", F.lit("s")))
+    assert drift == [("x", "double", "string")]
