@@ -2,12 +2,15 @@
 
 Documents are encoded once and written with their ids. The counts that BM25 needs,
 in how many documents each id of the vocabulary occurs and how long documents are,
-come from all documents. Documents are then dealt out by a hash of their id to
-shards of about ``SHARD_TOKENS`` tokens. Each shard holds an inverted index of all
-its documents; a window's first document asks it with its ``QUERY`` most
-informative ids, and the best unused neighbours fill the window in order. What
-does not fit is cut and opens the next window, so only a shard's last window is
-not full.
+come from all documents. Documents are then dealt out to shards of about
+``SHARD_TOKENS`` tokens by their content: the key is the least hash of the pairs of
+neighbouring ids in a document, so that two documents meet in one shard as often as
+such pairs are common to them, and copies always do. A key with more tokens than a
+shard is dealt on by ids, so that no group of copies is one task. Each shard holds
+an inverted index of all its documents; a window's first document asks it with all
+of its ids, and the best unused neighbours fill the window in order. What does not
+fit is cut and opens the next window, so only a shard's last window is not full.
+Neighbours are those of the shard: a document elsewhere is not found.
 
 Cases: a null or empty text is only its end id; rows with equal ids are packed
 one by one, in the order of their checksums; a document longer than a window spans
@@ -30,12 +33,27 @@ from rosterspark.llm.tokens import byte_encoder
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, 50_257
 SHARD_TOKENS = 1 << 21
-#: Ids a seed asks with, neighbours fetched at once, and BM25's constants.
-QUERY, FETCHED, K1, B = 24, 32, 1.2, 0.75
-ENCODED = "doc_id long, n long, ids binary, df_id array<int>, df_n array<long>"
+#: Neighbours fetched at once, and BM25's constants.
+FETCHED, K1, B = 32, 1.2, 0.75
+ENCODED = "doc_id long, n long, key long, ids binary, df_id array<int>, df_n array<long>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def content_keys(ids: list[np.ndarray]) -> np.ndarray:
+    """The least hash of the pairs of neighbouring ids of each document, end id included."""
+    n = np.array([len(x) for x in ids])
+    flat = np.concatenate([*ids, np.zeros(1, np.uint16)]).astype(np.uint32)
+    pair = (flat[:-1] << np.uint32(16)) | flat[1:]
+    pair *= np.uint32(0x85EBCA6B)
+    pair ^= pair >> np.uint32(13)
+    pair *= np.uint32(0xC2B2AE35)
+    pair ^= pair >> np.uint32(16)
+    ends = np.cumsum(n)
+    # The end id has no neighbour; alone it is its own key.
+    pair[ends - 1] = np.where(n > 1, np.iinfo(np.uint32).max, flat[:-1][ends - 1])
+    return np.minimum.reduceat(pair, ends - n).astype(np.int64)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, ranks: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, n, ids) per document, and a row of each task with the ids it met and in
     how many documents; written to the shared folder."""
@@ -51,10 +69,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, ranks: str, end_id: int =
                 key = np.sort((np.repeat(np.arange(len(ids), dtype=np.uint32), [len(x) for x in ids]) << np.uint32(16)) | np.concatenate(ids))
                 own = key[np.append(True, key[1:] != key[:-1])]
                 df += np.bincount(own & np.uint32(0xFFFF), minlength=VOCABULARY)[:VOCABULARY]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo : lo + 500].astype("Int64").array, "n": [len(x) for x in ids], "ids": [x.tobytes() for x in ids], "df_id": None, "df_n": None})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo : lo + 500].astype("Int64").array, "n": [len(x) for x in ids], "key": content_keys(ids), "ids": [x.tobytes() for x in ids], "df_id": None, "df_n": None})
         at = np.flatnonzero(df)
         if len(at):
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "ids": [None], "df_id": [at.tolist()], "df_n": [df[at].tolist()]})
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": pd.array([None], "Int64"), "key": pd.array([None], "Int64"), "ids": [None], "df_id": [at.tolist()], "df_n": [df[at].tolist()]})
 
     return materialise(docs.select("doc_id", "text").mapInPandas(run, ENCODED), "encoded")
 
@@ -75,10 +93,10 @@ class Index:
         norm = K1 * (1 - B + B * n / mean_length)
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
         self.at = np.searchsorted(term, np.arange(VOCABULARY + 1))
-        # The same postings by document: each one's most informative ids.
-        order = np.lexsort((-self.weight, self.doc))
+        # The same postings by document: the ids that each one asks with.
+        order = np.argsort(self.doc, kind="stable")
         start = np.searchsorted(self.doc[order], np.arange(len(ids) + 1))
-        self.asked = [term[order[start[d] : min(start[d] + QUERY, start[d + 1])]] for d in range(len(ids))]
+        self.asked = [term[order[start[d] : start[d + 1]]] for d in range(len(ids))]
         self.size = len(ids)
 
     def scores(self, seed: int) -> np.ndarray:
@@ -137,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, window: int = WINDOW, shar
     df = np.zeros(VOCABULARY)
     for r in counts.collect():  # VOCABULARY rows at most
         df[r["df_id"]] = r["n"]
-    documents = encoded.where("ids IS NOT NULL").select("doc_id", "ids", "n")
+    documents = encoded.where("ids IS NOT NULL").select("doc_id", "ids", "n", "key")
     total = documents.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).collect()[0]
     shards = max(1, -(-total["tokens"] // shard_tokens))
     mean_length = max(1.0, total["tokens"] / max(1, total["n"]))
@@ -165,5 +183,9 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, window: int = WINDOW, shar
         out.insert(0, "doc_id", known[out.pop("doc").to_numpy()])
         return out.assign(ids=pieces) if with_ids else out
 
-    dealt = documents.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    # Keys that fill a shard by themselves: fewer than there are shards.
+    hot = documents.groupBy("key").agg(F.ceil(F.sum("n") / shard_tokens).cast("int").alias("parts")).where("parts > 1").select(F.col("key").alias("_key"), "parts")
+    dealt = documents.join(materialise(hot, "hot-keys"), F.col("key") == F.col("_key"), "left")
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.col("parts")), F.lit(0))
+    dealt = dealt.select("doc_id", "ids", F.pmod(F.xxhash64("key", part), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInPandas(run, PIECES + (", ids binary" if with_ids else ""))

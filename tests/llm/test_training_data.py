@@ -274,6 +274,33 @@ def test_packing_round_trip(spark):
         assert at == len(own)
 
 
+def test_bm25_against_brute_force():
+    rng = np.random.default_rng(7)
+    ids = [rng.zipf(1.4, rng.integers(1, 60)).clip(0, 300).astype(np.uint16) for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=packing.VOCABULARY)
+    idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)), float(np.mean([len(x) for x in ids]))
+    index = packing.Index(ids, idf, mean)
+    for seed in range(60):
+        wanted = np.zeros(60)
+        for d in range(60):
+            norm = packing.K1 * (1 - packing.B + packing.B * len(ids[d]) / mean)
+            tf = {t: int((ids[d] == t).sum()) for t in np.unique(ids[seed]).tolist()}
+            wanted[d] = sum(idf[t] * n * (packing.K1 + 1) / (n + norm) for t, n in tf.items() if n)
+        assert np.allclose(index.scores(seed), wanted, rtol=1e-4)
+    # A window's first document is followed by its best unused neighbours.
+    lengths = np.array([len(x) for x in ids])
+    pieces = list(packing.plan_windows(lengths, index, 100))
+    first = [d for d, start, _, number, _ in pieces if number == 0]
+    ranked = [d for d in np.argsort(-index.scores(first[0]), kind="stable").tolist() if d != first[0]]
+    assert first[1:] == ranked[: len(first) - 1]
+
+
+def test_content_keys():
+    ids = [np.array(x, np.uint16) for x in ([5, 6, 7, 1], [1], [9, 5, 6, 7, 1], [1], [5, 6, 7, 1])]
+    keys = packing.content_keys(ids)
+    assert keys[0] == keys[4] and keys[1] == keys[3] and len(set(keys.tolist())) <= 3
+
+
 def test_pages(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>x  y<br>z<p>{}</article><div id=comments>c</div><footer>f</footer></body></html>"
     pages = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(f"own {i}")) for i in range(6)] + [(9, None, None)], "page_id long, url string, html string")
