@@ -19,7 +19,8 @@ the slot with most characters that are neither links nor fixed is; so is any oth
 whose characters are not mostly links or fixed and whose texts vary as much from
 page to page. Names of elements speak where they are clear (a form, a comment
 list), and those that may also stand in an article (``WEAK``) only over a whole
-slot. Kept texts follow each other block by block.
+slot. A block of which one text is kept stays whole, but for what names rule out.
+Kept texts follow each other block by block.
 
 Cases: null or empty html gives an empty text; a page without a host, or of a
 host with fewer than ``MIN_PAGES`` pages, has no template and is read by names
@@ -317,12 +318,17 @@ def extract(pages: DataFrame, names: bool = True, min_pages: int = MIN_PAGES) ->
     # Written first, so that Spark knows its size and sends it to all tasks only where it is small.
     joined = meet(pieces, materialise(article_slots(pieces, names), "article-slots"), F.struct("page_id"), "left")
 
-    def says(p: Column) -> Column:
-        clear = p["flags"].bitwiseAND(F.lit(OUT)) == 0 if names else F.lit(True)
-        alone = p["flags"].bitwiseAND(F.lit(OUT | DOUBTED)) == 0 if names else F.lit(True)
-        chosen = F.array_contains("slots", p["slot"]) & (F.col("fixed_too") | ~p["fixed"]) & clear
-        return F.when(F.col("templated"), F.coalesce(chosen, F.lit(False))).otherwise(alone)
+    def named(p: Column, flags: int) -> Column:
+        return p["flags"].bitwiseAND(F.lit(flags)) != 0 if names else F.lit(False)
 
-    lines = F.transform("blocks", lambda b: F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(b, says), lambda p: p["text"]), ""), " +", " ")))
+    def chosen(p: Column) -> Column:
+        free = F.coalesce(F.array_contains("slots", p["slot"]), F.lit(False)) & (F.col("fixed_too") | ~p["fixed"])
+        return free & ~named(p, OUT) & (F.trim(p["text"]) != "")
+
+    def block(b: Column) -> Column:
+        # One chosen text brings the words about it along: a block is no patchwork.
+        return F.filter(b, lambda p: F.when(F.col("templated"), F.exists(b, chosen) & ~named(p, OUT)).otherwise(~named(p, OUT | DOUBTED)))
+
+    lines = F.transform("blocks", lambda b: F.trim(F.regexp_replace(F.array_join(F.transform(block(b), lambda p: p["text"]), ""), " +", " ")))
     out = joined.select("page_id", "url", F.array_join(F.filter(lines, lambda x: x != ""), "\n").alias("text"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -306,7 +306,8 @@ def test_pages(spark):
     pages = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(f"own {i}")) for i in range(6)] + [(9, None, None)], "page_id long, url string, html string")
     found = {r["page_id"]: r["text"] for r in page_template.extract(pages).collect()}
     assert found[9] == "" and all(found[i].endswith(f"own {i}") for i in range(6))
-    assert page_template.main_text(page.format("own")) == "A & B\nx y z\nown"
+    alone = spark.createDataFrame([(1, "http://one.example/", page.format("own"))], "page_id long, url string, html string")
+    assert page_template.extract(alone).collect()[0]["text"] == "A & B\nx y z\nown"
 
 
 def test_syncmers(spark):
@@ -478,3 +479,37 @@ def test_pipeline(spark):
         docs = out
     packed = corpus_pipeline.run(spark, DATA)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_templates_against_brute_force(spark):
+    """Slots by hand: three classes of tokens, one of them repeated, and a text between every two."""
+    a, b, c, x, y, z = 11, 12, 13, 21, 22, 23
+    tokens = [a, 1, b, x, 2, y, 3, z, x, 4, y, z, 5, c, 6]
+    slots = page_template.nested(tokens, [[a, b, c], [x, y, z]])
+    where = {t: s for t, s in zip(tokens, slots, strict=True) if t < 10}
+    assert where[6] == 0 and len({where[1], where[2], where[3], where[5]}) == 4
+    assert where[2] == where[4]  # the same place in each repetition
+    # A class out of order has no slots; of two that cross the larger stays.
+    assert page_template.nested([b, 1, a, c], [[a, b, c]]) == [0, 0, 0, 0]
+    crossed = page_template.nested([a, x, 1, b, y, c, z], [[a, b, c, 99][:3], [x, y, z, 98][:3]])
+    assert crossed[2] and len({s for s in crossed if s}) == 2
+    deep = "<div>x" * 20_000
+    import time
+
+    began = time.time()
+    assert len(page_template.pieces_of(deep, [])) == 20_000 and time.time() - began < 5
+
+
+def test_the_template_does_the_extraction(spark):
+    frame = "<html><body><div class=q1><a href=/{0}>Menu {0}</a> <a>more</a></div><div class=q2><h1>Title {0}</h1><p>own text {0} of this page, long enough<figure><figcaption>caption {0}</figcaption></figure><p>and <b>more {0}</b> of it</div><div class=q3>All pages say this</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", frame.format(f"k{i}")) for i in range(8)]
+    rows += [rows[0], (90, "http://h.example/x", frame.format("k0")), (91, "http://h.example/y", None), (92, None, "<p>alone"), (93, "http://one.example/", "<nav>menu</nav><p>alone")]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, host string, slots int")
+    found = sorted((r["page_id"], r["text"], r["n_chars"]) for r in page_template.extract(pages, min_pages=4).collect())
+    said = lambda k: f"Title {k}\nown text {k} of this page, long enough\ncaption {k}\nand more {k} of it"
+    wanted = [(i, said(f"k{i}")) for i in range(8)] + [(0, said("k0")), (90, said("k0")), (91, ""), (92, "alone"), (93, "alone")]
+    assert found == sorted((i, t, len(t)) for i, t in wanted)
+    # Without a template neither the menu nor the fixed text is known: the names say nothing.
+    bare = {r["page_id"]: r["text"] for r in page_template.extract(pages, min_pages=10**9).collect()}
+    assert "Menu k1" in bare[1] and "All pages say this" in bare[1]
+    assert {r["text"] for r in page_template.extract(pages, names=False, min_pages=4).where("page_id < 8").collect()} == {said(f"k{i}") for i in range(8)}
