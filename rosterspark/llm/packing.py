@@ -28,11 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterspark.llm.common import materialise
+from rosterspark.llm.common import materialise, shuffle_partitions
 from rosterspark.llm.tokens import byte_encoder
 
 WINDOW, END_ID, VOCABULARY = 2048, 1, 50_257
 SHARD_TOKENS = 1 << 21
+#: Tasks among which shards are dealt at most; with more shards, a task packs several in turn.
+TASKS = 1 << 15
 #: Neighbours fetched at once, and BM25's constants.
 FETCHED, K1, B = 32, 1.2, 0.75
 ENCODED = "doc_id long, n long, key long, ids binary, df_id array<int>, df_n array<long>"
@@ -199,4 +201,6 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, window: int = WINDOW, shar
     dealt = documents.join(materialise(hot, "hot-keys"), F.col("key") == F.col("_key"), "left")
     part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.col("parts")), F.lit(0))
     dealt = dealt.select("doc_id", "ids", F.pmod(F.xxhash64("key", part), F.lit(shards)).alias("shard"))
+    if shards > shuffle_partitions(spark):  # what a task reads doesn't grow with the input
+        dealt = dealt.repartition(min(shards, TASKS), "shard")
     return dealt.groupBy("shard").applyInPandas(run, PIECES + (", ids binary" if with_ids else ""))
