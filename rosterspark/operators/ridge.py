@@ -2,21 +2,27 @@
 
 A design is long: (row_id, col, value) triplets beside a table of rows (row_id, y,
 w, group). Spark sums the normal equations; only they, whose size is the number of
-columns squared, come to the driver, where the dense systems are solved.
+columns squared, come to the driver, where the dense systems are solved. Beyond
+``MAX_COLUMNS`` Spark multiplies design and vectors instead, and bootstrap draws are
+solved in tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterspark.operators.relational import require_none
 
 #: Columns up to which the normal equations may be solved on the driver.
 MAX_COLUMNS = 8000
+#: Pairs of columns whose products by group a task of the bootstrap holds.
+PAIRS = 1 << 14
 # The penalties that cross-validation tries, 31.6 to 31,623 in sixteen steps of like ratio.
 ALPHAS = tuple(float(a) for a in np.logspace(1.5, 4.5, 16))
 #: Points for a hundred possessions.
@@ -116,15 +122,90 @@ def equations(triplets: DataFrame, rows: DataFrame, n_cols: int, fold: str | Non
     # At most n_cols squared rows a fold, as columns.
     sums = products(triplets, rows, n_cols, fold).toArrow()
     f, i, j, g = (sums.column(c).to_numpy() for c in ("fold", "i", "j", "g"))
-    out = {}
-    for k in np.unique(f).tolist():
-        own = f == k
-        full = np.zeros((n_cols + 2, n_cols + 2))
-        full[i[own], j[own]] = g[own]
-        full[j[own], i[own]] = g[own]
-        n = n_cols
-        out[k] = Equations(full[:n, :n].copy(), full[:n, n + 1].copy(), full[:n, n].copy(), float(full[n, n]), float(full[n, n + 1]), float(full[n + 1, n + 1]))
-    return out
+    return {k: of_products(i[f == k], j[f == k], g[f == k], n_cols) for k in np.unique(f).tolist()}
+
+
+def of_products(i: np.ndarray, j: np.ndarray, g: np.ndarray, n: int) -> Equations:
+    """The normal equations of ``n`` columns whose products (i, j, g) these are."""
+    full = np.zeros((n + 2, n + 2))
+    full[i, j] = g
+    full[j, i] = g
+    return Equations(full[:n, :n].copy(), full[:n, n + 1].copy(), full[:n, n].copy(), float(full[n, n]), float(full[n, n + 1]), float(full[n + 1, n + 1]))
+
+
+def fit(triplets: DataFrame, rows: DataFrame, n_cols: int, alpha: float, mu: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """beta and intercept, by a dense solution up to ``MAX_COLUMNS`` and by conjugate gradients beyond."""
+    if n_cols <= MAX_COLUMNS:
+        return equations(triplets, rows, n_cols)[0].solve(alpha, mu)
+    return conjugate_gradients(triplets, rows, n_cols, alpha, mu)
+
+
+def conjugate_gradients(triplets: DataFrame, rows: DataFrame, n_cols: int, alpha: float, mu: np.ndarray | None = None, tolerance: float = 1e-10, steps: int = 500) -> tuple[np.ndarray, float]:
+    """The same fit without the products of columns: Spark multiplies the design by a
+    vector once a step, and the driver holds vectors of ``n_cols`` numbers alone."""
+    spark = rows.sparkSession
+    rows = rows.select("row_id", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
+    cells = triplets.groupBy("row_id", "col").agg(F.sum("value").cast("double").alias("value"))
+    # The cells of a row together, kept for all steps.
+    design = cells.groupBy("row_id").agg(F.collect_list(F.struct("col", "value")).alias("x")).join(rows, "row_id").select(F.col("x.col").cast("array<int>").alias("c"), F.col("x.value").alias("v"), "w", "y").persist()
+
+    def summed(weigh: Column | None, vector: np.ndarray | None) -> np.ndarray:
+        """The sum over rows of w times ``weigh``, or times the row's product with ``vector``, by column."""
+        sent = spark.sparkContext.broadcast(vector)  # n_cols numbers
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(n_cols)
+            for b in batches:
+                if not len(b):
+                    continue
+                c, v, held = np.concatenate(b["c"].to_list()), np.concatenate(b["v"].to_list()), b["c"].map(len).to_numpy()
+                times = b["t"].to_numpy()
+                if sent.value is not None:
+                    times = times * np.add.reduceat(v * sent.value[c], np.cumsum(held) - held)
+                total += np.bincount(c, v * np.repeat(times, held), n_cols)
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"col": at.astype(np.int32), "s": total[at]})
+
+        part = design.select("c", "v", (F.col("w") if weigh is None else F.col("w") * weigh).alias("t")).mapInPandas(run, "col int, s double")
+        found = part.groupBy("col").agg(F.sum("s").alias("s")).toArrow()  # n_cols rows at most
+        out = np.zeros(n_cols)
+        out[found.column("col").to_numpy()] = found.column("s").to_numpy()
+        sent.destroy()
+        return out
+
+    try:
+        s = rows.agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y")).alias("sy")).collect()[0]
+        xw, xy = summed(F.lit(1.0), None), summed(F.col("y"), None)
+        diagonal = cells.join(rows, "row_id").groupBy("col").agg(F.sum(F.col("w") * F.col("value") * F.col("value")).alias("d")).toArrow()
+        scale = np.full(n_cols, float(alpha))
+        scale[diagonal.column("col").to_numpy()] += diagonal.column("d").to_numpy()
+        scale = np.where(scale > 0, scale, 1.0)
+
+        def gram(v: np.ndarray) -> np.ndarray:
+            return summed(None, v) - xw * (xw @ v) / s["sw"]
+
+        shift = np.zeros(n_cols) if mu is None else np.asarray(mu, float)
+        left = xy - xw * s["sy"] / s["sw"]
+        if mu is not None:
+            left = left - gram(shift)
+        beta, goal = np.zeros(n_cols), tolerance * np.linalg.norm(left)
+        ahead = left / scale
+        rise = left @ ahead
+        for _ in range(steps):
+            if np.linalg.norm(left) <= goal:
+                break
+            moved = gram(ahead) + alpha * ahead
+            step = rise / (ahead @ moved)
+            beta, left = beta + step * ahead, left - step * moved
+            eased = left / scale
+            rise, before = left @ eased, rise
+            ahead = eased + rise / before * ahead
+        else:
+            raise ArithmeticError(f"no solution within {steps} steps")
+        beta = shift + beta
+        return beta, (s["sy"] - xw @ beta) / s["sw"]
+    finally:
+        design.unpersist()
 
 
 def balanced_folds(sizes: dict, n_folds: int = 5) -> dict:
@@ -155,16 +236,47 @@ def choose_alpha(folds: dict[int, Equations], alphas: list[float], mu: np.ndarra
     return min(errors, key=lambda a: (errors[a], a)), errors
 
 
-def block_bootstrap(groups: dict[int, Equations], alpha: float, n_draws: int = 200, seed: int = 42) -> np.ndarray:
-    """Coefficients of refits on groups drawn with replacement, a row each."""
+def block_bootstrap(triplets: DataFrame, rows: DataFrame, n_cols: int, group: str, alpha: float, n_draws: int = 200, seed: int = 42) -> DataFrame:
+    """(draw, col, beta): refits on groups drawn with replacement. The products of each
+    group are summed once; a chunk of them gives all draws their sums, and a task solves
+    one draw's system at a time."""
+    if n_cols > MAX_COLUMNS:
+        raise ValueError(f"{n_cols} columns; a task solves up to {MAX_COLUMNS}")
+    spark, m = rows.sparkSession, n_cols + 2
+    # A group is a game, of which there are thousands.
+    known = rows.select(group).distinct().withColumn("part", (F.row_number().over(Window.orderBy(group)) - 1).cast("int"))
+    n = known.count()
     rng = np.random.default_rng(seed)
-    own = list(groups.values())
-    out = []
-    for _ in range(n_draws):
-        times = rng.multinomial(len(own), np.full(len(own), 1 / len(own)))
-        drawn = Equations(*(sum(t * p for t, p in zip(times, ps, strict=True) if t) for ps in zip(*(e.parts() for e in own), strict=True)))
-        out.append(drawn.solve(alpha)[0])
-    return np.array(out)
+    # Draws times groups numbers.
+    times = spark.sparkContext.broadcast(np.array([rng.multinomial(n, np.full(n, 1 / n)) for _ in range(n_draws)] if n else np.zeros((n_draws, 0))))
+    sums = products(triplets, rows.join(known, group), n_cols, "part")
+
+    def drawn(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
+        pair, at = np.unique(chunk["i"].to_numpy(np.int64) * m + chunk["j"].to_numpy(np.int64), return_inverse=True)
+        own, g = chunk["fold"].to_numpy(), chunk["g"].to_numpy()
+        return pd.DataFrame([(k, pair.tobytes(), np.bincount(at, g * t[own], len(pair)).tobytes()) for k, t in enumerate(times.value)], columns=["draw", "pair", "g"])
+
+    def solved(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        pair, g = (np.frombuffer(b"".join(parts[c]), t) for c, t in (("pair", np.int64), ("g", np.float64)))
+        beta, _ = of_products(pair // m, pair % m, g, n_cols).solve(alpha)
+        return pd.DataFrame({"draw": key[0], "col": np.arange(n_cols), "beta": beta})
+
+    chunk = F.pmod(F.xxhash64("i", "j"), F.lit(1 + m * m // PAIRS))
+    sums = sums.groupBy(chunk.alias("chunk")).applyInPandas(drawn, "draw int, pair binary, g binary")
+    return sums.groupBy("draw").applyInPandas(solved, "draw int, col int, beta double")
+
+
+def draw_intervals(draws: DataFrame, keys: list[str], value: str, percent: float = 95.0) -> DataFrame:
+    """(keys, low, high, se) over the draws of each key."""
+    tail = (100 - percent) / 200
+    return draws.groupBy(*keys).agg(F.percentile(value, F.lit(tail)).alias("low"), F.percentile(value, F.lit(1 - tail)).alias("high"), F.stddev_samp(value).alias("se"))
+
+
+def two_sided_draws(draws: DataFrame, n: int) -> DataFrame:
+    """(draw, col, offence, defence, total) of the draws of a two-sided design with ``n`` players."""
+    attack = F.col("col") < n
+    out = draws.groupBy("draw", (F.col("col") % n).alias("col")).agg(F.max(F.when(attack, F.col("beta"))).alias("offence"), F.max(F.when(~attack, -F.col("beta"))).alias("defence"))
+    return out.withColumn("total", F.col("offence") + F.col("defence"))
 
 
 def leaderboard(spark, index: DataFrame, beta: np.ndarray) -> DataFrame:

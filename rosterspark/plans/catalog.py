@@ -459,7 +459,7 @@ def design_of(spark, d):
 @query()
 def ridge_ratings(spark, d):
     index, triplets, rows, n = design_of(spark, d)
-    beta, _ = ridge.equations(triplets, rows, n)[0].solve(1000.0)
+    beta, _ = ridge.fit(triplets, rows, n, 1000.0)
     coefs = spark.createDataFrame([(i, round(float(b), 6)) for i, b in enumerate(beta)], "col int, rating double")
     return index.join(coefs, "col").select("player", "rating")
 
@@ -469,7 +469,7 @@ def ridge_shrunk(spark, d):
     import numpy as np
 
     index, triplets, rows, n = design_of(spark, d)
-    beta, _ = ridge.equations(triplets, rows, n)[0].solve(3162.0, np.linspace(-1, 1, n))
+    beta, _ = ridge.fit(triplets, rows, n, 3162.0, np.linspace(-1, 1, n))
     coefs = spark.createDataFrame([(i, round(float(b), 6)) for i, b in enumerate(beta)], "col int, rating double")
     return index.join(coefs, "col").select("player", "rating")
 
@@ -484,14 +484,9 @@ def alpha_cv(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    import numpy as np
-
     index, triplets, rows, n = design_of(spark, d)
-    draws = ridge.block_bootstrap(ridge.equations(triplets, rows, n, "grp"), 1000.0)
-    low, high = np.nanpercentile(draws, [2.5, 97.5], axis=0)
-    se = np.nanstd(draws, axis=0, ddof=1)
-    ci = spark.createDataFrame([(i, round(float(a), 6), round(float(b), 6), round(float(e), 6)) for i, (a, b, e) in enumerate(zip(low, high, se, strict=True))], "col int, low double, high double, se double")
-    return index.join(ci, "col").select("player", "low", "high", "se")
+    ci = ridge.draw_intervals(ridge.block_bootstrap(triplets, rows, n, "grp", 1000.0), ["col"], "beta")
+    return index.join(ci, "col").select("player", *[F.round(c, 6).alias(c) for c in ("low", "high", "se")])
 
 
 @query()

@@ -156,10 +156,20 @@ def design_support(spark, d):
 @query()
 def two_sided_board(spark, d):
     index, rows, triplets, n = two_sided_of(spark, d)
-    beta, _ = ridge.equations(triplets, rows, 2 * n)[0].solve(100.0)
+    beta, _ = ridge.fit(triplets, rows, 2 * n, 100.0)
     return ridge.leaderboard(spark, index, beta).select("player", *[F.round(c, 6).alias(c) for c in ("offence", "defence", "total")])
 
 
+@query()
+def two_sided_intervals(spark, d):
+    """95 % intervals and standard errors of both sides and their sum, over refits on drawn groups of orders."""
+    index, rows, triplets, n = two_sided_of(spark, d)
+    draws = ridge.two_sided_draws(ridge.block_bootstrap(triplets, rows.withColumn("grp", F.col("group") % 50), 2 * n, "grp", 100.0), n)
+    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("end"), F.col(c).alias("value")) for c in ("offence", "defence", "total")]))
+    ci = ridge.draw_intervals(draws.select("col", ends.alias("x")).select("col", "x.*"), ["col", "end"], "value")
+    return index.join(ci, "col").select("player", "end", *[F.round(c, 6).alias(c) for c in ("low", "high", "se")])
+
+
 @query()
 def alpha_sweep(spark, d):
     """Each penalty's fit on three quarters of the stints, scored on the rest; one pass over both."""

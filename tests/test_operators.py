@@ -52,6 +52,11 @@ def test_ridge_agrees_with_closed_form(spark):
     xc, yc = x - w @ x / w.sum(), y - w @ y / w.sum()
     wanted = mu + np.linalg.solve(xc.T @ (w[:, None] * xc) + 7 * np.eye(6), xc.T @ (w * (yc - xc @ mu)))
     assert np.allclose(beta, wanted) and np.isclose(b0, w @ (y - x @ beta) / w.sum())
+    # Without the products of columns, with a row that has no cell and a column that no row has.
+    more = rows.unionByName(spark.createDataFrame([(99, 2.0, 3.0)], rows.schema))
+    dense, by_steps = (f(triplets, more, 7, 7.0, np.append(mu, 0.5)) for f in (ridge.fit, ridge.conjugate_gradients))
+    assert np.allclose(dense[0], by_steps[0], atol=1e-8) and np.isclose(dense[1], by_steps[1])
+    assert np.allclose(ridge.conjugate_gradients(triplets, rows, 6, 7.0)[0], ridge.fit(triplets, rows, 6, 7.0)[0], atol=1e-8)
 
 
 def test_calibration_with_ties(spark):
@@ -149,7 +154,12 @@ def test_bootstrap_by_game_agrees_with_refits(spark):
     x, y, w, g = rng.integers(0, 2, (40, 4)).astype(float), rng.normal(size=40), rng.uniform(1, 3, 40), rng.integers(0, 8, 40)
     triplets = spark.createDataFrame([(i, int(j), 1.0) for i in range(40) for j in np.flatnonzero(x[i])], "row_id int, col int, value double")
     rows = spark.createDataFrame([(i, float(y[i]), float(w[i]), int(g[i])) for i in range(40)], "row_id int, y double, w double, game int")
-    draws = ridge.block_bootstrap(ridge.equations(triplets, rows, 4, "game"), 2.0, 5, seed=1)
+    found = ridge.block_bootstrap(triplets, rows, 4, "game", 2.0, 5, seed=1)
+    draws = np.array([r["beta"] for r in found.orderBy("draw", "col").collect()]).reshape(5, 4)
+    sides = {(r["draw"], r["col"]): (r["offence"], r["defence"], r["total"]) for r in ridge.two_sided_draws(found, 2).collect()}
+    assert all(np.allclose(sides[b, c], (draws[b, c], -draws[b, c + 2], draws[b, c] - draws[b, c + 2])) for b in range(5) for c in range(2))
+    ci = ridge.draw_intervals(found, ["col"], "beta").orderBy("col").collect()
+    assert np.allclose([[r["low"], r["high"]] for r in ci], np.percentile(draws, [2.5, 97.5], axis=0).T) and np.allclose([r["se"] for r in ci], draws.std(0, ddof=1))
     games, again = np.unique(g), np.random.default_rng(1)
     for b in range(5):
         times = again.multinomial(len(games), np.full(len(games), 1 / len(games)))
