@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import json
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from io import BytesIO
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException, SparkRuntimeException
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterspark.operators.relational import union_by_name
 
+#: Where Spark keeps its own types in a footer.
+SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
+
 
 def read_shards(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
     """All Parquet files below ``root``. Directory names are not read as columns: a
@@ -21,10 +25,28 @@ def read_shards(spark: SparkSession, root: str, schema: T.StructType | None = No
     return (reader.schema(schema) if schema else reader).parquet(root)
 
 
-def shard_paths(spark: SparkSession, root: str) -> list[str]:
-    """The Parquet files below ``root``, by Spark's own listing, so that any store works."""
+def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        found = []
+        for content in b["content"]:
+            try:
+                schema = pq.read_schema(BytesIO(content))
+                found.append(str((schema.remove_metadata(), (schema.metadata or {}).get(SPARK_SCHEMA))))
+            except (pa.ArrowException, OSError):  # no readable footer
+                found.append(None)
+        yield pd.DataFrame({"path": b["path"], "layout": found})
+
+
+def shard_layouts(spark: SparkSession, root: str) -> tuple[list[list[str]], list[str]]:
+    """The Parquet files below ``root`` grouped by the columns and types of their footers,
+    and those without a readable footer. Tasks read the footers, by Spark's own listing,
+    so that any store works; a file must fit in a task, as per-game shards do."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
-    return sorted(r["path"] for r in listed.select("path").collect())  # a row for each file
+    groups: dict[str | None, list[str]] = {}
+    for r in listed.select("path", "content").mapInPandas(_layouts, "path string, layout string").orderBy("path").collect():  # a row for each file
+        groups.setdefault(r["layout"], []).append(r["path"])
+    unread = groups.pop(None, [])
+    return list(groups.values()), unread
 
 
 def read_drifting(spark: SparkSession, root: str, as_strings: tuple[str, ...] = ()) -> DataFrame:
@@ -34,15 +56,12 @@ def read_drifting(spark: SparkSession, root: str, as_strings: tuple[str, ...] =
     drifting columns and ``as_strings`` become strings, absent ones null. A shard
     that can't be read is an error.
     """
-    paths = shard_paths(spark, root)
-    if not paths:
+    groups, unread = shard_layouts(spark, root)
+    if unread:
+        raise OSError(f"no readable footer: {unread[:5]}")
+    if not groups:
         raise FileNotFoundError(f"no Parquet files below {root}")
-    with ThreadPoolExecutor(8) as pool:
-        schemas = list(pool.map(lambda p: spark.read.parquet(p).schema.json(), paths))
-    groups: dict[str, list[str]] = {}
-    for path, schema in zip(paths, schemas, strict=True):
-        groups.setdefault(schema, []).append(path)
-    frames = [spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(*own) for s, own in groups.items()]
+    frames = [spark.read.parquet(*own) for own in groups]
     frames = [f.withColumns({c: F.col(c).cast("string") for c in as_strings if c in f.columns}) if as_strings else f for f in frames]
     return union_by_name(frames)
 
@@ -52,26 +71,13 @@ def read_tolerant(spark: SparkSession, root: str, columns: list[str]) -> tuple[D
     readable footer. Shards are read by their own types, so that none is lost to a schema
     that is not its own; columns that a shard lacks are null."""
 
-    def footer(path: str) -> str | None:
-        try:
-            return spark.read.parquet(path).schema.json()
-        except (AnalysisException, SparkRuntimeException, Py4JJavaError, PySparkException):
-            return None
-
-    paths = shard_paths(spark, root)
-    with ThreadPoolExecutor(8) as pool:
-        schemas = dict(zip(paths, pool.map(footer, paths), strict=True))
-    groups: dict[str, list[str]] = {}
-    for path, schema in schemas.items():
-        if schema is not None:
-            groups.setdefault(schema, []).append(path)
+    groups, unread = shard_layouts(spark, root)
     wanted = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     out = spark.createDataFrame([], wanted)
-    for schema, own in groups.items():
-        kind = T.StructType.fromJson(json.loads(schema))
-        shards = spark.read.schema(kind).parquet(*own)
-        out = out.unionByName(shards.select(*[F.col(c).cast("string").alias(c) if c in kind.names else F.lit(None).cast("string").alias(c) for c in columns]))
-    return out, [p for p, schema in schemas.items() if schema is None]
+    for own in groups:
+        shards = spark.read.parquet(*own)
+        out = out.unionByName(shards.select(*[F.col(c).cast("string").alias(c) if c in shards.columns else F.lit(None).cast("string").alias(c) for c in columns]))
+    return out, unread
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
