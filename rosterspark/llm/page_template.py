@@ -19,7 +19,7 @@ the slot with most characters that are neither links nor fixed is; so is any oth
 whose characters are not mostly links or fixed and whose texts vary as much from
 page to page. Names of elements speak where they are clear (a form, a comment
 list), and those that may also stand in an article (``WEAK``) only over a whole
-slot. A block of which one text is kept stays whole, but for what names rule out.
+slot. A text that one page repeats counts once for it. A block of which one text is kept stays whole, but for what names rule out.
 Kept texts follow each other block by block.
 
 Cases: null or empty html gives an empty text; a page without a host, or of a
@@ -292,14 +292,14 @@ def page_pieces(pages: DataFrame, classes: DataFrame) -> DataFrame:
 def article_slots(pieces: DataFrame, names: bool = True) -> DataFrame:
     """(host, slots, fixed_too): of each host with a template the slots that are its
     articles', and whether the main one consists of fixed texts, as with copies."""
-    flat = pieces.where("templated").select("host", F.explode(F.flatten("blocks")).alias("p")).select("host", "p.*")
+    flat = pieces.where("templated").select("host", "page_id", F.explode(F.flatten("blocks")).alias("p")).select("host", "page_id", "p.*")
     n, flags = F.char_length("text"), F.col("flags")
     named = flags.bitwiseAND(F.lit(OUT | DOUBTED)) != 0
     of = {"link": flags.bitwiseAND(F.lit(LINK)) != 0, "named": named if names else F.lit(False), "fixed": F.col("fixed")}
     mine = ~of["link"] & ~of["named"]
     stats = flat.groupBy("host", "slot").agg(
         F.sum(n).alias("chars"), *[F.sum(F.when(is_it, n).otherwise(0)).alias(k) for k, is_it in of.items()], F.sum(F.when(mine, n).otherwise(0)).alias("own"),
-        F.sum(F.when(mine & ~of["fixed"], n).otherwise(0)).alias("free"), (F.approx_count_distinct("text", 0.02) / F.count("*")).alias("varies"),
+        F.sum(F.when(mine & ~of["fixed"], n).otherwise(0)).alias("free"), (F.approx_count_distinct("text", 0.02) / F.approx_count_distinct(F.struct("page_id", "text"), 0.02)).alias("varies"),
     )
     # A host has as many slots as its template has gaps.
     per = stats.groupBy("host").agg(F.max_by("varies", F.struct("free", "own", -F.col("slot"))).alias("usual"), F.max_by(F.struct("slot", "free", "own"), F.struct("free", "own", -F.col("slot"))).alias("main"), F.collect_list(F.struct("slot", "chars", "link", "named", "fixed", "varies")).alias("slots"))

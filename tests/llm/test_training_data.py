@@ -481,6 +481,69 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+CLASHING = ("quality_score", "toxicity_score", "n_shingles", "component_id", "kept", "digest", "bands", "sig", "n_words", "n_hit", "item_ids", "contaminated", "fingerprint", "n_lines", "n_removed", "hashes", "row", "line_hash", "ids", "n", "key", "start", "shard")
+
+
+def test_result_names_in_the_input_change_nothing(spark, odd, labels):
+    clashing = odd.withColumns({c: F.lit("clash") for c in CLASHING})
+    plain = dict(runs(spark, odd, labels))
+    for name, out in runs(spark, clashing, labels):
+        shared = [c for c in plain[name].columns if c in out.columns]
+        assert shared == plain[name].columns, name
+        a, b = (sorted(map(repr, x.select(*shared).collect())) for x in (plain[name], out))
+        assert a == b, name
+    a, b = (sorted(map(repr, packing.pack(x, *BYTE).collect())) for x in (odd, clashing))
+    assert a == b
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, labels, tmp_path):
+    sf = str(tmp_path)
+    items = [("1", "three four five six seven eight nine ten eleven twelve"), (None, None), ("3", "")]
+    odd.write.parquet(f"{sf}/documents.parquet")
+    labels.write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    model = quality.train(odd, labels)
+    good = [r["doc_id"] for r in quality.score_documents(odd, model).collect() if r["quality_score"] >= quality.CUT]
+    every = [r["doc_id"] for r in odd.collect()]
+    # Rows that repeat an id are one document to near dedup; those of no id stay.
+    wanted = {
+        "quality": good,
+        "line_dedup": every,
+        "near_dedup": [i for i in every if i not in (5, 6)],
+        "decontaminate": [i for i in every if i not in (4, 5, 6, 9)],
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns, name
+        rows_out = out.collect()
+        assert sorted(map(repr, (r["doc_id"] for r in rows_out))) == sorted(map(repr, wanted[name])), name
+        # What stays is as it was.
+        assert {repr(r) for r in rows_out} <= {repr(r) for r in odd.collect()}, name
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, odd, sf).collect()
+    assert sorted(map(repr, {r["doc_id"] for r in pieces})) == sorted(map(repr, set(every)))
+    assert sum(r["length"] for r in pieces) == sum(r["doc_tokens"] for r in pieces if r["start"] == 0)
+    assert corpus_pipeline.STAGES[-1][1](spark, odd.limit(0), sf).count() == 0
+
+
+def test_odd_pages(spark):
+    page = "<html><body><nav><a href='/'>Home</a></nav><article><p>The {} text\n of  the page &amp; more.</p><figure><figcaption>A {} caption</figcaption></figure></article><footer>All rights</footer></body></html>"
+    same = page.format("same", "plain")
+    htmls = [None, "", "<p>", same, same, page.format("long " * 40_000, "last"), "<div>x" * 3_000]
+    pages = [(i, "http://h.example/" + str(i) if i != 1 else None, h, "clash", 7) for i, h in enumerate(htmls)]
+    df = spark.createDataFrame([*pages, pages[4]], "page_id long, url string, html string, text string, n_chars int")
+    out = page_template.extract(df)
+    found = sorted((r["page_id"], r["text"], r["n_chars"]) for r in out.collect())
+    assert [r[0] for r in found] == [0, 1, 2, 3, 4, 4, 5, 6]
+    assert all(n == len(t) for _, t, n in found)
+    said = dict((i, t) for i, t, _ in found)
+    assert said[0] == said[1] == said[2] == ""
+    assert said[3] == said[4] == "The same text of the page & more.\nA plain caption"
+    assert said[5] == "The " + " ".join(["long"] * 40_000) + " text of the page & more.\nA last caption"
+    assert said[6] == "\n".join(["x"] * 3_000)
+    assert page_template.extract(df.limit(0)).count() == 0
+
+
 def test_templates_against_brute_force(spark):
     """Slots by hand: three classes of tokens, one of them repeated, and a text between every two."""
     a, b, c, x, y, z = 11, 12, 13, 21, 22, 23
