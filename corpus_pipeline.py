@@ -2,6 +2,13 @@
 
 Each stage takes what its predecessor kept. The first four return the columns of
 ``documents``; the last one returns the pieces of the packed windows.
+
+Cases: null and empty texts are scored like others and, where they are kept, pass line
+dedup, near dedup and decontamination as they are, and are packed as their end id alone;
+rows without an id are never near copies; rows that repeat an id are one document to near
+dedup, which keeps or removes all of them; of equal texts the smallest id stays; an empty
+table stays empty through every stage; columns beside those of ``documents`` pass through
+the first four stages, also those named like results of an operator.
 """
 
 from __future__ import annotations
