@@ -8,7 +8,7 @@ dedup, near dedup and decontamination as they are, and are packed as their end i
 rows without an id are never near copies; rows that repeat an id are one document to near
 dedup, which keeps or removes all of them; of equal texts the smallest id stays; an empty
 table stays empty through every stage; columns beside those of ``documents`` pass through
-the first four stages, also those named like results of an operator.
+the first four stages, but for ``n_lines`` and ``n_removed``, which line dedup replaces.
 """
 
 from __future__ import annotations
