@@ -54,6 +54,11 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def unused(columns: list[str]) -> str:
+    """A prefix that no column has, for columns beside those of an input."""
+    return next(k for k in (f"_b{i}_" for i in range(len(columns) + 1)) if not any(c.lower().startswith(k) for c in columns))
+
+
 def lower_ascii(col):
     """Lower-case A-Z and leave every other letter as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

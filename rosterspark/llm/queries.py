@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, page_template, quality, syncmers, token_store, toxicity
+from rosterspark.llm import chat_format, decontaminate, line_dedup, near_dedup, packing, page_template, quality, source_audit, source_mix, syncmers, token_store, toxicity, turn_repair
 from rosterspark.llm.common import held_out, table
 
 
@@ -93,9 +93,57 @@ FROM documents d LEFT JOIN k USING (doc_id)
 """
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT lang, source, id, unnest(words) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * CAST(coalesce(c.n, 0) + 5 AS HUGEINT)) // (coalesce(s.n, 0) + 5 * v.v) AS p, 1 + (1000000000 * CAST(k.n + 5 AS HUGEINT)) // (v.n + 5 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN s USING (lang, source)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("times")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM d GROUP BY 1),
+l AS (SELECT *, 2.0 * n / weight AS lim, coalesce(sum(n) OVER b, 0) AS spent, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS remaining, sum(n) OVER () AS everything FROM s
+  WINDOW b AS (ORDER BY 2.0 * n / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, (CAST(everything AS DOUBLE) * CAST(1.5 AS DOUBLE) - CAST(spent AS DOUBLE) * 2) / CAST(remaining AS DOUBLE) AS level FROM l),
+t AS (SELECT source, n, CASE WHEN lim <= level THEN CAST(n AS DOUBLE) * 2 ELSE max(level) FILTER (lim > level) OVER () * weight END AS target FROM v),
+q AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS passes FROM t),
+h AS (SELECT source, key, sum(size) AS words, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d GROUP BY 1, 2),
+e AS (SELECT h.source, h.key - CASE WHEN before + words - (target - passes * n) <= (target - passes * n) - before THEN 0 ELSE 1 END AS lim FROM h JOIN q ON h.source IS NOT DISTINCT FROM q.source WHERE before < target - passes * n AND target - passes * n <= before + words)
+SELECT d.doc_id, d.size, q.n AS source_size, q.target, CAST(d.size * (q.passes + CASE WHEN d.key <= coalesce(e.lim, -1) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+"""
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.reports(turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op5_page_template": op5_page_template, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format, "op10_token_store": op10_token_store}
+    return {"op1_quality": op1_quality, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_near_dedup": op4_near_dedup, "op5_page_template": op5_page_template, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_chat_format": op9_chat_format, "op10_token_store": op10_token_store, "op11_source_audit": op11_source_audit, "op12_source_mix": op12_source_mix, "op13_turn_repair": op13_turn_repair}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op9_chat_format": OP9_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op9_chat_format": OP9_SQL, "op11_source_audit": OP11_SQL, "op12_source_mix": OP12_SQL}
