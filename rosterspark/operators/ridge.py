@@ -217,11 +217,41 @@ def balanced_folds(sizes: dict, n_folds: int = 5) -> dict:
     return out
 
 
-def assign_folds(rows: DataFrame, group: str, n_folds: int = 5) -> DataFrame:
-    """``rows`` with a fold for each group; a group is a game, of which there are thousands."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
-    table = rows.sparkSession.createDataFrame(list(balanced_folds(sizes, n_folds).items()), [group, "fold"])
-    return rows.join(F.broadcast(table), group)
+def fold_order(sizes: dict[int, int], n_folds: int = 5) -> list[tuple[int, list[int], list[int]]]:
+    """Of each size of a group, which fold its groups go to in turn: a beginning, and what
+    follows in cycles. ``sizes`` says how many groups have a size; the largest come first,
+    each to the lightest fold."""
+    load, out = [0] * n_folds, []
+    for size in sorted(sizes, reverse=True):
+        start: list[int] = []
+        while len(start) < sizes[size] and max(load) - min(load) > size:
+            k = load.index(min(load))
+            start.append(k)
+            load[k] += size
+        cycle = sorted(range(n_folds), key=lambda k: (load[k], k))
+        rounds, rest = divmod(sizes[size] - len(start), n_folds)
+        for at, k in enumerate(cycle):
+            load[k] += size * (rounds + (at < rest))
+        out.append((size, start, cycle))
+    return out
+
+
+def assign_folds(rows: DataFrame, group: str, n_folds: int = 5, parts: int = 256) -> DataFrame:
+    """``rows`` with a fold for each group, the largest group first and each to the lightest
+    fold. The driver sees how many groups have a size; groups of one size are numbered by
+    hash parts, behind the counts of the parts before, and take folds in turn."""
+    groups = rows.groupBy(group).agg(F.count("*").alias("_size")).withColumn("_part", F.pmod(F.xxhash64(group), F.lit(parts)).cast("int"))
+    counts = groups.groupBy("_size", "_part").agg(F.count("*").alias("_n"))
+    sizes = {r[0]: r[1] for r in counts.groupBy("_size").agg(F.sum("_n")).collect()}  # a row for each size
+    spark = rows.sparkSession
+    order = spark.createDataFrame(fold_order(sizes, n_folds), "_size long, _start array<int>, _cycle array<int>")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).drop("_n")
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_size", "_part").orderBy(group)) - 1
+    later = (place - F.size("_start")) % n_folds
+    fold = F.when(place < F.size("_start"), F.get("_start", place.cast("int"))).otherwise(F.get("_cycle", later.cast("int")))
+    table = groups.join(counts, ["_size", "_part"]).join(order, "_size").select(F.col(group).alias("_group"), fold.alias("fold"))
+    return rows.join(table, rows[group].eqNullSafe(table["_group"])).drop("_group")
 
 
 def choose_alpha(folds: dict[int, Equations], alphas: list[float], mu: np.ndarray | None = None, rmse: bool = False) -> tuple[float, dict[float, float]]:
