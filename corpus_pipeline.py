@@ -26,8 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines spread over many sites leave the texts; ``n_chars`` follows."""
-    cleaned = line_dedup.remove_spread_lines(docs)
+    """Lines spread over many sites leave the texts, but for whole copies of documents;
+    ``n_chars`` follows."""
+    cleaned = line_dedup.remove_spread_lines(docs, spare_copies=True)
     return line_dedup.with_length(cleaned).select(*docs.columns)
 
 

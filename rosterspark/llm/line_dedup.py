@@ -5,16 +5,18 @@ sketches merge by partial aggregation, so a line that a third of all documents
 share costs one small state per task. Lines whose estimate lies within the
 sketch's error of the threshold get an exact distinct count.
 
-Copies of a whole document spread their lines over sites too, and are no pages with
-boilerplate. So sites bear witness only through documents of which spread lines are
-a minor part (``MAX_SHARE`` of the characters at most): a spread line with enough
-such sites is boilerplate and leaves every document, also those that hold little
-else; one without them stays, and near dedup deals with the copies.
+A line on enough sites leaves every document. Copies of a whole document spread their
+lines over sites too, and would lose all of them; ``spare_copies`` leaves confirmed
+copies as they are, which near dedup then deals with: documents whose characters are
+nearly all (``COPIED``) in spread lines, of which another such document has nearly the
+same (``ALIKE``, by set). Documents meet by the least hash of their spread lines and are
+held against the one that has most of them. Boilerplate on pages that hold little else
+leaves them unless pages are alike as a whole. The pipeline asks for this.
 
 Cases: a null text stays null with no lines; blank lines are never boilerplate;
 a null source counts as no site; a line repeated within a document counts its
-site once and leaves at every place; rows that repeat an id and a text bear witness
-once a site; an empty table gives an empty table; columns ``n_lines`` and
+site once and leaves at every place; a class needs two documents, and rows that repeat
+an id and a text are one; an empty table gives an empty table; columns ``n_lines`` and
 ``n_removed`` of the input are replaced, other columns pass through unchanged.
 """
 
@@ -23,14 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterspark.llm.common import materialise
+from rosterspark.llm.common import materialise, unused
 
 #: Distinct sites from which on a line is boilerplate.
 MIN_SITES = 12
 #: Relative standard error of the sketches, and how many of them count as near.
 RSD, NEAR = 0.1, 5
-#: Largest share of a document's characters in spread lines with which it is a witness.
-MAX_SHARE = 0.5
+#: Share of a document's characters in spread lines from which on it may be a copy, and of
+#: two documents' spread lines from which on they are copies.
+COPIED, ALIKE = 0.8, 0.8
 
 
 def lines_of(text: Column) -> Column:
@@ -55,31 +58,34 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return wide.where("sure").select("line_hash").unionByName(exact.select("line_hash"))
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & a["row"].eqNullSafe(b["row"])
-
-
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, spare_copies: bool = False) -> DataFrame:
     """(doc_id, row, hashes): of each document, by its id and a hash of its text, the
-    lines that are boilerplate."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), "source", F.char_length("text").alias("chars"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.trim("line") != "")
-    lines = lines.select("doc_id", "row", "source", "chars", "pos", F.char_length("line").alias("n"), line_key(F.col("line")).alias("line_hash"))
+    spread lines that leave it."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("row"), F.char_length("text").alias("chars"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.trim("line") != "")
+    lines = lines.select("doc_id", "row", "chars", "pos", F.char_length("line").alias("n"), line_key(F.col("line")).alias("line_hash"))
     spread = materialise(spread_lines(docs, min_sites), "spread-lines")
-    places = materialise(lines.join(spread, "line_hash"), "spread-places")
-    share = places.select("doc_id", "row", "pos", "n", "chars").distinct().groupBy("doc_id", "row").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
-    witnesses = share.where(F.col("n") <= max_share * F.col("chars")).select("doc_id", "row")
-    said = places.join(witnesses, _same(places, witnesses), "left_semi").select("line_hash", "source").distinct()
-    sure = said.groupBy("line_hash").agg(F.count("source").alias("sites")).where(F.col("sites") >= min_sites).select("line_hash")
-    found = places.join(materialise(sure, "boilerplate"), "line_hash", "left_semi")
-    return found.groupBy("doc_id", "row").agg(F.collect_set("line_hash").alias("hashes"))
-
-
-def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+    places = lines.join(spread, "line_hash")
+    if not spare_copies:
+        return places.groupBy("doc_id", "row").agg(F.collect_set("line_hash").alias("hashes"))
+    # Rows that repeat an id and a text hold the same places: one counts.
+    own = places.groupBy("doc_id", "row", "pos").agg(F.first("n").alias("n"), F.first("chars").alias("chars"), F.first("line_hash").alias("line_hash"))
+    found = own.groupBy("doc_id", "row").agg(F.collect_set("line_hash").alias("hashes"), F.sum("n").alias("n"), F.max("chars").alias("chars"), F.min("line_hash").alias("least"))
+    found = materialise(found, "spread-places")
+    copies = found.where(F.col("n") >= COPIED * F.col("chars"))
+    first = copies.groupBy("least").agg(F.count("*").alias("docs"), F.max_by("hashes", F.struct("n", -F.col("doc_id"), "row")).alias("most")).where("docs > 1")
+    # A row for each class, written first, so that Spark knows its size.
+    first = materialise(first.select("least", "most"), "copy-classes")
+    alike = F.size(F.array_intersect("hashes", "most")) >= ALIKE * F.size(F.array_union("hashes", "most"))
+    kept = (F.col("n") >= COPIED * F.col("chars")) & F.coalesce(alike, F.lit(False))
+    return found.join(first, "least", "left").where(~kept).select("doc_id", "row", "hashes")
+
+
+def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, spare_copies: bool = False) -> DataFrame:
     """``docs`` with its texts freed of boilerplate, and n_lines, n_removed."""
     docs = docs.drop("n_lines", "n_removed")
-    free = next(k for k in (f"_b{i}_" for i in range(len(docs.columns) + 1)) if not any(c.lower().startswith(k) for c in docs.columns))
+    free = unused(docs.columns)
     hashes, kept = f"{free}hashes", f"{free}kept"
-    found = boilerplate(docs, min_sites, max_share).select(F.col("doc_id").alias(f"{free}id"), F.col("row").alias(f"{free}row"), F.col("hashes").alias(hashes))
+    found = boilerplate(docs, min_sites, spare_copies).select(F.col("doc_id").alias(f"{free}id"), F.col("row").alias(f"{free}row"), F.col("hashes").alias(hashes))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col(f"{free}id")) & (F.xxhash64(docs["text"]) == F.col(f"{free}row")), "left").drop(f"{free}id", f"{free}row")
     lines = lines_of(F.col("text"))
     rest = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(hashes), line_key(x)))

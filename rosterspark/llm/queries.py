@@ -81,13 +81,10 @@ OP7_SQL = r"""
 WITH l AS (
   SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 s AS (SELECT trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 12),
-p AS (SELECT l.*, s.line AS spread FROM l JOIN s ON trim(l.line, ' ') = s.line),
-w AS (SELECT doc_id FROM p GROUP BY 1 HAVING sum(length(line)) <= 0.5 * any_value(length(text))),
-b AS (SELECT spread AS line FROM p WHERE doc_id IN (SELECT doc_id FROM w) GROUP BY 1 HAVING count(DISTINCT source) >= 12),
 k AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS n_removed,
-    coalesce(string_agg(l.line, chr(10) ORDER BY k) FILTER (b.line IS NULL), '') AS rest
-  FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line GROUP BY 1)
+  SELECT l.doc_id, count(*) AS n_lines, count(s.line) AS n_removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY k) FILTER (s.line IS NULL), '') AS rest
+  FROM l LEFT JOIN s ON trim(l.line, ' ') = s.line GROUP BY 1)
 SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN n_removed > 0 THEN rest ELSE d.text END AS text
 FROM documents d LEFT JOIN k USING (doc_id)
 """

@@ -169,16 +169,21 @@ def test_near_duplicates_at_80_with_a_hot_passage(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == root and len(set(root.values())) >= 20
 
 
-def test_lines_of_copies_stay_and_boilerplate_goes_everywhere(spark):
+@pytest.mark.parametrize("spare", [False, True])
+def test_lines_of_copies_and_boilerplate(spark, spare):
     page = lambda i: "\n".join([f"own {i} line {j} of a page with words" for j in range(6)])
+    copied = "a copied page\nwith two lines\nand a third\nand a fourth of it\nand a fifth"
     docs = [(i, f"{page(i)}\nALL RIGHTS RESERVED", f"s{i}", 7) for i in range(14)]
-    docs += [(100 + i, "a copied page\nwith two lines\nand a third", f"s{i}", 7) for i in range(20)]
-    docs += [(200, "short\n ALL RIGHTS RESERVED \nALL RIGHTS RESERVED", "s1", 7), (201, None, "s2", 7), (None, "ALL RIGHTS RESERVED", None, 7), (202, "", "s3", 7), docs[0]]
+    docs += [(100 + i, copied, f"s{i}", 7) for i in range(20)]
+    docs += [(120, copied + "\nx", "s1", 7), (121, "and a fifth\nwith an own line", "s1", 7)]
+    docs += [(200, "short, but not a copy\n ALL RIGHTS RESERVED ", "s1", 7), (201, None, "s2", 7), (None, "words\nALL RIGHTS RESERVED", None, 7), (202, "", "s3", 7), docs[0]]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_lines int").withColumns({"_b0_x": F.lit(1), "line_hash": F.lit(2), "row": F.lit(3)})
-    out = line_dedup.remove_spread_lines(df)
+    out = line_dedup.remove_spread_lines(df, spare_copies=spare)
     got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["n_lines"], r["n_removed"], r["_b0_x"], r["line_hash"], r["row"]) for r in out.collect()), key=repr)
-    wanted = [(i, page(i), 7, 1) for i in [*range(14), 0]] + [(100 + i, docs[14][1], 3, 0) for i in range(20)]
-    wanted += [(200, "short", 3, 2), (201, None, 0, 0), (-1, "", 1, 1), (202, "", 1, 0)]
+    wanted = [(i, page(i), 7, 1) for i in [*range(14), 0]]
+    wanted += [(100 + i, copied, 5, 0) if spare else (100 + i, "", 5, 5) for i in range(20)]
+    wanted += [(120, copied + "\nx", 6, 0) if spare else (120, "x", 6, 5), (121, "with an own line", 2, 1)]
+    wanted += [(200, "short, but not a copy", 2, 1), (201, None, 0, 0), (-1, "words", 2, 1), (202, "", 1, 0)]
     assert got == sorted(((*w, 1, 2, 3) for w in wanted), key=repr)
 
 
