@@ -99,6 +99,10 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _signed_all(hashes: list[int]) -> list[int]:
+    return [_signed(h) for h in hashes]
+
+
 _TAGS: dict[tuple[str, str], tuple[int, int]] = {}
 
 
@@ -302,8 +306,8 @@ def host_classes(pages: DataFrame, min_pages: int = MIN_PAGES, support: float =
     return classes.groupBy("host").agg(F.array_sort(F.collect_list("tokens")).alias("classes"))
 
 
-BLOCKS_OF = "array<struct<chain:array<bigint>,home:bigint,heading:boolean,pieces:array<struct<slot:bigint,text:string,flags:int,fixed:boolean>>>>"
-PIECES = f"page_id long, url string, host string, templated boolean, page_home array<bigint>, page_free long, page_large array<bigint>, blocks {BLOCKS_OF}"
+BLOCKS_OF = "array<struct<box:int,pieces:array<struct<slot:bigint,text:string,flags:int,fixed:boolean>>>>"
+PIECES = f"page_id long, url string, host string, templated boolean, page_home array<bigint>, page_free long, page_large array<bigint>, boxes array<struct<chain:array<bigint>,home:bigint,heading:boolean>>, blocks {BLOCKS_OF}"
 
 
 def page_home(blocks: list[tuple[Boxes, list[tuple[int, str, int, bool]]]], names: bool) -> tuple[list[int], int, list[int]]:
@@ -327,17 +331,19 @@ def page_home(blocks: list[tuple[Boxes, list[tuple[int, str, int, bool]]]], name
 def page_pieces(pages: DataFrame, classes: DataFrame, names: bool = True) -> DataFrame:
     """Each page's blocks, with the slots that its host's template puts their texts in."""
 
-    def told(boxes: Boxes, block: list) -> dict:
-        chain, home, heading, _ = boxes
-        return {"chain": [_signed(x) for x in chain], "home": _signed(home), "heading": heading, "pieces": [{"slot": s, "text": x, "flags": f, "fixed": k} for s, x, f, k in block]}
+    def told(page: list) -> tuple[list, list]:
+        """The kinds of boxes on a page, and its blocks with the number of theirs."""
+        known: dict[Boxes, int] = {}
+        blocks = [(known.setdefault(boxes, len(known)), block) for boxes, block in page]
+        return [(_signed_all(chain), _signed(home), heading) for chain, home, heading, _ in known], blocks
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             known = [[[int(t) & MASK for t in own] for own in c] if c is not None else [] for c in b["classes"]]
-            blocks = [pieces_of(h, c) for h, c in zip(b["html"], known, strict=True)]
-            homes = [page_home(x, names) for x in blocks]
-            own = {"page_home": [[_signed(h) for h in about] for about, _, _ in homes], "page_free": [n for _, n, _ in homes], "page_large": [[_signed(h) for h in large] for _, _, large in homes]}
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "templated": b["classes"].notna()} | own | {"blocks": [[told(*block) for block in x] for x in blocks]})
+            pages_of = [pieces_of(h, c) for h, c in zip(b["html"], known, strict=True)]
+            homes, parts = [page_home(x, names) for x in pages_of], [told(x) for x in pages_of]
+            own = {"page_home": [_signed_all(h) for h, _, _ in homes], "page_free": [n for _, n, _ in homes], "page_large": [_signed_all(large) for _, _, large in homes]}
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "templated": b["classes"].notna()} | own | {"boxes": [x for x, _ in parts], "blocks": [x for _, x in parts]})
 
     kind = PIECES.replace("page_id long", f"page_id {pages.schema['page_id'].dataType.simpleString()}")
     joined = meet(pages, classes, F.struct("page_id", F.xxhash64("html")), "left")
@@ -397,13 +403,16 @@ def extract(pages: DataFrame, names: bool = True, min_pages: int = MIN_PAGES) ->
         free = F.coalesce(F.array_contains("slots", p["slot"]), F.lit(False)) & (F.col("fixed_too") | ~p["fixed"])
         return free & ~_has(p["flags"], kinds) & free_of_names(p) & (F.trim(p["text"]) != "")
 
+    def box_of(b: Column) -> Column:
+        return F.get("boxes", b["box"])
+
     def in_home(b: Column, home: Column) -> Column:
         # In the home, or straight in a box about it.
-        return F.array_contains(b["chain"], F.element_at(home, -1)) | F.array_contains(home, b["home"])
+        return F.array_contains(box_of(b)["chain"], F.element_at(home, -1)) | F.array_contains(home, box_of(b)["home"])
 
     def by_template(b: Column) -> Column:
         # One chosen text brings the words about it along: a block is no patchwork.
-        placed = in_home(b, F.col("home")) | b["heading"]
+        placed = in_home(b, F.col("home")) | box_of(b)["heading"]
         of_article = F.exists(b["pieces"], lambda p: chosen(p) & (placed | F.array_contains("large", p["slot"])))
         return F.filter(b["pieces"], lambda p: of_article & ~_has(p["flags"], kinds) & free_of_names(p))
 
@@ -418,7 +427,7 @@ def extract(pages: DataFrame, names: bool = True, min_pages: int = MIN_PAGES) ->
     trusted = 2 * length(lambda p: ~_has(p["flags"], perhaps)) >= length(lambda p: F.lit(True))
 
     def by_page(b: Column) -> Column:
-        placed = in_home(b, F.col("page_home")) | F.array_contains("page_large", b["home"]) | b["heading"]
+        placed = in_home(b, F.col("page_home")) | F.array_contains("page_large", box_of(b)["home"]) | box_of(b)["heading"]
         return F.filter(b["pieces"], lambda p: placed & ~_has(p["flags"], kinds) & (~_has(p["flags"], perhaps) | ~F.col("trusted")))
 
     out = joined.withColumn("found", F.when(F.col("templated"), lines(by_template)).otherwise("")).withColumn("trusted", trusted)

@@ -98,7 +98,7 @@ def test_slots_against_brute_force(spark):
             for b in r["blocks"]:
                 for p in b["pieces"]:
                     free[p["slot"]] += len(p["text"])
-                    own[b["home"]] += len(p["text"])
+                    own[r["boxes"][b["box"]]["home"]] += len(p["text"])
             assert r["page_home"][-1] == max(own, key=own.get) and r["page_free"] == max(own.values())
             homes[tuple(r["page_home"])] += r["page_free"]
         main = max(free, key=free.get)
