@@ -25,13 +25,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
 
 
-def remap_list(df: DataFrame, key: str, arr: str, table: DataFrame, frm: str, to: str) -> DataFrame:
-    """``df`` with each element of ``arr`` replaced by its value in ``table``; places
-    stay, and what ``table`` lacks is a null in its place."""
-    items = df.select(key, F.posexplode(arr).alias("pos", "item"))
-    joined = items.join(table.select(F.col(frm).alias("item"), F.col(to).alias("new")), "item", "left")
-    back = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("a"))
-    return back.select(key, F.transform("a", lambda x: x["new"]).alias(arr))
+def remap_list(df: DataFrame, arr: str, table: DataFrame, frm: str, to: str, also: list[str] | None = None) -> DataFrame:
+    """``df`` with each element of ``arr`` replaced by its value in ``table``; places stay,
+    and what ``table`` lacks is a null in its place. ``also`` names columns of both, such as
+    the season, that must agree too; of several values the least counts.
+
+    All rows and columns stay: null and empty lists as they are, repeated rows as often.
+    Each different list is looked up once and met again by itself, so rows need no number.
+    """
+    keys = also or []
+    lists = df.select(*keys, F.col(arr).alias("_list")).where(F.size(arr) > 0).distinct()
+    items = lists.select(*keys, "_list", F.posexplode("_list").alias("_pos", "_item"))
+    known = table.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col(frm).alias("_from")).agg(F.min(to).alias("_to"))
+    same = F.col("_item") == F.col("_from")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    found = items.join(known, same, "left").groupBy(*keys, "_list").agg(F.array_sort(F.collect_list(F.struct("_pos", "_to"))).alias("_new"))
+    found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_list"), F.transform("_new", lambda x: x["_to"]).alias("_new"))
+    met = df[arr].eqNullSafe(found["_list"])
+    for k in keys:
+        met = met & df[k].eqNullSafe(found[f"_{k}"])
+    kind = f"array<{table.schema[to].dataType.simpleString()}>"
+    new = F.when(F.size(df[arr]) > 0, F.col("_new")).when(df[arr].isNotNull(), F.array().cast(kind))
+    return df.join(found, met, "left").select(*[new.alias(c) if c == arr else df[c] for c in df.columns])
 
 
 def overlap_pairs(df: DataFrame, name: str, ident: str, sets: list[str]) -> DataFrame:

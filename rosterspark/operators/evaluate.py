@@ -6,12 +6,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterspark.operators.selection import quantiles
 
-def rating_sum(df: DataFrame, key: str, plus: str, minus: str, ratings: DataFrame, ident: str, value: str) -> DataFrame:
-    """Per row, the ratings of one lineup less those of the other, and the share rated."""
-    sides = df.select(key, F.explode(plus).alias("id"), F.lit(1.0).alias("sign")).unionByName(df.select(key, F.explode(minus).alias("id"), F.lit(-1.0).alias("sign")))
-    rated = sides.join(ratings.select(F.col(ident).alias("id"), F.col(value).alias("v")), "id", "left")
-    return rated.groupBy(key).agg(F.sum(F.col("sign") * F.coalesce("v", F.lit(0.0))).alias("x"), F.avg(F.col("v").isNotNull().cast("double")).alias("coverage"))
+
+def rating_sum(df: DataFrame, plus: str, minus: str, ratings: DataFrame, ident: str, value: str) -> DataFrame:
+    """``df`` with ``x``, the ratings of one lineup less those of the other, and
+    ``coverage``, the share of places that are rated. A row without anybody in either
+    lineup has 0 in both; null places are places. Each different pair of lineups is summed
+    once and met again by itself; of several ratings of one player the least counts."""
+    pairs = df.select(F.col(plus).alias("_plus"), F.col(minus).alias("_minus")).distinct()
+    side = lambda c, sign: F.transform(F.coalesce(F.col(c), F.array().cast(pairs.schema[c].dataType)), lambda p: F.struct(p.alias("id"), F.lit(sign).alias("sign")))
+    slots = pairs.select("_plus", "_minus", F.explode(F.concat(side("_plus", 1.0), side("_minus", -1.0))).alias("s")).select("_plus", "_minus", "s.*")
+    known = ratings.groupBy(F.col(ident).alias("id")).agg(F.min(value).alias("v"))
+    rated = slots.join(known, "id", "left").groupBy("_plus", "_minus")
+    sums = rated.agg(F.sum(F.col("sign") * F.coalesce("v", F.lit(0.0))).alias("x"), F.avg(F.col("v").isNotNull().cast("double")).alias("coverage"))
+    met = df.join(sums, df[plus].eqNullSafe(sums["_plus"]) & df[minus].eqNullSafe(sums["_minus"]), "left")
+    return met.select(*[df[c] for c in df.columns], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("x", "coverage")])
 
 
 def weighted_line(df: DataFrame, x: str, y: str, w: str, by: list[str] | None = None) -> DataFrame:
@@ -104,9 +114,10 @@ def corner_search(df: DataFrame, x: Column, y: Column, wanted: Column, steps: in
     on those counts, of which there are at most 2 * (steps + 1) ** 2.
     """
     rows = df.select(x.cast("double").alias("x"), y.cast("double").alias("y"), F.coalesce(wanted, F.lit(False)).alias("w")).where("x IS NOT NULL AND y IS NOT NULL")
+    # The grids are quantiles from 50 to 99.5 and from 0.5 to 60 percent.
     fractions = [np.linspace(50, 99.5, steps) / 100, np.linspace(0.5, 60, steps) / 100]
-    grids = rows.agg(*[F.percentile(c, F.array(*[F.lit(float(q)) for q in f])).alias(c) for c, f in zip("xy", fractions, strict=True)]).collect()[0]
-    if grids["x"] is None:
+    grids = {c: sorted(r["quantile"] for r in quantiles(rows, [], c, f.tolist()).collect()) for c, f in zip("xy", fractions, strict=True)}  # ``steps`` numbers each
+    if not grids["x"]:
         return float("nan"), float("nan"), float("nan")
     reached = F.size(F.filter(F.array(*map(F.lit, grids["x"])), lambda g: g <= F.col("x")))
     passed = F.size(F.filter(F.array(*map(F.lit, grids["y"])), lambda g: g < F.col("y")))

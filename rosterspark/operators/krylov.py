@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from rosterspark.sources.scratch import materialise
 
-#: Rows of a block, and numbers of a vector for all systems that are solved together.
-ROWS, NUMBERS = 4096, 1 << 22
+#: Rows of a block, numbers of a vector for all systems that are solved together, and sums in a row of what tasks hand on.
+ROWS, NUMBERS, SUMS = 4096, 1 << 22, 16
 BLOCK = "n int, tag binary, grp binary, w binary, y binary, held binary, c binary, v binary, sorted binary, starts binary, cols binary"
 KINDS = {"tag": np.int32, "grp": np.int64, "w": np.float64, "y": np.float64, "held": np.int32, "c": np.int32, "v": np.float64, "sorted": np.int32, "starts": np.int32, "cols": np.int32}
 # The distribution of how often a group is drawn, to 12 times.
@@ -63,6 +63,8 @@ def pack(triplets: DataFrame, rows: DataFrame, n_cols: int, tag: Column | None =
                 parts = {"tag": b["tag"], "grp": b["grp"], "w": b["w"], "y": b["y"], "held": b["c"].map(len), "c": c, "v": v, "sorted": order, "starts": starts, "cols": cols}
                 yield pd.DataFrame([{"n": len(b)} | {k: np.asarray(x).astype(KINDS[k]).tobytes() for k, x in parts.items()}])
 
+    # As many parts as the cluster has cores, for all passes to come.
+    met = met.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     return Packed(materialise(met.mapInPandas(run, BLOCK), "design"), n_cols)
 
 
@@ -98,7 +100,8 @@ def _summed(design: Packed, weigh: Weigh, n_systems: int, vectors: np.ndarray |
     n = design.n_cols
     sent = design.spark.sparkContext.broadcast(vectors)  # columns times systems, as stated above
     n_factors = len(kernel(None, None))
-    names = [f"s{k}" for k in range(max(1, n_factors) * n_systems)]
+    width, names = max(1, n_factors) * n_systems, [f"s{k}" for k in range(SUMS)]
+    parts = -(-width // SUMS)
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals, extra = [np.zeros((n, n_systems)) for _ in range(n_factors)], np.zeros((n_extra, n_systems))
@@ -110,20 +113,21 @@ def _summed(design: Packed, weigh: Weigh, n_systems: int, vectors: np.ndarray |
                     block.add_to(total, factor)
                 for k in range(n_extra):
                     extra[k] += found[n_factors + k]
-        whole = np.concatenate(totals, axis=1) if totals else np.zeros((n, n_systems))
-        at = np.flatnonzero(whole.any(1))
         # Numbers of whole systems stand below the columns, once for each factor.
-        below = np.tile(extra, max(1, n_factors))
-        out = pd.DataFrame(np.vstack([whole[at], below]), columns=names)
-        out.insert(0, "col", np.concatenate([at, np.arange(n, n + n_extra)]).astype(np.int32))
+        whole = np.vstack([np.concatenate(totals, axis=1) if totals else np.zeros((n, n_systems)), np.tile(extra, max(1, n_factors))])
+        whole = np.pad(whole, ((0, 0), (0, parts * SUMS - width))).reshape(-1, SUMS)
+        at = np.flatnonzero(whole.any(1))
+        out = pd.DataFrame(whole[at], columns=names)
+        out.insert(0, "place", at.astype(np.int64))
         yield out
 
-    part = design.blocks.mapInPandas(run, "col int, " + ", ".join(f"{c} double" for c in names))
-    found = part.groupBy("col").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # columns and numbers by system, as stated above
+    part = design.blocks.mapInPandas(run, "place long, " + ", ".join(f"{c} double" for c in names))
+    found = part.groupBy("place").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # columns and numbers by system, as stated above
     sent.destroy()
-    col = found.column("col").to_numpy()
-    whole = np.zeros((n + n_extra, len(names)))
-    whole[col] = np.column_stack([found.column(c).to_numpy() for c in names]) if len(col) else 0
+    whole = np.zeros(((n + n_extra) * parts, SUMS))
+    if found.num_rows:
+        whole[found.column("place").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in names])
+    whole = whole.reshape(n + n_extra, parts * SUMS)[:, :width]
     return [whole[:n, k * n_systems : (k + 1) * n_systems] for k in range(n_factors)], whole[n:, :n_systems]
 
 
@@ -228,7 +232,8 @@ def errors(design: Packed, judge: np.ndarray, beta: np.ndarray, intercept: np.nd
 
 def tag_weights(table: np.ndarray) -> Weigh:
     """Weights by tag: ``table`` has tags by systems."""
-    return lambda tag, grp: table[tag]
+    held = np.asarray(table, float)
+    return lambda tag, grp: held[tag]
 
 
 @dataclass

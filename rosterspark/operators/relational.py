@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterspark.operators.selection import quantiles
+
 
 class GuardError(ValueError):
     """An invariant of the data does not hold."""
@@ -105,9 +107,7 @@ def union_by_name(frames: list[DataFrame]) -> DataFrame:
 
 def nearest_quantile(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
     """The value at rank round(q (n - 1)) of each group, an element, not an interpolation."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") == F.round(F.lit(q) * (F.col("_n") - 1))).select(*by, F.col(value).alias("quantile"))
+    return quantiles(df, by, value, [q], between=False).drop("fraction")
 
 
 def sample_groups(df: DataFrame, by: list[str], order: list[str], n: int, seed: int = 42) -> DataFrame:
@@ -188,7 +188,7 @@ def shared_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def linear_quantile(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
     """The quantile of each group, between its neighbours in proportion."""
-    return df.groupBy(*by).agg(F.percentile(value, q).alias("quantile"))
+    return quantiles(df, by, value, [q]).drop("fraction")
 
 
 def find_columns(df: DataFrame, hints: list[str]) -> list[str]:

@@ -3,8 +3,8 @@
 A design is long: (row_id, col, value) triplets beside a table of rows (row_id, y,
 w, group). Spark sums the normal equations; only they, whose size is the number of
 columns squared, come to the driver, where the dense systems are solved. Beyond
-``MAX_COLUMNS`` Spark multiplies design and vectors instead, and bootstrap draws are
-solved in tasks.
+``MAX_COLUMNS`` Spark multiplies design and vectors instead. Many fits at once, for folds,
+penalties and bootstrap draws, are in ``krylov``.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from rosterspark.operators.relational import require_none
 
 #: Columns up to which the normal equations may be solved on the driver.
 MAX_COLUMNS = 8000
-#: Pairs of columns whose products by group a task of the bootstrap holds.
-PAIRS = 1 << 14
 # The penalties that cross-validation tries, 31.6 to 31,623 in sixteen steps of like ratio.
 ALPHAS = tuple(float(a) for a in np.logspace(1.5, 4.5, 16))
+# The penalties for fits that shrink to a prior.
+SHRUNK_ALPHAS = (1.0, 3.16, 10.0, 31.6, 100.0, 316.0, 1000.0, 3162.0, 10000.0)
 #: Points for a hundred possessions.
 PER = 100.0
 
@@ -266,49 +266,6 @@ def choose_alpha(folds: dict[int, Equations], alphas: list[float], mu: np.ndarra
     return min(errors, key=lambda a: (errors[a], a)), errors
 
 
-def block_bootstrap(triplets: DataFrame, rows: DataFrame, n_cols: int, group: str, alpha: float, n_draws: int = 200, seed: int = 42) -> DataFrame:
-    """(draw, col, beta): refits on groups drawn with replacement. The products of each
-    group are summed once; a chunk of them gives all draws their sums, and a task solves
-    one draw's system at a time."""
-    if n_cols > MAX_COLUMNS:
-        raise ValueError(f"{n_cols} columns; a task solves up to {MAX_COLUMNS}")
-    spark, m = rows.sparkSession, n_cols + 2
-    # A group is a game, of which there are thousands.
-    known = rows.select(group).distinct().withColumn("part", (F.row_number().over(Window.orderBy(group)) - 1).cast("int"))
-    n = known.count()
-    rng = np.random.default_rng(seed)
-    # Draws times groups numbers.
-    times = spark.sparkContext.broadcast(np.array([rng.multinomial(n, np.full(n, 1 / n)) for _ in range(n_draws)] if n else np.zeros((n_draws, 0))))
-    sums = products(triplets, rows.join(known, group), n_cols, "part")
-
-    def drawn(key: tuple, chunk: pd.DataFrame) -> pd.DataFrame:
-        pair, at = np.unique(chunk["i"].to_numpy(np.int64) * m + chunk["j"].to_numpy(np.int64), return_inverse=True)
-        own, g = chunk["fold"].to_numpy(), chunk["g"].to_numpy()
-        return pd.DataFrame([(k, pair.tobytes(), np.bincount(at, g * t[own], len(pair)).tobytes()) for k, t in enumerate(times.value)], columns=["draw", "pair", "g"])
-
-    def solved(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        pair, g = (np.frombuffer(b"".join(parts[c]), t) for c, t in (("pair", np.int64), ("g", np.float64)))
-        beta, _ = of_products(pair // m, pair % m, g, n_cols).solve(alpha)
-        return pd.DataFrame({"draw": key[0], "col": np.arange(n_cols), "beta": beta})
-
-    chunk = F.pmod(F.xxhash64("i", "j"), F.lit(1 + m * m // PAIRS))
-    sums = sums.groupBy(chunk.alias("chunk")).applyInPandas(drawn, "draw int, pair binary, g binary")
-    return sums.groupBy("draw").applyInPandas(solved, "draw int, col int, beta double")
-
-
-def draw_intervals(draws: DataFrame, keys: list[str], value: str, percent: float = 95.0) -> DataFrame:
-    """(keys, low, high, se) over the draws of each key."""
-    tail = (100 - percent) / 200
-    return draws.groupBy(*keys).agg(F.percentile(value, F.lit(tail)).alias("low"), F.percentile(value, F.lit(1 - tail)).alias("high"), F.stddev_samp(value).alias("se"))
-
-
-def two_sided_draws(draws: DataFrame, n: int) -> DataFrame:
-    """(draw, col, offence, defence, total) of the draws of a two-sided design with ``n`` players."""
-    attack = F.col("col") < n
-    out = draws.groupBy("draw", (F.col("col") % n).alias("col")).agg(F.max(F.when(attack, F.col("beta"))).alias("offence"), F.max(F.when(~attack, -F.col("beta"))).alias("defence"))
-    return out.withColumn("total", F.col("offence") + F.col("defence"))
-
-
 def leaderboard(spark, index: DataFrame, beta: np.ndarray) -> DataFrame:
     """(player, offence, defence, total): a good defence has a negative coefficient."""
     n = len(beta) // 2

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterspark.functions import arrays, scalar
-from rosterspark.operators import evaluate, relational, ridge, sequence, similarity
+from rosterspark.operators import evaluate, krylov, relational, ridge, sequence, similarity
 
 CODES = sequence.Codes(("MADE",), ("TO",), ("D",), ("FTM",), ("FTM", "FTA"), ("EP",), ("EP", "NEUTRAL"))
 LOG = sequence.Log()
@@ -150,7 +150,7 @@ x AS (SELECT okey, unnest(five) AS s, generate_subscripts(five, 1) AS p FROM lu)
 SELECT okey, string_agg(coalesce(s_name, '?'), ',' ORDER BY p) AS names, count(*) FILTER (s_name IS NULL) AS unmapped FROM x LEFT JOIN m ON s = s_suppkey GROUP BY 1""")
 def list_remap(spark, d):
     known = t(spark, d, "supplier").where("s_suppkey % 4 <> 0")
-    out = arrays.remap_list(lineups(spark, d), "okey", "five", known, "s_suppkey", "s_name")
+    out = arrays.remap_list(lineups(spark, d), "five", known, "s_suppkey", "s_name")
     names = F.array_join(F.transform("five", lambda x: F.coalesce(x, F.lit("?"))), ",")
     return out.select("okey", names.alias("names"), lng(F.size(F.filter("five", lambda x: x.isNull()))).alias("unmapped"))
 
@@ -162,10 +162,39 @@ def lineup_rating_sum(spark, d):
     li = t(spark, d, "lineitem")
     sides = li.groupBy(F.col("l_orderkey").alias("okey")).agg(*[F.collect_list(F.when(c, F.col("l_suppkey"))).alias(n) for n, c in (("home", F.col("l_linestatus") == "O"), ("away", F.col("l_linestatus") != "O"))])
     known = t(spark, d, "supplier").where("s_suppkey % 5 <> 0")
-    out = evaluate.rating_sum(sides, "okey", "home", "away", known, "s_suppkey", "s_acctbal")
+    out = evaluate.rating_sum(sides, "home", "away", known, "s_suppkey", "s_acctbal")
     return out.select("okey", F.round("x", 2).alias("x"), F.round("coverage", 6).alias("coverage"))
 
 
+@query("""WITH lu AS (SELECT o_orderkey AS okey, year(o_orderdate) AS season, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O') AS n FROM orders),
+it AS (SELECT l_orderkey AS okey, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS p FROM lineitem WHERE l_linestatus = 'O'),
+m AS (SELECT s_suppkey, y AS season, s_name || '/' || y AS name FROM supplier, range(1992, 1999) r(y) WHERE (s_suppkey + y) % 4 <> 0)
+SELECT lu.okey, CASE WHEN okey % 7 = 0 THEN -1 ELSE any_value(n) END AS n_places, CASE WHEN okey % 7 = 0 THEN NULL ELSE coalesce(string_agg(coalesce(name, '?'), ',' ORDER BY p) FILTER (p IS NOT NULL), '') END AS names
+FROM lu LEFT JOIN it USING (okey) LEFT JOIN m ON s = s_suppkey AND m.season = lu.season GROUP BY lu.okey""")
+def season_remap(spark, d):
+    """Lists by name and season; an order may have no list, an empty one, or names unknown in its season."""
+    five = t(spark, d, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("okey")).agg(F.array_sort(F.collect_list("l_suppkey")).alias("five"))
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("okey"), F.year("o_orderdate").alias("season")).join(five, "okey", "left")
+    rows = rows.withColumn("five", F.when(F.col("okey") % 7 != 0, F.coalesce("five", F.array().cast("array<bigint>"))))
+    known = t(spark, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(1992), F.lit(1998))).alias("season"), "s_name").where("(s_suppkey + season) % 4 <> 0")
+    known = known.withColumn("name", F.concat_ws("/", "s_name", "season"))
+    out = arrays.remap_list(rows, "five", known, "s_suppkey", "name", ["season"])
+    names = F.array_join(F.transform("five", lambda x: F.coalesce(x, F.lit("?"))), ",")
+    return out.select("okey", F.coalesce(F.size("five"), F.lit(-1)).cast("long").alias("n_places"), names.alias("names"))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS okey, l_suppkey, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS sgn FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber > 1)
+SELECT okey, round(coalesce(sum(sgn * coalesce(s_acctbal, 0)) FILTER (l_suppkey IS NOT NULL), 0), 2) AS x, round(coalesce(avg(CASE WHEN s_acctbal IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (l_suppkey IS NOT NULL), 0), 6) AS coverage
+FROM x LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 5 <> 0) ON l_suppkey = s_suppkey GROUP BY 1""")
+def rating_sum_of_all(spark, d):
+    """Orders whose lineups are null or empty stay, with 0."""
+    li = t(spark, d, "lineitem").where("l_linenumber > 1")
+    sides = li.groupBy(F.col("l_orderkey").alias("okey")).agg(*[F.collect_list(F.when(c, F.col("l_suppkey"))).alias(n) for n, c in (("home", F.col("l_linestatus") == "O"), ("away", F.col("l_linestatus") != "O"))])
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("okey")).join(sides, "okey", "left")
+    out = evaluate.rating_sum(rows, "home", "away", t(spark, d, "supplier").where("s_suppkey % 5 <> 0"), "s_suppkey", "s_acctbal")
+    return out.select("okey", (F.round("x", 2) + 0.0).alias("x"), F.round("coverage", 6).alias("coverage"))
+
+
 @query(f"WITH {LINEUP_SQL} SELECT count(*) AS n, count(*) FILTER (len(five) = 4 AND len(list_distinct(five)) = 4) AS kept, count(*) FILTER (NOT (len(five) = 4 AND len(list_distinct(five)) = 4)) AS dropped FROM lu")
 def distinct_guard(spark, d):
     ok = arrays.is_full_lineup(F.col("five"), 4)
@@ -448,45 +477,116 @@ def player_support(spark, d):
 
 
 def design_of(spark, d):
-    """A design of at most 1,000 suppliers, folded by customer."""
-    lu = lineups(spark, d).join(t(spark, d, "orders").select(F.col("o_orderkey").alias("okey"), (F.col("o_custkey") % 50).alias("grp")), "okey")
+    """A design of all suppliers; an order stands for a game and is a group of its own."""
+    lu = lineups(spark, d)
     index = ridge.player_index(lu, ["five"])
-    triplets = lu.select(F.col("okey").alias("row_id"), F.explode(F.array_distinct("five")).alias("player")).join(F.broadcast(index), "player").select("row_id", "col", F.lit(1.0).alias("value"))
-    rows = lu.select(F.col("okey").alias("row_id"), (F.col("y") / F.col("w") / 100).alias("y"), "w", "grp")
+    triplets = lu.select(F.col("okey").alias("row_id"), F.explode(F.array_distinct("five")).alias("player")).join(index, "player").select("row_id", "col", F.lit(1.0).alias("value"))
+    rows = lu.select(F.col("okey").alias("row_id"), (F.col("y") / F.col("w") / 100).alias("y"), "w", F.col("okey").alias("grp"))
     return index, triplets, rows, index.count()
 
 
+def ratings_of(spark, index, beta):
+    coefs = spark.createDataFrame([(i, round(float(b), 6)) for i, b in enumerate(beta)], "col int, rating double")
+    return index.join(coefs, "col").select("player", "rating")
+
+
+def prior_of(n):
+    import numpy as np
+
+    return np.linspace(-1, 1, n)
+
+
 @query()
 def ridge_ratings(spark, d):
     index, triplets, rows, n = design_of(spark, d)
     beta, _ = ridge.fit(triplets, rows, n, 1000.0)
-    coefs = spark.createDataFrame([(i, round(float(b), 6)) for i, b in enumerate(beta)], "col int, rating double")
-    return index.join(coefs, "col").select("player", "rating")
+    return ratings_of(spark, index, beta)
 
 
 @query()
 def ridge_shrunk(spark, d):
-    import numpy as np
+    index, triplets, rows, n = design_of(spark, d)
+    beta, _ = ridge.fit(triplets, rows, n, 3162.0, prior_of(n))
+    return ratings_of(spark, index, beta)
+
 
+def certificate(spark, index, triplets, rows, n, alpha, mu=None):
+    """(player, gradient) at the solution of the conjugate gradients, by joins and sums."""
+    beta, b0 = krylov.fits(krylov.pack(triplets, rows, n), krylov.tag_weights([[1.0]]), 1, [alpha], mu)
+    coefs = spark.createDataFrame([(i, float(b), 0.0 if mu is None else float(mu[i])) for i, b in enumerate(beta[0, :, 0])], "col int, beta double, mu double")
+    found = krylov.gradient(triplets, rows, coefs, float(b0[0, 0]), alpha)
+    return found.select("col", (F.round("gradient", 6) + 0.0).alias("gradient"))
+
+
+@query("SELECT DISTINCT l_suppkey AS player, CAST(0 AS DOUBLE) AS gradient FROM lineitem")
+def ridge_gradient(spark, d):
+    """The derivative of the ridge's sum at its solution: 0 for every player."""
     index, triplets, rows, n = design_of(spark, d)
-    beta, _ = ridge.fit(triplets, rows, n, 3162.0, np.linspace(-1, 1, n))
-    coefs = spark.createDataFrame([(i, round(float(b), 6)) for i, b in enumerate(beta)], "col int, rating double")
-    return index.join(coefs, "col").select("player", "rating")
+    return certificate(spark, index, triplets, rows, n, 1000.0).join(index, "col").select("player", "gradient")
+
+
+@query("SELECT DISTINCT l_suppkey AS player, CAST(0 AS DOUBLE) AS gradient FROM lineitem")
+def shrunk_gradient(spark, d):
+    index, triplets, rows, n = design_of(spark, d)
+    return certificate(spark, index, triplets, rows, n, 3162.0, prior_of(n)).join(index, "col").select("player", "gradient")
+
+
+def choice_of(spark, found):
+    rows = [(a, round(e, 6), a == found.alpha, found.at_edge) for a, e in found.errors.items()]
+    return spark.createDataFrame(rows, "alpha double, error double, chosen boolean, at_edge boolean")
+
+
+def folded_design(spark, d):
+    _, triplets, rows, n = design_of(spark, d)
+    return krylov.pack(triplets, ridge.assign_folds(rows, "grp"), n, tag=F.col("fold")), n
 
 
 @query()
 def alpha_cv(spark, d):
-    _, triplets, rows, n = design_of(spark, d)
-    folds = ridge.equations(triplets, ridge.assign_folds(rows, "grp"), n, "fold")
-    best, errors = ridge.choose_alpha(folds, list(ridge.ALPHAS))
-    return spark.createDataFrame([(float(a), round(e, 6), a == best) for a, e in errors.items()], "alpha double, error double, chosen boolean")
+    """The penalty by the mean of the folds' mean square errors; folds by order."""
+    design, _ = folded_design(spark, d)
+    return choice_of(spark, krylov.cross_validate(design, 5, list(ridge.ALPHAS)))
+
+
+@query()
+def shrunk_cv(spark, d):
+    """The same for fits that shrink to a prior, by mean root errors; an end of the grid is told."""
+    design, n = folded_design(spark, d)
+    return choice_of(spark, krylov.cross_validate(design, 5, list(ridge.SHRUNK_ALPHAS), prior_of(n), rmse=True))
+
+
+@query("SELECT CAST(l_orderkey AS BIGINT) AS grp, 1 AS n_folds FROM lineitem GROUP BY 1")
+def game_folds(spark, d):
+    _, _, rows, _ = design_of(spark, d)
+    found = ridge.assign_folds(rows, "grp")
+    return found.groupBy("grp").agg(F.countDistinct("fold").cast("int").alias("n_folds"))
+
+
+@query("WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT 5 AS n_folds, CAST(sum(n) AS BIGINT) AS n_rows, TRUE AS balanced FROM g")
+def fold_balance(spark, d):
+    """Folds of whole orders differ by less than the largest order has lines."""
+    sizes = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"))
+    load = ridge.assign_folds(sizes, "grp").groupBy("fold").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("grp").count().agg(F.max("count").alias("most"))
+    out = load.agg(F.count("*").cast("int").alias("n_folds"), F.sum("n").alias("n_rows"), F.max("n").alias("hi"), F.min("n").alias("lo")).crossJoin(largest)  # single rows
+    return out.select("n_folds", "n_rows", (F.col("hi") - F.col("lo") <= F.col("most")).alias("balanced"))
+
+
+def interval_rows(spark, index, ends):
+    """(player, end, low, high, se) of draws by column and end."""
+    rows = []
+    for end, draws in ends.items():
+        rows += [(i, end, *(round(float(x), 6) + 0.0 for x in own)) for i, own in enumerate(zip(*krylov.intervals(draws), strict=True))]
+    ci = spark.createDataFrame(rows, "col int, end string, low double, high double, se double")
+    return index.join(ci, "col").drop("col")
 
 
 @query()
 def bootstrap_ci(spark, d):
+    """95 % intervals over refits on orders drawn with replacement."""
     index, triplets, rows, n = design_of(spark, d)
-    ci = ridge.draw_intervals(ridge.block_bootstrap(triplets, rows, n, "grp", 1000.0), ["col"], "beta")
-    return index.join(ci, "col").select("player", *[F.round(c, 6).alias(c) for c in ("low", "high", "se")])
+    draws = krylov.poisson_bootstrap(krylov.pack(triplets, rows, n, group=F.col("grp")), 1000.0)
+    return interval_rows(spark, index, {"rating": draws}).drop("end")
 
 
 @query()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rosterspark.functions import arrays, scalar
-from rosterspark.operators import evaluate, ratings, relational, ridge, similarity
-from rosterspark.plans.catalog import KINDS, SHOT_SQL, bucket_of, bucket_sql, lng, log_of, per_id_of, query, shots_of, t, vectors_of, wide_of
+from rosterspark.operators import evaluate, krylov, ratings, relational, ridge, similarity
+from rosterspark.plans.catalog import KINDS, SHOT_SQL, bucket_of, bucket_sql, certificate, interval_rows, lng, log_of, per_id_of, query, shots_of, t, vectors_of, wide_of
 
 
 @query("SELECT count(DISTINCT (o_custkey, nullif(o_orderstatus, 'P'))) AS n_tuples FROM orders")
@@ -160,22 +161,30 @@ def two_sided_board(spark, d):
     return ridge.leaderboard(spark, index, beta).select("player", *[F.round(c, 6).alias(c) for c in ("offence", "defence", "total")])
 
 
+@query("SELECT player, CAST(side AS INTEGER) AS side, CAST(0 AS DOUBLE) AS gradient FROM (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS player FROM lineitem), range(2) r(side)")
+def two_sided_gradient(spark, d):
+    index, rows, triplets, n = two_sided_of(spark, d)
+    found = certificate(spark, index, triplets, rows, 2 * n, 100.0).withColumn("side", F.floor(F.col("col") / n).cast("int"))
+    return found.withColumn("col", F.col("col") % n).join(index, "col").select("player", "side", "gradient")
+
+
 @query()
 def two_sided_intervals(spark, d):
-    """95 % intervals and standard errors of both sides and their sum, over refits on drawn groups of orders."""
+    """95 % intervals and standard errors of both sides and their sum, over refits on drawn orders."""
     index, rows, triplets, n = two_sided_of(spark, d)
-    draws = ridge.two_sided_draws(ridge.block_bootstrap(triplets, rows.withColumn("grp", F.col("group") % 50), 2 * n, "grp", 100.0), n)
-    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("end"), F.col(c).alias("value")) for c in ("offence", "defence", "total")]))
-    ci = ridge.draw_intervals(draws.select("col", ends.alias("x")).select("col", "x.*"), ["col", "end"], "value")
-    return index.join(ci, "col").select("player", "end", *[F.round(c, 6).alias(c) for c in ("low", "high", "se")])
+    draws = krylov.poisson_bootstrap(krylov.pack(triplets, rows, 2 * n, group=F.col("group")), 100.0)
+    offence, defence = draws[:, :n], -draws[:, n:]
+    return interval_rows(spark, index, {"offence": offence, "defence": defence, "total": offence + defence})
 
 
 @query()
 def alpha_sweep(spark, d):
-    """Each penalty's fit on three quarters of the stints, scored on the rest; one pass over both."""
+    """Each penalty's fit on three quarters of the stints, scored on the rest; all in one run."""
     _, rows, triplets, n = two_sided_of(spark, d)
-    parts = ridge.equations(triplets, rows.withColumn("part", (F.col("row_id.stint") % 4 == 0).cast("int")), 2 * n, "part")
-    return spark.createDataFrame([(a, float(parts[1].error(*parts[0].solve(a)) ** 0.5)) for a in ridge.ALPHAS], "alpha double, rmse double").withColumn("rmse", F.round("rmse", 6))
+    design = krylov.pack(triplets, rows, 2 * n, tag=(F.col("row_id.stint") % 4 == 0).cast("int"))
+    beta, b0 = krylov.fits(design, krylov.tag_weights(np.array([[1.0], [0.0]])), 1, list(ridge.ALPHAS))
+    errors = krylov.errors(design, np.array([[0.0], [1.0]]), beta, b0)[:, 0]
+    return spark.createDataFrame([(a, round(float(e) ** 0.5, 6)) for a, e in zip(ridge.ALPHAS, errors, strict=True)], "alpha double, rmse double")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS shot, any_value(l_orderkey % 4) AS b, list_distinct(list(CAST(l_suppkey AS VARCHAR)) FILTER (l_linenumber <= 2)) AS o, list_distinct(list(CAST(l_suppkey AS VARCHAR)) FILTER (l_linenumber > 2 AND l_linenumber <= 4)) AS d,
@@ -278,12 +287,15 @@ def team_corr_holdout(spark, d):
 
 
 @query(f"""WITH {SHOT_SQL}, r AS (SELECT abs(x) AS x, y, ({bucket_sql()}) IS NOT DISTINCT FROM 'corner_three' AS w FROM sh WHERE x IS NOT NULL AND y IS NOT NULL),
-gx AS (SELECT k, quantile_cont(x, (50 + k * 49.5 / 59) / 100) AS a FROM r, range(60) g(k) GROUP BY k, (50 + k * 49.5 / 59) / 100), gy AS (SELECT k, quantile_cont(y, (0.5 + k * 59.5 / 59) / 100) AS b FROM r, range(60) g(k) GROUP BY k, (0.5 + k * 59.5 / 59) / 100)
-SELECT round(max(s), 6) AS agreement FROM (SELECT avg(CASE WHEN (x >= a AND y <= b) = w THEN 1.0 ELSE 0.0 END) AS s FROM gx, gy, r GROUP BY gx.k, gy.k)""".replace("gx AS (SELECT k, quantile_cont(x, (50 + k * 49.5 / 59) / 100) AS a FROM r, range(60) g(k) GROUP BY k, (50 + k * 49.5 / 59) / 100)", "q AS (SELECT quantile_cont(x, [(50 + k * 49.5 / 59) / 100 FOR k IN range(60)]) AS qx, quantile_cont(y, [(0.5 + k * 59.5 / 59) / 100 FOR k IN range(60)]) AS qy FROM r), gx AS (SELECT unnest(qx) AS a, unnest(range(60)) AS k FROM q)").replace("gy AS (SELECT k, quantile_cont(y, (0.5 + k * 59.5 / 59) / 100) AS b FROM r, range(60) g(k) GROUP BY k, (0.5 + k * 59.5 / 59) / 100)", "gy AS (SELECT unnest(qy) AS b, unnest(range(60)) AS k FROM q)"))
+q AS (SELECT quantile_cont(x, [(50 + k * 49.5 / 59) / 100 FOR k IN range(60)]) AS qx, quantile_cont(y, [(0.5 + k * 59.5 / 59) / 100 FOR k IN range(60)]) AS qy FROM r),
+gx AS (SELECT unnest(qx) AS a, unnest(range(60)) AS k FROM q), gy AS (SELECT unnest(qy) AS b, unnest(range(60)) AS k FROM q),
+s AS (SELECT a, b, gx.k AS i, gy.k AS j, count(*) FILTER ((x >= a AND y <= b) = w) AS hits, count(*) AS n FROM gx, gy, r GROUP BY ALL)
+SELECT round(a, 4) AS x_from, round(b, 4) AS y_to, round(hits / n, 6) AS agreement FROM s ORDER BY hits DESC, i, j LIMIT 1""")
 def corner_search(spark, d):
     shots = shots_of(spark, d)
-    _, _, share = evaluate.corner_search(shots, F.abs("x"), F.col("y"), bucket_of() == "corner_three")
-    return spark.createDataFrame([(round(share, 6),)], "agreement double")
+    found = evaluate.corner_search(shots, F.abs("x"), F.col("y"), bucket_of() == "corner_three")
+    out = spark.createDataFrame([found], "x_from double, y_to double, agreement double")
+    return out.select(F.round("x_from", 4).alias("x_from"), F.round("y_to", 4).alias("y_to"), F.round("agreement", 6).alias("agreement"))
 
 
 @query(f"""WITH {SHOT_SQL}, g AS (SELECT vec_id % 5 AS season, act LIKE '3%' AS three, x, y, sqrt(x * x + y * y) AS r FROM sh)

@@ -36,9 +36,23 @@ def test_scalars(spark):
 
 
 def test_list_remap_keeps_places_and_nulls(spark):
-    df = spark.createDataFrame([(1, ["b", "x", "a"])], "k int, five array<string>")
-    table = spark.createDataFrame([("a", "1"), ("b", "2")], "f string, t string")
-    assert arrays.remap_list(df, "k", "five", table, "f", "t").collect()[0]["five"] == ["2", None, "1"]
+    lists = [(1, ["b", "x", "a"], 7), (1, ["b", "x", "a"], 7), (2, [], 7), (3, None, 7), (None, ["a", None, "a"], 8), (4, ["b", "x", "a"], None)]
+    df = spark.createDataFrame(lists, "k int, five array<string>, season int")
+    table = spark.createDataFrame([("a", "1", 7), ("b", "2", 7), ("a", "3", 8), ("b", "4", None), ("a", "2", 7)], "f string, t string, season int")
+    found = arrays.remap_list(df, "five", table, "f", "t", ["season"])
+    assert found.columns == df.columns
+    wanted = [(1, ["2", None, "1"], 7), (1, ["2", None, "1"], 7), (2, [], 7), (3, None, 7), (None, ["3", None, "3"], 8), (4, ["4", None, None], None)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
+    plain = arrays.remap_list(df, "five", table.where("season = 7"), "f", "t").where("k = 4").collect()
+    assert plain[0]["five"] == ["2", None, "1"]
+
+
+def test_rating_sum_keeps_every_row(spark):
+    rows = [(1, ["a", "b"], ["c"]), (1, ["a", "b"], ["c"]), (2, [], None), (3, None, None), (4, ["x", None], ["a"]), (5, [], [])]
+    df = spark.createDataFrame(rows, "k int, h array<string>, w array<string>")
+    known = spark.createDataFrame([("a", 1.5), ("b", 2.0), ("c", -1.0), ("d", None)], "id string, r double")
+    found = sorted((r["k"], r["x"], round(r["coverage"], 6)) for r in evaluate.rating_sum(df, "h", "w", known, "id", "r").collect())
+    assert found == [(1, 4.5, 1.0), (1, 4.5, 1.0), (2, 0.0, 0.0), (3, 0.0, 0.0), (4, -1.5, 0.333333), (5, 0.0, 0.0)]
 
 
 def test_ridge_agrees_with_closed_form(spark):
@@ -149,25 +163,6 @@ def test_two_sided_design_drops_and_clamps(spark):
         ridge.require_index(index.withColumn("col", F.lit(1)), 3)
 
 
-def test_bootstrap_by_game_agrees_with_refits(spark):
-    rng = np.random.default_rng(3)
-    x, y, w, g = rng.integers(0, 2, (40, 4)).astype(float), rng.normal(size=40), rng.uniform(1, 3, 40), rng.integers(0, 8, 40)
-    triplets = spark.createDataFrame([(i, int(j), 1.0) for i in range(40) for j in np.flatnonzero(x[i])], "row_id int, col int, value double")
-    rows = spark.createDataFrame([(i, float(y[i]), float(w[i]), int(g[i])) for i in range(40)], "row_id int, y double, w double, game int")
-    found = ridge.block_bootstrap(triplets, rows, 4, "game", 2.0, 5, seed=1)
-    draws = np.array([r["beta"] for r in found.orderBy("draw", "col").collect()]).reshape(5, 4)
-    sides = {(r["draw"], r["col"]): (r["offence"], r["defence"], r["total"]) for r in ridge.two_sided_draws(found, 2).collect()}
-    assert all(np.allclose(sides[b, c], (draws[b, c], -draws[b, c + 2], draws[b, c] - draws[b, c + 2])) for b in range(5) for c in range(2))
-    ci = ridge.draw_intervals(found, ["col"], "beta").orderBy("col").collect()
-    assert np.allclose([[r["low"], r["high"]] for r in ci], np.percentile(draws, [2.5, 97.5], axis=0).T) and np.allclose([r["se"] for r in ci], draws.std(0, ddof=1))
-    games, again = np.unique(g), np.random.default_rng(1)
-    for b in range(5):
-        times = again.multinomial(len(games), np.full(len(games), 1 / len(games)))
-        m = w * times[np.searchsorted(games, g)]
-        xc, yc = x - m @ x / m.sum(), y - m @ y / m.sum()
-        assert np.allclose(draws[b], np.linalg.solve(xc.T @ (m[:, None] * xc) + 2 * np.eye(4), xc.T @ (m * yc)))
-
-
 def test_sinks_of_designs_and_windows(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     both = spark.createDataFrame([("rim", 1), ("mid", 2)], "bucket string, v int")
