@@ -1,40 +1,13 @@
-"""Shared helpers: the folder that all executors see, and tables written there."""
+"""Shared helpers; tables that a query writes for itself are in ``rosterspark.sources.scratch``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only by a local session that names no checkpoint folder, as in tests.
-LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; all executors can reach it. A cluster
-    must name one: a folder of one machine would lose what others write there."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return LOCAL_CHECKPOINTS
-
+from rosterspark.sources.scratch import materialise, new_path, shared_dir
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/rosterspark-{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no earlier stage. The folder
-    ``rosterspark-*`` may be deleted when no query that reads it is pending.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "new_path", "shared_dir"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
