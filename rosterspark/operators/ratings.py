@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterspark.functions.scalar import borderline, code_class, lookup, not_blank, pinned_verdict, signal_of, verdict
-from rosterspark.operators.relational import require_none
+from rosterspark.operators.relational import ranked, require_none
 
 
 def floors(board: DataFrame, support: DataFrame, ident: str, least: float, games: int = 0) -> DataFrame:
     """Leaderboard rows with enough support and games, ranked from 1 by ``total``."""
     kept = board.join(support, ident).where((F.col("support") >= least) & (F.col("n_games") >= games))
-    # As many rows as players; a design bounds them.
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), ident)))
+    return ranked(kept, [F.desc("total"), F.asc(ident)]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def long_ratings(coefs: DataFrame, ident: str, least_support: float = 150.0) -> DataFrame:
@@ -120,11 +119,3 @@ def orientation(df: DataFrame, actor: Column, home: Column, away: Column) -> Dat
     """``df`` with ``side``: which of the two lineups holds the actor; null for neither or both."""
     a, b = F.coalesce(F.array_contains(home, actor), F.lit(False)), F.coalesce(F.array_contains(away, actor), F.lit(False))
     return df.withColumn("side", F.when(a & ~b, "home").when(b & ~a, "away"))
-
-
-def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that two frames hold unequally often, with both counts."""
-    x, y = a.groupBy(*a.columns).agg(F.count("*").alias("_n")), b.groupBy(*a.columns).agg(F.count("*").alias("_n"))
-    both = x.withColumn("_s", F.lit(1)).unionByName(y.withColumn("_s", F.lit(2)))
-    counts = both.groupBy(*a.columns).agg(F.sum(F.when(F.col("_s") == 1, F.col("_n")).otherwise(0)).alias("n_a"), F.sum(F.when(F.col("_s") == 2, F.col("_n")).otherwise(0)).alias("n_b"))
-    return counts.where("n_a <> n_b")

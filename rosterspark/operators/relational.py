@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterspark.operators.selection import quantiles
+from rosterspark.sources.scratch import materialise
 
 
 class GuardError(ValueError):
@@ -111,8 +112,10 @@ def nearest_quantile(df: DataFrame, by: list[str], value: str, q: float) -> Data
 
 
 def sample_groups(df: DataFrame, by: list[str], order: list[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows of each group, the same ones at every run."""
-    rank = Window.partitionBy(*by).orderBy(F.xxhash64(*order, F.lit(seed)), *order)
+    """``n`` rows of each group, the same ones at every run: those with the least hashes of
+    ``order`` and the seed."""
+    said = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order], F.lit(str(seed)))
+    rank = Window.partitionBy(*by).orderBy(F.md5(said), *order)
     return df.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= n).drop("_r")
 
 
@@ -132,21 +135,27 @@ def triage_collisions(per_id: DataFrame, name: str = "name", ident: str = "id",
     MERGE_FORMAT if the ids differ in form only, MERGE_DISJOINT if no two share a
     season, REVIEW_OVERLAP_SAMETEAM if two share one and two share a team, else
     KEEP_SEPARATE_HOMONYM.
+
+    No pairs are made: an index of (name, season) and (name, team) says how many ids each
+    entry holds, and two ids share one where it holds two.
     """
-    a = per_id.select(name, F.col(ident).alias("a"), F.col("seasons").alias("sa"), F.col("teams").alias("ta"))
-    b = per_id.select(name, F.col(ident).alias("b"), F.col("seasons").alias("sb"), F.col("teams").alias("tb"))
-    pairs = a.join(b, name).where("a < b").groupBy(name).agg(F.max(F.arrays_overlap("sa", "sb")).alias("overlap"), F.max(F.arrays_overlap("ta", "tb")).alias("same_team"))
-    names = per_id.groupBy(name).agg(F.count("*").alias("n_ids"), F.countDistinct(norm).alias("n_norms")).where("n_ids > 1")
+    ids = per_id.select(F.col(name).alias("_name"), F.col(ident).alias("_id"), F.col(norm).alias("_norm"), "seasons", "teams")
+    shared = None
+    for kind, of in (("overlap", "seasons"), ("same_team", "teams")):
+        entries = ids.select("_name", F.explode(F.array_distinct(of)).alias("_entry")).where(F.col("_entry").isNotNull())
+        own = entries.groupBy("_name", "_entry").agg(F.count("*").alias("_n")).groupBy("_name").agg((F.max("_n") > 1).alias(kind))
+        shared = own if shared is None else shared.join(own, "_name", "full")
+    names = ids.groupBy("_name").agg(F.count("*").alias("n_ids"), F.countDistinct("_norm").alias("n_norms")).where("n_ids > 1")
     label = F.when(F.col("n_norms") == 1, "MERGE_FORMAT").when(~F.coalesce("overlap", F.lit(False)), "MERGE_DISJOINT").when(F.coalesce("same_team", F.lit(False)), "REVIEW_OVERLAP_SAMETEAM")
-    return names.join(pairs, name, "left").select(name, "n_ids", label.otherwise("KEEP_SEPARATE_HOMONYM").alias("verdict"))
+    return names.join(shared, "_name", "left").select(F.col("_name").alias(name), "n_ids", label.otherwise("KEEP_SEPARATE_HOMONYM").alias("verdict"))
 
 
 def merge_proposal(per_id: DataFrame, verdicts: DataFrame, name: str = "name", ident: str = "id", rows: str = "n_rows") -> DataFrame:
-    """(name, from_id, to_id): of mergeable ids the one with the most rows wins."""
-    mergeable = per_id.join(verdicts.where(F.col("verdict").startswith("MERGE")), name, "left_semi")
-    best = Window.partitionBy(name).orderBy(F.desc(rows), ident)
-    ranked = mergeable.withColumn("to_id", F.first(ident).over(best))
-    return ranked.where(F.col(ident) != F.col("to_id")).select(name, F.col(ident).alias("from_id"), "to_id")
+    """(name, from_id, to_id): of mergeable ids the one with the most rows wins, of equals
+    the least id."""
+    mergeable = per_id.join(verdicts.where(F.col("verdict").startswith("MERGE")), name, "left_semi").select(name, F.col(ident).alias("from_id"), F.col(rows).alias("_n"))
+    most = mergeable.groupBy(name).agg(F.min(F.struct((-F.col("_n")).alias("n"), "from_id")).alias("_best")).select(name, F.col("_best.from_id").alias("to_id"))
+    return mergeable.join(most, name).where("from_id <> to_id").select(name, "from_id", "to_id")
 
 
 def rewrite_ids(df: DataFrame, merges: DataFrame, column: str) -> DataFrame:
@@ -176,6 +185,34 @@ def row_index(df: DataFrame, order: str, name: str = "row", parts: int = 64) ->
     return df.join(F.broadcast(before), F.col("_b") == F.col("_k")).withColumn(name, F.col("_before") + within).drop("_b", "_k", "_before")
 
 
+def joined_once(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], report_by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Left join by keys with names of their own on both sides, of which the right ones go,
+    and what it missed: (report_by, n, n_met) of the left rows.
+
+    The right side must hold each key once, so that no left row comes twice; keys with a
+    null meet nothing, and do not count.
+    """
+    again = right.where(reduce(lambda a, b: a & b, [F.col(r).isNotNull() for _, r in keys])).groupBy(*[r for _, r in keys]).count().where("count > 1")
+    require_none(again, "key twice on the right side")
+    marked = right.withColumn("_met", F.lit(True))
+    both = left.join(marked, reduce(lambda a, b: a & b, [left[x] == marked[y] for x, y in keys]), "left").drop(*[marked[y] for _, y in keys])
+    report = both.groupBy(*report_by).agg(F.count("*").alias("n"), F.count("_met").alias("n_met"))
+    return both.drop("_met"), report
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with its rows numbered from 1 in an order without ties. Sorted ranges are
+    written with their own numbers and counted; the counts of the ranges before, of which
+    there are as many as partitions, are added. No task holds more than a range."""
+    parts = materialise(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = parts.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return parts.join(F.broadcast(counts), part == F.col("_part")).select(*[parts[c] for c in df.columns], place.alias(name))
+
+
 def head_and_tail(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """The first and the last ``n`` rows, with ``end`` saying which."""
     first = df.orderBy(*order).limit(n).withColumn("end", F.lit("head"))

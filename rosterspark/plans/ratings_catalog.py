@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rosterspark.functions import arrays, scalar
-from rosterspark.operators import evaluate, krylov, ratings, relational, ridge, similarity
+from rosterspark.operators import digest, evaluate, krylov, ratings, relational, ridge, similarity
 from rosterspark.plans.catalog import KINDS, SHOT_SQL, bucket_of, bucket_sql, certificate, interval_rows, lng, log_of, per_id_of, query, shots_of, t, vectors_of, wide_of
+from rosterspark.sources import publish, scratch
 
 
 @query("SELECT count(DISTINCT (o_custkey, nullif(o_orderstatus, 'P'))) AS n_tuples FROM orders")
@@ -344,7 +345,7 @@ u AS (SELECT k, s, 1 AS x, 0 AS y FROM a UNION ALL SELECT k, s, 0, 1 FROM b) SEL
 def rows_that_differ(spark, d):
     o = t(spark, d, "orders")
     b = o.select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderkey") % 50 == 0, "X").otherwise(F.col("o_orderstatus")).alias("s"))
-    return ratings.same_rows(o.select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s")), b)
+    return digest.differing_rows(o.select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("s")), b)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders")
@@ -399,7 +400,7 @@ def good_shares(spark, d):
     return relational.require_share(relational.require_columns(o, ["s", "o_totalprice"]), F.col("o_totalprice") > 1000, ["s"], 0.5)
 
 
-@query()
+@query("""SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey) <= 3""")
 def sampled_rows(spark, d):
     return relational.sample_groups(t(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 3)
 
@@ -407,3 +408,47 @@ def sampled_rows(spark, d):
 @query("""WITH g AS (SELECT vec_id AS k, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT k AS vec_id, round(list_inner_product(v, v), 4) AS length2 FROM g""")
 def vector_length(spark, d):
     return vectors_of(spark, d).select("vec_id", F.round(similarity.dot(F.col("v"), F.col("v")), 4).alias("length2"))
+
+
+@query("""WITH c AS (SELECT c_custkey FROM customer), o AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey % 3 <> 0)
+SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total, (SELECT count(*) FROM c WHERE c_custkey NOT IN (SELECT o_custkey FROM o)) AS missing, FALSE AS complete FROM o JOIN c ON c_custkey = o_custkey GROUP BY 1""")
+def published_keys(spark, d):
+    """Orders by customer, published in two runs of which the second adds what is missing."""
+    path = scratch.new_path(spark, "published")
+    expected = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    orders = t(spark, d, "orders").where("o_custkey % 3 <> 0").select("o_custkey", "o_orderkey", "o_totalprice")
+    guards = [publish.rows_at_least(1), publish.none_where("no_price", F.col("o_totalprice").isNull()), publish.spread("prices", F.col("o_totalprice"))]
+    publish.publish_missing(orders.where("o_custkey % 2 = 0"), path, ["o_custkey"], expected, guards)
+    publish.publish_missing(orders, path, ["o_custkey"], expected, guards)
+    said = publish.manifest(spark, path)
+    out = publish.read_published(spark, path).groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return out.withColumns({"missing": F.lit(said["missing"]).cast("long"), "complete": F.lit(said["complete"])})
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (l_quantity < 1) AS below_one, round(avg(CASE WHEN l_returnflag <> 'R' THEN 1.0 ELSE 0.0 END), 6) AS not_returned, round(stddev_pop(l_quantity), 6) AS quantity_sd FROM lineitem""")
+def guard_measures(spark, d):
+    """What guards measure in the pass that writes the rows."""
+    good = F.col("l_returnflag") != "R"
+    guards = [publish.rows_at_least(1), publish.none_where("below_one", F.col("l_quantity") < 1), publish.share_at_least("not_returned", good, 0.5), publish.spread("quantity_sd", F.col("l_quantity"))]
+    found = publish.observed(t(spark, d, "lineitem"), guards, lambda rows: rows.write.format("noop").mode("overwrite").save())
+    row = (found["rows"], found["below_one"], round(found["not_returned"], 6), round(found["quantity_sd"], 6))
+    return spark.createDataFrame([row], "n long, below_one long, not_returned double, quantity_sd double")
+
+
+@query("""SELECT year(o_orderdate) AS season, count(*) AS n, count(c_custkey) AS n_met, round(sum(CASE WHEN c_custkey IS NOT NULL THEN o_totalprice ELSE 0 END), 2) AS met_total
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON c_custkey = o_custkey AND c_nationkey % 5 = o_orderkey % 5 AND c_mktsegment IS NOT NULL GROUP BY 1""")
+def joined_once(spark, d):
+    """A left join by two keys of unlike names, and what it missed by season."""
+    right = t(spark, d, "customer").where("c_custkey % 7 <> 0").select("c_custkey", (F.col("c_nationkey") % 5).cast("long").alias("kind"), "c_mktsegment")
+    left = t(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 5).alias("of_kind"), F.year("o_orderdate").alias("season"), "o_totalprice")
+    both, report = relational.joined_once(left, right, [("o_custkey", "c_custkey"), ("of_kind", "kind")], ["season"])
+    met = both.groupBy("season").agg(F.round(F.sum(F.when(F.col("c_mktsegment").isNotNull(), F.col("o_totalprice")).otherwise(0.0)), 2).alias("met_total"))
+    return report.join(met, "season")
+
+
+@query("SELECT count(*) AS n_chunks, TRUE AS same FROM (SELECT DISTINCT o_custkey % 64 AS c FROM orders)")
+def digests_agree(spark, d):
+    """Digests of one table dealt out in two ways; orders fall into 64 chunks by customer."""
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    n = digest.chunk_digests(o.select(F.xxhash64("o_orderkey").alias("_h"), F.xxhash64("o_totalprice").alias("_g"), (F.col("o_custkey") % 64).alias("c")), ["c"]).count()
+    return spark.createDataFrame([(n, digest.same(o, o.repartition("o_custkey")))], "n_chunks long, same boolean")

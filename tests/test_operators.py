@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterspark.functions import arrays, scalar
-from rosterspark.operators import evaluate, ratings, relational, ridge, sequence
+from rosterspark.operators import digest, evaluate, ratings, relational, ridge, sequence
 from rosterspark.sources import files, sinks
 from rosterspark.streaming.splice import splice_stream
 
@@ -120,7 +120,7 @@ def test_ratings(spark):
     sides = [r["side"] for r in ratings.orientation(shots, F.col("who"), F.col("h"), F.col("a")).collect()]
     assert sides == ["home", None, "away"]
     one = spark.createDataFrame([(1,), (1,)], "v int")
-    assert ratings.same_rows(one, one.limit(1)).count() == 1 and ratings.same_rows(one, one).count() == 0
+    assert digest.differing_rows(one, one.limit(1)).count() == 1 and digest.differing_rows(one, one).count() == 0
 
 
 def test_tolerant_read_keeps_every_readable_shard(spark, tmp_path):
