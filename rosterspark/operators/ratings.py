@@ -58,8 +58,8 @@ def composite(long: DataFrame, shares: DataFrame) -> DataFrame:
     return long.join(weights, "bucket", "left").groupBy("id").agg(F.sum(effect * F.coalesce(F.try_divide("_w", "_all"), F.lit(0.0))).alias("composite"))
 
 
-def bucket_rows(shots: DataFrame, index: DataFrame, offence: str, defence: str, size: int = 5) -> DataFrame:
-    """(bucket, offence, defence, attempts, y): shots of each bucket by both lineups, with
+def bucket_rows(shots: DataFrame, index: DataFrame, offence: str, defence: str, size: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, bucket, offence, defence, attempts, y): shots of each bucket by both lineups, with
     points per hundred attempts. Lineups must have ``size`` different players whom
     ``index`` knows; their order does not matter."""
     sides = shots.select("shot", F.explode(F.array(F.struct(F.lit("o").alias("side"), F.col(offence).alias("five")), F.struct(F.lit("d").alias("side"), F.col(defence).alias("five")))).alias("s"))
@@ -68,8 +68,8 @@ def bucket_rows(shots: DataFrame, index: DataFrame, offence: str, defence: str,
     both = fives.groupBy("shot").agg(F.max(F.when(F.col("side") == "o", F.col("five"))).alias("o"), F.max(F.when(F.col("side") == "d", F.col("five"))).alias("d")).where("o IS NOT NULL AND d IS NOT NULL")
     full = (F.size(offence) == size) & (F.size(defence) == size)
     met = shots.where(full & F.col("bucket").isNotNull()).join(both, "shot")
-    agg = met.groupBy("bucket", F.col("o").alias("offence"), F.col("d").alias("defence")).agg(F.count("*").alias("attempts"), F.sum("points").alias("points"))
-    return agg.select("bucket", "offence", "defence", "attempts", (100.0 * F.col("points") / F.col("attempts")).alias("y"))
+    agg = met.groupBy(*by, "bucket", F.col("o").alias("offence"), F.col("d").alias("defence")).agg(F.count("*").alias("attempts"), F.sum("points").alias("points"))
+    return agg.select(*by, "bucket", "offence", "defence", "attempts", (100.0 * F.col("points") / F.col("attempts")).alias("y"))
 
 
 def common_support(df: DataFrame, coverages: list[str], least: float = 0.85) -> DataFrame:

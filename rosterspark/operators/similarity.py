@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterspark.operators import clusters
+from rosterspark.operators.relational import require_none
+
 
 def wide_vectors(df: DataFrame, ident: str, keys: list[str], names: list[str], value: str) -> DataFrame:
     """One column for each name; ids that lack any are left out."""
@@ -93,10 +97,50 @@ def principal_axes(df: DataFrame, ident: str, vector: str, k: int) -> tuple[Data
 
 def best_kmeans(df: DataFrame, ident: str, vector: str, k: int, starts: int = 25, seed: int = 42) -> DataFrame:
     """(ident, cluster) of the start with the least cost."""
-    dense = df.select(ident, array_to_vector(F.col(vector).cast("array<double>")).alias("v")).cache()
-    models = [KMeans(k=k, seed=seed + i, featuresCol="v", predictionCol="cluster").fit(dense) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(dense).select(ident, "cluster")
+    return clusters.assign(df, ident, vector, clusters.fit(df, ident, vector, [k], starts, seed)).drop("k")
+
+
+def rating_vectors(long: DataFrame, names: DataFrame, ident: str, buckets: list[str], reliable_only: bool = True, least_support: float = 0.0, ends: tuple[str, ...] = ("off", "def"), value: str = "deviation") -> DataFrame:
+    """(ident, a column bucket__end for each cell, min_support, tot_support, prior, label) of
+    the players that ``names`` (ident, name) knows, whose cells are all there, all reliable
+    and of enough support. A player who is unreliable anywhere is left out, not set to 0;
+    the prior is the first cell's, and one without a name is called by the id."""
+    cells = [f"{b}__{e}" for b in buckets for e in ends]
+    known = long.join(names.select(ident).distinct(), ident, "left_semi").where(F.col("bucket").isin(*buckets)).withColumn("_cell", F.concat_ws("__", "bucket", "end"))
+    keep = (F.min("support") >= least_support) & (F.every("reliable") if reliable_only else F.lit(True))
+    wide = known.groupBy(ident).agg(
+        *[F.max(F.when(F.col("_cell") == c, F.col(value))).alias(c) for c in cells], F.min("support").alias("min_support"), F.sum("support").alias("tot_support"),
+        F.min_by("prior", F.array_position(F.array(*map(F.lit, cells)), F.col("_cell"))).alias("prior"), keep.alias("_keep"),
+    )
+    called = names.groupBy(ident).agg(F.min("name").alias("name"))
+    full = wide.where("_keep").drop("_keep").na.drop(subset=cells)
+    return full.join(called, ident, "left").withColumn("label", F.coalesce("name", F.col(ident).cast("string"))).drop("name")
+
+
+def require_spread(df: DataFrame, cols: list[str], least: int = 10) -> DataFrame:
+    """Raises unless there are enough rows and no column is one value only."""
+    found = df.agg(F.count("*").alias("n"), *[F.stddev_samp(c).alias(c) for c in cols])
+    require_none(found.where(reduce(lambda a, b: a | b, [F.col("n") < least, *[F.coalesce(F.col(c), F.lit(0.0)) == 0 for c in cols]])), "too few rows, or a column without spread")
+    return df
+
+
+def agreement_summary(agreement: DataFrame, n: int, k: int, least: int = 20) -> DataFrame:
+    """(n, mean_jaccard, same_first, chance, verdict) of ``agreement_at_k`` over ``n`` shared
+    ids: against the Jaccard that chance gives, about k / n."""
+    out = agreement.agg(F.count("*").alias("n"), F.avg("jaccard").alias("mean_jaccard"), F.avg(F.col("same_first").cast("double")).alias("same_first"))
+    chance = F.lit(k / n if n else None).cast("double")
+    # Under twice the chance nothing replicates, under 0.35 little.
+    verdict = F.when(F.col("mean_jaccard").isNull() | (F.col("n") < least), "INCONCLUSIVE").when(F.col("mean_jaccard") < 2 * chance, "NONE").when(F.col("mean_jaccard") < 0.35, "WEAK").otherwise("REPLICATES")
+    return out.withColumns({"chance": chance, "verdict": verdict})
+
+
+def axis_structure(shares: np.ndarray, loadings: np.ndarray) -> tuple[bool, str]:
+    """Whether the first axis's loadings have one sign, and whether it stands for a space
+    that is close to one dimension."""
+    first = loadings[:, 0]
+    same = bool((first > 0).all() or (first < 0).all())
+    # Fixed value: the share of variance from which on one axis dominates.
+    return same, "ONE_AXIS" if same and shares[0] > 0.60 else "SEVERAL"
 
 
 def top_features(values: Column, names: list[str], n: int = 2) -> Column:

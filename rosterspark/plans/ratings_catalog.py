@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rosterspark.functions import arrays, scalar
-from rosterspark.operators import digest, evaluate, krylov, ratings, relational, ridge, similarity
+from rosterspark.operators import clusters, digest, evaluate, krylov, neighbours, ratings, relational, ridge, shot_context, similarity
 from rosterspark.plans.catalog import KINDS, SHOT_SQL, bucket_of, bucket_sql, certificate, interval_rows, lng, log_of, per_id_of, query, shots_of, t, vectors_of, wide_of
 from rosterspark.sources import publish, scratch
 
@@ -452,3 +452,121 @@ def digests_agree(spark, d):
     o = t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     n = digest.chunk_digests(o.select(F.xxhash64("o_orderkey").alias("_h"), F.xxhash64("o_totalprice").alias("_g"), (F.col("o_custkey") % 64).alias("c")), ["c"]).count()
     return spark.createDataFrame([(n, digest.same(o, o.repartition("o_custkey")))], "n_chunks long, same boolean")
+
+
+def contexts_of(spark, d):
+    """Shots of three kinds by lineups of two; an order is a shot, its customer a game."""
+    n, who = F.col("l_linenumber"), F.col("l_suppkey").cast("string")
+    shots = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("shot")).agg(F.collect_list(F.when(n <= 2, who)).alias("off"), F.collect_list(F.when((n > 2) & (n <= 4), who)).alias("de"), F.sum("l_quantity").alias("points"))
+    shots = shots.withColumn("bucket", F.when(F.col("shot") % 4 != 3, F.concat(F.lit("b"), (F.col("shot") % 4).cast("string"))))
+    shots = shots.join(t(spark, d, "orders").select(F.col("o_orderkey").alias("shot"), F.col("o_custkey").alias("game")), "shot")
+    index = ridge.player_index(shots, ["off", "de"])
+    size = index.count()
+    rows = ratings.bucket_rows(shots, index, "off", "de", 2, ("game",))
+    rows = ridge.assign_folds(rows, "game").withColumn("row_id", F.struct("game", "bucket", "offence", "defence")).withColumn("w", F.col("attempts").cast("double"))
+    rows = shot_context.tagged(rows, "bucket", BUCKETS, "fold", 5)
+    return index, size, rows, ridge.two_sided_design(rows, index, size)
+
+
+BUCKETS = ["b0", "b1", "b2"]
+
+
+def context_fits_of(spark, d):
+    index, n, rows, triplets = contexts_of(spark, d)
+    design = krylov.pack(triplets, rows, 2 * n, tag=F.col("tag"))
+    # The overall ratings: one fit over all kinds.
+    beta, _ = krylov.fits(design, krylov.tag_weights(np.ones((5 * len(BUCKETS), 1))), 1, [100.0])
+    return index, rows, triplets, shot_context.fit_all(design, BUCKETS, 5, beta[0, :n, 0], -beta[0, n:, 0])
+
+
+@query()
+def context_fits(spark, d):
+    """Each kind's penalty, errors, probe and signs."""
+    found = shot_context.report(spark, context_fits_of(spark, d)[3])
+    return found.select("bucket", "alpha", "at_edge", "sign_off", "sign_def", *[F.round(c, 5).alias(c) for c in ("rmse", "corr_off", "corr_def", "intercept")])
+
+
+@query()
+def context_verdicts(spark, d):
+    """Whether each kind can be told from noise, from the correlations of its own fits."""
+    _, rows, _, fits = context_fits_of(spark, d)
+    out = shot_context.verdicts(rows, fits)
+    return out.select("bucket", "alpha", "at_edge", "attempts", F.round("signal", 5).alias("signal"), "driver", "right_sign", "verdict")
+
+
+@query("""SELECT 'b' || CAST(b AS VARCHAR) AS bucket, CAST(s AS INTEGER) AS side, player, CAST(0 AS DOUBLE) AS gradient FROM range(3) x(b), range(2) y(s),
+(SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS player FROM lineitem WHERE l_linenumber <= 4)""")
+def context_gradient(spark, d):
+    """The derivative of each kind's sum at its chosen fit: 0 for every player and end."""
+    index, rows, triplets, fits = context_fits_of(spark, d)
+    n, out = len(fits[0].beta) // 2, None
+    for f in fits:
+        own = rows.where(F.col("bucket") == f.bucket)
+        coefs = spark.createDataFrame([(i, float(b), float(m)) for i, (b, m) in enumerate(zip(f.beta, f.mu, strict=True))], "col int, beta double, mu double")
+        found = krylov.gradient(triplets.join(own.select("row_id"), "row_id", "left_semi"), own, coefs, f.intercept, f.alpha).withColumn("bucket", F.lit(f.bucket))
+        out = found if out is None else out.unionByName(found)
+    out = out.withColumn("side", F.floor(F.col("col") / n).cast("int")).withColumn("col", F.col("col") % n)
+    return out.join(index, "col").select("bucket", "side", "player", (F.round("gradient", 6) + 0.0).alias("gradient"))
+
+
+KNN_ALL = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT q.vec_id, t.vec_id AS neighbour, {} AS distance FROM e q JOIN e t ON q.vec_id <> t.vec_id)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS INTEGER) AS rank, neighbour, round(distance, 5) AS distance FROM p QUALIFY rank <= 10"""
+
+
+@query(KNN_ALL.format("list_distance(q.v, t.v)"))
+def knn_all(spark, d):
+    """Ten neighbours of every row."""
+    return neighbours.nearest_to_all(vectors_of(spark, d), "vec_id", "v", 10).withColumn("distance", F.round("distance", 5))
+
+
+@query(KNN_ALL.format("1 - list_cosine_similarity(q.v, t.v)"))
+def knn_all_cosine(spark, d):
+    return neighbours.nearest_to_all(vectors_of(spark, d), "vec_id", "v", 10, "cosine").withColumn("distance", F.round("distance", 5))
+
+
+@query()
+def neighbour_stability(spark, d):
+    """Neighbours by distance and by angle, for every row, against what chance would give."""
+    v = vectors_of(spark, d)
+    both = similarity.agreement_at_k(neighbours.nearest_to_all(v, "vec_id", "v", 10), neighbours.nearest_to_all(v, "vec_id", "v", 10, "cosine"), "vec_id")
+    out = similarity.agreement_summary(both, v.count(), 10)
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("mean_jaccard", "same_first", "chance")], "verdict")
+
+
+@query()
+def pca_structure(spark, d):
+    """Shares of variance and loadings of three axes, and whether the first has one sign."""
+    _, shares, loadings = similarity.principal_axes(vectors_of(spark, d), "vec_id", "v", 3)
+    same, verdict = similarity.axis_structure(shares, loadings)
+    rows = [(k + 1, round(float(shares[k]), 6), [round(float(x), 5) for x in loadings[:, k]], same, verdict) for k in range(3)]
+    return spark.createDataFrame(rows, "axis int, share double, loadings array<double>, same_sign boolean, verdict string")
+
+
+@query()
+def kmeans_grid(spark, d):
+    """The least cost for 3 to 8 clusters, 25 starts each, by one pass an iteration."""
+    found = clusters.fit(vectors_of(spark, d), "vec_id", "v", list(range(3, 9)))
+    return spark.createDataFrame([(k, round(m.cost, 4), m.start) for k, m in found.items()], "k int, cost double, start int")
+
+
+@query()
+def cluster_decision(spark, d):
+    """Two halves of the vectors as two windows: how alike they cluster, and what to show."""
+    v = vectors_of(spark, d)
+    halves = [v.select("vec_id", F.slice("v", s, 32).alias("v")) for s in (1, 33)]
+    by_k = clusters.agreement(*halves, "vec_id", "v", list(range(3, 9)))
+    top3 = similarity.agreement_at_k(*[neighbours.nearest_to_all(h, "vec_id", "v", 3) for h in halves], "vec_id")
+    best = by_k.agg(F.max("adjusted_rand").alias("ari")).crossJoin(top3.agg(F.avg("jaccard").alias("jaccard")))  # single rows
+    out = by_k.crossJoin(F.broadcast(best))  # a single row
+    return out.select("k", "n", F.round("adjusted_rand", 6).alias("adjusted_rand"), F.round("jaccard", 6).alias("jaccard"), scalar.format_decision(F.col("ari"), F.col("jaccard")).alias("decision"))
+
+
+@query(f"""WITH {COEF_SQL}, v AS (SELECT *, support >= 30 AS reliable FROM lg WHERE bucket = 'b0'), k AS (SELECT * FROM v WHERE CAST(id AS BIGINT) % 11 <> 0),
+g AS (SELECT id, min(support) AS min_support, sum(support) AS tot_support, max(value - prior) FILTER ("end" = 'off') AS off, max(value - prior) FILTER ("end" = 'def') AS def, max(prior) FILTER ("end" = 'off') AS prior, max(bucket) AS bucket FROM k GROUP BY 1 HAVING bool_and(reliable) AND min(support) >= 40)
+SELECT id, min_support, tot_support, round(off, 6) AS "off", round(def, 6) AS "def", round(prior, 6) AS prior, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN s_name ELSE id END AS label FROM g JOIN supplier ON CAST(s_suppkey AS VARCHAR) = id WHERE bucket = 'b0'""")
+def gated_vectors(spark, d):
+    """Vectors of players who are known, reliable and supported in every cell of the bucket."""
+    long = ratings.long_ratings(coefs_of(spark, d), "id", 30.0)
+    names = t(spark, d, "supplier").where("s_suppkey % 11 <> 0").select(F.col("s_suppkey").cast("string").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"))
+    out = similarity.rating_vectors(long, names, "id", ["b0"], True, 40.0)
+    return out.select("id", "min_support", "tot_support", F.round("b0__off", 6).alias("off"), F.round("b0__def", 6).alias("def"), F.round("prior", 6).alias("prior"), "label")
