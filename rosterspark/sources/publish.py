@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -26,11 +27,13 @@ from rosterspark.operators.relational import GuardError, missing_keys
 
 @dataclass(frozen=True)
 class Guard:
-    """A measure of the rows that are written, and when it is well."""
+    """A measure of the rows that are written, and when it is well; one that is not
+    ``fatal`` warns and lets the rows pass."""
 
     name: str
     measure: Column
     holds: Callable[[object], bool]
+    fatal: bool = True
 
 
 def rows_at_least(n: int) -> Guard:
@@ -47,6 +50,13 @@ def share_at_least(name: str, good: Column, least: float) -> Guard:
     return Guard(name, F.avg(F.coalesce(good, F.lit(False)).cast("double")), lambda x: x is None or x >= least)
 
 
+def few_empty(name: str, lists: list[Column], most: float = 0.0, fatal: bool = False) -> Guard:
+    """The share of rows of which any of the lists is null or empty, as lineups at ingest
+    are; more than ``most`` is worth a warning."""
+    empty = reduce(lambda a, b: a | b, [F.coalesce(F.size(x), F.lit(0)) <= 0 for x in lists])
+    return Guard(name, F.avg(empty.cast("double")), lambda x: x is None or x <= most, fatal)
+
+
 def spread(name: str, value: Column) -> Guard:
     """A predictor must not be one value only."""
     return Guard(name, F.stddev_pop(value), lambda x: x is None or x > 0)
@@ -61,8 +71,11 @@ def observed(df: DataFrame, guards: list[Guard], act: Callable[[DataFrame], None
     watch = Observation()
     act(df.observe(watch, *[g.measure.alias(g.name) for g in guards]))
     found = watch.get
-    if failed := {g.name: found[g.name] for g in guards if not g.holds(found[g.name])}:
-        raise GuardError(f"guards do not hold: {failed}")
+    failed = [g for g in guards if not g.holds(found[g.name])]
+    if fatal := {g.name: found[g.name] for g in failed if g.fatal}:
+        raise GuardError(f"guards do not hold: {fatal}")
+    for g in failed:
+        warnings.warn(f"guard {g.name}: {found[g.name]}", stacklevel=2)
     return found
 
 

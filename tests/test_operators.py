@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterspark.functions import arrays, scalar
-from rosterspark.operators import digest, evaluate, ratings, relational, ridge, sequence
+from rosterspark.operators import digest, evaluate, ratings, relational, ridge, sequence, similarity
 from rosterspark.sources import files, sinks
 from rosterspark.streaming.splice import splice_stream
 
@@ -187,3 +187,42 @@ def test_guards_of_predictors_and_priors(spark):
     assert (row["s"]["signal"], row["s"]["driver"], row["s"]["right_sign"]) == (0.2, "def", False) and abs(row["b"] - 0.01) < 1e-9
     drift = files.schema_drift(same, same.withColumn("x", F.lit("s")))
     assert drift == [("x", "double", "string")]
+
+
+def test_joined_once(spark):
+    left = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, None, "c"), (2, 1, "d"), (1, 1, "e")], "season int, play int, v string")
+    right = spark.createDataFrame([(1, 1, "x"), (2, 9, "y"), (1, None, "z"), (1, None, "z")], "season int, number int, team string")
+    both, report = relational.joined_once(left, right, [("season", "season"), ("play", "number")], ["season"])
+    assert sorted((r["season"], r["play"], r["v"], r["team"]) for r in both.where("play IS NOT NULL").collect()) == [(1, 1, "a", "x"), (1, 1, "e", "x"), (1, 2, "b", None), (2, 1, "d", None)]
+    assert both.count() == 5 and both.columns == ["season", "play", "v", "team"]
+    assert sorted(map(tuple, report.collect())) == [(1, 4, 2), (2, 1, 0)]
+    with pytest.raises(relational.GuardError):
+        relational.joined_once(left, right.unionByName(right), [("season", "season"), ("play", "number")], ["season"])
+
+
+def test_gated_vectors(spark):
+    cells = [("a", b, e, s, rel, 1.0 + k, 0.5, d) for k, (b, e) in enumerate((b, e) for b in ("rim", "mid") for e in ("off", "def")) for s, rel, d in ((200.0, True, float(k)),)]
+    cells += [(p, *c[1:]) for p in ("b", "c", "unknown") for c in cells[:4]]
+    rows = [c if not (c[0] == "b" and c[1] == "mid" and c[2] == "def") else (*c[:4], False, *c[5:]) for c in cells]
+    rows = [c for c in rows if not (c[0] == "c" and c[1] == "mid" and c[2] == "off")] + [("a", "far", "off", 1.0, False, 0.0, 0.0, 9.0)]
+    long = spark.createDataFrame([(p, b, e, s, r, pr, d) for p, b, e, s, r, pr, _, d in rows], "id string, bucket string, end string, support double, reliable boolean, prior double, deviation double")
+    names = spark.createDataFrame([("a", "Ann"), ("a", "Ann"), ("b", "Bo"), ("c", None), ("d", "Di")], "id string, name string")
+    got = similarity.rating_vectors(long, names, "id", ["rim", "mid"]).collect()
+    assert [r.asDict() for r in got] == [{"id": "a", "rim__off": 0.0, "rim__def": 1.0, "mid__off": 2.0, "mid__def": 3.0, "min_support": 200.0, "tot_support": 800.0, "prior": 1.0, "label": "Ann"}]
+    assert {r["id"] for r in similarity.rating_vectors(long, names, "id", ["rim", "mid"], reliable_only=False).collect()} == {"a", "b"}
+    assert {(r["id"], r["label"]) for r in similarity.rating_vectors(long, names, "id", ["rim"]).collect()} == {("a", "Ann"), ("b", "Bo"), ("c", "c")}
+    assert similarity.rating_vectors(long, names, "id", ["rim"], least_support=201.0).count() == 0
+    with pytest.raises(relational.GuardError):
+        similarity.require_spread(similarity.rating_vectors(long, names, "id", ["rim"]), ["rim__off"])
+
+
+def test_agreement_summary_and_axes(spark):
+    agreed = spark.createDataFrame([(i, 0.1 if i % 2 else 0.3, i % 4 == 0) for i in range(40)], "id int, jaccard double, same_first boolean")
+    row = similarity.agreement_summary(agreed, 40, 10).first()
+    assert (row["n"], round(row["mean_jaccard"], 6), row["same_first"], row["chance"], row["verdict"]) == (40, 0.2, 0.25, 0.25, "NONE")
+    assert similarity.agreement_summary(agreed, 400, 10).first()["verdict"] == "WEAK"
+    assert similarity.agreement_summary(agreed.where("id < 9"), 9, 10).first()["verdict"] == "INCONCLUSIVE"
+    assert similarity.agreement_summary(agreed.where("id < 0"), 0, 10).first()["verdict"] == "INCONCLUSIVE"
+    assert similarity.axis_structure(np.array([0.7, 0.3]), np.array([[-0.6, 1], [-0.8, -1]])) == (True, "ONE_AXIS")
+    assert similarity.axis_structure(np.array([0.5, 0.5]), np.array([[0.6, 1], [0.8, -1]])) == (True, "SEVERAL")
+    assert similarity.axis_structure(np.array([0.9, 0.1]), np.array([[0.6, 1], [-0.8, -1]])) == (False, "SEVERAL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterspark.operators import digest, relational
 from rosterspark.operators.relational import GuardError
-from rosterspark.sources import publish, scratch
+from rosterspark.sources import files, publish, scratch
 
 
 @pytest.fixture
@@ -27,6 +27,23 @@ def test_a_failing_guard_leaves_the_target_untouched(spark, rows, tmp_path):
         assert publish.read_published(spark, path).count() == 4 and publish.sweep(spark, path) == 0
 
 
+def test_empty_lineups_warn_and_pass(spark, tmp_path):
+    df = spark.createDataFrame([(["a"], ["b"]), ([], ["b"]), (None, None), (["a"], ["c"])], "home array<string>, away array<string>")
+    guard = publish.few_empty("empty_lineups", [F.col("home"), F.col("away")], 0.1)
+    with pytest.warns(UserWarning, match="empty_lineups: 0.5"):
+        found = publish.publish(df, f"file://{tmp_path}/t", [guard])
+    assert found["empty_lineups"] == 0.5 and publish.read_published(spark, f"file://{tmp_path}/t").count() == 4
+    with pytest.raises(GuardError):
+        publish.publish(df, f"file://{tmp_path}/t", [publish.few_empty("empty", [F.col("home")], 0.1, fatal=True)])
+
+
+def test_path_values(spark, rows, tmp_path):
+    path = f"file://{tmp_path}/p"
+    rows.withColumn("part", F.col("season")).write.partitionBy("part").parquet(path)
+    read = files.read_shards(spark, path).select("season", files.path_value("part").alias("part"), files.path_value("other").alias("other"))
+    assert {tuple(r) for r in read.collect()} == {(1, "1", None), (2, "2", None), (3, "3", None)}
+
+
 def test_the_input_is_read_once(spark, rows, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
