@@ -43,21 +43,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(float("nan")))
 
 
-def nearest(queries: DataFrame, table: DataFrame, ident: str, vector: str, k: int, metric: str = "euclid") -> DataFrame:
+#: Asking rows that are sent to all tasks at once.
+ASKED = 4096
+
+
+def in_blocks(queries: DataFrame, ident: str, most: int = ASKED) -> list[DataFrame]:
+    """The asking rows by a hash of their ids, about ``most`` at a time, however many there are."""
+    blocks = max(1, -(-queries.count() // most))
+    return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64(ident), F.lit(blocks)) == k) for k in range(blocks)]
+
+
+def nearest(queries: DataFrame, table: DataFrame, ident: str, vector: str, k: int, metric: str = "euclid", asked: int = ASKED) -> DataFrame:
     """(ident, rank, neighbour, distance): each query's ``k`` nearest rows, itself excluded.
 
-    For a stated query set against a whole table: the table stays where it is, each of
-    its tasks keeps a query's ``k`` best by partial aggregation, and ranks follow.
+    For a stated query set against a whole table: the table stays where it is, a block of
+    queries of bounded size is sent to it at a time, and Spark keeps a query's ``k`` best
+    in each task before ranks meet.
     """
-    q = queries.select(F.col(ident).alias("q"), F.col(vector).alias("qv"))
     t = table.select(F.col(ident).alias("neighbour"), F.col(vector).alias("tv"))
     far = F.sqrt(squared_distance(F.col("qv"), F.col("tv"))) if metric == "euclid" else 1 - cosine(F.col("qv"), F.col("tv"))
-    pairs = t.join(F.broadcast(q), F.col("q") != F.col("neighbour")).select("q", "neighbour", far.alias("distance"))
-    pairs = pairs.withColumn("_task", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("q", "_task").orderBy("distance", "neighbour"))
-    final = F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbour"))
-    best = pairs.withColumn("_l", local).where(F.col("_l") <= k).withColumn("rank", final).where(F.col("rank") <= k)
-    return best.select(F.col("q").alias(ident), "rank", "neighbour", "distance")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbour"))
+    found = []
+    for block in in_blocks(queries.select(F.col(ident).alias("q"), F.col(vector).alias("qv")), "q", asked):
+        pairs = t.join(F.broadcast(block), F.col("q") != F.col("neighbour")).select("q", "neighbour", far.alias("distance"))
+        found.append(pairs.withColumn("rank", rank).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found).select(F.col("q").alias(ident), "rank", "neighbour", "distance")
 
 
 def agreement_at_k(a: DataFrame, b: DataFrame, ident: str) -> DataFrame:
@@ -149,9 +159,12 @@ def top_features(values: Column, names: list[str], n: int = 2) -> Column:
     return F.transform(F.slice(F.array_sort(named), 1, n), lambda s: F.get(F.array(*map(F.lit, names)), s["i"]))
 
 
-def distance_against(queries: DataFrame, table: DataFrame, ident: str, vector: str, prior: str) -> DataFrame:
+def distance_against(queries: DataFrame, table: DataFrame, ident: str, vector: str, prior: str, asked: int = ASKED) -> DataFrame:
     """(n_pairs, corr): over the pairs of a stated query set with all other rows, how the
-    distance goes with the difference of priors; sums alone leave a task."""
-    q = queries.select(F.col(ident).alias("q"), F.col(vector).alias("qv"), F.col(prior).alias("qp"))
-    pairs = table.select(ident, vector, prior).join(F.broadcast(q), F.col("q") != F.col(ident))
-    return pairs.agg(F.count("*").alias("n_pairs"), F.corr(F.sqrt(squared_distance(F.col("qv"), F.col(vector))), F.abs(F.col("qp") - F.col(prior))).alias("corr"))
+    distance goes with the difference of priors; queries are sent in blocks of bounded
+    size, and sums alone leave a task."""
+    t, found = table.select(ident, vector, prior), []
+    for block in in_blocks(queries.select(F.col(ident).alias("q"), F.col(vector).alias("qv"), F.col(prior).alias("qp")), "q", asked):
+        pairs = t.join(F.broadcast(block), F.col("q") != F.col(ident))
+        found.append(pairs.select(F.sqrt(squared_distance(F.col("qv"), F.col(vector))).alias("far"), F.abs(F.col("qp") - F.col(prior)).alias("apart")))
+    return reduce(DataFrame.unionByName, found).agg(F.count("*").alias("n_pairs"), F.corr("far", "apart").alias("corr"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterspark.operators import neighbours
+from rosterspark.operators import neighbours, similarity
 
 
 def plain(ids, x, k, metric):
@@ -42,3 +42,13 @@ def test_few_rows_and_pruning(spark):
     same = spark.range(50).select("id", F.array(F.lit(1.0), F.lit(-0.0)).alias("v"))
     got = neighbours.nearest_to_all(same, "id", "v", 3).collect()
     assert len(got) == 150 and {r["neighbour"] for r in got if r["id"] > 3} == {0, 1, 2} and {r["distance"] for r in got} == {0.0}
+
+
+def test_queries_in_blocks(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3)], float(i % 7)) for i in range(60)], "id long, v array<double>, p double")
+    asks = df.where("id % 4 = 0")
+    whole, parts = (sorted(map(tuple, similarity.nearest(asks, df, "id", "v", 4, "cosine", n).collect())) for n in (4096, 4))
+    assert whole == parts and len(whole) == 60
+    one, many = (similarity.distance_against(asks, df, "id", "v", "p", n).first() for n in (4096, 4))
+    assert one["n_pairs"] == many["n_pairs"] == 15 * 59 and one["corr"] == pytest.approx(many["corr"])
