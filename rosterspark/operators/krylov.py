@@ -159,7 +159,7 @@ def centred_product(design: Packed, weigh: Weigh, m: Moments, vectors: np.ndarra
     return out - m.xw * np.divide((m.xw * vectors).sum(0), m.sw, out=np.zeros_like(m.sw), where=m.sw > 0)
 
 
-def fits(design: Packed, weigh: Weigh, n_systems: int, alphas: list[float], mu: np.ndarray | None = None, tolerance: float = 1e-13, steps: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def fits(design: Packed, weigh: Weigh, n_systems: int, alphas: list[float], mu: np.ndarray | None = None, tolerance: float = 1e-12, steps: int = 5000) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients (penalties, columns, systems) and intercepts (penalties, systems) of
     min sum w (y - b0 - x beta)^2 + alpha |beta - mu|^2 for all systems and penalties.
 
