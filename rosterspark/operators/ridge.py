@@ -1,26 +1,19 @@
 """Sparse designs and weighted ridge ratings.
 
 A design is long: (row_id, col, value) triplets beside a table of rows (row_id, y,
-w, group). Spark sums the normal equations; only they, whose size is the number of
-columns squared, come to the driver, where the dense systems are solved. Beyond
-``MAX_COLUMNS`` Spark multiplies design and vectors instead. Many fits at once, for folds,
-penalties and bootstrap draws, are in ``krylov``.
+w, group). One fit of any width is ``fit``; many at once, for folds, penalties and bootstrap
+draws, are in ``krylov``. The products of columns can be had as a table (``products``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterspark.operators import krylov
 from rosterspark.operators.relational import require_none
 
-#: Columns up to which the normal equations may be solved on the driver.
-MAX_COLUMNS = 8000
 # The penalties that cross-validation tries, 31.6 to 31,623 in sixteen steps of like ratio.
 ALPHAS = tuple(float(a) for a in np.logspace(1.5, 4.5, 16))
 # The penalties for fits that shrink to a prior.
@@ -36,7 +29,7 @@ def player_index(df: DataFrame, arrays: list[str]) -> DataFrame:
         own = df.select(F.explode(a).alias("player"))
         ids = own if ids is None else ids.unionByName(own)
     ids = ids.where(F.col("player").isNotNull()).distinct()
-    # As many rows as players, which MAX_COLUMNS bounds.
+    # As many rows as players: a column each, of whose sums the driver holds a vector in any fit.
     return ids.withColumn("col", (F.row_number().over(Window.orderBy("player")) - 1).cast("int"))
 
 
@@ -71,37 +64,6 @@ def column_support(triplets: DataFrame, rows: DataFrame) -> DataFrame:
     return triplets.join(rows.select("row_id", "w"), "row_id").groupBy("col").agg(F.sum(F.col("value") * F.col("w")).alias("support"), F.count("*").alias("n_rows"))
 
 
-@dataclass
-class Equations:
-    """Sufficient statistics of a weighted design with an intercept."""
-
-    gram: np.ndarray
-    xy: np.ndarray
-    xw: np.ndarray
-    sw: float
-    sy: float
-    syy: float
-
-    def __sub__(self, other: Equations) -> Equations:
-        return Equations(*(a - b for a, b in zip(self.parts(), other.parts(), strict=True)))
-
-    def parts(self) -> tuple:
-        return self.gram, self.xy, self.xw, self.sw, self.sy, self.syy
-
-    def solve(self, alpha: float, mu: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-        """beta and intercept of min sum w (y - b0 - x beta)^2 + alpha |beta - mu|^2."""
-        gram = self.gram - np.outer(self.xw, self.xw) / self.sw
-        xy = self.xy - self.xw * self.sy / self.sw
-        shift = np.zeros(len(xy)) if mu is None else mu
-        beta = shift + np.linalg.solve(gram + alpha * np.eye(len(xy)), xy - gram @ shift)
-        return beta, (self.sy - self.xw @ beta) / self.sw
-
-    def error(self, beta: np.ndarray, b0: float) -> float:
-        """Weighted mean square error of a fit on these rows."""
-        fit = self.syy - 2 * (beta @ self.xy + b0 * self.sy) + beta @ self.gram @ beta + 2 * b0 * (self.xw @ beta) + b0 * b0 * self.sw
-        return fit / self.sw
-
-
 def products(triplets: DataFrame, rows: DataFrame, n_cols: int, fold: str | None = None) -> DataFrame:
     """(fold, i, j, g), i <= j: the weighted products of all columns in one pass. Column
     ``n_cols`` is the constant 1 and column ``n_cols`` + 1 is y, so that sums are products too."""
@@ -115,97 +77,11 @@ def products(triplets: DataFrame, rows: DataFrame, n_cols: int, fold: str | None
     return x.select("fold", "w", F.explode(pairs).alias("e")).groupBy("fold", "e.i", "e.j").agg(F.sum(F.col("w") * F.col("e.p")).alias("g"))
 
 
-def equations(triplets: DataFrame, rows: DataFrame, n_cols: int, fold: str | None = None) -> dict[int, Equations]:
-    """Normal equations of each fold; of all rows, as fold 0, without ``fold``."""
-    if n_cols > MAX_COLUMNS:
-        raise ValueError(f"{n_cols} columns; the driver solves up to {MAX_COLUMNS}")
-    # At most n_cols squared rows a fold, as columns.
-    sums = products(triplets, rows, n_cols, fold).toArrow()
-    f, i, j, g = (sums.column(c).to_numpy() for c in ("fold", "i", "j", "g"))
-    return {k: of_products(i[f == k], j[f == k], g[f == k], n_cols) for k in np.unique(f).tolist()}
-
-
-def of_products(i: np.ndarray, j: np.ndarray, g: np.ndarray, n: int) -> Equations:
-    """The normal equations of ``n`` columns whose products (i, j, g) these are."""
-    full = np.zeros((n + 2, n + 2))
-    full[i, j] = g
-    full[j, i] = g
-    return Equations(full[:n, :n].copy(), full[:n, n + 1].copy(), full[:n, n].copy(), float(full[n, n]), float(full[n, n + 1]), float(full[n + 1, n + 1]))
-
-
 def fit(triplets: DataFrame, rows: DataFrame, n_cols: int, alpha: float, mu: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """beta and intercept, by a dense solution up to ``MAX_COLUMNS`` and by conjugate gradients beyond."""
-    if n_cols <= MAX_COLUMNS:
-        return equations(triplets, rows, n_cols)[0].solve(alpha, mu)
-    return conjugate_gradients(triplets, rows, n_cols, alpha, mu)
-
-
-def conjugate_gradients(triplets: DataFrame, rows: DataFrame, n_cols: int, alpha: float, mu: np.ndarray | None = None, tolerance: float = 1e-10, steps: int = 500) -> tuple[np.ndarray, float]:
-    """The same fit without the products of columns: Spark multiplies the design by a
-    vector once a step, and the driver holds vectors of ``n_cols`` numbers alone."""
-    spark = rows.sparkSession
-    rows = rows.select("row_id", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"))
-    cells = triplets.groupBy("row_id", "col").agg(F.sum("value").cast("double").alias("value"))
-    # The cells of a row together, kept for all steps.
-    design = cells.groupBy("row_id").agg(F.collect_list(F.struct("col", "value")).alias("x")).join(rows, "row_id").select(F.col("x.col").cast("array<int>").alias("c"), F.col("x.value").alias("v"), "w", "y").persist()
-
-    def summed(weigh: Column | None, vector: np.ndarray | None) -> np.ndarray:
-        """The sum over rows of w times ``weigh``, or times the row's product with ``vector``, by column."""
-        sent = spark.sparkContext.broadcast(vector)  # n_cols numbers
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(n_cols)
-            for b in batches:
-                if not len(b):
-                    continue
-                c, v, held = np.concatenate(b["c"].to_list()), np.concatenate(b["v"].to_list()), b["c"].map(len).to_numpy()
-                times = b["t"].to_numpy()
-                if sent.value is not None:
-                    times = times * np.add.reduceat(v * sent.value[c], np.cumsum(held) - held)
-                total += np.bincount(c, v * np.repeat(times, held), n_cols)
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"col": at.astype(np.int32), "s": total[at]})
-
-        part = design.select("c", "v", (F.col("w") if weigh is None else F.col("w") * weigh).alias("t")).mapInPandas(run, "col int, s double")
-        found = part.groupBy("col").agg(F.sum("s").alias("s")).toArrow()  # n_cols rows at most
-        out = np.zeros(n_cols)
-        out[found.column("col").to_numpy()] = found.column("s").to_numpy()
-        sent.destroy()
-        return out
-
-    try:
-        s = rows.agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("y")).alias("sy")).collect()[0]
-        xw, xy = summed(F.lit(1.0), None), summed(F.col("y"), None)
-        diagonal = cells.join(rows, "row_id").groupBy("col").agg(F.sum(F.col("w") * F.col("value") * F.col("value")).alias("d")).toArrow()
-        scale = np.full(n_cols, float(alpha))
-        scale[diagonal.column("col").to_numpy()] += diagonal.column("d").to_numpy()
-        scale = np.where(scale > 0, scale, 1.0)
-
-        def gram(v: np.ndarray) -> np.ndarray:
-            return summed(None, v) - xw * (xw @ v) / s["sw"]
-
-        shift = np.zeros(n_cols) if mu is None else np.asarray(mu, float)
-        left = xy - xw * s["sy"] / s["sw"]
-        if mu is not None:
-            left = left - gram(shift)
-        beta, goal = np.zeros(n_cols), tolerance * np.linalg.norm(left)
-        ahead = left / scale
-        rise = left @ ahead
-        for _ in range(steps):
-            if np.linalg.norm(left) <= goal:
-                break
-            moved = gram(ahead) + alpha * ahead
-            step = rise / (ahead @ moved)
-            beta, left = beta + step * ahead, left - step * moved
-            eased = left / scale
-            rise, before = left @ eased, rise
-            ahead = eased + rise / before * ahead
-        else:
-            raise ArithmeticError(f"no solution within {steps} steps")
-        beta = shift + beta
-        return beta, (s["sy"] - xw @ beta) / s["sw"]
-    finally:
-        design.unpersist()
+    """beta and intercept of min sum w (y - b0 - x beta)^2 + alpha |beta - mu|^2, by conjugate
+    gradients at every width: the driver holds vectors of ``n_cols`` numbers alone."""
+    beta, b0 = krylov.fits(krylov.pack(triplets, rows, n_cols), krylov.tag_weights(np.ones((1, 1))), 1, [alpha], mu)
+    return beta[0, :, 0], float(b0[0, 0])
 
 
 def balanced_folds(sizes: dict, n_folds: int = 5) -> dict:
@@ -254,18 +130,6 @@ def assign_folds(rows: DataFrame, group: str, n_folds: int = 5, parts: int = 256
     return rows.join(table, rows[group].eqNullSafe(table["_group"])).drop("_group")
 
 
-def choose_alpha(folds: dict[int, Equations], alphas: list[float], mu: np.ndarray | None = None, rmse: bool = False) -> tuple[float, dict[float, float]]:
-    """The penalty with the least mean error over the folds (MSE, or RMSE)."""
-    total = next(iter(folds.values())) - next(iter(folds.values()))
-    for e in folds.values():
-        total = Equations(*(a + b for a, b in zip(total.parts(), e.parts(), strict=True)))
-    errors = {}
-    for alpha in alphas:
-        own = [e.error(*(total - e).solve(alpha, mu)) for e in folds.values()]
-        errors[alpha] = float(np.mean(np.sqrt(own) if rmse else own))
-    return min(errors, key=lambda a: (errors[a], a)), errors
-
-
 def leaderboard(spark, index: DataFrame, beta: np.ndarray) -> DataFrame:
     """(player, offence, defence, total): a good defence has a negative coefficient."""
     n = len(beta) // 2
