@@ -8,11 +8,13 @@ from io import BytesIO
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterspark.operators.relational import union_by_name
+from rosterspark.sources.scratch import materialise
 
 #: Where Spark keeps its own types in a footer.
 SPARK_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"
@@ -25,28 +27,72 @@ def read_shards(spark: SparkSession, root: str, schema: T.StructType | None = No
     return (reader.schema(schema) if schema else reader).parquet(root)
 
 
-def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _layout(source) -> str | None:
+    """The columns and types in a footer, of which only the file's end is read; null without one."""
+    try:
+        schema = pq.read_schema(source)
+    except (pa.ArrowException, OSError):
+        return None
+    return str((schema.remove_metadata(), (schema.metadata or {}).get(SPARK_SCHEMA)))
+
+
+def _by_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Footers of files in a store that Arrow opens; ``opened`` is false in any other."""
     for b in batches:
-        found = []
-        for content in b["content"]:
+        found, opened = [], []
+        for path in b["path"]:
             try:
-                schema = pq.read_schema(BytesIO(content))
-                found.append(str((schema.remove_metadata(), (schema.metadata or {}).get(SPARK_SCHEMA))))
-            except (pa.ArrowException, OSError):  # no readable footer
+                store, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                with store.open_input_file(name) as source:
+                    found.append(_layout(source))
+                opened.append(True)
+            except (pa.ArrowException, OSError):
                 found.append(None)
-        yield pd.DataFrame({"path": b["path"], "layout": found})
+                opened.append(False)
+        yield pd.DataFrame({"path": b["path"], "layout": found, "opened": opened})
+
+
+def _by_content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"path": b["path"], "layout": [_layout(BytesIO(c)) for c in b["content"]], "opened": True})
 
 
-def shard_layouts(spark: SparkSession, root: str) -> tuple[list[list[str]], list[str]]:
-    """The Parquet files below ``root`` grouped by the columns and types of their footers,
-    and those without a readable footer. Tasks read the footers, by Spark's own listing,
-    so that any store works; a file must fit in a task, as per-game shards do."""
+def shard_layouts(spark: SparkSession, root: str, by_range: bool = True) -> DataFrame:
+    """(path, layout) of the Parquet files below ``root``: the columns and types of their
+    footers, null without a readable one; written. Tasks read the ends of the files alone.
+    Files in a store that only Spark opens are read whole instead, as they are without
+    ``by_range``; each must then fit in a task. A file of no bytes is no shard: no scan of
+    Spark's lists it."""
+    kind = "path string, layout string, opened boolean"
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root)
-    groups: dict[str | None, list[str]] = {}
-    for r in listed.select("path", "content").mapInPandas(_layouts, "path string, layout string").orderBy("path").collect():  # a row for each file
-        groups.setdefault(r["layout"], []).append(r["path"])
-    unread = groups.pop(None, [])
-    return list(groups.values()), unread
+    if not by_range:
+        return materialise(listed.select("path", "content").mapInPandas(_by_content, kind).drop("opened"), "layouts")
+    found = materialise(listed.select("path").mapInPandas(_by_range, kind), "footers")
+    if found.where("NOT opened").isEmpty():
+        return found.drop("opened")
+    closed = found.where("NOT opened").select("path")
+    rest = listed.select("path", "content").join(closed, "path", "left_semi").mapInPandas(_by_content, kind)
+    return materialise(found.where("opened").unionByName(rest).drop("opened"), "layouts")
+
+
+def _shards_by_layout(spark: SparkSession, root: str) -> tuple[list[DataFrame], list[str]]:
+    """A frame of each layout below ``root``, and the files without a readable footer.
+
+    The driver sees the distinct layouts; paths come to it only where there are several,
+    as Spark's own list of the files to read, and those of unreadable files.
+    """
+    layouts = shard_layouts(spark, root)
+    kinds = layouts.groupBy("layout").agg(F.min("path").alias("path")).orderBy("path").collect()
+    if len(kinds) == 1 and kinds[0]["layout"] is not None:
+        return [spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)], []
+    frames, unread = [], []
+    for k in kinds:
+        own = [r["path"] for r in layouts.where(F.col("layout").eqNullSafe(F.lit(k["layout"]))).select("path").orderBy("path").collect()]
+        if k["layout"] is None:
+            unread = own
+        else:
+            frames.append(spark.read.parquet(*own))
+    return frames, unread
 
 
 def read_drifting(spark: SparkSession, root: str, as_strings: tuple[str, ...] = ()) -> DataFrame:
@@ -56,12 +102,11 @@ def read_drifting(spark: SparkSession, root: str, as_strings: tuple[str, ...] =
     drifting columns and ``as_strings`` become strings, absent ones null. A shard
     that can't be read is an error.
     """
-    groups, unread = shard_layouts(spark, root)
+    frames, unread = _shards_by_layout(spark, root)
     if unread:
         raise OSError(f"no readable footer: {unread[:5]}")
-    if not groups:
+    if not frames:
         raise FileNotFoundError(f"no Parquet files below {root}")
-    frames = [spark.read.parquet(*own) for own in groups]
     frames = [f.withColumns({c: F.col(c).cast("string") for c in as_strings if c in f.columns}) if as_strings else f for f in frames]
     return union_by_name(frames)
 
@@ -70,12 +115,10 @@ def read_tolerant(spark: SparkSession, root: str, columns: list[str]) -> tuple[D
     """The named columns as strings, and the shards that were left out: those without a
     readable footer. Shards are read by their own types, so that none is lost to a schema
     that is not its own; columns that a shard lacks are null."""
-
-    groups, unread = shard_layouts(spark, root)
+    frames, unread = _shards_by_layout(spark, root)
     wanted = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     out = spark.createDataFrame([], wanted)
-    for own in groups:
-        shards = spark.read.parquet(*own)
+    for shards in frames:
         out = out.unionByName(shards.select(*[F.col(c).cast("string").alias(c) if c in shards.columns else F.lit(None).cast("string").alias(c) for c in columns]))
     return out, unread
 

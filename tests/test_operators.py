@@ -62,15 +62,15 @@ def test_ridge_agrees_with_closed_form(spark):
     triplets = spark.createDataFrame([(i, int(j), 1.0) for i in range(60) for j in np.flatnonzero(x[i])], "row_id int, col int, value double")
     rows = spark.createDataFrame([(i, float(y[i]), float(w[i])) for i in range(60)], "row_id int, y double, w double")
     mu = rng.normal(size=6)
-    beta, b0 = ridge.equations(triplets, rows, 6)[0].solve(7.0, mu)
+    beta, b0 = ridge.fit(triplets, rows, 6, 7.0, mu)
     xc, yc = x - w @ x / w.sum(), y - w @ y / w.sum()
     wanted = mu + np.linalg.solve(xc.T @ (w[:, None] * xc) + 7 * np.eye(6), xc.T @ (w * (yc - xc @ mu)))
-    assert np.allclose(beta, wanted) and np.isclose(b0, w @ (y - x @ beta) / w.sum())
-    # Without the products of columns, with a row that has no cell and a column that no row has.
+    assert np.allclose(beta, wanted, atol=1e-9) and np.isclose(b0, w @ (y - x @ beta) / w.sum())
+    # A column that no row has keeps its prior, and a row that has no cell counts for the intercept.
     more = rows.unionByName(spark.createDataFrame([(99, 2.0, 3.0)], rows.schema))
-    dense, by_steps = (f(triplets, more, 7, 7.0, np.append(mu, 0.5)) for f in (ridge.fit, ridge.conjugate_gradients))
-    assert np.allclose(dense[0], by_steps[0], atol=1e-8) and np.isclose(dense[1], by_steps[1])
-    assert np.allclose(ridge.conjugate_gradients(triplets, rows, 6, 7.0)[0], ridge.fit(triplets, rows, 6, 7.0)[0], atol=1e-8)
+    beta, b0 = ridge.fit(triplets, more, 7, 7.0, np.append(mu, 0.5))
+    x, y, w = np.hstack([np.vstack([x, np.zeros(6)]), np.zeros((61, 1))]), np.append(y, 2.0), np.append(w, 3.0)
+    assert beta[6] == 0.5 and np.isclose(b0, w @ (y - x @ beta) / w.sum())
 
 
 def test_calibration_with_ties(spark):
@@ -134,6 +134,33 @@ def test_tolerant_read_keeps_every_readable_shard(spark, tmp_path):
     assert len(left_out) == 1 and left_out[0].endswith("broken.parquet")
 
 
+def test_footers_by_range_equal_those_of_whole_files(spark, tmp_path):
+    root = f"file://{tmp_path}/shards"
+    spark.range(50_000).selectExpr("id AS k", "sha2(string(id), 512) AS v").coalesce(1).write.parquet(f"{root}/season=2001/a b%20c")
+    spark.createDataFrame([(1, 2)], "k int, flag int").write.parquet(f"{root}/season=2002")
+    (tmp_path / "shards" / "cut.parquet").write_bytes(b"PAR1 and no footer")
+    (tmp_path / "shards" / "empty.parquet").write_bytes(b"")  # in no listing of Spark's
+    (tmp_path / "shards" / "note.txt").write_text("no shard")
+    near, whole = (sorted(map(tuple, files.shard_layouts(spark, root, by_range).collect())) for by_range in (True, False))
+    assert near == whole
+    assert sorted(p.rsplit("/", 1)[1] for p, layout in near if layout is None) == ["cut.parquet"]
+    assert len({layout for _, layout in near}) == 3
+    with pytest.raises(OSError, match="no readable footer"):
+        files.read_drifting(spark, root)
+    one = files.read_drifting(spark, f"{root}/season=2001")
+    assert one.columns == ["k", "v"] and one.count() == 50_000
+    assert files.read_drifting(spark, f"{root}/season=2002", ("flag",)).collect()[0]["flag"] == "2"
+
+
+def test_footers_in_a_store_that_only_spark_opens(spark, tmp_path):
+    spark.createDataFrame([(1, 5)], "k int, flag int").write.parquet(f"file://{tmp_path}/s/a")
+    spark.createDataFrame([("x",)], "k string").write.parquet(f"file://{tmp_path}/s/b")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.shards.link./s", f"file://{tmp_path}/s")
+    rows, left_out = files.read_tolerant(spark, "viewfs://shards/s", ["k", "flag"])
+    assert {tuple(r) for r in rows.collect()} == {("1", "5"), ("x", None)} and left_out == []
+
+
 def test_types_widen(spark):
     a, b = spark.createDataFrame([(1, 1)], "n int, s int"), spark.createDataFrame([(0.5, "x")], "n double, s string")
     out = relational.union_by_name([a, b])
