@@ -58,6 +58,26 @@ def overlap_pairs(df: DataFrame, name: str, ident: str, sets: list[str]) -> Data
     return pairs.select(name, "id_a", "id_b", *[F.arrays_overlap(f"{s}_a", f"{s}_b").alias(f"same_{s}") for s in sets])
 
 
+def shared_entries(df: DataFrame, name: str, ident: str, sets: list[str]) -> DataFrame:
+    """(name, kind, entry, id, n_ids, first_id): the entries of the columns ``sets`` that several
+    ids of a name hold, a row for each id that holds one, by an index of (name, kind, entry).
+
+    ``n_ids`` says how many ids share the entry and ``first_id`` is the least of them, so that
+    all pairs that ``overlap_pairs`` finds overlapping follow from these rows, which are as many
+    as there are entries at most. Null entries are shared by nobody; an id that says an entry
+    twice, or in several rows, holds it once.
+    """
+    held = None
+    for s in sets:
+        own = df.select(F.col(name), F.lit(s).alias("kind"), F.explode(s).alias("entry"), F.col(ident).alias("id"))
+        own = own.withColumn("entry", F.col("entry").cast("string"))
+        held = own if held is None else held.unionByName(own)
+    held = held.where(F.col("entry").isNotNull() & F.col("id").isNotNull()).distinct()
+    index = held.groupBy(F.col(name).alias("_name"), F.col("kind").alias("_kind"), F.col("entry").alias("_entry")).agg(F.count("*").alias("n_ids"), F.min("id").alias("first_id"))
+    same = held[name].eqNullSafe(F.col("_name")) & (held["kind"] == F.col("_kind")) & (held["entry"] == F.col("_entry"))
+    return held.join(index.where("n_ids > 1"), same).drop("_name", "_kind", "_entry")
+
+
 def place_in_group(df: DataFrame, by: list[str], order: list[str], name: str = "pos") -> DataFrame:
     """Rows numbered from 0 within their group."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))

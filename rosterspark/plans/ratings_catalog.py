@@ -394,6 +394,20 @@ def overlapping_ids(spark, d):
     return arrays.overlap_pairs(per_id_of(spark, d), "name", "id", ["seasons", "teams"])
 
 
+@query("""WITH per AS (SELECT p_brand AS name, p_type || '-' || CAST(p_size % 7 AS VARCHAR) AS id, list_distinct(list(p_size)) AS seasons, list_distinct(list(CAST(p_partkey % 3 AS BIGINT))) AS teams FROM part GROUP BY 1, 2),
+e AS (SELECT name, 'seasons' AS kind, CAST(unnest(seasons) AS VARCHAR) AS entry, id FROM per UNION ALL SELECT name, 'teams', CAST(unnest(teams) AS VARCHAR), id FROM per)
+SELECT name, kind, entry, id, count(*) OVER w AS n_ids, min(id) OVER w AS first_id FROM e WINDOW w AS (PARTITION BY name, kind, entry) QUALIFY count(*) OVER w > 1""")
+def shared_entries(spark, d):
+    return arrays.shared_entries(per_id_of(spark, d), "name", "id", ["seasons", "teams"])
+
+
+@query("""SELECT CAST(year(o_orderdate) AS BIGINT) * 100000 + o_custkey AS game, count(*) AS n FROM orders GROUP BY 1""")
+def season_games(spark, d):
+    """Orders by season and a code that repeats from season to season."""
+    game = scalar.game_key(F.year("o_orderdate"), F.col("o_custkey"))
+    return t(spark, d, "orders").groupBy(game.alias("game")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT o_orderstatus AS s, avg(CASE WHEN o_totalprice > 1000 THEN 1.0 ELSE 0.0 END) AS share, count(*) AS n FROM orders GROUP BY 1""")
 def good_shares(spark, d):
     o = t(spark, d, "orders").withColumnRenamed("o_orderstatus", "s")

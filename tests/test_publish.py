@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rosterspark.functions import arrays
 from rosterspark.operators import digest, relational
 from rosterspark.operators.relational import GuardError
 from rosterspark.sources import files, publish, scratch
@@ -128,6 +129,25 @@ def test_triage_of_many_ids_under_one_name(spark):
     assert {tuple(r) for r in merges.where("name <> 'hot' AND name <> 'none'").collect()} == {("form", "1", "01"), ("apart", "b", "a")}
 
 
+def test_entries_that_many_ids_share(spark):
+    hot = spark.range(100_000).select(F.lit("hot").alias("name"), F.col("id").cast("string").alias("id"), F.array(F.lit(7).cast("bigint"), F.col("id") + 100).alias("seasons"), F.array(F.lit("x")).alias("teams"))
+    rng, few = random.Random(5), []
+    for k in range(60):
+        few.append((rng.choice(["a", "b", None]), str(k), rng.choice([None, [], [None], [rng.randrange(6), rng.randrange(6)]]), [f"t{rng.randrange(9)}"] * 2))
+    small = spark.createDataFrame(few, "name string, id string, seasons array<bigint>, teams array<string>")
+    found = arrays.shared_entries(hot.unionByName(small).unionByName(small.limit(5)), "name", "id", ["seasons", "teams"])
+    assert found.where("name = 'hot'").groupBy("kind", "entry", "n_ids", "first_id").count().orderBy("kind").collect() == [("seasons", "7", 100_000, "0", 100_000), ("teams", "x", 100_000, "0", 100_000)]
+    holders = {}
+    for name, ident, seasons, teams in few:
+        for kind, own in (("seasons", seasons), ("teams", teams)):
+            for e in own or []:
+                if e is not None:
+                    holders.setdefault((name, kind, str(e)), set()).add(ident)
+    want = {(*k, i, len(own), min(own)) for k, own in holders.items() if len(own) > 1 for i in own}
+    rows = found.where("NOT name <=> 'hot'").select("name", "kind", "entry", "id", "n_ids", "first_id").collect()
+    assert set(map(tuple, rows)) == want and len(rows) == len(want)
+
+
 def test_ranks_without_one_task(spark):
     rng = random.Random(3)
     values = [(i, rng.choice([None, 1.0, 2.5, float(rng.randrange(50))])) for i in range(2000)]
