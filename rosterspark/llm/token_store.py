@@ -150,7 +150,9 @@ def _block(part: int, seq: int, docs: list, parts: list[np.ndarray]) -> dict:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Encodes (doc_id, text) in ascending order of doc_id and writes the blocks."""
     n = shuffle_partitions(docs.sparkSession)
-    sorted_docs = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # By the text's hash too: many rows with one id, or without any, are several ranges.
+    order = "doc_id", F.xxhash64("text")
+    sorted_docs = docs.select("doc_id", "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, seq = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
