@@ -23,6 +23,7 @@ are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,10 +125,16 @@ def matching_positions(a: Column, b: Column) -> Column:
 
 
 def _bounds(docs: DataFrame, parts: int) -> list[int]:
-    """Ids that part the documents into at most ``parts`` ranges of like size."""
+    """Ids that part the documents into at most ``parts`` ranges of like size, in order; an id
+    that fills several ranges stands there as often."""
     at = [i / parts for i in range(1, parts)]
     found = docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(10 * parts)).alias("p")).collect()[0]["p"] if at else []
-    return sorted(set(found or []))
+    return sorted(found or [])
+
+
+def _within(row: Column, n: Column) -> Column:
+    """Which of ``n`` ranges of like size a hash falls in, in its order."""
+    return F.least(F.floor((row / F.lit(2.0**64) + 0.5) * n), n - 1)
 
 
 def with_next(docs: DataFrame, derived: dict[str, Column], columns: list[str]) -> DataFrame:
@@ -136,15 +143,21 @@ def with_next(docs: DataFrame, derived: dict[str, Column], columns: list[str]) -
 
     Ranges of ids are sorted apart. The first document of each range is also sent to
     the range before it, so that each row finds its follower within its range; the
-    texts are dealt out once.
+    texts are dealt out once. Rows of an id that fills several ranges, and rows without
+    an id, are dealt on by the hashes of their texts, which are their order.
     """
     spark = docs.sparkSession
     bounds = _bounds(docs, RANGES * shuffle_partitions(spark))
     steps = [F.array(*[F.lit(b) for b in bounds[i : i + CHUNK]]) for i in range(0, len(bounds), CHUNK)]
     below = [F.size(F.filter(x, lambda b: b < F.col("doc_id"))) for x in steps]
-    part = F.coalesce(reduce(lambda a, b: a + b, below), F.lit(0)) if below else F.lit(0)
+    part = reduce(lambda a, b: a + b, below) if below else F.lit(0)
+    if repeated := [(b, n) for b, n in Counter(bounds).items() if n > 1]:
+        several = F.create_map(*[F.lit(x).cast("long") for pair in repeated for x in pair])
+        part = part + F.coalesce(_within(F.col("row"), F.try_element_at(several, F.col("doc_id"))), F.lit(0))
+    # Rows without an id come first, in as many ranges again.
+    part = F.when(F.col("doc_id").isNull(), _within(F.col("row"), F.lit(len(bounds) + 1)) - len(bounds) - 1).otherwise(part)
     docs = docs.withColumn("part", part.cast("int"))
-    # One row for each range, of which there are at most len(bounds) + 1.
+    # One row for each range, of which there are at most 2 * len(bounds) + 2.
     heads = [(r["part"], *r["head"]) for r in docs.groupBy("part").agg(F.min(F.struct("doc_id", "row")).alias("head")).orderBy("part").collect()]
     before = [(heads[i - 1][0], heads[i][1], heads[i][2]) for i in range(len(heads))]
     sent = F.broadcast(spark.createDataFrame(before, "to int, h_id long, h_row long"))
