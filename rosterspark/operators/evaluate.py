@@ -13,14 +13,15 @@ def rating_sum(df: DataFrame, plus: str, minus: str, ratings: DataFrame, ident:
     """``df`` with ``x``, the ratings of one lineup less those of the other, and
     ``coverage``, the share of places that are rated. A row without anybody in either
     lineup has 0 in both; null places are places. Each different pair of lineups is summed
-    once and met again by itself; of several ratings of one player the least counts."""
-    pairs = df.select(F.col(plus).alias("_plus"), F.col(minus).alias("_minus")).distinct()
+    once and met again by its sorted places, as a collected list comes in another order when
+    it is computed again; of several ratings of one player the least counts."""
+    pairs = df.select(F.array_sort(plus).alias("_plus"), F.array_sort(minus).alias("_minus")).distinct()
     side = lambda c, sign: F.transform(F.coalesce(F.col(c), F.array().cast(pairs.schema[c].dataType)), lambda p: F.struct(p.alias("id"), F.lit(sign).alias("sign")))
     slots = pairs.select("_plus", "_minus", F.explode(F.concat(side("_plus", 1.0), side("_minus", -1.0))).alias("s")).select("_plus", "_minus", "s.*")
     known = ratings.groupBy(F.col(ident).alias("id")).agg(F.min(value).alias("v"))
     rated = slots.join(known, "id", "left").groupBy("_plus", "_minus")
     sums = rated.agg(F.sum(F.col("sign") * F.coalesce("v", F.lit(0.0))).alias("x"), F.avg(F.col("v").isNotNull().cast("double")).alias("coverage"))
-    met = df.join(sums, df[plus].eqNullSafe(sums["_plus"]) & df[minus].eqNullSafe(sums["_minus"]), "left")
+    met = df.join(sums, F.array_sort(df[plus]).eqNullSafe(sums["_plus"]) & F.array_sort(df[minus]).eqNullSafe(sums["_minus"]), "left")
     return met.select(*[df[c] for c in df.columns], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("x", "coverage")])
 
 
