@@ -6,8 +6,8 @@ the guards' measures in the same pass; if a guard fails the part goes, and no ma
 written. A run that dies before its manifest leaves a part that nobody reads. So a target
 changes as a whole, at the last step, or not at all, and the next run writes what is missing.
 
-Beside the data stand ``_SUCCESS``, when all expected keys are there, or ``_MISSING``, a CSV
-of those that are not.
+Beside the data stand ``_SUCCESS``, when all expected keys are there, or ``_MISSING``, which
+names a folder of CSV files of those that are not.
 """
 
 from __future__ import annotations
@@ -166,7 +166,7 @@ def _publish(df: DataFrame, path: str, guards: list[Guard], replace: bool, expec
         if expected is not None:
             rows = [spark.read.parquet(f"{folder.path}/parts/{p}").select(*keys) for p in after["parts"]]
             gone = missing_keys(expected, reduce(DataFrame.unionByName, rows), keys)
-            gone.coalesce(1).write.option("header", True).csv(f"{folder.path}/missing/{part}")
+            gone.write.option("header", True).csv(f"{folder.path}/missing/{part}")
             after["missing"] = spark.read.option("header", True).csv(f"{folder.path}/missing/{part}").count()
             after["complete"] = after["missing"] == 0
         folder.create_once(f"manifest-{number:09d}", json.dumps(after))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from rosterspark.operators import evaluate
+from rosterspark.operators import evaluate, ridge
+from rosterspark.sources import publish
 
 
 def test_rating_sum_of_lists_without_order(spark):
@@ -18,3 +19,21 @@ def test_rating_sum_of_lists_without_order(spark):
     known = spark.createDataFrame([(f"p{i}", float(i)) for i in range(8)], "id string, r double")
     found = {(r["id"] % 5 == 0, r["x"], r["coverage"]) for r in evaluate.rating_sum(df, "h", "w", known, "id", "r").collect()}
     assert found == {(True, -1.0, 1.0), (False, 27.0, 1.0)}
+
+
+def test_missing_keys_are_found_by_many_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        publish.publish_missing(spark.range(0, 1000, 2), f"file://{tmp_path}/t", ["id"], spark.range(1000), [])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert publish.manifest(spark, f"file://{tmp_path}/t")["missing"] == 500
+    assert len(list(tmp_path.glob("t/missing/*/part-*.csv"))) > 1
+
+
+def test_groups_of_one_size_are_not_met_by_their_size(spark):
+    folds = ridge.assign_folds(spark.range(2000).withColumn("grp", F.col("id")), "grp")
+    plan = folds._jdf.queryExecution().optimizedPlan().toString()
+    hints = [line for line in plan.splitlines() if "Join Inner" in line and "_size" in line]
+    assert len(hints) == 2 and all("strategy=broadcast" in line for line in hints)
+    assert {r["count"] for r in folds.groupBy("fold").count().collect()} == {400}
