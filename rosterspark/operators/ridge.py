@@ -126,7 +126,8 @@ def assign_folds(rows: DataFrame, group: str, n_folds: int = 5, parts: int = 256
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_size", "_part").orderBy(group)) - 1
     later = (place - F.size("_start")) % n_folds
     fold = F.when(place < F.size("_start"), F.get("_start", place.cast("int"))).otherwise(F.get("_cycle", later.cast("int")))
-    table = groups.join(counts, ["_size", "_part"]).join(order, "_size").select(F.col(group).alias("_group"), fold.alias("fold"))
+    # Both have few rows, by size; without the hints all groups of one size meet in one task.
+    table = groups.join(F.broadcast(counts), ["_size", "_part"]).join(F.broadcast(order), "_size").select(F.col(group).alias("_group"), fold.alias("fold"))
     return rows.join(table, rows[group].eqNullSafe(table["_group"])).drop("_group")
 
 
