@@ -1,8 +1,10 @@
 """Results that hold however tables are dealt, and work that grows no faster than they do."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from rosterspark.operators import evaluate, ridge
+from rosterspark.operators import evaluate, neighbours, ridge, similarity
 from rosterspark.sources import publish
 
 
@@ -37,3 +39,41 @@ def test_groups_of_one_size_are_not_met_by_their_size(spark):
     hints = [line for line in plan.splitlines() if "Join Inner" in line and "_size" in line]
     assert len(hints) == 2 and all("strategy=broadcast" in line for line in hints)
     assert {r["count"] for r in folds.groupBy("fold").count().collect()} == {400}
+
+
+def joined(df):
+    """Operators of joins that hold each row against every other, in the executed plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [k for k in ("BroadcastNestedLoopJoin", "CartesianProduct") if k in plan]
+
+
+@pytest.mark.parametrize("metric", ["euclid", "cosine"])
+def test_queries_against_a_table_by_tiles(spark, metric):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(150, 5)), np.full((40, 5), 0.5), np.zeros((1, 5))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, v array<double>")
+    found = similarity.nearest(df.where("id % 10 = 0"), df, "id", "v", 6, metric, 8, 32)
+    assert not joined(found)
+    got = {(r["id"], r["rank"]): (r["neighbour"], r["distance"]) for r in found.collect()}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for q in range(0, len(x), 10):
+            far = np.sqrt(((x - x[q]) ** 2).sum(1)) if metric == "euclid" else 1 - (x * x[q]).sum(1) / np.sqrt((x * x).sum(1) * (x[q] ** 2).sum())
+            near = sorted((np.isnan(d), d, i) for i, d in enumerate(far) if i != q)[:6]
+            assert [got[q, r][1] for r in range(1, 7)] == pytest.approx([d for _, d, _ in near], abs=1e-12, nan_ok=True)
+            if metric == "euclid":
+                assert [got[q, r][0] for r in range(1, 7)] == [i for _, _, i in near]
+    assert [got[900, r] for r in range(1, 7)] == [(i, None) for i in range(6)]
+
+
+def test_tiles_of_all_rows_meet_once(spark):
+    """Vectors are not repeated for each block that they ask."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 16)))], "id long, v array<double>")
+    written = {}
+    keep = neighbours.materialise
+    neighbours.materialise = lambda t, name: written.setdefault(name, keep(t, name))
+    try:
+        found = neighbours.nearest_to_all(df, "id", "v", 3, "euclid", 16).count()
+    finally:
+        neighbours.materialise = keep
+    assert found == 1200 and written["asking"].columns == ["asks", "of"] and written["asking"].count() <= 25
