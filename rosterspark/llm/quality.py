@@ -7,9 +7,11 @@ on the differences. The resulting utilities are cut at the quantile of the
 training scores that the share of worse labels gives; the score is a logistic
 curve through that cut at ``CUT``.
 
-The labelled rows used for fitting are a bounded sample: of each label the
-``SAMPLE`` rows with the smallest hashes of their ids. Scoring reads every row
-and whole texts.
+Every labelled row that is not held out teaches: rows are dealt into blocks by
+hashes of their ids, and in a block each better row is held against each worse
+one. Blocks hand on sums, which are added exactly, so that their order tells
+nothing; means, deviations and the cut are those of all these rows. Few rows
+are one block, so all pairs. Scoring reads every row and whole texts.
 
 Cases: a null or empty text has the vector of a text without words and gets a
 score like any other; repeated rows are scored alike; labels that are null, or
@@ -28,10 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterspark.llm.common import held_out
+from rosterspark.llm.common import held_out, materialise
+from rosterspark.operators.selection import quantiles
 
-#: Labelled rows of each label that are fitted on, at most.
-SAMPLE = 6000
+#: Rows of a block, about; the rarer label's in a block at least, about.
+BLOCK, RARER = 1024, 16
 PAIRS, STEPS, L2, SEED = 60_000, 60, 1e-4, 7
 #: The score from which on a document is kept.
 CUT = 0.7
@@ -64,7 +67,7 @@ def features(text: str | None) -> np.ndarray:
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"label": b["label"], "x": [features(t).tolist() for t in b["text"]]})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "x": [features(t).tolist() for t in b["text"]]})
 
 
 def fit(good: np.ndarray, bad: np.ndarray) -> dict:
@@ -107,19 +110,68 @@ def score(x: np.ndarray, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model["scale"] * (utility - model["cut"]) + np.log(CUT / (1 - CUT)) * (model["scale"] > 0), -30, 30)))
 
 
+def _sums(rows: DataFrame, of, width: int) -> np.ndarray:
+    """Sums of what ``of`` gives for each block's better and worse vectors, ``width`` numbers."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.array(b["x"].to_list()).reshape(-1, len(FEATURES)), b["label"].to_numpy()
+        order = np.lexsort(x.T)  # rows come in no fixed order
+        x, y = x[order], y[order]
+        return pd.DataFrame({"at": np.arange(width), "s": of(x[y == 1], x[y == 0])})
+
+    each = rows.groupBy("block").applyInPandas(run, "at int, s double")
+    # Decimals add up to the same in any order.
+    found = each.groupBy("at").agg(F.sum(F.round("s", 9).cast("decimal(38,9)")).cast("double").alias("s")).collect()  # ``width`` rows
+    out = np.zeros(width)
+    for r in found:
+        out[r["at"]] = r["s"]
+    return out
+
+
+def _newton(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient, then Hessian, of the pairwise logistic loss over all pairs of a block."""
+    if not len(good) or not len(bad):
+        return np.zeros(len(w) * (len(w) + 1))
+    p = 1 / (1 + np.exp(np.clip((good @ w)[:, None] - (bad @ w)[None, :], -30, 30)))
+    gradient = bad.T @ p.sum(0) - good.T @ p.sum(1)
+    q = p * (1 - p)
+    mixed = good.T @ q @ bad
+    hessian = (good * q.sum(1)[:, None]).T @ good + (bad * q.sum(0)[:, None]).T @ bad - mixed - mixed.T
+    return np.concatenate([gradient, hessian.ravel()])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """Fits on labelled rows that are not held out; a bounded sample of each label."""
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
-    share = known.agg(F.avg((F.col("label") == 0).cast("double"))).collect()[0][0]
-    order = F.xxhash64("doc_id", F.lit(SEED))
-    some = [known.where(F.col("label") == k).orderBy(order, "doc_id").limit(SAMPLE) for k in (0, 1)]
-    some = some[0].unionByName(some[1])  # 2 * SAMPLE rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text").mapInPandas(_vectors, "label int, x array<double>").collect()
-    x, y = np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in rows])
-    # Rows come in no fixed order; the fit must not depend on it.
-    order = np.lexsort(x.T)
-    x, y = x[order], y[order]
-    return cut_by_quantile(fit(x[y == 1], x[y == 0]), share or 0.0)
+    """Fits on all labelled rows that are not held out."""
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("label"))
+    # Vectors are made before they meet labels: texts stay where they are.
+    vectors = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").mapInPandas(_vectors, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    rows = materialise(vectors.join(known, "doc_id").select("doc_id", "label", "x"), "quality-vectors")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row for each label
+    k, n = len(FEATURES), sum(counts.values())
+    if len(counts) < 2:
+        return {"w": np.zeros(k), "mean": np.zeros(k), "sd": np.ones(k), "cut": 0.0, "scale": 0.0}
+    blocks = max(1, min(-(-n // BLOCK), min(counts.values()) // RARER))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(blocks)))
+    mean = _sums(rows, lambda good, bad: good.sum(0) + bad.sum(0), k) / n
+    sd = np.sqrt(_sums(rows, lambda good, bad: ((good - mean) ** 2).sum(0) + ((bad - mean) ** 2).sum(0), k) / n) + 1e-6
+    pairs = max(_sums(rows, lambda good, bad: np.array([float(len(good) * len(bad))]), 1)[0], 1.0)
+    w = np.zeros(k)
+    for _ in range(STEPS):
+        found = _sums(rows, lambda good, bad, w=w: _newton((good - mean) / sd, (bad - mean) / sd, w), k * (k + 1)) / pairs
+        gradient, hessian = found[:k] + L2 * w, found[k:].reshape(k, k) + (L2 + 1e-6) * np.eye(k)
+        step = np.linalg.solve(hessian, gradient)
+        w -= step * min(1.0, 2.0 / (np.abs(step).max() + 1e-9))
+        if np.abs(step).max() < 1e-4:
+            break
+
+    @F.pandas_udf("double")
+    def utility(x: pd.Series) -> pd.Series:
+        return pd.Series(((np.array(x.to_list()).reshape(-1, k) - mean) / sd) @ w)
+
+    # Halfway between the scores about the quantile.
+    scored = materialise(rows.select(utility("x").alias("u")), "quality-utilities")
+    cut = quantiles(scored, [], "u", [(counts[0] - 0.5) / (n - 1)]).collect()[0]["quantile"]
+    return {"w": w, "mean": mean, "sd": sd, "cut": float(cut), "scale": 1.0}
 
 
 def score_column(model: dict):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rosterspark.llm import quality
 from rosterspark.operators import evaluate, neighbours, ridge, similarity
 from rosterspark.sources import publish
 
@@ -77,3 +78,18 @@ def test_tiles_of_all_rows_meet_once(spark):
     finally:
         neighbours.materialise = keep
     assert found == 1200 and written["asking"].columns == ["asks", "of"] and written["asking"].count() <= 25
+
+
+def test_all_labelled_rows_teach_quality(spark, monkeypatch):
+    """Each labelled row that is not held out is in the sums, and blocks may be dealt anyhow."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("These are plain words, number "), "id")).otherwise(F.concat(F.lit("!! BUY || NOW $$ @@ "), "id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    n, seen, sums = labels.where(~quality.held_out(F.col("doc_id"))).count(), [], quality._sums
+    monkeypatch.setattr(quality, "BLOCK", 64)
+    monkeypatch.setattr(quality, "_sums", lambda rows, of, width: (seen.append((rows.count(), rows.select("block").distinct().count())), sums(rows, of, width))[1])
+    models = [quality.train(docs.repartition(k, "doc_id"), labels) for k in (2, 3)]
+    assert set(seen) == {(n, min(-(-n // 64), seen[0][1]))} and seen[0][1] > 1
+    assert all(np.array_equal(models[0][c], models[1][c]) for c in ("w", "mean", "sd", "cut"))
+    x = np.array([quality.features("These are plain words, number 7"), quality.features("!! BUY || NOW $$ @@ 9")])
+    good, bad = quality.score(x, models[0])
+    assert good > quality.CUT > bad
