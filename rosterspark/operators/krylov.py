@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rosterspark.sources.scratch import materialise
 
-#: Rows of a block, numbers of a vector for all systems that are solved together, and sums in a row of what tasks hand on.
+#: Rows of a block, numbers of a vector for all systems that are solved together, and sums at most in a row of what tasks hand on.
 ROWS, NUMBERS, SUMS = 4096, 1 << 22, 16
 BLOCK = "n int, tag binary, grp binary, w binary, y binary, held binary, c binary, v binary, sorted binary, starts binary, cols binary"
 KINDS = {"tag": np.int32, "grp": np.int64, "w": np.float64, "y": np.float64, "held": np.int32, "c": np.int32, "v": np.float64, "sorted": np.int32, "starts": np.int32, "cols": np.int32}
@@ -63,8 +63,9 @@ def pack(triplets: DataFrame, rows: DataFrame, n_cols: int, tag: Column | None =
                 parts = {"tag": b["tag"], "grp": b["grp"], "w": b["w"], "y": b["y"], "held": b["c"].map(len), "c": c, "v": v, "sorted": order, "starts": starts, "cols": cols}
                 yield pd.DataFrame([{"n": len(b)} | {k: np.asarray(x).astype(KINDS[k]).tobytes() for k, x in parts.items()}])
 
-    # As many parts as the cluster has cores, for all passes to come.
-    met = met.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    # As many parts as the cluster has cores, for all passes to come; rows that begin with the
+    # same columns lie together, so that a part hands on few columns where rows share them.
+    met = met.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, F.array_min("c"), F.xxhash64("c", "y"))
     return Packed(materialise(met.mapInPandas(run, BLOCK), "design"), n_cols)
 
 
@@ -100,8 +101,11 @@ def _summed(design: Packed, weigh: Weigh, n_systems: int, vectors: np.ndarray |
     n = design.n_cols
     sent = design.spark.sparkContext.broadcast(vectors)  # columns times systems, as stated above
     n_factors = len(kernel(None, None))
-    width, names = max(1, n_factors) * n_systems, [f"s{k}" for k in range(SUMS)]
+    width = max(1, n_factors) * n_systems
     parts = -(-width // SUMS)
+    # Rows of like length: a single system hands on one sum a column.
+    sums = -(-width // parts)
+    names = [f"s{k}" for k in range(sums)]
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals, extra = [np.zeros((n, n_systems)) for _ in range(n_factors)], np.zeros((n_extra, n_systems))
@@ -115,7 +119,7 @@ def _summed(design: Packed, weigh: Weigh, n_systems: int, vectors: np.ndarray |
                     extra[k] += found[n_factors + k]
         # Numbers of whole systems stand below the columns, once for each factor.
         whole = np.vstack([np.concatenate(totals, axis=1) if totals else np.zeros((n, n_systems)), np.tile(extra, max(1, n_factors))])
-        whole = np.pad(whole, ((0, 0), (0, parts * SUMS - width))).reshape(-1, SUMS)
+        whole = np.pad(whole, ((0, 0), (0, parts * sums - width))).reshape(-1, sums)
         at = np.flatnonzero(whole.any(1))
         out = pd.DataFrame(whole[at], columns=names)
         out.insert(0, "place", at.astype(np.int64))
@@ -124,10 +128,10 @@ def _summed(design: Packed, weigh: Weigh, n_systems: int, vectors: np.ndarray |
     part = design.blocks.mapInPandas(run, "place long, " + ", ".join(f"{c} double" for c in names))
     found = part.groupBy("place").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # columns and numbers by system, as stated above
     sent.destroy()
-    whole = np.zeros(((n + n_extra) * parts, SUMS))
+    whole = np.zeros(((n + n_extra) * parts, sums))
     if found.num_rows:
         whole[found.column("place").to_numpy()] = np.column_stack([found.column(c).to_numpy() for c in names])
-    whole = whole.reshape(n + n_extra, parts * SUMS)[:, :width]
+    whole = whole.reshape(n + n_extra, parts * sums)[:, :width]
     return [whole[:n, k * n_systems : (k + 1) * n_systems] for k in range(n_factors)], whole[n:, :n_systems]
 
 

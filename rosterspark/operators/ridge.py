@@ -56,7 +56,8 @@ def two_sided_design(rows: DataFrame, index: DataFrame, n: int) -> DataFrame:
     five in the next; a player counts once a row and side, unknown ones not at all."""
     sides = F.array(*[F.struct(F.lit(base).alias("base"), F.array_distinct(F.coalesce(side, F.array().cast("array<string>"))).alias("five")) for base, side in ((0, F.col("offence")), (n, F.col("defence")))])
     long = rows.select("row_id", F.explode(sides).alias("s")).select("row_id", "s.base", F.explode("s.five").alias("player"))
-    return long.join(index, "player").select("row_id", (F.col("col") + F.col("base")).alias("col"), F.lit(1.0).alias("value"))
+    # A row for each column, of which any fit holds vectors.
+    return long.join(F.broadcast(index), "player").select("row_id", (F.col("col") + F.col("base")).alias("col"), F.lit(1.0).alias("value"))
 
 
 def column_support(triplets: DataFrame, rows: DataFrame) -> DataFrame:

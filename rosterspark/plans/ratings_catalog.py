@@ -128,7 +128,8 @@ def two_sided_of(spark, d):
     li, home = t(spark, d, "lineitem"), F.col("l_linestatus") == "O"
     five = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("l_suppkey").cast("string"))))
     st = li.groupBy("l_orderkey").agg(five(home).alias("home"), five(~home).alias("away"), F.sum(F.when(home, F.col("l_quantity"))).alias("home_pts"), F.sum(F.when(~home, F.col("l_quantity"))).alias("away_pts"), F.count_if(F.col("l_returnflag") == "A").alias("home_poss"), F.count_if(F.col("l_returnflag") == "R").alias("away_poss"))
-    index = ridge.player_index(st, ["home", "away"])
+    st = scratch.materialise(st, "stints")  # several steps read them
+    index = scratch.materialise(ridge.player_index(st, ["home", "away"]), "players")
     n = index.count()
     rows = ridge.two_sided_rows(st, "l_orderkey", "home", "away", "l_orderkey")
     return ridge.require_index(index, n), rows, ridge.two_sided_design(rows, index, n), n
@@ -474,7 +475,8 @@ def contexts_of(spark, d):
     shots = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("shot")).agg(F.collect_list(F.when(n <= 2, who)).alias("off"), F.collect_list(F.when((n > 2) & (n <= 4), who)).alias("de"), F.sum("l_quantity").alias("points"))
     shots = shots.withColumn("bucket", F.when(F.col("shot") % 4 != 3, F.concat(F.lit("b"), (F.col("shot") % 4).cast("string"))))
     shots = shots.join(t(spark, d, "orders").select(F.col("o_orderkey").alias("shot"), F.col("o_custkey").alias("game")), "shot")
-    index = ridge.player_index(shots, ["off", "de"])
+    shots = scratch.materialise(shots, "shots")  # several steps read them
+    index = scratch.materialise(ridge.player_index(shots, ["off", "de"]), "players")
     size = index.count()
     rows = ratings.bucket_rows(shots, index, "off", "de", 2, ("game",))
     rows = ridge.assign_folds(rows, "game").withColumn("row_id", F.struct("game", "bucket", "offence", "defence")).withColumn("w", F.col("attempts").cast("double"))

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from rosterspark.llm import quality
 from rosterspark.operators import evaluate, neighbours, ridge, similarity
+from rosterspark.plans import catalog, ratings_catalog  # noqa: F401
 from rosterspark.sources import publish
 
 
@@ -93,3 +95,9 @@ def test_all_labelled_rows_teach_quality(spark, monkeypatch):
     x = np.array([quality.features("These are plain words, number 7"), quality.features("!! BUY || NOW $$ @@ 9")])
     good, bad = quality.score(x, models[0])
     assert good > quality.CUT > bad
+
+
+def test_stints_are_made_once(spark):
+    """All steps of a two-sided design read the written stints, not the lines again."""
+    _, rows, _, _ = ratings_catalog.two_sided_of(spark, DATA)
+    assert rows.inputFiles() and all("/stints-" in f for f in rows.inputFiles())
