@@ -4,7 +4,8 @@ A design is packed once into blocks of rows. A system is a choice of rows with w
 rows but a fold's, the rows of a kind of shot, or a bootstrap draw. One pass over the blocks
 multiplies the weighted designs of all systems with a vector each; systems that differ in
 their penalty alone share these products, as their residuals stay parallel (multi-shift
-recurrences). The driver holds vectors: columns times systems times penalties.
+recurrences). The driver holds vectors, columns times systems times penalties, where they
+are small; others stay in tasks (``spread``).
 
 A system's intercept has no penalty: designs are centred by their weighted means, which
 enter the products as a rank-one term and never touch the sparse rows.
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ from rosterspark.sources.scratch import materialise
 
 #: Rows of a block, numbers of a vector for all systems that are solved together, and sums at most in a row of what tasks hand on.
 ROWS, NUMBERS, SUMS = 4096, 1 << 22, 16
-BLOCK = "n int, tag binary, grp binary, w binary, y binary, held binary, c binary, v binary, sorted binary, starts binary, cols binary"
+#: Rows of a part at most, which a task holds when vectors come to the parts (``spread``), and numbers of a vector that the driver holds at each step.
+PART_ROWS, HELD = 1 << 19, 1 << 18
+BLOCK = "part int, n int, tag binary, grp binary, w binary, y binary, held binary, c binary, v binary, sorted binary, starts binary, cols binary"
 KINDS = {"tag": np.int32, "grp": np.int64, "w": np.float64, "y": np.float64, "held": np.int32, "c": np.int32, "v": np.float64, "sorted": np.int32, "starts": np.int32, "cols": np.int32}
 # The distribution of how often a group is drawn, to 12 times.
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 13)]))
@@ -54,6 +58,7 @@ def pack(triplets: DataFrame, rows: DataFrame, n_cols: int, tag: Column | None =
     met = own.join(cells, "row_id", "left").select("tag", "grp", "w", "y", F.coalesce("x.c", F.array().cast("array<int>")).alias("c"), F.coalesce("x.v", F.array().cast("array<double>")).alias("v"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = 0
         for whole in batches:
             for lo in range(0, len(whole), ROWS):
                 b = whole.iloc[lo : lo + ROWS]
@@ -61,11 +66,12 @@ def pack(triplets: DataFrame, rows: DataFrame, n_cols: int, tag: Column | None =
                 order = np.argsort(c, kind="stable").astype(np.int32)
                 cols, starts = np.unique(c[order], return_index=True)
                 parts = {"tag": b["tag"], "grp": b["grp"], "w": b["w"], "y": b["y"], "held": b["c"].map(len), "c": c, "v": v, "sorted": order, "starts": starts, "cols": cols}
-                yield pd.DataFrame([{"n": len(b)} | {k: np.asarray(x).astype(KINDS[k]).tobytes() for k, x in parts.items()}])
+                seen += len(b)
+                yield pd.DataFrame([{"part": TaskContext.get().partitionId() << 12 | seen // PART_ROWS, "n": len(b)} | {k: np.asarray(x).astype(KINDS[k]).tobytes() for k, x in parts.items()}])
 
     # As many parts as the cluster has cores, for all passes to come; rows that begin with the
     # same columns lie together, so that a part hands on few columns where rows share them.
-    met = met.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, F.array_min("c"), F.xxhash64("c", "y"))
+    met = met.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, F.array_min("c"), F.xxhash64("c", "y")).sortWithinPartitions(F.array_min("c"))
     return Packed(materialise(met.mapInPandas(run, BLOCK), "design"), n_cols)
 
 
@@ -168,8 +174,13 @@ def fits(design: Packed, weigh: Weigh, n_systems: int, alphas: list[float], mu:
     min sum w (y - b0 - x beta)^2 + alpha |beta - mu|^2 for all systems and penalties.
 
     The least penalty leads; the others follow by the ratios of their residuals to its.
-    ``mu`` has a prior by column, for all systems, or by column and system.
+    ``mu`` has a prior by column, for all systems, or by column and system. Where a vector of
+    all systems is more than ``HELD`` numbers, vectors stay in tasks.
     """
+    if design.n_cols * n_systems > HELD:
+        from rosterspark.operators import spread
+
+        return spread.fitted(design, weigh, n_systems, alphas, mu, tolerance, steps)
     m, n = moments(design, weigh, n_systems), design.n_cols
     shift = np.array(alphas) - min(alphas)
     prior = np.zeros((n, n_systems)) if mu is None else np.broadcast_to(np.reshape(mu, (n, -1)), (n, n_systems))

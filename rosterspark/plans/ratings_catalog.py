@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rosterspark.functions import arrays, scalar
-from rosterspark.operators import clusters, digest, evaluate, krylov, neighbours, ratings, relational, ridge, shot_context, similarity
+from rosterspark.operators import clusters, digest, evaluate, krylov, neighbours, ratings, relational, ridge, shot_context, similarity, spread
 from rosterspark.plans.catalog import KINDS, SHOT_SQL, bucket_of, bucket_sql, certificate, interval_rows, lng, log_of, per_id_of, query, shots_of, t, vectors_of, wide_of
 from rosterspark.sources import publish, scratch
 
@@ -174,9 +174,12 @@ def two_sided_gradient(spark, d):
 def two_sided_intervals(spark, d):
     """95 % intervals and standard errors of both sides and their sum, over refits on drawn orders."""
     index, rows, triplets, n = two_sided_of(spark, d)
-    draws = krylov.poisson_bootstrap(krylov.pack(triplets, rows, 2 * n, group=F.col("group")), 100.0)
-    offence, defence = draws[:, :n], -draws[:, n:]
-    return interval_rows(spark, index, {"offence": offence, "defence": defence, "total": offence + defence})
+    draws = spread.draws_of(krylov.pack(triplets, rows, 2 * n, group=F.col("group")), 100.0)
+    sides = F.collect_list(F.struct("side", "draws"))
+    met = draws.select((F.col("col") % n).alias("col"), (F.col("col") >= n).cast("int").alias("side"), "draws").groupBy("col").agg(F.array_sort(sides).alias("x"))
+    off, de = F.get("x", 0)["draws"], F.transform(F.get("x", 1)["draws"], lambda x: -x)
+    ends = F.array(*[F.struct(F.lit(end).alias("end"), d.alias("draws")) for end, d in (("offence", off), ("defence", de), ("total", F.zip_with(off, de, lambda a, b: a + b)))])
+    return interval_rows(index, met.select("col", F.inline(ends)))
 
 
 @query()
