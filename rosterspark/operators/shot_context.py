@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterspark.operators import krylov, ratings
+from rosterspark.operators import krylov, ratings, spread
 from rosterspark.operators.relational import GuardError
 from rosterspark.operators.ridge import SHRUNK_ALPHAS
 
@@ -79,14 +79,25 @@ def fit_all(design: krylov.Packed, buckets: list[str], n_folds: int, offence: np
     less = np.hstack([own[:, [b]] * (tag_fold[:, None] != np.arange(n_folds)) for b in range(k)])
     judge = np.hstack([np.zeros_like(own), *[own[:, [b]] * (tag_fold[:, None] == np.arange(n_folds)) for b in range(k)]])
     systems = np.hstack([own, less])
-    beta, intercept = krylov.fits(design, krylov.tag_weights(systems), systems.shape[1], list(alphas), np.hstack([mu, np.repeat(mu, n_folds, axis=1)]))
-    errors = krylov.errors(design, judge, beta, intercept)
+    of = np.concatenate([np.arange(k), np.repeat(np.arange(k), n_folds)])
+    if design.n_cols * systems.shape[1] > krylov.HELD:
+        dealt = spread.Spread(design, krylov.tag_weights(systems), systems.shape[1])
+        solved = spread.solve(dealt, list(alphas), mu, of)
+        errors, intercept, chosen = solved.errors(judge), solved.intercept, solved.beta
+        dealt.close()
+    else:
+        beta, intercept = krylov.fits(design, krylov.tag_weights(systems), systems.shape[1], list(alphas), mu[:, of])
+        errors = krylov.errors(design, judge, beta, intercept)
+
+        def chosen(j: int, b: int) -> np.ndarray:
+            return beta[j, :, b]
+
     out = []
     for b, bucket in enumerate(buckets):
         first = k + b * n_folds
         choice = krylov.choose(list(alphas), errors[:, first : first + n_folds], rmse=True)
         j = list(map(float, alphas)).index(choice.alpha)
-        out.append(Fit(bucket, choice.alpha, choice.errors[choice.alpha], choice.at_edge, corrs[b], signs[b], beta[j, :, b], mu[:, b], whole.xw[:, b], float(intercept[j, b])))
+        out.append(Fit(bucket, choice.alpha, choice.errors[choice.alpha], choice.at_edge, corrs[b], signs[b], chosen(j, b), mu[:, b], whole.xw[:, b], float(intercept[j, b])))
     return out
 
 
