@@ -1,9 +1,10 @@
 """K-means for many numbers of clusters and starts, all in one pass an iteration.
 
-Each task holds its vectors against the centres of all models that still move, by one
-matrix product, and hands on counts and sums of each centre; Spark adds them up, and the
-driver moves the centres. Starts spread over a bounded sample of the table (k-means++),
-which only decides where a model begins; every iteration reads all rows.
+Vectors are packed into blocks once. Each task holds its blocks against the centres of all
+models that still move by one matrix product, adds rows up by another, and hands on counts
+and sums of each centre; Spark adds them up, and the driver moves the centres. Starts
+spread over a bounded sample of the table (k-means++), which only decides where a model
+begins; every iteration reads all rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from rosterspark.sources.scratch import materialise
 
 #: Rows from which starts are drawn at most, and iterations.
 SAMPLE, STEPS = 4096, 300
+#: Rows that are held against all centres at once, whose distances stay in a core's cache,
+#: and centres whose sums travel together.
+BLOCK, PART = 256, 64
 
 
 @dataclass
@@ -46,6 +51,24 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :], 0)
 
 
+def _add(x: np.ndarray, weights: np.ndarray, spans: list[tuple[int, int, int]], total: np.ndarray) -> None:
+    """Adds the rows of ``x`` to ``total``: for each centre the sum and the number of its
+    rows, then, at each model's first centre, the squared distances of all rows. Weights are
+    minus two times the centres, then their squares; a span (at, k, size) is ``size`` models
+    of ``k`` centres, so laid that the least of ``k`` is taken over whole rows of numbers."""
+    p = np.column_stack([x, np.ones(len(x))])
+    far = weights @ p.T  # less the row's own square, which all centres share
+    mine, square = np.empty_like(far), (x * x).sum(1)
+    for at, k, size in spans:
+        own, hit = (m[at : at + k * size].reshape(k, size, -1) for m in (far, mine))
+        best = own.min(0)
+        hit[:] = own == best
+        if hit.sum() != best.size:  # of equally near centres the first
+            hit[:] = own.argmin(0) == np.arange(k)[:, None, None]
+        total[at : at + size, -1] += np.maximum(best + square, 0).sum(1)
+    total[:, :-1] += mine @ p
+
+
 def fit(df: DataFrame, ident: str, vector: str, ks: list[int], starts: int = 25, seed: int = 42, steps: int = STEPS) -> dict[int, Model]:
     """The cheapest model of each number of clusters; of equals the first start. A cluster
     that loses its rows keeps its centre. Null vectors are left out."""
@@ -55,43 +78,52 @@ def fit(df: DataFrame, ident: str, vector: str, ks: list[int], starts: int = 25,
         return {}
     dims = sample.shape[1]
     models = [Model(k, s, _spread(sample, k, np.random.default_rng([seed, k, s]))) for k in ks for s in range(starts)]
-    spark, names = rows.sparkSession, [f"s{i}" for i in range(dims)]
+    spark = rows.sparkSession
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v")
+            if (np.diff(v.offsets) != dims).any():
+                raise ValueError(f"vectors of other lengths than {dims}")
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            for lo in range(0, len(x), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([x[lo : lo + BLOCK].tobytes()])], ["x"])
+
+    blocks = materialise(rows.select("v").mapInArrow(pack, "x binary"), "vector-blocks")
+
+    def add(key: tuple, parts: pa.Table) -> pa.Table:
+        return pa.table({"at": [key[0].as_py()], "sums": [sum(np.frombuffer(x.as_buffer()) for x in parts.column("sums")).tobytes()]})
+
     for _ in range(steps):
-        moving = [m for m in models if m.moving]
-        if not moving:
+        groups = [g for k in dict.fromkeys(ks) if (g := [m for m in models if m.k == k and m.moving])]
+        if not groups:
             break
-        edges = np.cumsum([0, *[m.k for m in moving]])
-        sent = spark.sparkContext.broadcast(np.vstack([m.centres for m in moving]))  # starts times clusters times dimensions
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent, edges=edges) -> Iterator[pd.DataFrame]:
-            n, cost, sums = np.zeros(edges[-1]), np.zeros(edges[-1]), np.zeros((edges[-1], dims))
+        # First centres of all models of one number, then second ones, and so on.
+        centres = np.vstack([c for g in groups for c in np.stack([m.centres for m in g], 1)])
+        edges = np.cumsum([0, *[g[0].k * len(g) for g in groups]]).tolist()
+        spans = [(lo, g[0].k, len(g)) for lo, g in zip(edges, groups, strict=False)]
+        sent = spark.sparkContext.broadcast((np.column_stack([-2 * centres, (centres * centres).sum(1)]), spans))  # starts times clusters times dimensions
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(sent.value[0]), dims + 2))
             for b in batches:
-                if not len(b):
-                    continue
-                x = np.array(b["v"].to_list())
-                far = _distances(x, sent.value)
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    near = far[:, lo:hi].argmin(1)
-                    mine = near[None, :] == np.arange(hi - lo)[:, None]
-                    n[lo:hi] += mine.sum(1)
-                    sums[lo:hi] += mine @ x
-                    cost[lo:hi] += mine @ far[np.arange(len(x)), lo + near]
-            out = pd.DataFrame(sums, columns=names)
-            yield out.assign(at=np.arange(edges[-1]), n=n, cost=cost)[n > 0]
-
-        schema = ", ".join(f"{c} double" for c in names) + ", at long, n double, cost double"
-        found = rows.select("v").mapInPandas(run, schema).groupBy("at").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)]).toArrow()  # a row for each centre
+                for x in b.column("x"):
+                    _add(np.frombuffer(x.as_buffer()).reshape(-1, dims), *sent.value, total)
+            at = [lo for lo in range(0, len(total), PART) if total[lo : lo + PART].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([total[lo : lo + PART].tobytes() for lo in at], pa.binary())], ["at", "sums"])
+
+        total = np.zeros((len(centres), dims + 2))
+        for r in blocks.mapInArrow(run, "at long, sums binary").groupBy("at").applyInArrow(add, "at long, sums binary").collect():  # a row for each centre, by PART
+            total[r["at"] : r["at"] + PART] = np.frombuffer(r["sums"]).reshape(-1, dims + 2)
         sent.destroy()
-        at = found.column("at").to_numpy()
-        n, cost, sums = np.zeros(edges[-1]), np.zeros(edges[-1]), np.zeros((edges[-1], dims))
-        n[at], cost[at] = found.column("n").to_numpy(), found.column("cost").to_numpy()
-        sums[at] = np.column_stack([found.column(c).to_numpy() for c in names])
-        for m, lo, hi in zip(moving, edges, edges[1:], strict=False):
-            own = n[lo:hi, None]
-            centres = np.where(own > 0, sums[lo:hi] / np.maximum(own, 1), m.centres)
-            m.cost = float(cost[lo:hi].sum())
-            m.moving = not np.allclose(centres, m.centres, rtol=1e-9, atol=1e-12)
-            m.centres = centres
+        for g, (lo, k, size) in zip(groups, spans, strict=True):
+            for i, m in enumerate(g):
+                own = total[lo + i : lo + k * size : size]
+                n = own[:, dims, None]
+                moved = np.where(n > 0, own[:, :dims] / np.maximum(n, 1), m.centres)
+                m.cost = float(own[0, -1])
+                m.moving = not np.allclose(moved, m.centres, rtol=1e-9, atol=1e-12)
+                m.centres = moved
     return {k: min((m for m in models if m.k == k), key=lambda m: (round(m.cost, 9), m.start)) for k in ks}
 
 

@@ -94,6 +94,27 @@ def test_all_models_against_one_by_one(spark):
     assert clusters.fit(df.limit(0), "id", "v", [2]) == {} and len(clusters.fit(df.where("id >= 200"), "id", "v", [3], 2)) == 1
 
 
+def test_models_fit_on_packed_blocks(spark):
+    """Iterations read blocks of rows, not rows, and Spark adds few rows of sums; a row that
+    is as near to equal centres counts once, and vectors of other lengths are told."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([np.repeat([[1.0, 2.0], [5.0, 5.0]], [700, 300], 0), rng.normal(9, 0.1, (3 * clusters.BLOCK + 5, 2))])
+    total = np.zeros((5, 4))
+    centres = np.array([[1.0, 2.0], [5.0, 5.0], [1.0, 2.0], [1.0, 2.0], [9.0, 9.0]])
+    weights = np.column_stack([-2 * centres, (centres * centres).sum(1)])
+    for lo in range(0, len(x), clusters.BLOCK):
+        clusters._add(x[lo : lo + clusters.BLOCK], weights, [(0, 5, 1)], total)
+    assert total[:, 2].tolist() == [700, 300, 0, 0, 3 * clusters.BLOCK + 5]
+    np.testing.assert_allclose(total[[0, 1, 4], :2], [[700, 1400], [1500, 1500], x[1000:].sum(0)])
+    assert total[0, 3] == pytest.approx(((x[1000:] - 9) ** 2).sum())
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    # Four clusters of three distinct places or noise: centres that meet leave one without rows.
+    found = clusters.fit(df, "id", "v", [2, 4], starts=12, seed=3)
+    assert found[4].cost <= found[2].cost and found[4].cost <= ((x[1000:] - x[1000:].mean(0)) ** 2).sum() + 1e-9
+    with pytest.raises(Exception, match="inhomogeneous|other lengths"):
+        clusters.fit(df.unionByName(spark.createDataFrame([(10**6 + i, [1.0] * n) for i, n in enumerate((1, 3))], df.schema)), "id", "v", [2], starts=1)
+
+
 def test_agreement_of_clusterings(spark):
     rng = np.random.default_rng(2)
     where = rng.integers(0, 3, 90)
