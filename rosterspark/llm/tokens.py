@@ -20,8 +20,13 @@ from functools import lru_cache
 
 import numpy as np
 
-#: The split that belongs to the byte vocabulary's ranks.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and digits of printable Latin-1.
+LETTERS, DIGITS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The split that belongs to the byte vocabulary's ranks, over printable Latin-1 and newlines.
+#: That a run of blanks leaves its last one to what follows is not in it, as looking ahead
+#: is slow: such runs are cut first.
+BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^ \n{LETTERS}{DIGITS}]+|[ \n]+"
+BLANK_RUNS = re.compile(r"(?<=[ \n])(?=[ \n][^ \n\x01])")
 
 
 def is_plain(text: str) -> bool:
@@ -94,7 +99,14 @@ class WordEncoder:
 
 
 class ByteEncoder:
-    """Ids of a byte-level vocabulary; ``ranks`` is the file of the same vocabulary as ranks."""
+    """Ids of a byte-level vocabulary; ``ranks`` is the file of the same vocabulary as ranks.
+
+    Plain texts are encoded together, as one text in which ``END`` follows each.
+    """
+
+    #: Characters that no plain text holds, and ids that uint16 does not.
+    END, CUT = "\x01", "\x02"
+    END_ID, CUT_ID = 1 << 16, (1 << 16) + 1
 
     def __init__(self, path: str, ranks: str):
         import tiktoken
@@ -102,15 +114,28 @@ class ByteEncoder:
         self.library = _library(path)
         pairs = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(ranks, "rb"))}
         self.specials = _specials(self.library)
-        self.quick = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=pairs, special_tokens={})
+        # No plain text holds the two marks: one ends a text, one only cuts a run of blanks.
+        self.quick = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=pairs, special_tokens={self.END: self.END_ID, self.CUT: self.CUT_ID})
 
-    def _encode(self, text: str) -> list[int]:
-        if not is_plain(text) or any(x in text for x in self.specials):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.quick.encode_ordinary(text)
+    def _slow(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
+
+    def _is_quick(self, text: str) -> bool:
+        return is_plain(text) and not any(x in text for x in self.specials)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self._encode(t), np.uint16) for t in texts]
+        quick = [self._is_quick(t) for t in texts]
+        joined = "".join(t + self.END for t, q in zip(texts, quick, strict=True) if q)
+        if not joined:
+            return [self._slow(t) for t in texts]
+        if any(x in joined for x in ("  ", " \n", "\n ", "\n\n")):
+            joined = BLANK_RUNS.sub(self.CUT, joined)
+        found = self.quick.encode_to_numpy(joined, allowed_special={self.END, self.CUT})
+        found = found[found != self.CUT_ID]
+        ends = np.flatnonzero(found == self.END_ID)
+        # Copies, so that no text keeps all others' ids.
+        parts = iter([found[i:j].astype(np.uint16) for i, j in zip([0, *(ends[:-1] + 1)], ends, strict=False)])
+        return [next(parts) if q else self._slow(t) for t, q in zip(texts, quick, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -258,6 +258,24 @@ def test_token_store_round_trip(spark, odd):
     assert (token_store.decode_range(block, 777, 1234) == ids[777:1234]).all()
 
 
+def test_byte_ids_of_texts_encoded_together():
+    """Runs of blanks, texts without ids and texts that go to the library, side by side, and
+    one call of the quick encoder for all that are plain."""
+    encoder = tokens.byte_encoder(*BYTE)
+    texts = ["", " ", "a  b", "a \n b", "a\n\n", "  ", "\n\n c'll 's", "x\x01y", "\x02", "a\x01", "é ²  ½", "a\tb", "<|endoftext|>", "中  文", "", "end  "]
+    rng = random.Random(5)
+    texts += ["".join(rng.choices("ab é9²'s.,-  \n\n", k=rng.randrange(30))) for _ in range(500)]
+    calls, quick = [], encoder.quick
+    encoder.quick = type("Counted", (), {"encode_to_numpy": lambda self, *a, **k: calls.append(1) or quick.encode_to_numpy(*a, **k)})()
+    try:
+        found = encoder.encode(texts)
+    finally:
+        encoder.quick = quick
+    assert [x.tolist() for x in found] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1 and all(x.dtype == np.uint16 for x in found)
+    assert encoder.encode([]) == [] and encoder.encode(["\x01"])[0].tolist() == encoder.library.encode("\x01").ids
+
+
 def test_packing_round_trip(spark):
     docs = table(spark, DATA, "documents").select("doc_id", "text")
     texts = sorted((r["doc_id"], r["text"]) for r in docs.collect())
