@@ -18,6 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,24 @@ from rosterspark.sources.scratch import materialise
 #: Rows of a block, numbers of a vector for all systems that are solved together, and sums at most in a row of what tasks hand on.
 ROWS, NUMBERS, SUMS = 4096, 1 << 22, 16
 #: Rows of a part at most, which a task holds when vectors come to the parts (``spread``), and numbers of a vector that the driver holds at each step.
-PART_ROWS, HELD = 1 << 19, 1 << 18
-BLOCK = "part int, n int, tag binary, grp binary, w binary, y binary, held binary, c binary, v binary, sorted binary, starts binary, cols binary"
-KINDS = {"tag": np.int32, "grp": np.int64, "w": np.float64, "y": np.float64, "held": np.int32, "c": np.int32, "v": np.float64, "sorted": np.int32, "starts": np.int32, "cols": np.int32}
+PART_ROWS, HELD = 1 << 20, 1 << 18
+#: Entries of a column in a block that are added in turns, and numbers that are worked on at once, which a core's cache holds.
+TURNS, CELLS = 24, 1 << 15
+KINDS = {"tag": np.int32, "grp": np.int64, "w": np.float64, "y": np.float64, "deep": np.int32, "c": np.int32, "v": np.float64, "cols": np.int32, "of": np.int32, "to": np.int32, "u": np.float64, "edges": np.int32, "turns": np.int32}
+BLOCK = "part int, n int, " + ", ".join(f"{k} binary" for k in KINDS)
 # The distribution of how often a group is drawn, to 12 times.
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 13)]))
 
+
+def _drawn(bits: np.ndarray) -> np.ndarray:
+    """How often 53 random bits draw a group."""
+    return np.searchsorted(_POISSON, bits / float(1 << 53), side="right")
+
+
+#: The same from the leading sixteen bits, or 255 where they leave it open.
+_ENDS = [_drawn((np.arange(1 << 16, dtype=np.uint64) << np.uint64(37)) + np.uint64(x)) for x in (0, (1 << 37) - 1)]
+_LEADING = np.where(_ENDS[0] == _ENDS[1], _ENDS[0], 255).astype(np.uint8)
+
 #: Weights of a block's rows in all systems, from their tags and their groups' hashes.
 Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -57,22 +71,54 @@ def pack(triplets: DataFrame, rows: DataFrame, n_cols: int, tag: Column | None =
     cells = triplets.groupBy("row_id", "col").agg(F.sum("value").cast("double").alias("v")).groupBy("row_id").agg(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), "v")).alias("x"))
     met = own.join(cells, "row_id", "left").select("tag", "grp", "w", "y", F.coalesce("x.c", F.array().cast("array<int>")).alias("c"), F.coalesce("x.v", F.array().cast("array<double>")).alias("v"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["part", "n", *KINDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
         for whole in batches:
             for lo in range(0, len(whole), ROWS):
-                b = whole.iloc[lo : lo + ROWS]
-                c, v = np.concatenate(b["c"].to_list()).astype(np.int32), np.concatenate(b["v"].to_list())
-                order = np.argsort(c, kind="stable").astype(np.int32)
-                cols, starts = np.unique(c[order], return_index=True)
-                parts = {"tag": b["tag"], "grp": b["grp"], "w": b["w"], "y": b["y"], "held": b["c"].map(len), "c": c, "v": v, "sorted": order, "starts": starts, "cols": cols}
+                b = whole.slice(lo, ROWS)
+                own = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("tag", "grp", "w", "y")}
+                order, laid = _laid(pc.list_value_length(b.column("c")).to_numpy(), *(b.column(k).flatten().to_numpy() for k in ("c", "v")))
                 seen += len(b)
-                yield pd.DataFrame([{"part": TaskContext.get().partitionId() << 12 | seen // PART_ROWS, "n": len(b)} | {k: np.asarray(x).astype(KINDS[k]).tobytes() for k, x in parts.items()}])
+                parts = {k: x[order] for k, x in own.items()} | laid
+                numbers = [pa.array([TaskContext.get().partitionId() << 12 | seen // PART_ROWS], pa.int32()), pa.array([len(b)], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([np.asarray(parts[k]).astype(KINDS[k]).tobytes()], pa.binary()) for k in KINDS)], names)
 
     # As many parts as the cluster has cores, for all passes to come; rows that begin with the
     # same columns lie together, so that a part hands on few columns where rows share them.
     met = met.repartitionByRange(rows.sparkSession.sparkContext.defaultParallelism, F.array_min("c"), F.xxhash64("c", "y")).sortWithinPartitions(F.array_min("c"))
-    return Packed(materialise(met.mapInPandas(run, BLOCK), "design"), n_cols)
+    return Packed(materialise(met.mapInArrow(run, BLOCK), "design"), n_cols)
+
+
+def _laid(held: np.ndarray, c: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The order of a block's rows, of which each has ``held`` entries, and its entries, so
+    laid that both products go by whole stretches. The longest rows come first: ``deep`` rows
+    have a first entry, a second one, and so on, whose places among the columns ``cols`` are
+    ``c``. For the transposed product, entries that go from rows ``of`` to columns ``to`` lie
+    in turns in which a column occurs once; then, from the turn ``turns`` on, those of one
+    column each that has many. Values are left out where all are 1."""
+    order = np.argsort(-held, kind="stable")
+    new = np.empty(len(held), np.int64)
+    new[order] = np.arange(len(held))
+    row = np.repeat(np.arange(len(held)), held)
+    depth = np.arange(len(c)) - (np.cumsum(held) - held)[row]
+    by_depth = np.lexsort((new[row], depth))
+    cols, at = np.unique(c, return_inverse=True)
+    at, row, v = at[by_depth], new[row][by_depth], v[by_depth]
+    by_col = np.argsort(at, kind="stable")
+    count = np.bincount(at, minlength=len(cols))
+    turn = np.empty(len(at), np.int64)
+    turn[by_col] = np.arange(len(at)) - (np.cumsum(count) - count)[at[by_col]]
+    turn = np.where(count[at] > TURNS, TURNS + at, turn)
+    by_turn = np.lexsort((at, turn))
+    turn = turn[by_turn]
+    edges = np.append(np.flatnonzero(np.diff(turn, prepend=-1)), len(turn))
+    plain = bool((v == 1).all())
+    return order, {
+        "deep": np.bincount(depth), "c": at, "v": [] if plain else v, "cols": cols, "of": row[by_turn], "to": at[by_turn],
+        "u": [] if plain else v[by_turn], "edges": edges, "turns": [np.searchsorted(turn[edges[:-1]], TURNS)],
+    }
 
 
 class Block:
@@ -81,23 +127,41 @@ class Block:
     def __init__(self, row, weigh: Weigh):
         for k, kind in KINDS.items():
             setattr(self, k, np.frombuffer(getattr(row, k), kind))
-        self.rows = np.repeat(np.arange(row.n), self.held)
-        self.some = np.flatnonzero(self.held)
-        self.first = (np.cumsum(self.held) - self.held)[self.some]
         #: Rows by systems.
         self.weights = self.w[:, None] * weigh(self.tag, self.grp)
 
     def times(self, vectors: np.ndarray) -> np.ndarray:
         """Rows of the design times one vector a system."""
-        out = np.zeros((len(self.w), vectors.shape[1]))
-        if len(self.c):
-            out[self.some] = np.add.reduceat(self.v[:, None] * vectors[self.c], self.first, axis=0)
+        width = vectors.shape[1]
+        own, out = vectors[self.cols], np.zeros((len(self.w), width))
+        step, starts = max(64, CELLS // width), np.cumsum(self.deep) - self.deep
+        some = np.empty((min(step, len(out)), width))
+        for lo in range(0, self.deep[0] if len(self.deep) else 0, step):
+            for n, start in zip(self.deep, starts, strict=True):
+                if n <= lo:
+                    break
+                at = slice(start + lo, start + min(n, lo + step))
+                part = some[: at.stop - at.start]
+                np.take(own, self.c[at], axis=0, out=part, mode="clip")
+                if len(self.v):
+                    part *= self.v[at, None]
+                out[lo : lo + len(part)] += part
         return out
 
     def add_to(self, total: np.ndarray, by_row: np.ndarray) -> None:
         """Adds the transposed design times ``by_row`` to ``total``, columns by systems."""
-        if len(self.c):
-            total[self.cols] += np.add.reduceat((self.v[:, None] * by_row[self.rows])[self.sorted], self.starts, axis=0)
+        own, step = np.zeros((len(self.cols), by_row.shape[1])), max(64, CELLS // by_row.shape[1])
+        for k, (start, end) in enumerate(zip(self.edges, self.edges[1:], strict=False)):
+            for lo in range(start, end, step):
+                at = slice(lo, min(end, lo + step))
+                part = by_row.take(self.of[at], axis=0)
+                if len(self.u):
+                    part *= self.u[at, None]
+                if k < self.turns[0]:
+                    own[self.to[at]] += part
+                else:
+                    own[self.to[lo]] += part.sum(0)
+        total[self.cols] += own
 
 
 def _summed(design: Packed, weigh: Weigh, n_systems: int, vectors: np.ndarray | None, kernel: Callable[[Block, np.ndarray | None], list[np.ndarray]], n_extra: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -284,15 +348,29 @@ def poisson_weights(first: int, n: int, seed: int) -> Weigh:
 
     def mixed(x: np.ndarray) -> np.ndarray:
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        return x ^ (x >> np.uint64(31))
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        return x
+
+    with np.errstate(over="ignore"):
+        salt = mixed((draws + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+    def counts(groups: np.ndarray) -> np.ndarray:
+        out, step = np.empty((len(groups), n)), max(1, CELLS // n)
+        for lo in range(0, len(groups), step):
+            x = mixed(groups[lo : lo + step, None] ^ salt[None, :])
+            # Sixteen bits tell most counts, all of them the others.
+            some = _LEADING[(x >> np.uint64(48)).view(np.int64)]
+            row, col = np.divmod(np.flatnonzero(some == 255), n)
+            some[row, col] = _drawn(x[row, col] >> np.uint64(11))
+            out[lo : lo + step] = some
+        return out
 
     def weigh(tag: np.ndarray, grp: np.ndarray) -> np.ndarray:
         groups, at = np.unique(grp, return_inverse=True)
         with np.errstate(over="ignore"):
-            salt = mixed((draws + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-            u = (mixed(groups.view(np.uint64)[:, None] ^ salt[None, :]) >> np.uint64(11)) / float(1 << 53)
-        return np.searchsorted(_POISSON, u, side="right").astype(np.float64)[at]
+            return counts(groups.view(np.uint64))[at] if 2 * len(groups) < len(grp) else counts(grp.view(np.uint64))
 
     return weigh
 

@@ -58,9 +58,15 @@ class Spread:
 
     def __post_init__(self):
         self.columns = self.columns or max(1, min(COLUMNS, CHUNK // self.n_systems))
-        n_parts = max(1, self.design.blocks.select("part").distinct().count())
-        # Some more places than parts, as places go by hash.
-        self.blocks = self.design.blocks.repartition(2 * n_parts, "part").sortWithinPartitions("part").persist(StorageLevel.DISK_ONLY)
+        parts = sorted(r[0] for r in self.design.blocks.select("part").distinct().collect())  # a few for each core
+        # Parts go to tasks by hash: by numbers whose hashes differ, one to each.
+        spark, n_parts = self.design.spark, max(1, len(parts))
+        by_place = spark.range(64 * n_parts).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n_parts))).agg(F.min("id").alias("id"))
+        numbers = sorted(r["id"] for r in by_place.collect())
+        numbers += [64 * n_parts + k for k in range(len(parts) - len(numbers))]
+        named = spark.createDataFrame(list(zip(parts, numbers, strict=False)), "part int, number int")
+        blocks = self.design.blocks.join(F.broadcast(named), "part").withColumn("part", F.col("number")).drop("number")
+        self.blocks = blocks.repartition(n_parts, "part").sortWithinPartitions("part").persist(StorageLevel.DISK_ONLY)
         self.blocks.count()
         self.base = self._moments()
         sums = _total(self.base.where("chunk = -1"), "xy")
@@ -220,7 +226,7 @@ def _opened(b: pd.DataFrame, weigh: Weigh, size: int) -> tuple[Callable[[], Iter
     def blocks() -> Iterator[Block]:
         for row in b.itertuples():
             block = Block(row, weigh)
-            block.c, block.cols = place[block.c // size] * size + block.c % size, place[block.cols // size] * size + block.cols % size
+            block.cols = place[block.cols // size] * size + block.cols % size
             yield block
 
     return blocks, chunks
