@@ -23,8 +23,8 @@ from rosterspark.sources.scratch import materialise
 #: Rows from which starts are drawn at most, and iterations.
 SAMPLE, STEPS = 4096, 300
 #: Rows that are held against all centres at once, whose distances stay in a core's cache,
-#: and centres whose sums travel together.
-BLOCK, PART = 256, 64
+#: centres whose sums travel together, and how far short numbers may be off, by dimension.
+BLOCK, PART, ROUNDING = 512, 64, 2.0**-23
 
 
 @dataclass
@@ -55,18 +55,32 @@ def _add(x: np.ndarray, weights: np.ndarray, spans: list[tuple[int, int, int]],
     """Adds the rows of ``x`` to ``total``: for each centre the sum and the number of its
     rows, then, at each model's first centre, the squared distances of all rows. Weights are
     minus two times the centres, then their squares; a span (at, k, size) is ``size`` models
-    of ``k`` centres, so laid that the least of ``k`` is taken over whole rows of numbers."""
-    p = np.column_stack([x, np.ones(len(x))])
-    far = weights @ p.T  # less the row's own square, which all centres share
-    mine, square = np.empty_like(far), (x * x).sum(1)
+    of ``k`` centres, so laid that the least of ``k`` is taken over whole rows of numbers.
+    Products of short numbers tell the nearest centre where it is nearer by more than they can
+    be off; the others' distances are taken in full. Sums are those of the rows themselves."""
+    p, square = np.column_stack([x, np.ones(len(x))]), (x * x).sum(1)
+    # Of a size that short numbers hold; a power of two changes no digit.
+    largest = max(np.abs(x).max(initial=0), np.sqrt(weights[:, -1].max(initial=0)))
+    unit = float(np.ldexp(1.0, min(400, -int(np.frexp(largest)[1])))) if 0 < largest < np.inf else 1.0
+    short = (weights * np.append(np.full(x.shape[1], unit), unit * unit)).astype(np.float32)
+    far = short @ np.column_stack([x * unit, np.ones(len(x))]).astype(np.float32).T  # less the row's own square, which all centres share
+    row_size, centre_size = (np.sqrt(z.max(initial=0)) * unit for z in (square, weights[:, -1]))
+    room = np.float32(ROUNDING * (x.shape[1] + 8) * (2 * row_size + centre_size) * centre_size + 1e-30)
+    mine = np.empty(far.shape)
     for at, k, size in spans:
         own, hit = (m[at : at + k * size].reshape(k, size, -1) for m in (far, mine))
-        best = own.min(0)
-        hit[:] = own == best
-        if hit.sum() != best.size:  # of equally near centres the first
-            hit[:] = own.argmin(0) == np.arange(k)[:, None, None]
-        total[at : at + size, -1] += np.maximum(best + square, 0).sum(1)
-    total[:, :-1] += mine @ p
+        near = own <= own.min(0) + room
+        hit[:] = near
+        if np.count_nonzero(near) != size * len(x):
+            model, row = np.divmod(np.flatnonzero(near.sum(0, dtype=np.uint16) != 1), len(x))
+            centres = weights[at : at + k * size].reshape(k, size, -1)[:, model]
+            nearest = (centres * p[row]).sum(2).argmin(0)  # of equally near centres the first
+            hit[:, model, row] = nearest == np.arange(k)[:, None]
+    sums = mine @ p
+    total[:, :-1] += sums
+    shares = (weights * sums).sum(1)
+    for at, k, size in spans:
+        total[at : at + size, -1] += np.maximum(shares[at : at + k * size].reshape(k, size).sum(0) + square.sum(), 0)
 
 
 def fit(df: DataFrame, ident: str, vector: str, ks: list[int], starts: int = 25, seed: int = 42, steps: int = STEPS) -> dict[int, Model]:
